@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from plumage.llm import exact_dedup
+from plumage.llm import bpe, exact_dedup, quality_rules
 
-QUERIES = {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
