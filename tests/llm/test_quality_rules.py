@@ -16,7 +16,7 @@ def brute(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), failed
 
 
-PROSE = " ".join(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)} of it." + ("\n" if i % 9 == 0 else "") for i in range(80))
+PROSE = " ".join(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)}." + ("\n" if i % 9 == 0 else "") for i in range(80))
 TEXTS = [None, "", " \n\t", "one", "a b c a b c a b", "x\x0by\x0cz x y z x y z\r\nx y z", "ä ö\n ä ö\nä ö\n\n#*$ |<", "a a a a a", PROSE, PROSE, "spam $$$ ### " * 40,
          "la la " * 9, "hot line\n" * 40, PROSE.replace(".", " ###"), "q" * 100_000, "the end of it " * 3]
 
