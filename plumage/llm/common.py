@@ -68,12 +68,13 @@ def crc_mod(id_col: Column, n: int) -> Column:
 
 
 def keep_rows(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (id, text) is in ``kept`` (columns ``_id``, ``_sha``; no pair twice), one row for each pair.
+    """The rows of ``docs`` whose id is in ``kept`` (columns ``_id`` and, if given, ``_sha``), one for each id and text.
 
     The text's digest is part of the key so that rows that share an id but not a text are told apart.
     """
     sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_did"), sha.alias("_dsha"))
-    found = tagged.join(kept, (tagged["_dsha"] == kept["_sha"]) & tagged["_did"].eqNullSafe(kept["_id"]), "left_semi")
+    same = tagged["_did"].eqNullSafe(kept["_id"])
+    found = tagged.join(kept, same & (tagged["_dsha"] == kept["_sha"]) if "_sha" in kept.columns else same, "left_semi")
     one = Window.partitionBy("_did", "_dsha").orderBy("_did")
     return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_doc.*")
