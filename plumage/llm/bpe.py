@@ -58,14 +58,13 @@ class Vocabulary:
         self.letters = byte_letters()
         self.library = Tokenizer.from_str(raw.decode())
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank_of = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made, self.never = [self.ids[a + b] for a, b in pairs], len(pairs)
         n = max(self.strings) + 1
         self.rank = np.full(n, -1, np.int64)  # of the merge that makes a token; -1: a single letter
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        for (a, b), (rank, made) in self.merges.items():
-            self.rank[made], self.left[made], self.right[made] = rank, a, b
-        keys = np.array([(a << 32) | b for a, b in self.merges], np.int64)
-        ranks = np.array([r for r, _ in self.merges.values()], np.int64)
+        keys, ranks = np.array(list(self.rank_of), np.int64), np.arange(len(pairs))
+        self.rank[self.made], self.left[self.made], self.right[self.made] = ranks, keys >> 32, keys & 0xFFFFFFFF
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], ranks[order]
         self.cache: dict[str, str] = {}
@@ -116,20 +115,17 @@ class Vocabulary:
 
     def merged(self, s: str) -> list[int]:
         """Exact merging of one word: the lowest rank first, the leftmost of equals first."""
+        get, never, made = self.rank_of.get, self.never, self.made
         parts = [self.ids[c] for c in s[:-1]] + [self.ids[s[-1] + END]]
-        while len(parts) > 1:
-            best = min((self.merges.get(p, (1 << 60, -1)) for p in zip(parts, parts[1:])), default=(1 << 60, -1))
-            if best[1] < 0:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and self.merges.get((parts[i], parts[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        ranks = [get(a << 32 | b, never) for a, b in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) < never:
+            i = ranks.index(low)
+            parts[i : i + 2] = [made[low]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] << 32 | parts[i], never)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] << 32 | parts[i + 1], never)
         return parts
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
