@@ -1,19 +1,52 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Five stages from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; the first four return the columns of
+``documents``, the last returns the sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumage.llm import exact_dedup, minhash, packing, quality_rules, substring_dedup
+from plumage.llm.common import Scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_copies(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from plumage.llm import exact_dedup
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_copies(docs))]
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("substring dedup", substrings), ("best-fit packing", packed)]
 
-#: No SQL: near-duplicate groups, suffix groups and packing need loops; tests/llm/test_pipeline.py has brute force.
+#: No SQL: packing is sequential. tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = Scratch(spark)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs, f"stage{k}")
+            if k:
+                scratch.drop(f"stage{k - 1}")
     return docs
