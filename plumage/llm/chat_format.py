@@ -82,17 +82,21 @@ def chat_windows(turns: DataFrame, conv="conv_id", turn="turn", role="role", tex
     # A conversation of nothing but a system turn has one window without new turns.
     only = F.array(F.struct(F.lit(1).alias("from"), F.lit(1).alias("at"), F.lit(0).alias("to")))
     spans = F.when(F.size("ts") > F.col("sys"), F.aggregate(F.sequence(F.col("sys"), F.size("ts") - 1), none, grow)).otherwise(only)
-    w = convs.withColumn("spans", spans).select("conv_id", "ts", "size", "sys", F.posexplode("spans").alias("window", "w"))
+    convs = convs.withColumn("spans", spans)
 
     def piece(x: Column, again: Column, loss: Column) -> Column:
         head = F.concat(F.when(again, AGAIN).otherwise(NEW), escape(x["role"]), F.lit(TEXT))
         return F.struct(head.alias("head"), escape(x["text"]).alias("body"), loss.alias("loss"))
 
-    system = F.transform(F.slice("ts", F.lit(1), F.col("sys")), lambda x: piece(x, F.col("window") > 0, F.lit(False)))
-    old = F.transform(F.slice("ts", F.col("w.from") + 1, F.col("w.at") - F.col("w.from")), lambda x: piece(x, F.lit(True), F.lit(False)))
-    new = F.transform(F.slice("ts", F.col("w.at") + 1, F.col("w.to") - F.col("w.at") + 1), lambda x: piece(x, F.lit(False), x["role"] == "assistant"))
-    used = F.when(F.col("sys") == 1, F.get("size", F.lit(0))).otherwise(0) + _sum(F.slice("size", F.col("w.from") + 1, F.col("w.to") - F.col("w.from") + 1))
-    w = w.select("conv_id", "window", F.concat(system, old, new).alias("p"), used.alias("n_tokens"))
+    def window(w: Column, k: Column) -> Column:
+        system = F.transform(F.slice("ts", F.lit(1), F.col("sys")), lambda x: piece(x, k > 0, F.lit(False)))
+        old = F.transform(F.slice("ts", w["from"] + 1, w["at"] - w["from"]), lambda x: piece(x, F.lit(True), F.lit(False)))
+        new = F.transform(F.slice("ts", w["at"] + 1, w["to"] - w["at"] + 1), lambda x: piece(x, F.lit(False), x["role"] == "assistant"))
+        used = F.lit(budget) - F.col("left") + before(w["to"] + 1) - before(w["from"])
+        return F.struct(k.alias("window"), F.concat(system, old, new).alias("p"), used.alias("n_tokens"))
+
+    # Windows are made before they become rows, so that no row holds more than its own turns.
+    w = convs.select("conv_id", F.explode(F.transform("spans", window)).alias("w")).select("conv_id", "w.*")
     whole = F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit(END)))
     w = w.withColumn("whole", whole)
     start = lambda i: F.aggregate(F.slice("whole", F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)) + F.length(F.get("p", i)["head"])
