@@ -112,7 +112,7 @@ QUERIES = {
     "system_prompt": _prompt,
     "text_repetition_guard": lambda s, d: docs(s, d).select("doc_id", t.repetition_start("text").alias("start")),
     "text_emphasis_pairs": lambda s, d: docs(s, d).select("doc_id", F.sha2(t.emphasis_pairs(F.translate("text", ".,", "!?")), 256).alias("paired")),
-    "text_line_breaks": lambda s, d: docs(s, d).where("n_chars < 3000").select("doc_id", t.line_breaker(60.0)("text").alias("ends")),
+    "text_line_breaks": lambda s, d: docs(s, d).select("doc_id", t.line_breaker(60.0)("text").alias("ends")),
     "text_utf16_chunks": lambda s, d: docs(s, d).select("doc_id", F.size(t.utf16_chunker(1000)("text")).alias("parts")),
 }
 
