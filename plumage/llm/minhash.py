@@ -3,12 +3,16 @@
 1. Each text's distinct word shingles give ``bands`` x ROWS minima; a band's minima, hashed together, are its bucket, and
    BITS low bits of every minimum are packed into a signature of a few 64-bit words. Texts with equal shingle sets (equal
    128-bit fingerprints and sizes) become one node, so thousands of copies weigh as one from here on.
-2. In each bucket every node is paired with the bucket's first node only. The pair's similarity is estimated from bit
+2. In each bucket every node is paired with the bucket's node of the smallest id only. The pair's similarity is estimated from bit
    counts of the signatures, corrected for chance agreement of BITS bits; only what lies SIGMAS deviations below the
    threshold goes. What remains is confirmed on the full shingle sets of both texts.
-3. Buckets whose nodes aren't all in one component by then are compared in full, but only across components: in cells of
-   at most about 2 x CELL nodes, inside a join whose condition is the size bound and the estimate, so that no pair is made
-   that fails it. No partner, bucket or pair is dropped or capped. Survivors are confirmed in the same way.
+3. Buckets whose nodes aren't all in one component by then go on. First, nodes that can't have a link go: those with too
+   many shingles that no other node of such buckets has. Then each bucket's other nodes are paired with its most central
+   one, that with the least share of such shingles (in a group of edited copies, the original). The buckets that are still
+   mixed are compared in full, but only across components: in cells of at most about 2 x CELL nodes, inside a join whose
+   condition is the size bound, the estimate, and a second estimate from FINE one-bit minima, so that no pair is made that
+   fails them. No partner, bucket or
+   pair is dropped or capped. Survivors are confirmed in the same way.
 4. Components are found by passing minima along the links and jumping pointers, with all tables in Spark.
 
 The number of bands is the least for which a pair at the threshold shares no bucket with a probability under MISS.
@@ -24,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import Scratch, keep_rows, table
+from plumage.llm.common import Scratch, keep_rows, table, text_batches
 from plumage.llm.shingles import mix, shingle_set
 
 SHINGLE = 5
 ROWS = 5
 BITS = 2
 MISS = 1e-8
+#: Minima of the finer signature, of one bit each, that the last comparison uses.
+FINE = 2048
 SIGMAS = 6.0
 CELL = 512
 _PAIRED = 0x5555555555555555
@@ -40,27 +46,34 @@ def bands_for(percent: int) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log1p(-min(0.999, (percent / 100) ** ROWS))))
 
 
-def _least_matches(n: int, percent: int) -> int:
+def _least_matches(n: int, percent: int, bits: int = BITS) -> int:
     """Agreeing minima that a pair at the threshold has, less SIGMAS standard deviations."""
-    p = percent / 100 + (1 - percent / 100) / 2**BITS
+    p = percent / 100 + (1 - percent / 100) / 2**bits
     return math.floor(n * p - SIGMAS * math.sqrt(n * p * (1 - p)))
 
 
-class Hasher:
-    def __init__(self, bands: int, shingle: int):
-        n = bands * ROWS
+class Minima:
+    """Least values of n hash functions over a set of 64-bit numbers."""
+
+    def __init__(self, n: int):
         seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.flip, self.times = seeds[:n].astype(np.uint32)[:, None], (seeds[n:].astype(np.uint32) | np.uint32(1))[:, None]
-        self.bands, self.shingle, self.n = bands, shingle, n
+        self.n, self.step = n, max(32, 160_000 // n)
 
     def minima(self, s: np.ndarray) -> np.ndarray:
         x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(self.n, 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(x), 1024):
-            h = x[i : i + 1024] ^ self.flip
+        for i in range(0, len(x), self.step):
+            h = x[i : i + self.step] ^ self.flip
             h *= self.times
             np.minimum(low, h.min(1), out=low)
         return low
 
+
+class Hasher(Minima):
+    def __init__(self, bands: int, shingle: int):
+        super().__init__(bands * ROWS)
+        self.bands, self.shingle = bands, shingle
+
     def rows(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         n, minima, prints = np.zeros(len(texts), np.int64), np.zeros((len(texts), self.n), np.uint32), np.zeros((2, len(texts)), np.uint64)
         for i, t in enumerate(texts):
@@ -105,14 +118,52 @@ def estimate(a: Column, b: Column, n: int) -> Column:
     return F.greatest(F.lit(0.0), (matches(a, b, n) / F.lit(n) - chance) / (1 - chance))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
+def linkable(texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(node, common, rate) of the nodes among (node, f1, n_shingles, t) whose shingles that others have suffice for a link.
+
+    A link needs percent of a set's own shingles in the other set, so a set with more shingles of its own has no link.
+    Shingles are counted in one aggregation and one join by shingle: the work grows with the texts, not with pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py().encode(), shingle) for t in b.column(2)]
+            sets = [s if s.sum(dtype=np.uint64).view(np.int64) == f.as_py() else s[:0] for s, f in zip(sets, b.column(1))]
+            nodes = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["node", "s"])
+
+    each = texts.select("node", "f1", "t").mapInArrow(run, "node bigint, s bigint")
+    shared = each.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("s")
+    counts = each.join(shared, "s").groupBy("node").agg(F.countDistinct("s").alias("n"))
+    sizes = texts.select("node", "n_shingles").distinct()
+    return counts.join(sizes, "node").where(F.col("n") * 100 >= F.col("n_shingles") * percent).select("node", F.col("n").alias("common"), (F.col("n") / F.col("n_shingles")).alias("rate"))
+
+
+def fine_signatures(texts: DataFrame, n: int, shingle: int) -> DataFrame:
+    """(node, fine) of (node, f1, n_shingles, t): one low bit of each of n minima, packed into 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Minima(n)
+        for b in batches:
+            found = []
+            for t in b.column(1):
+                wide = mix(m.minima(shingle_set(t.as_py().encode(), shingle)).astype(np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(1 << 32))
+                bits = (wide & np.uint64(1)).reshape(-1, 64) << np.arange(64, dtype=np.uint64)
+                found.append(bits.sum(1, dtype=np.uint64).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "fine"])
+
+    return texts.select("node", "t").mapInArrow(run, "node bigint, fine array<bigint>")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, by: str = "id") -> DataFrame:
     """The pairs (a, b: structs of nodes) whose full shingle sets are similar enough, as (a, b) of node numbers.
 
-    Texts are fetched by the node's first id; a text of that id with another fingerprint (ids may repeat) is passed over.
+    Texts are fetched by the node's field ``by``, its first id as a rule; a text of that id with another fingerprint (ids may
+    repeat) is passed over.
     """
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
-    with_b = pairs.join(texts, pairs["b.id"].eqNullSafe(texts["id"])).select("a", "b", F.col("t").alias("tb"))
-    both = with_b.join(texts, with_b["a.id"].eqNullSafe(texts["id"])).select(
+    with_b = pairs.join(texts, pairs[f"b.{by}"].eqNullSafe(texts["id"])).select("a", "b", F.col("t").alias("tb"))
+    both = with_b.join(texts, with_b[f"a.{by}"].eqNullSafe(texts["id"])).select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.f1").alias("fa"), F.col("b.f1").alias("fb"), F.col("t").alias("ta"), "tb"
     )
 
@@ -162,7 +213,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone. Rows that share an id share its fate only through their texts; null ids come last, so such a row is kept only
     where its component has no other id. An empty table gives no rows; other columns play no part.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(text_batches(docs).sparkSession)
     bands = bands_for(percent)
     n = bands * ROWS
     least = _least_matches(n, percent)
@@ -172,9 +223,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "id", *print_, "sig", "keys"), "nodes")
     slim = nodes.select("node", "id", "f1", "n_shingles", "sig")
 
-    spots = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = spots.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    shared = scratch.save(spots.join(buckets, "key"), "shared")  # key, node, n, first
+    spots = nodes.select("node", "id", F.explode("keys").alias("key"))
+    buckets = spots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    shared = scratch.save(spots.join(buckets, "key").select("key", "node", "first"), "shared")
 
     side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("node", "id", "f1")]).alias(p)
 
@@ -182,27 +233,56 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sizes = (F.col(f"{a}.n_shingles") * 100 >= F.col(f"{b}.n_shingles") * percent) & (F.col(f"{b}.n_shingles") * 100 >= F.col(f"{a}.n_shingles") * percent)
         return sizes & (matches(F.col(f"{a}.sig"), F.col(f"{b}.sig"), n) >= least)
 
-    pairs = shared.where("node <> first").select(F.col("first").alias("p"), F.col("node").alias("q")).distinct()
-    firsts = pairs.join(slim.alias("b"), F.col("q") == F.col("b.node")).join(slim.alias("a"), F.col("p") == F.col("a.node")).where(similar("a", "b"))
+    pairs = shared.select(F.col("first").alias("p"), F.col("node").alias("q")).distinct()
+    firsts = pairs.join(slim.alias("b"), F.col("q") == F.col("b.node")).join(slim.alias("a"), F.col("p") == F.col("a.id")).where(similar("a", "b") & (F.col("a.node") != F.col("b.node")))
     links = scratch.save(confirmed(scratch.save(firsts.select(side("a"), side("b")), "firsts"), docs, id_col, text_col, percent, shingle), "links")
-    comps = components(links, scratch, "once")
-
-    spread = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("size")).where("x <> y").select("key", "size")
+    comps = components(links, scratch, "first")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets (key, node, ...) whose nodes aren't all in one component, with comp and size."""
+        spread = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        keys = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+        return spread.join(keys, "key")
+
+    open_ = scratch.save(mixed(shared.select("key", "node")).select("key", "node"), "open")
+    texts = slim.join(open_.select("node").distinct(), "node").join(docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("t")), F.col("id").eqNullSafe(F.col("_id")))
+    texts = scratch.save(texts.select("node", "f1", "n_shingles", "t"), "texts")
+    able = scratch.save(linkable(texts, percent, shingle), "able")
+    open_ = open_.join(able, "node")
+
+    def possible() -> Column:
+        """Of a and b: whether what others share of them suffices, and similar() holds."""
+        most = F.least("a.common", "b.common")
+        return (most * 100 >= (F.col("a.n_shingles") + F.col("b.n_shingles") - most) * percent) & similar("a", "b")
+
+    central = mixed(open_).groupBy("key").agg(F.max(F.struct("rate", "common", "node")).alias("best"))
+    pairs = mixed(open_).join(central, "key").where("node <> best.node").select(F.col("best.node").alias("p"), F.col("node").alias("q")).distinct()
+    known = slim.join(able, "node")
+    stars = pairs.join(known.alias("b"), F.col("q") == F.col("b.node")).join(known.alias("a"), F.col("p") == F.col("a.node")).where(possible())
+    stars = scratch.save(stars.select(side("a"), side("b")), "stars")
+    if stars.limit(1).count():
+        links = links.unionAll(scratch.save(confirmed(stars, texts, "node", "t", percent, shingle, by="node"), "star-links"))
+        comps = components(links, scratch, "second")
+
+    open_ = mixed(open_)
     cells = F.ceil(F.col("size") / CELL).cast("int")
-    open_ = spread.select("key", "node", "comp").join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     # a row of block x takes part in the cells (x, y) and (y, x) of all y, written with the smaller first
-    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "node").join(slim, "node")
+    open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "node", "common").join(slim, "node")
+    fine = fine_signatures(texts.dropDuplicates(["node"]).join(open_.select("node").distinct(), "node", "left_semi"), FINE, shingle)
+    open_ = open_.join(scratch.save(fine, "fine"), "node")
     a, b = open_.alias("a"), open_.alias("b")
     cell = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     apart = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
-    rest = a.join(b, cell & apart & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & similar("a", "b"))
+    differ = F.aggregate(F.zip_with("a.fine", "b.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    close = F.lit(FINE) - differ >= _least_matches(FINE, percent, 1)
+    rest = a.join(b, cell & apart & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & possible() & close)
     rest = scratch.save(rest.select(side("a"), side("b")).distinct(), "rest")
     if rest.limit(1).count():
-        more = scratch.save(confirmed(rest, docs, id_col, text_col, percent, shingle), "more")
+        more = scratch.save(confirmed(rest, texts, "node", "t", percent, shingle, by="node"), "more")
         if more.limit(1).count():
-            comps = components(links.unionAll(more), scratch, "twice")
+            comps = components(links.unionAll(more), scratch, "third")
 
     named = nodes.select("node", "id", *print_).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = named.groupBy("comp").agg(F.min("id").alias("component_id"))

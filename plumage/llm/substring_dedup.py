@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import table
+from plumage.llm.common import table, text_batches
 from plumage.llm.shingles import rolled, word_hashes
 
 WINDOW = 50
@@ -190,7 +190,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``carry`` adds them all as the struct ``row``.
     """
     source = docs.select(docs[id_col].cast("bigint").alias("doc"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].cast("string").alias("text"))
-    anchors = source.mapInArrow(_anchors(window), "doc bigint, h bigint, g bigint")
+    anchors = text_batches(source).mapInArrow(_anchors(window), "doc bigint, h bigint, g bigint")
     order = F.coalesce("doc", F.lit(_LAST))
     shared = anchors.groupBy("g").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).where("lo < hi").select("g", (F.col("n") > group).alias("hot"))
     listed = anchors.join(shared, "g").groupBy("doc", "h").agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
