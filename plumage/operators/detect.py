@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from plumage.functions import geometry as g
 
-PAGE = Window.partitionBy("page_id")
-BEST = PAGE.orderBy(F.desc("score"), "box_id")
+
+def by_page(*order) -> WindowSpec:
+    w = Window.partitionBy("page_id")
+    return w.orderBy(*order) if order else w
+
+
+def best() -> WindowSpec:
+    return by_page(F.desc("score"), "box_id")
 
 
 def at_least(boxes: DataFrame, score: int) -> DataFrame:
@@ -23,7 +29,7 @@ def at_least(boxes: DataFrame, score: int) -> DataFrame:
 
 def top_k(boxes: DataFrame, k: int) -> DataFrame:
     """The k best of each page; of equal scores the smaller number wins."""
-    return boxes.withColumn("rank", F.row_number().over(BEST)).where(F.col("rank") <= k)
+    return boxes.withColumn("rank", F.row_number().over(best())).where(F.col("rank") <= k)
 
 
 def top_then_threshold(boxes: DataFrame, k: int, score: int) -> DataFrame:
@@ -33,7 +39,7 @@ def top_then_threshold(boxes: DataFrame, k: int, score: int) -> DataFrame:
 
 def renumbered(boxes: DataFrame, score: int) -> DataFrame:
     """Boxes of a page numbered 0, 1, ... by their number, after a filter."""
-    return at_least(boxes, score).withColumn("position", F.row_number().over(PAGE.orderBy("box_id")) - 1)
+    return at_least(boxes, score).withColumn("position", F.row_number().over(by_page("box_id")) - 1)
 
 
 def page_pairs(boxes: DataFrame, condition, *columns: str) -> DataFrame:
@@ -79,8 +85,8 @@ def text_regions(boxes: DataFrame, label: str = "label", aspect: float = 1.15) -
 def class_argmax(boxes: DataFrame, scores: list[str]) -> DataFrame:
     """The class with the largest score; of equal ones the last."""
     classes = F.array(*[F.struct(F.col(c).alias("s"), F.lit(i).alias("k")) for i, c in enumerate(scores)])
-    best = F.array_max(classes)
-    return boxes.select("page_id", "box_id", best["k"].alias("class_id"), best["s"].alias("class_score"))
+    top = F.array_max(classes)
+    return boxes.select("page_id", "box_id", top["k"].alias("class_id"), top["s"].alias("class_score"))
 
 
 def order_votes(boxes: DataFrame, scale: float) -> DataFrame:
@@ -89,21 +95,21 @@ def order_votes(boxes: DataFrame, scale: float) -> DataFrame:
     pairs = own.join(own.withColumnsRenamed({"a": "b", "ya": "yb"}), "page_id").where("a <> b")
     votes = pairs.groupBy("page_id", F.col("a").alias("box_id")).agg(F.sum(1 / (1 + F.exp(-(F.col("ya") - F.col("yb")) / scale))).alias("v"))
     votes = boxes.select("page_id", "box_id").join(votes, ["page_id", "box_id"], "left").withColumn("v", F.round(F.coalesce("v", F.lit(0.0)), 6))
-    return votes.withColumn("position", F.row_number().over(PAGE.orderBy("v", "box_id")) - 1)
+    return votes.withColumn("position", F.row_number().over(by_page("v", "box_id")) - 1)
 
 
 def largest_gap(boxes: DataFrame, low: str, high: str, least: int) -> DataFrame:
     """The widest stretch of the axis that no box of the page covers; of equal ones the first; none under ``least``."""
-    w = PAGE.orderBy(low, "box_id")
+    w = by_page(low, "box_id")
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     gaps = boxes.select("page_id", "box_id", F.col(low).alias("to"), reach.alias("from")).where(F.col("to") - F.col("from") >= least)
-    pick = F.row_number().over(PAGE.orderBy(F.desc(F.col("to") - F.col("from")), "from"))
+    pick = F.row_number().over(by_page(F.desc(F.col("to") - F.col("from")), "from"))
     return gaps.withColumn("n", pick).where("n = 1").select("page_id", F.col("from").alias("gap_from"), F.col("to").alias("gap_to"))
 
 
 def row_band_order(boxes: DataFrame, band: int, rtl: bool = True) -> DataFrame:
     """Rows of ``band`` pixels from the top; inside a row from the right (rtl) or the left."""
-    w = PAGE.orderBy(F.floor(F.col("y1") / band), F.desc("x1") if rtl else F.col("x1"), "box_id")
+    w = by_page(F.floor(F.col("y1") / band), F.desc("x1") if rtl else F.col("x1"), "box_id")
     return boxes.select("page_id", "box_id", F.row_number().over(w).alias("position"))
 
 
@@ -132,7 +138,7 @@ def majority_label(rows: DataFrame, *keys: str) -> DataFrame:
 def labels_by_area(boxes: DataFrame, most: int = 255) -> DataFrame:
     """Numbers 1, 2, ... from the largest area down, at most ``most``: paint order, smaller ones last."""
     size = g.area(g.box())
-    w = PAGE.orderBy(F.desc("area"), "box_id")
+    w = by_page(F.desc("area"), "box_id")
     return boxes.select("page_id", "box_id", size.cast("long").alias("area")).withColumn("paint_id", F.row_number().over(w)).where(F.col("paint_id") <= most)
 
 
@@ -162,7 +168,7 @@ def slice_union(detections: DataFrame, plan: DataFrame) -> DataFrame:
 
 def polygon_area_twice(points: DataFrame) -> DataFrame:
     """Signed double area of each page's polygon (page_id, i, x, y), closed; 0 under three points."""
-    w = PAGE.orderBy("i")
+    w = by_page("i")
     nx, ny = (F.coalesce(F.lead(c).over(w), F.first(c).over(w)) for c in ("x", "y"))
     step = points.select("page_id", (F.col("x") * ny - nx * F.col("y")).alias("s"))
     return step.groupBy("page_id").agg(F.when(F.count("*") >= 3, F.sum("s")).otherwise(0).cast("long").alias("area2"))

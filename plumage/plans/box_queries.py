@@ -98,7 +98,7 @@ def _reflect(spark, d):
 
 def _sorted_variants(spark, d):
     b = boxes(spark, d)
-    rank = lambda *o: F.row_number().over(detect.PAGE.orderBy(*o, "box_id"))
+    rank = lambda *o: F.row_number().over(detect.by_page(*o, "box_id"))
     return b.select("page_id", "box_id", rank(F.col("y1") + F.col("y2")).alias("by_centre_y"), rank(F.desc("score")).alias("by_score"), rank(F.desc(g.area(g.box()))).alias("by_area"))
 
 

@@ -15,7 +15,7 @@ from plumage.sources.fixtures import BOXES_SQL, boxes, table
 PIXELS = "select page_id % 500 as page, x1 % 32 as x, y1 % 32 as y, max(score % 256) as v from boxes group by all"
 PIXELS_SQL = f"{BOXES_SQL}, px as ({PIXELS})"
 #: Coloured, labelled pixels.
-COLOURS = ["page_id % 50 as page", "cast(box_id % 4 as int) as label", "box_id % 3 = 0 as masked", "200 + x1 % 30 as r", "190 + y1 % 8 as g", "180 + score % 40 as b"]
+COLOURS = ["page_id % 50 as page", "cast(box_id % 4 as int) as label", "box_id % 3 = 0 as masked", "200 + x1 % 12 as r", "190 + y1 % 8 as g", "180 + score % cast(5 + page_id % 5 * 9 as int) as b"]
 
 #: Steps with what they need and produce.
 STEPS = [
