@@ -6,9 +6,9 @@ one anchor are consecutive: a run. An anchor that only one document has rules it
 an anchor, so this first grouping is small.
 
 Runs of the remaining anchors carry their words and are grouped by the anchor, a prefix of GRAM words. A group of at most
-GROUP documents fits in memory: its suffixes are ranked there by prefix doubling (ranks over 1, 2, 4, ... words), down to
+GROUP runs fits in memory: its suffixes are ranked there by prefix doubling (ranks over 1, 2, 4, ... words), down to
 the depth of a window, where suffixes of equal rank are the leaves below one internal node of the suffix tree. Anchors
-that more documents share get the longest prefix at once, the whole window, kept as a SHA-256 of its words: such a group
+that have more runs get the longest prefix at once, the whole window, kept as a SHA-256 of its words: such a group
 is one deep node by itself, and its smallest document comes from an aggregation that combines before the shuffle, so no
 passage, however common, is gathered anywhere.
 
@@ -19,26 +19,33 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumage.llm.common import table, text_batches
-from plumage.llm.shingles import rolled, word_hashes
+from plumage.llm.shingles import rolled, word_hashes_many
 
 WINDOW = 50
 GRAM = 8
-#: Documents that may share an anchor whose suffixes are ranked in memory.
+#: Runs that an anchor may have for its suffixes to be ranked in memory.
 GROUP = 1000
 #: Words ranked together, where groups allow.
 BATCH_WORDS = 1_000_000
+#: Bytes of text hashed together.
+CHUNK = 1 << 18
 _LAST = (1 << 63) - 1
 
 
-def runs(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of each run of windows with one anchor."""
+def runs(h: np.ndarray, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, last window) of each run of windows with one anchor; no window spans two texts.
+
+    h, which: hash and text of each word, the texts in a row. Windows are given by the place of their first word.
+    """
     g = rolled(h, GRAM)
     n = len(h) - window + 1
     if n <= 0:
@@ -51,21 +58,35 @@ def runs(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         best, size = np.where(g[b] < g[a], b, a), size * 2
     a, b = best[:n], best[span - size : span - size + n]
     best = np.where(g[b] < g[a], b, a)
-    first = np.flatnonzero(np.diff(best, prepend=-1))
-    last = np.append(first[1:], n) - 1
-    return g[best[first]], first, last
+    whole = np.flatnonzero(which[:n] == which[window - 1 :])
+    if not len(whole):
+        return g[:0], whole, whole
+    new = np.flatnonzero((np.diff(best[whole], prepend=-1) != 0) | (np.diff(whole, prepend=-2) != 1))
+    return g[best[whole[new]]], whole[new], whole[np.append(new[1:], len(whole)) - 1]
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of stretches of about CHUNK bytes."""
+    part, size, at = [], 0, 0
+    for i, t in enumerate(texts):
+        part.append((t.as_py() or "").encode())
+        size += len(part[-1])
+        if size >= CHUNK:
+            yield at, part
+            part, size, at = [], 0, i + 1
+    if part:
+        yield at, part
 
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, found = [], []
-            for i, t in enumerate(b.column(2)):
-                g = np.unique(runs(word_hashes((t.as_py() or "").encode(), False)[0], window)[0])
-                at.append(np.full(len(g), i))
-                found.append(g.view(np.int64))
-            take = pa.array(np.concatenate(at) if at else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(found) if found else [], pa.int64())], ["doc", "h", "g"])
+            for at, raws in _chunks(b.column(2)):
+                h, _, _, which = word_hashes_many(raws, False)
+                g, first, _ = runs(h, which, window)
+                pairs = pd.DataFrame({"row": at + which[first], "g": g.view(np.int64)}).value_counts(sort=False).reset_index()
+                take = pa.array(pairs["row"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pairs["g"]), pa.array(pairs["count"])], ["doc", "h", "g", "n"])
 
     return run
 
@@ -75,30 +96,31 @@ def _suffixes(window: int, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                doc, h, text, listed = b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2)[i].as_py() or "", b.column(3)[i].values
-                raw = text.encode()
-                hashes, starts, ends = word_hashes(raw, False)
-                g, first, last = runs(hashes, window)
-                g = g.view(np.int64)
-                pick = np.flatnonzero(np.isin(g, listed.to_numpy()))
+            for at, raws in _chunks(b.column(2)):
+                h, starts, ends, which = word_hashes_many(raws, False)
+                begin = np.searchsorted(which, np.arange(len(raws)))  # each text's first word
+                g, first, last = runs(h, which, window)
+                g, text = g.view(np.int64), which[first]
+                asked = b.column(3).slice(at, len(raws))
+                keys = set(zip(np.repeat(np.arange(len(raws)), asked.value_lengths().to_numpy()).tolist(), asked.flatten().to_pylist()))
+                pick = np.flatnonzero(np.fromiter((k in keys for k in zip(text.tolist(), g.tolist())), bool, len(g)))
                 if whole:
-                    p = np.concatenate([np.arange(first[k], last[k] + 1) for k in pick]) if len(pick) else np.empty(0, np.int64)
-                    words = [raw[s:e] for s, e in zip(starts, ends)]
-                    out = pa.array([hashlib.sha256(b" ".join(words[k : k + window])).digest() for k in p], pa.binary())
-                    columns, names = [pa.array(p, pa.int32()), out], ["doc", "h", "p", "w"]
+                    p = np.concatenate([np.arange(first[k], last[k] + 1) for k in pick]) if len(pick) else first[:0]
+                    words = [raws[d][s:e] for d, s, e in zip(which, starts, ends)]
+                    out = [hashlib.sha256(b" ".join(words[k : k + window])).digest() for k in p]
+                    columns, names = [pa.array(out, pa.binary())], ["doc", "h", "p", "w"]
                 else:
                     p = first[pick]
-                    out = pa.array([raw[starts[a] : ends[z + window - 1]] for a, z in zip(p, last[pick])], pa.binary())
-                    columns, names = [pa.array(p, pa.int32()), pa.array(g[pick]), out], ["doc", "h", "p", "g", "words"]
-                take = pa.array(np.zeros(len(p), np.int64))
-                yield pa.RecordBatch.from_arrays([doc.take(take), h.take(take), *columns], names)
+                    out = [raws[d][a:z] for d, a, z in zip(which[p], starts[p], ends[last[pick] + window - 1])]
+                    columns, names = [pa.array(g[pick]), pa.array(out, pa.binary())], ["doc", "h", "p", "g", "words"]
+                take = pa.array(at + which[p])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(p - begin[which[p]], pa.int32()), *columns], names)
 
     return run
 
 
 def deep_nodes(parts: list[list[bytes]], group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, place, rank) of every suffix that is a window long; suffixes have one rank if their windows and groups agree."""
+    """(part, place, node) of every suffix that is a window long; suffixes have one node if their windows and groups agree."""
     sizes = np.array([len(p) for p in parts])
     total = int(sizes.sum())
     ids: dict[bytes, int] = {}
@@ -108,7 +130,7 @@ def deep_nodes(parts: list[list[bytes]], group: np.ndarray, window: int) -> tupl
     left = np.repeat(begin + sizes, sizes) - np.arange(total)  # words from here to the part's end
 
     def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a * (int(max(a.max(), b.max())) + 1) + b, return_inverse=True)[1]
+        return pd.factorize(a * (int(max(a.max(), b.max())) + 1) + b)[0]
 
     at = np.flatnonzero(left >= window)
     if not len(at):
@@ -159,17 +181,16 @@ def _kept(window: int, digest: bool):
         for b in batches:
             n, removed, out = [], [], []
             for t, s in zip(b.column(1), b.column(2)):
-                raw = (t.as_py() or "").encode()
-                _, starts, ends = word_hashes(raw, False)
-                cover = np.zeros(len(starts) + 1, np.int64)
+                words = (t.as_py() or "").encode().split()  # at the six ASCII separators
+                n.append(len(words))
                 if s.is_valid:
+                    cover = np.zeros(len(words) + 1, np.int64)
                     at = s.values.to_numpy()
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + window, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                text = b" ".join([raw[a:z] for a, z in zip(starts[~gone], ends[~gone])])
-                n.append(len(starts))
-                removed.append(int(gone.sum()))
+                    words = list(compress(words, np.cumsum(cover[:-1]) == 0))
+                text = b" ".join(words)
+                removed.append(n[-1] - len(words))
                 out.append(hashlib.sha256(text).hexdigest() if digest else (text.decode() if removed[-1] else t.as_py()))
             more = [(b.column(k), b.schema.names[k]) for k in range(3, b.num_columns)]
             yield pa.RecordBatch.from_arrays(
@@ -190,9 +211,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``carry`` adds them all as the struct ``row``.
     """
     source = docs.select(docs[id_col].cast("bigint").alias("doc"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].cast("string").alias("text"))
-    anchors = text_batches(source).mapInArrow(_anchors(window), "doc bigint, h bigint, g bigint")
+    anchors = text_batches(source).mapInArrow(_anchors(window), "doc bigint, h bigint, g bigint, n bigint")
     order = F.coalesce("doc", F.lit(_LAST))
-    shared = anchors.groupBy("g").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).where("lo < hi").select("g", (F.col("n") > group).alias("hot"))
+    shared = anchors.groupBy("g").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("g", (F.col("n") > group).alias("hot"))
     listed = anchors.join(shared, "g").groupBy("doc", "h").agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
     l = listed.withColumnsRenamed({"doc": "ldoc", "h": "lh"})  # noqa: E741
     found = source.join(l, source["doc"].eqNullSafe(l["ldoc"]) & (source["h"] == l["lh"]))

@@ -95,6 +95,21 @@ def zip_by_position(left: DataFrame, right: DataFrame, key: str, left_ord: str,
     return a.join(b, [key, "_place"]).drop("_place")
 
 
+def global_position(rows: DataFrame, *order) -> DataFrame:
+    """Adds ``position`` (from 1) by a complete order over all rows, without a window over all rows.
+
+    Rows are ranked inside range partitions and shifted by the counts of the partitions before, of which there are as many
+    as the session has shuffle partitions. The number is given so that Spark doesn't merge partitions on one branch only.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    own = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    counts = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # n rows
+    shifts = counts.select("_part", ahead.alias("_ahead"))
+    return own.join(F.broadcast(shifts), "_part").withColumn("position", F.col("_k") + F.col("_ahead")).drop("_part", "_k", "_ahead")
+
+
 def contrast(r: Column, g: Column, b: Column) -> Column:
     """Black on light colours, white on dark ones."""
     return F.when(0.299 * r + 0.587 * g + 0.114 * b > 128, F.lit("black")).otherwise("white")

@@ -215,7 +215,7 @@ select vec_id, count(*) as kept, cast(max(r) as int) as last_rank from z group b
     "store_new_blobs": "select distinct sha256(coalesce(text, '')) as hash from documents where doc_id % 2 = 1 and coalesce(text, '') not in (select coalesce(text, '') from documents where doc_id % 2 = 0)",
     "download_ranges": "select id, f * 50000 as first, least(f * 50000 + 49999, total - 1) as last from (select o_orderkey as id, cast(trunc(o_totalprice) as bigint) as total from orders), unnest(range((total - 1) // 50000 + 1)) r(f) where total > 0",
     "thumbnail_size": f"with {BOXES_SQL}, k as (select page_id, box_id, x2, y2 * 2 as y, least(1.0, 320 / cast(greatest(x2, y2 * 2) as double)) as k from boxes) select page_id, box_id, cast(greatest(round(x2 * k), 1) as int) as w, cast(greatest(round(y * k), 1) as int) as h from k",
-    "listing_newest": "select n_name, n_regionkey as mtime, cast(row_number() over (order by n_regionkey desc, n_name) as int) as position from nation",
+    "listing_newest": "select n_name, n_regionkey as mtime, row_number() over (order by n_regionkey desc, n_name) as position from nation",
     "scene_json": """select '{"k":' || r_regionkey || ',"name":"' || r_name || '"}' as json from region""",
     "engine_topology": f"""with recursive s(id, needs, produces) as (values {STEP_VALUES}), p as (select id, unnest(string_split(produces, ',')) as a, row_number() over () as k from s),
 l as (select a, max_by(id, k) as id from p group by a), e as (select s.id as b, l.id as a from (select id, unnest(string_split(needs, ',')) as a from s where needs <> '') s join l using (a)),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumage.functions import text as t
+from plumage.operators.aggregate import global_position
 from plumage.sources.fixtures import table
 
 #: Some language names, tags and aliases, and the lossy codes of a vendor.
@@ -49,17 +50,7 @@ def _languages(s, d):
 
 
 def _natural(s, d):
-    p = table(s, d, "pages").select("page_id", t.natural_key(F.col("url")).alias("key"))
-    return p.withColumn("position", F.row_number().over(Window.orderBy("key", "page_id")))
-
-
-def _natural_ranged(s, d):
-    """Positions without a global window: ranks inside range partitions plus the counts before them."""
-    keyed = table(s, d, "pages").select("page_id", t.natural_key(F.col("url")).alias("key"))
-    parts = keyed.repartitionByRange("key", "page_id").withColumn("part", F.spark_partition_id())
-    inside = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("key", "page_id")))
-    before = inside.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("part", "before")), "part").select("page_id", "key", (F.col("k") + F.col("before")).alias("position"))
+    return global_position(table(s, d, "pages").select("page_id", t.natural_key(F.col("url")).alias("key")), "key", "page_id")
 
 
 def _writing(s, d):
@@ -104,7 +95,7 @@ QUERIES = {
     "slug_names": lambda s, d: table(s, d, "part").select("p_partkey", t.slug(F.concat(F.lit("-_ "), "p_name", F.lit(" (v2)  "))).alias("slug")),
     "slug_collision": _slug_collision,
     "language_lookup": _languages,
-    "page_natural_sort": _natural_ranged,
+    "page_natural_sort": _natural,
     "text_writing_mode": _writing,
     "font_variant_parse": _variants,
     "font_variant_choice": _variant_choice,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumage.functions.text import natural_key
+from plumage.operators.aggregate import global_position
 
 
 def import_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -73,4 +73,4 @@ def export_pages(blobs: DataFrame, path: str, role: str, pages: DataFrame | None
 
 def newest(listing: DataFrame, key: str, time: str) -> DataFrame:
     """A listing from the newest down, equal times by name."""
-    return listing.withColumn("position", F.row_number().over(Window.orderBy(F.desc(time), key)))
+    return global_position(listing, F.desc(time), key)
