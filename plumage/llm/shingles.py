@@ -62,6 +62,14 @@ def word_hashes(raw: bytes, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def word_hashes_many(raws: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for several texts at once: hash, start and end in its own text, and number of the text, of each word."""
+    h, s, e = word_hashes(b"\n".join(raws), fold)
+    begin = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
+    which = np.searchsorted(begin, s, "right") - 1
+    return h, s - begin[which], e - begin[which], which
+
+
 def rolled(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows."""
     n = len(h) - k + 1
