@@ -33,7 +33,7 @@ from plumage.llm.shingles import rolled, word_hashes_many
 WINDOW = 50
 GRAM = 8
 #: Runs that an anchor may have for its suffixes to be ranked in memory.
-GROUP = 1000
+GROUP = 20_000
 #: Words ranked together, where groups allow.
 BATCH_WORDS = 1_000_000
 #: Bytes of text hashed together.
