@@ -50,7 +50,11 @@ class Vocabulary:
         model = spec["model"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.ids: dict[str, int] = model["vocab"]
-        self.longest = max(len(t.removesuffix(END)) for t in self.ids)
+        self.longest = max(len(t) - len(END) for t in self.ids if t.endswith(END))
+        self.reach: dict[str, int] = {}  # length of the longest inner token that begins with four letters
+        for t in self.ids:
+            if not t.endswith(END):
+                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 3))
         self.strings = {i: t for t, i in self.ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_rx = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -75,13 +79,13 @@ class Vocabulary:
 
     def guess(self, s: str) -> list[int]:
         """Greedy longest match over a word's byte letters."""
-        ids, out, i, n = self.ids, [], 0, len(s)
+        ids, reach, longest, out, i, n = self.ids, self.reach, self.longest, [], 0, len(s)
         while True:
-            found = ids.get(s[i:] + END) if n - i <= self.longest else None
+            found = ids.get(s[i:] + END) if n - i <= longest else None
             if found is not None:
                 out.append(found)
                 return out
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(s[i : i + 4], 3)), i, -1):
                 found = ids.get(s[i:j])
                 if found is not None:
                     out.append(found)
