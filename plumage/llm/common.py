@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -48,7 +49,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/plumage-{uuid.uuid4().hex}"
-        atexit.register(self._drop_path, self.root)
+        atexit.register(self._at_exit)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -59,10 +60,12 @@ class Scratch:
         for name in names:
             self._drop_path(f"{self.root}/{name}")
 
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone by then
+            self._drop_path(self.root)
+
     def _drop_path(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        if jvm is None or self.spark.sparkContext._jsc is None:
-            return
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -78,6 +81,18 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join of ``left`` with one row for each key, whose hot keys Spark may split at run time.
+
+    A right side that was aggregated by the same keys would be joined as it lies, and Spark splits hot partitions only
+    where both sides are shuffled for the join. So the first key is joined in another form, which asks for that shuffle of
+    the small side. Whole numbers are negated bitwise, other types wrapped.
+    """
+    form = F.bitwise_not if dict(left.dtypes)[keys[0]] in ("int", "bigint") else F.struct
+    own, other = left.withColumn("_split", form(keys[0])), right.withColumn("_split", form(keys[0])).drop(keys[0])
+    return own.join(other, ["_split", *keys[1:]], how).drop("_split")
+
+
 def keep_rows(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept`` (columns ``_id`` and, if given, ``_sha``), one for each id and text.
 

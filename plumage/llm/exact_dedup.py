@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumage.llm.common import Scratch, keep_rows, table
+from plumage.llm.common import Scratch, join_split, keep_rows, table
 
 BLOCK_BYTES = 1024
 #: Rank tables up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -87,7 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = identities(docs, id_col, text_col, **options)
     groups = rows.groupBy("n_bytes", "name").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["n_bytes", "name"]).select(
+    return join_split(rows, groups, ["n_bytes", "name"]).select(
         "doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256"
     )
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import SEPARATORS, Scratch, table
+from plumage.llm.common import SEPARATORS, Scratch, join_split, table
 
 EVERY = 4
 SPAN = 2
@@ -61,8 +61,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         other = chunks.join(keys.where("mixed").select("k"), "k").join(by_bytes.where("n > 1").select("k", "text"), ["k", "text"])
         spots = spots.unionByName(other)
     spots = scratch.save(spots.withColumn("o", F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos")), "spots")
-    first = spots.groupBy("k", "text").agg(F.min("o").alias("first")).withColumnsRenamed({"k": "fk", "text": "ft"})
-    again = spots.join(first, (F.col("k") == F.col("fk")) & F.col("text").eqNullSafe(F.col("ft"))).where(~F.col("o").eqNullSafe(F.col("first")))
+    scratch.drop("keys")
+    spots = spots.withColumn("text", F.coalesce("text", F.lit("")))  # no compared chunk is empty
+    first = spots.groupBy("k", "text").agg(F.min("o").alias("first"))
+    again = join_split(spots, first, ["k", "text"]).where(~F.col("o").eqNullSafe(F.col("first")))
     return again.groupBy("id", "h").agg(F.collect_set("pos").alias("gone"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import table, text_batches
+from plumage.llm.common import join_split, table, text_batches
 from plumage.llm.shingles import rolled, word_hashes_many
 
 WINDOW = 50
@@ -214,7 +214,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = text_batches(source).mapInArrow(_anchors(window), "doc bigint, h bigint, g bigint, n bigint")
     order = F.coalesce("doc", F.lit(_LAST))
     shared = anchors.groupBy("g").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("g", (F.col("n") > group).alias("hot"))
-    listed = anchors.join(shared, "g").groupBy("doc", "h").agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
+    listed = join_split(anchors, shared, ["g"]).groupBy("doc", "h").agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
     l = listed.withColumnsRenamed({"doc": "ldoc", "h": "lh"})  # noqa: E741
     found = source.join(l, source["doc"].eqNullSafe(l["ldoc"]) & (source["h"] == l["lh"]))
 
@@ -223,7 +223,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     hot = found.where(F.size("hot") > 0).select("doc", "h", "text", "hot").mapInArrow(_suffixes(window, True), "doc bigint, h bigint, p int, w binary")
     nodes = hot.groupBy("w").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("w", "lo")
-    hot = hot.join(nodes, "w").where(order > F.col("lo")).groupBy("doc", "h").agg(F.collect_set("p").alias("starts"))
+    hot = join_split(hot, nodes, ["w"]).where(order > F.col("lo")).groupBy("doc", "h").agg(F.collect_set("p").alias("starts"))
 
     starts = cold.unionByName(hot).groupBy("doc", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     s = starts.withColumnsRenamed({"doc": "sdoc", "h": "sh"})
