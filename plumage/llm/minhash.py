@@ -3,16 +3,15 @@
 1. Each text's distinct word shingles give ``bands`` x ROWS minima; a band's minima, hashed together, are its bucket, and
    BITS low bits of every minimum are packed into a signature of a few 64-bit words. Texts with equal shingle sets (equal
    128-bit fingerprints and sizes) become one node, so thousands of copies weigh as one from here on.
-2. In each bucket every node is paired with the bucket's node of the smallest id only. The pair's similarity is estimated from bit
-   counts of the signatures, corrected for chance agreement of BITS bits; only what lies SIGMAS deviations below the
-   threshold goes. What remains is confirmed on the full shingle sets of both texts.
+2. In each bucket every node is paired with the bucket's node of the smallest id only. The pair's similarity is estimated
+   from bit counts of the signatures, corrected for chance agreement of BITS bits; only what lies SIGMAS deviations below
+   the threshold goes. What remains is confirmed on the full shingle sets of both texts.
 3. Buckets whose nodes aren't all in one component by then go on. First, nodes that can't have a link go: those with too
    many shingles that no other node of such buckets has. Then each bucket's other nodes are paired with its most central
    one, that with the least share of such shingles (in a group of edited copies, the original). The buckets that are still
    mixed are compared in full, but only across components: in cells of at most about 2 x CELL nodes, inside a join whose
    condition is the size bound, the estimate, and a second estimate from FINE one-bit minima, so that no pair is made that
-   fails them. No partner, bucket or
-   pair is dropped or capped. Survivors are confirmed in the same way.
+   fails them. No partner, bucket or pair is dropped or capped. Survivors are confirmed in the same way.
 4. Components are found by passing minima along the links and jumping pointers, with all tables in Spark.
 
 The number of bands is the least for which a pair at the threshold shares no bucket with a probability under MISS.
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import Scratch, keep_rows, table, text_batches
+from plumage.llm.common import Scratch, join_split, keep_rows, table, text_batches
 from plumage.llm.shingles import mix, shingle_set
 
 SHINGLE = 5
@@ -74,7 +73,7 @@ class Hasher(Minima):
         super().__init__(bands * ROWS)
         self.bands, self.shingle = bands, shingle
 
-    def rows(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    def rows(self, ids: pa.Array, hashes: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         n, minima, prints = np.zeros(len(texts), np.int64), np.zeros((len(texts), self.n), np.uint32), np.zeros((2, len(texts)), np.uint64)
         for i, t in enumerate(texts):
             s = shingle_set((t.as_py() or "").encode(), self.shingle)
@@ -87,7 +86,7 @@ class Hasher(Minima):
         low[:, : self.n] = wide & np.uint64(2**BITS - 1)
         words = (low.reshape(len(texts), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64)
         lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.reshape(-1).view(np.int64)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(words), lists(keys)], ["doc_id", "n_shingles", "f1", "f2", "sig", "keys"])
+        return pa.RecordBatch.from_arrays([ids, hashes, pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(words), lists(keys)], ["doc_id", "h", "n_shingles", "f1", "f2", "sig", "keys"])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, shingle: int) -> DataFrame:
@@ -95,11 +94,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, shingle:
         h = Hasher(bands, shingle)
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                yield h.rows(b.column(0).slice(i, 512), b.column(1).slice(i, 512))
+                yield h.rows(*(c.slice(i, 512) for c in b.columns))
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, keys array<bigint>")
+    source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col].cast("string")), docs[text_col].cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {id_type}, h bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, keys array<bigint>")
 
 
 def matches(a: Column, b: Column, n: int) -> Column:
@@ -134,7 +133,7 @@ def linkable(texts: DataFrame, percent: int, shingle: int) -> DataFrame:
 
     each = texts.select("node", "f1", "t").mapInArrow(run, "node bigint, s bigint")
     shared = each.groupBy("s").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("s")
-    counts = each.join(shared, "s").groupBy("node").agg(F.countDistinct("s").alias("n"))
+    counts = join_split(each, shared, ["s"]).groupBy("node").agg(F.countDistinct("s").alias("n"))
     sizes = texts.select("node", "n_shingles").distinct()
     return counts.join(sizes, "node").where(F.col("n") * 100 >= F.col("n_shingles") * percent).select("node", F.col("n").alias("common"), (F.col("n") / F.col("n_shingles")).alias("rate"))
 
@@ -155,15 +154,21 @@ def fine_signatures(texts: DataFrame, n: int, shingle: int) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node bigint, fine array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, by: str = "id") -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, by: list[str], percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b: structs of nodes) whose full shingle sets are similar enough, as (a, b) of node numbers.
 
-    Texts are fetched by the node's field ``by``, its first id as a rule; a text of that id with another fingerprint (ids may
-    repeat) is passed over.
+    Texts (t) are fetched by the node's fields ``by``; one with another fingerprint would be passed over.
     """
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"))
-    with_b = pairs.join(texts, pairs[f"b.{by}"].eqNullSafe(texts["id"])).select("a", "b", F.col("t").alias("tb"))
-    both = with_b.join(texts, with_b[f"a.{by}"].eqNullSafe(texts["id"])).select(
+    texts = texts.select(*[F.col(c).alias(f"_{c}") for c in by], "t")
+
+    def fetched(side: str) -> Column:
+        out = F.lit(True)
+        for c in by:
+            out = out & F.col(f"{side}.{c}").eqNullSafe(F.col(f"_{c}"))
+        return out
+
+    with_b = pairs.join(texts, fetched("b")).select("a", "b", F.col("t").alias("tb"))
+    both = with_b.join(texts, fetched("a")).select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.f1").alias("fa"), F.col("b.f1").alias("fb"), F.col("t").alias("ta"), "tb"
     )
 
@@ -219,15 +224,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = _least_matches(n, percent)
     signed = scratch.save(signatures(docs, id_col, text_col, bands, shingle), "signed")
     print_ = ["n_shingles", "f1", "f2"]
-    nodes = signed.where("n_shingles > 0").groupBy(*print_).agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
-    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "id", *print_, "sig", "keys"), "nodes")
-    slim = nodes.select("node", "id", "f1", "n_shingles", "sig")
+    nodes = signed.where("n_shingles > 0").groupBy(*print_).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
+    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("id"), "m.h", *print_, "sig", "keys"), "nodes")
+    slim = nodes.select("node", "id", "h", "f1", "n_shingles", "sig")
+    # ids may repeat or be null, so a node's text is the one of its first id and of that row's hash
+    whole = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("h"), docs[text_col].cast("string").alias("t")).where("t is not null")
 
     spots = nodes.select("node", "id", F.explode("keys").alias("key"))
     buckets = spots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    shared = scratch.save(spots.join(buckets, "key").select("key", "node", "first"), "shared")
+    shared = scratch.save(join_split(spots, buckets, ["key"]).select("key", "node", "first"), "shared")
 
-    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("node", "id", "f1")]).alias(p)
+    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("node", "id", "h", "f1")]).alias(p)
 
     def similar(a: str, b: str) -> Column:
         sizes = (F.col(f"{a}.n_shingles") * 100 >= F.col(f"{b}.n_shingles") * percent) & (F.col(f"{b}.n_shingles") * 100 >= F.col(f"{a}.n_shingles") * percent)
@@ -235,18 +242,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     pairs = shared.select(F.col("first").alias("p"), F.col("node").alias("q")).distinct()
     firsts = pairs.join(slim.alias("b"), F.col("q") == F.col("b.node")).join(slim.alias("a"), F.col("p") == F.col("a.id")).where(similar("a", "b") & (F.col("a.node") != F.col("b.node")))
-    links = scratch.save(confirmed(scratch.save(firsts.select(side("a"), side("b")), "firsts"), docs, id_col, text_col, percent, shingle), "links")
+    links = scratch.save(confirmed(scratch.save(firsts.select(side("a"), side("b")), "firsts"), whole, ["id", "h"], percent, shingle), "links")
     comps = components(links, scratch, "first")
 
     def mixed(rows: DataFrame) -> DataFrame:
         """The rows of buckets (key, node, ...) whose nodes aren't all in one component, with comp and size."""
         spread = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         keys = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-        return spread.join(keys, "key")
+        return join_split(spread, keys, ["key"])
 
     open_ = scratch.save(mixed(shared.select("key", "node")).select("key", "node"), "open")
-    texts = slim.join(open_.select("node").distinct(), "node").join(docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("t")), F.col("id").eqNullSafe(F.col("_id")))
-    texts = scratch.save(texts.select("node", "f1", "n_shingles", "t"), "texts")
+    texts = slim.join(open_.select("node").distinct(), "node").join(whole.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    texts = scratch.save(texts.select("node", "f1", "n_shingles", "t").dropDuplicates(["node"]), "texts")
     able = scratch.save(linkable(texts, percent, shingle), "able")
     open_ = open_.join(able, "node")
 
@@ -256,34 +263,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return (most * 100 >= (F.col("a.n_shingles") + F.col("b.n_shingles") - most) * percent) & similar("a", "b")
 
     central = mixed(open_).groupBy("key").agg(F.max(F.struct("rate", "common", "node")).alias("best"))
-    pairs = mixed(open_).join(central, "key").where("node <> best.node").select(F.col("best.node").alias("p"), F.col("node").alias("q")).distinct()
+    pairs = join_split(mixed(open_), central, ["key"]).where("node <> best.node").select(F.col("best.node").alias("p"), F.col("node").alias("q")).distinct()
     known = slim.join(able, "node")
     stars = pairs.join(known.alias("b"), F.col("q") == F.col("b.node")).join(known.alias("a"), F.col("p") == F.col("a.node")).where(possible())
     stars = scratch.save(stars.select(side("a"), side("b")), "stars")
     if stars.limit(1).count():
-        links = links.unionAll(scratch.save(confirmed(stars, texts, "node", "t", percent, shingle, by="node"), "star-links"))
+        links = links.unionAll(scratch.save(confirmed(stars, texts, ["node"], percent, shingle), "star-links"))
         comps = components(links, scratch, "second")
 
-    open_ = mixed(open_)
+    open_ = scratch.save(mixed(open_).select("key", "node", "comp", "common", "size"), "last")
+    of_node = open_.groupBy("node").agg(F.collect_set("key").alias("ks"))  # as many as there are bands, at most
     cells = F.ceil(F.col("size") / CELL).cast("int")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
     # a row of block x takes part in the cells (x, y) and (y, x) of all y, written with the smaller first
     open_ = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "node", "common").join(slim, "node")
-    fine = fine_signatures(texts.dropDuplicates(["node"]).join(open_.select("node").distinct(), "node", "left_semi"), FINE, shingle)
-    open_ = open_.join(scratch.save(fine, "fine"), "node")
+    fine = fine_signatures(texts.join(open_.select("node").distinct(), "node", "left_semi"), FINE, shingle)
+    open_ = open_.join(scratch.save(fine, "fine"), "node").join(of_node, "node")
     a, b = open_.alias("a"), open_.alias("b")
     cell = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
     apart = (F.col("a.i") == F.col("a.j")) | (F.col("a.own") != F.col("b.own"))
     differ = F.aggregate(F.zip_with("a.fine", "b.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     close = F.lit(FINE) - differ >= _least_matches(FINE, percent, 1)
-    rest = a.join(b, cell & apart & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & possible() & close)
+    once = F.array_min(F.array_intersect("a.ks", "b.ks")) == F.col("a.key")  # a pair counts in its first common bucket
+    rest = a.join(b, cell & apart & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & possible() & close & once)
     rest = scratch.save(rest.select(side("a"), side("b")).distinct(), "rest")
     if rest.limit(1).count():
-        more = scratch.save(confirmed(rest, texts, "node", "t", percent, shingle, by="node"), "more")
+        more = scratch.save(confirmed(rest, texts, ["node"], percent, shingle), "more")
         if more.limit(1).count():
             comps = components(links.unionAll(more), scratch, "third")
 
+    # the result reads no more than signed, nodes and the last components
+    scratch.drop("shared", "firsts", "links", "open", "texts", "able", "stars", "star-links", "last", "fine", "rest", "more", "first-links", "second-links", "third-links")
     named = nodes.select("node", "id", *print_).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = named.join(heads, "comp").select(*print_, "component_id")

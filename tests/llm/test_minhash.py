@@ -69,7 +69,7 @@ def test_estimate_is_close(spark):
     b = " ".join(f"w{i}" for i in range(40, 440))
     import pyarrow as pa
 
-    out = h.rows(pa.array([1, 2]), pa.array([a, b])).to_pandas()
+    out = h.rows(pa.array([1, 2]), pa.array([0, 0]), pa.array([a, b])).to_pandas()
     df = spark.createDataFrame([(out.sig[0].tolist(), out.sig[1].tolist())], "a array<bigint>, b array<bigint>")
     x, y = shingles(a), shingles(b)
     assert abs(df.select(estimate(df.a, df.b, h.n)).first()[0] - len(x & y) / len(x | y)) < 0.15
