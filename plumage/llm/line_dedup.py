@@ -1,6 +1,12 @@
-"""Line dedup over content-defined chunks of lines, in DataFrame operations only.
+"""Line dedup over repeated runs of lines, or over content-defined chunks of lines, in DataFrame operations only.
 
-A rolling hash over the hashes of SPAN neighbouring lines ends a chunk where it is 0 modulo ``every``, so boundaries follow
+Runs: every line that lies in a run of two lines or more that occurred earlier anywhere goes. Such a run is found by its
+smallest parts, each two neighbouring lines of which one holds a word, and each two lines with words and the wordless lines
+between them, so no run is lost by where a boundary falls. A run's first and last line hold a word or lie beside a line of
+the run that does: of several wordless lines in a row at its edge, one counts. Parts are compared by their lines' hashes,
+which are trusted once all lines with a hash are known to be byte-equal; parts with another hash are compared by bytes.
+
+Chunks: a rolling hash over the hashes of SPAN neighbouring lines ends a chunk where it is 0 modulo ``every``, so boundaries follow
 the content and an inserted line shifts none but its own neighbours. A chunk of two lines or more that holds a word and
 occurs more than once anywhere is removed, but for its first occurrence (smallest id, then first place).
 
@@ -68,14 +74,53 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return again.groupBy("id", "h").agg(F.collect_set("pos").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, key_bits: int = 64) -> DataFrame:
+def _parts() -> Column:
+    """(first, last) of the smallest runs: neighbours, and lines with words on both sides of several without."""
+    word = lambda i: F.btrim(F.get("lines", i), F.lit(SEPARATORS)) != ""
+    to = F.size("lines") - 1
+    none = F.array().cast("array<int>")
+    second = F.when(to > 0, F.filter(F.sequence(F.lit(1), F.greatest(to, F.lit(1))), lambda i: word(i - 1) | word(i))).otherwise(none)
+    pairs = F.transform(second, lambda i: F.struct((i - 1).alias("first"), i.alias("last")))
+    return F.concat(pairs, F.filter(F.transform("worded", lambda x, k: F.struct(x.alias("first"), F.get("worded", k + 1).alias("last"))), lambda s: s["last"] - s["first"] > 2))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
+    """(id, h, gone): the lines of each document, by place from 0, that lie in a run which occurred earlier."""
+    scratch = Scratch(docs.sparkSession)
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("h"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.btrim(F.get("lines", i), F.lit(SEPARATORS)) != "")
+    rows = rows.select("*", F.transform("lines", lambda x: _key(x, key_bits)).alias("lh"), worded.alias("worded"))
+    size = lambda: F.col("s.last") - F.col("s.first") + 1
+    parts = rows.select("id", "h", "lines", "lh", F.explode(_parts()).alias("s"))
+    parts = parts.select("id", "h", "s", F.slice("lh", F.col("s.first") + 1, size()).alias("k"), F.array_join(F.slice("lines", F.col("s.first") + 1, size()), "\n").alias("text"))
+    keys = scratch.save(parts.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "keys")
+    lines = rows.select(F.explode(F.arrays_zip("lh", "lines")).alias("x")).select("x.lh", F.col("x.lines").alias("line")).distinct()
+    mixed = scratch.save(lines.groupBy("lh").agg(F.count("*").alias("n")).where("n > 1").select("lh"), "mixed")
+    if mixed.limit(1).count():
+        unsure = scratch.save(keys.select("k", F.explode("k").alias("lh")).join(mixed, "lh", "left_semi").select("k").distinct(), "unsure")
+        sure = parts.join(keys.join(unsure, "k", "left_anti"), "k").withColumn("text", F.lit(""))
+        spots = sure.unionByName(parts.join(unsure, "k"))
+    else:
+        spots = parts.drop("text").join(keys, "k").withColumn("text", F.lit(""))
+    spots = scratch.save(spots.select("k", "text", "s.last", F.struct(F.col("id").isNull().alias("none"), "id", "h", "s.first").alias("o")), "spots")
+    scratch.drop("keys", "mixed", "unsure")
+    first = spots.groupBy("k", "text").agg(F.min("o").alias("first"))
+    again = join_split(spots, first, ["k", "text"]).where(~F.col("o").eqNullSafe(F.col("first")))
+    gone = again.select("o.id", "o.h", F.explode(F.sequence("o.first", "last")).alias("line"))
+    return gone.groupBy("id", "h").agg(F.collect_set("line").alias("gone"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, key_bits: int = 64, runs: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines, n_removed, text (null for a null text, else the remaining lines).
 
     Lines are what line feeds separate; a null text has none. Rows equal in id and text are one document and keep the same
-    lines; a null id comes after all others. ``every`` is the mean number of lines of a chunk; ``key_bits`` under 64 makes
-    hashes collide, for tests. An empty table gives no rows; other columns play no part.
+    lines; a null id comes after all others. ``runs`` asks for all repeated runs instead of chunks; ``every`` is the mean
+    number of lines of a chunk; ``key_bits`` under 64 makes hashes collide, for tests. An empty table gives no rows; other
+    columns play no part.
     """
-    gone = repeated_chunks(docs, id_col, text_col, every, key_bits).withColumnsRenamed({"id": "gid", "h": "gh"})
+    gone = repeated_runs(docs, id_col, text_col, key_bits) if runs else repeated_chunks(docs, id_col, text_col, every, key_bits)
+    gone = gone.withColumnsRenamed({"id": "gid", "h": "gh"})
     df = with_chunks(docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")), "id", "t", every).withColumn("null", F.col("h") == F.xxhash64(F.lit(None).cast("string")))
     df = df.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("h") == F.col("gh")), "left")
 
@@ -83,7 +128,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1)
         return F.when(F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k), F.array().cast("array<string>")).otherwise(F.slice("lines", first + 1, end - first + 1))
 
-    df = df.select("id", "lines", "null", F.flatten(F.transform("ends", left)).alias("kept"))
+    if runs:
+        places = F.sequence(F.lit(0), F.size("lines") - 1)
+        kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(F.array_except(places, F.col("gone")), lambda i: F.get("lines", i)))
+    else:
+        kept = F.flatten(F.transform("ends", left))
+    df = df.select("id", "lines", "null", kept.alias("kept"))
     empty = F.col("null") & (F.array_join("lines", "\n") == "")
     n = F.when(empty, 0).otherwise(F.size("lines")).cast("long")
     return df.select(
@@ -92,5 +142,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = line_dedup(table(spark, sf_dir, "documents"), runs=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -1,9 +1,10 @@
+import hashlib
 import random
 from collections import defaultdict
 
 import pytest
 
-from plumage.llm.line_dedup import _pieces, line_dedup, with_chunks
+from plumage.llm.line_dedup import _pieces, line_dedup, op8_line_dedup, with_chunks
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,29 @@ def test_repeats_nulls_and_empty(spark):
     got = {(r.doc_id, r.n_removed > 30) for r in line_dedup(df).collect()}
     assert got == {(1, False), (None, True), (2, True)}
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_query_removes_every_repeated_run(spark, tmp_path):
+    rows = corpus() + [(500, "a\n\n\n\nb"), (501, "z\na\n\n\n\nb\ny"), (502, "q\nr"), (503, "r\nq\nr"), (None, "q\nr\nnew"), (504, "s\ns\ns")]
+    assert run_brute(rows)[503, "r\nq\nr"] == ["r"]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.n_removed, r.kept_sha256) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    want = run_brute(rows)
+    assert got == {(i, len(t.split("\n")) - len(want[i, t]) if t is not None else 0, hashlib.sha256("\n".join(want[i, t]).encode()).hexdigest()) for i, t in rows}
+    collide = {(r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), key_bits=2, runs=True).collect()}
+    assert collide == {(i, None if t is None else "\n".join(want[i, t])) for i, t in rows}
+
+
+def run_brute(rows):
+    """By id and text, the lines in no run of two lines or more, with a word, that occurred earlier."""
+    seen, kept = set(), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        for a in range(len(lines)):
+            for z in range(a + 2, len(lines) + 1):
+                run = tuple(lines[a:z])
+                if any(x.strip() for x in run):
+                    gone |= set(range(a, z)) if run in seen else set()
+                    seen.add(run)
+        kept[i, t] = [x for k, x in enumerate(lines) if k not in gone]
+    return kept
