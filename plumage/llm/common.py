@@ -93,13 +93,17 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return own.join(other, ["_split", *keys[1:]], how).drop("_split")
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text in hex; a null text counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def keep_rows(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept`` (columns ``_id`` and, if given, ``_sha``), one for each id and text.
 
     The text's digest is part of the key so that rows that share an id but not a text are told apart.
     """
-    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
-    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_did"), sha.alias("_dsha"))
+    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_did"), text_digest(docs[text_col]).alias("_dsha"))
     same = tagged["_did"].eqNullSafe(kept["_id"])
     found = tagged.join(kept, same & (tagged["_dsha"] == kept["_sha"]) if "_sha" in kept.columns else same, "left_semi")
     one = Window.partitionBy("_did", "_dsha").orderBy("_did")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import Scratch, join_split, keep_rows, table, text_batches
+from plumage.llm.common import Scratch, join_split, keep_rows, table, text_batches, text_digest
 from plumage.llm.shingles import mix, shingle_set
 
 SHINGLE = 5
@@ -89,16 +89,20 @@ class Hasher(Minima):
         return pa.RecordBatch.from_arrays([ids, hashes, pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(words), lists(keys)], ["doc_id", "h", "n_shingles", "f1", "f2", "sig", "keys"])
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, shingle: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, shingle: int, digest: bool = False) -> DataFrame:
+    """One row for each document; ``digest`` adds the text's SHA-256 as ``sha``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(bands, shingle)
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                yield h.rows(*(c.slice(i, 512) for c in b.columns))
+                part = [c.slice(i, 512) for c in b.columns]
+                found = h.rows(*part[:3])
+                yield pa.RecordBatch.from_arrays([*found.columns, part[3]], [*found.schema.names, "sha"]) if digest else found
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col].cast("string")), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {id_type}, h bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, keys array<bigint>")
+    source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col].cast("string")), docs[text_col].cast("string").alias("text"), *([text_digest(docs[text_col]).alias("sha")] if digest else []))
+    return source.mapInArrow(run, f"doc_id {id_type}, h bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, keys array<bigint>{', sha string' if digest else ''}")
 
 
 def matches(a: Column, b: Column, n: int) -> Column:
@@ -218,11 +222,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone. Rows that share an id share its fate only through their texts; null ids come last, so such a row is kept only
     where its component has no other id. An empty table gives no rows; other columns play no part.
     """
+    component = F.col("component_id")
+    return _grouped(docs, id_col, text_col, percent, shingle).select("doc_id", "n_shingles", component, component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, digest: bool = False) -> DataFrame:
+    """Of each row doc_id, n_shingles, component_id, comp (the component's number, null without words) and, if asked for, sha."""
     scratch = Scratch(text_batches(docs).sparkSession)
     bands = bands_for(percent)
     n = bands * ROWS
     least = _least_matches(n, percent)
-    signed = scratch.save(signatures(docs, id_col, text_col, bands, shingle), "signed")
+    signed = scratch.save(signatures(docs, id_col, text_col, bands, shingle, digest), "signed")
     print_ = ["n_shingles", "f1", "f2"]
     nodes = signed.where("n_shingles > 0").groupBy(*print_).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
     nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("id"), "m.h", *print_, "sig", "keys"), "nodes")
@@ -297,16 +307,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("shared", "firsts", "links", "open", "texts", "able", "stars", "star-links", "last", "fine", "rest", "more", "first-links", "second-links", "third-links")
     named = nodes.select("node", "id", *print_).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = named.join(heads, "comp").select(*print_, "component_id")
-    out = signed.select("doc_id", *print_).join(named, print_, "left")
+    named = named.join(heads, "comp").select(*print_, "comp", "component_id")
+    sha = ["sha"] if digest else []
+    out = signed.select("doc_id", *sha, *print_).join(named, print_, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "comp", *sha)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that near_groups keeps, with all their columns; of rows equal in id and text, one."""
-    kept = near_groups(docs, id_col, text_col, percent, shingle).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return keep_rows(docs, id_col, text_col, kept)
+    """One row of ``docs`` for each component, with all its columns: that of the smallest id, null ids last.
+
+    Of rows of a component that share this id, that with the smallest SHA-256 stays. A text without words is alone; of
+    rows equal in id and text, one stays.
+    """
+    rows = _grouped(docs, id_col, text_col, percent, shingle, digest=True)
+    worded = rows.where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("m"))
+    kept = worded.select(F.col("m.doc_id").alias("_id"), F.col("m.sha").alias("_sha"))
+    alone = rows.where("n_shingles = 0").select("doc_id", "sha").distinct()
+    return keep_rows(docs, id_col, text_col, kept.unionAll(alone))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

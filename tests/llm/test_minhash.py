@@ -63,6 +63,18 @@ def test_stage_repeats_nulls_and_empty(spark):
     assert near_groups(df.limit(0)).count() == 0
 
 
+def test_stage_keeps_one_row_of_a_component(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(200))
+    rows = [(3, text("w")), (None, text("w")), (None, text("w") + " more"), (None, text("v")), (None, text("v") + " more"), (None, "other text"), (None, None), (4, text("u")), (4, text("u") + " more"), (4, text("t"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, (r.text or "")[:2]) for r in drop_near_copies(df).collect())
+    assert got == [(0, ""), (0, "ot"), (0, "v0"), (3, "w0"), (4, "t0"), (4, "u0")]
+    # the null-id rows of test_stage_repeats_nulls_and_empty
+    rows = [(3, text("w")), (5, text("w") + " more"), (None, text("w")), (None, "other text"), (9, None)]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.text for r in got if r.doc_id is None] == ["other text"]
+
+
 def test_estimate_is_close(spark):
     h = Hasher(bands_for(85), 5)
     a = " ".join(f"w{i}" for i in range(400))
