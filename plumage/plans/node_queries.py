@@ -83,6 +83,10 @@ def _components(s, d):
     return n.component_boxes(px)
 
 
+def _components_all(s, d):
+    return n.component_boxes(boxes(s, d).select(F.col("page_id").alias("page"), (F.col("x1") % 40).alias("x"), (F.col("y1") % 40).alias("y")))
+
+
 QUERIES = {
     "node_text_projection": lambda s, d: n.of_kind(talk(s, d), "user").select("page", "ord", "position"),
     "node_first_by_role": lambda s, d: n.first_of_role(talk(s, d), "assistant"),
@@ -98,6 +102,7 @@ QUERIES = {
     "event_json": _json,
     "alpha_restore": _alpha,
     "raster_component_boxes": _components,
+    "raster_component_boxes_all": _components_all,  # no SQL: tests/test_whole_rasters.py holds it against brute force
 }
 
 ORACLES = {
