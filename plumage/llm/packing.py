@@ -1,92 +1,211 @@
-"""Best-fit packing of documents into sequences of several permitted lengths.
-
-A document's tokens are its words and one end mark. Documents above the largest length are cut into parts of that length
-and a rest. Parts are dealt to shards of about SHARD parts by a stored row number, so no id and no text can make a shard
-large, and each shard is packed on its own: longest part first, into the open bin with the least room that still takes it.
-If none does, a bin is opened whose length costs least for each token that the shard's remaining parts could fill it with.
-At last each bin shrinks to the least permitted length that holds its contents.
-
-Only (id, tokens) are shuffled; a shard's waste at its tail is a few bins in many thousand parts.
+"""Best-fit packing of tokenised documents into sequences of several permitted lengths.
+
+A document's tokens are those of a byte-level BPE vocabulary, whose ids give every byte of the text back, and one end mark.
+Documents above the largest length are cut into parts of that length and a rest.
+
+The rule is best fit over the whole corpus, longest part first: a part goes into the open bin with the least room that
+takes it (of equal rooms the longer bin, then the older one). If none takes it, a bin is opened whose length costs least
+for each token that the parts still to come could fill it with, over all permitted lengths. At last each bin shrinks to
+the least permitted length that holds its contents.
+
+The rule sees nothing of a part but its size, so the driver applies it to the table of sizes (as many rows as the largest
+length, whatever the corpus) and moves parts of one size and bins in one state together. What comes out is a list of runs:
+the parts of a size from one rank on go to consecutive bins, so many each, at one place. Its size depends on the lengths,
+not on the corpus, so it can be broadcast. Spark ranks the parts of each size by a hash of id and tokens, inside buckets of
+that hash and shifted by the counts of the buckets before, looks the runs up, and puts each bin's parts together. No result
+depends on how rows lie in files or partitions, and no size, however common, meets in one task.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import math
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumage.llm.common import Scratch, table
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Cost of a bin besides its length, in tokens.
 OVERHEAD = 64
-SHARD = 20_000
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def best_fit(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tuple[np.ndarray, list[int]]:
-    """The bin of each part and the bins' final lengths. sizes: in descending order, none above the largest length."""
-    up = np.sort(sizes)
-    below = np.concatenate([[0], np.cumsum(up)])  # tokens of the parts up to a size
-    room: list[tuple[int, int]] = []  # (tokens left, bin) of the open bins, sorted
-    used: list[int] = []
-    where = np.zeros(len(sizes), np.int64)
-    for i, s in enumerate(map(int, sizes)):
-        k = bisect_left(room, (s, -1))
-        if k < len(room):
-            left, b = room.pop(k)
-        else:
-            rest = len(sizes) - i - 1  # the parts to come are the smallest ones
-            fill = lambda c: s + min(c - s, int(below[min(rest, int(np.searchsorted(up, c - s, "right")))]))
-            left = min((c for c in lengths if c >= s), key=lambda c: ((overhead + c) / fill(c), c))
-            b = len(used)
-            used.append(0)
-        where[i] = b
-        used[b] += s
-        if left > s:
-            insort(room, (left - s, b))
-    return where, [min(c for c in lengths if c >= u) for u in used]
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
-    """One row for each sequence: bin_id, capacity, n_tokens, parts (array of doc_id, start, length, at).
-
-    A part is ``length`` tokens of a document from its token ``start`` on, put at ``at`` in the sequence; a document's last
-    token is its end mark, so null and empty texts are one token long. Every token of every row is in one part. Repeated
-    rows and ids are packed as they come, null ids too. An empty table gives no rows; other columns play no part.
+#: The vocabulary of pack() and its end mark, an id that no text gives.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+END = 50256
+#: Rows of the most common size that a bucket of hashes holds, about.
+BUCKET_ROWS = 50_000
+#: Characters of text encoded at a time.
+CHUNK_CHARS = 2_000_000
+_RANKS = 46
+
+
+def bin_cost(size: int, length: int, rest: int, overhead: int) -> float:
+    """Cost for each token of a new bin for a part, if parts of ``rest`` tokens in all still fit beside it."""
+    return (overhead + length) / (size + min(length - size, rest))
+
+
+def plan_bins(counts: dict[int, int], lengths: tuple[int, ...], overhead: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs (size, first rank, bins, parts for each bin, first bin, place in the bin) of the rule above, from counts by size."""
+    runs, rooms, groups, n_bins = [], [], {}, 0  # groups: by room, a heap of (-length, first bin, bins)
+    below = list(accumulate([0, *(s * counts.get(s, 0) for s in range(1, lengths[-1] + 1))]))  # tokens of the parts up to a size
+
+    def keep(room: int, length: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in groups:
+                groups[room] = []
+                insort(rooms, room)
+            heappush(groups[room], (-length, first, n))
+
+    for size in sorted(counts, reverse=True):
+        n, done = counts[size], 0
+        smaller = below[size - 1]
+        wide = [c for c in lengths if c >= 2 * size]
+        even = 1 + max(0, -(-(wide[-1] - size - smaller) // size)) if wide else 1  # with so many parts left, the choice is the same
+        while done < n:
+            left = n - done
+            k = bisect_left(rooms, size)
+            if k < len(rooms):
+                room = rooms[k]
+                length, first, m = heappop(groups[room])
+                length = -length
+                if not groups[room]:
+                    del groups[room], rooms[k]
+            else:
+                rest = lambda c: (left - 1) * size + smaller if c >= 2 * size else below[c - size]  # noqa: B023, E731
+                length = room = min((c for c in lengths if c >= size), key=lambda c: (bin_cost(size, c, rest(c), overhead), c))
+                each = room // size
+                m = min(-(-left // each), 1 + max(0, left - even) // each)
+                first, n_bins = n_bins, n_bins + m
+            each = room // size
+            full = min(m, left // each)
+            if full:
+                runs.append((size, done, full, each, first, length - room))
+                done += full * each
+                keep(room - each * size, length, first, full)
+            rest_ = min(n - done, each) if full < m else 0
+            if rest_:
+                runs.append((size, done, 1, rest_, first + full, length - room))
+                done += rest_
+                keep(room - rest_ * size, length, first + full, 1)
+            keep(room, length, first + full + (rest_ > 0), m - full - (rest_ > 0))
+    return runs
+
+
+def _placer(runs: list[tuple[int, ...]]):
+    """A column function (size, rank from 0) that gives bin and place."""
+    size, rank, _, each, first, at = np.array(sorted(runs) or [(0,) * 6], np.int64).T
+    keys = (size << _RANKS) + rank
+
+    @F.pandas_udf("bin bigint, at int")
+    def place(s: pd.Series, r: pd.Series) -> pd.DataFrame:
+        k = np.searchsorted(keys, (s.to_numpy(np.int64) << _RANKS) + r.to_numpy(np.int64), "right") - 1
+        over = r.to_numpy(np.int64) - rank[k]
+        return pd.DataFrame({"bin": first[k] + over // each[k], "at": (at[k] + over % each[k] * size[k]).astype(np.int32)})
+
+    return place
+
+
+def pack_tokens(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row for each sequence of already tokenised rows: bin_id, capacity, n_tokens, parts (array of doc_id, start, length, at), ids.
+
+    A part is ``length`` tokens of a row from its token ``start`` on, put at ``at`` in the sequence; ids are the sequence's
+    tokens. Every token of every row is in one part. Null or empty arrays add nothing. Repeated rows and ids are packed as
+    they come, null ids too; rows equal in id and tokens may change places with each other, all else is settled by ids and
+    tokens. An empty table gives no rows; other columns play no part.
     """
-    lengths = tuple(sorted(lengths))
+    lengths = tuple(sorted(set(lengths)))
     top = lengths[-1]
-    scratch = Scratch(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    tokens = F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(WORD)).cast("long") + 1
-    sized = scratch.save(docs.select(docs[id_col].alias("doc_id"), tokens.alias("tokens"), F.monotonically_increasing_id().alias("row")), "sized")
-    parts = sized.select("doc_id", "row", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(top).cast("long"))).alias("start"))
-    parts = parts.select("doc_id", "row", "start", F.least(F.lit(top), F.col("tokens") - F.col("start")).cast("long").alias("length"))
-    n = parts.count()
-    shards = max(1, -(-n // shard))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "row", "start"], ascending=[False, True, True], ignore_index=True)
-        where, caps = best_fit(pdf["length"].to_numpy(), lengths, overhead)
-        pdf["bin"] = where
-        pdf["at"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
-        out = []
-        for b, g in pdf.groupby("bin"):
-            parts = [{"doc_id": None if pd.isna(d) else d, "start": s, "length": z, "at": a} for d, s, z, a in zip(g["doc_id"], g["start"], g["length"], g["at"])]
-            out.append(((int(key[0]) << 32) + int(b), caps[b], int(g["length"].sum()), parts))
-        return pd.DataFrame(out, columns=["bin_id", "capacity", "n_tokens", "parts"])
-
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
-    if id_type in ("bigint", "int", "smallint", "tinyint"):  # pandas would turn a column of numbers with nulls into floats
-        dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
-        back = F.transform("parts", lambda p: F.struct(p["doc_id"].cast(id_type).alias("doc_id"), p["start"].alias("start"), p["length"].alias("length"), p["at"].alias("at")))
-        out = dealt.groupBy("shard").applyInPandas(run, "bin_id bigint, capacity int, n_tokens bigint, parts array<struct<doc_id:string,start:bigint,length:bigint,at:bigint>>")
-        return out.withColumn("parts", back)
-    return dealt.groupBy("shard").applyInPandas(run, f"bin_id bigint, capacity int, n_tokens bigint, parts array<struct<doc_id:{id_type},start:bigint,length:bigint,at:bigint>>")
+    scratch = Scratch(tokens.sparkSession)
+    ids = tokens[ids_col].cast("array<int>")
+    cut = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(top)), lambda i: F.struct(i.alias("start"), F.slice("ids", i + 1, top).alias("ids")))
+    rows = tokens.select(tokens[id_col].alias("doc_id"), ids.alias("ids"), F.xxhash64(tokens[id_col], ids).alias("h")).where(F.size("ids") > 0)
+    parts = rows.select("doc_id", "h", F.explode(cut).alias("p"))
+    parts = scratch.save(parts.select("doc_id", F.xxhash64("h", "p.start").alias("h"), "p.start", F.size("p.ids").alias("length"), "p.ids"), "parts")
+    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each size, ``top`` at most
+    place = _placer(plan_bins(counts, lengths, overhead))
+
+    # Buckets are ranges of the hash, so ranks don't depend on how many there are.
+    bits = math.ceil(math.log2(max(1.0, max(counts.values(), default=0) / bucket_rows)))
+    parts = parts.withColumn("bucket", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    sums = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("h", "doc_id", "start"))
+    ranked = parts.withColumn("own", own).join(ahead, ["length", "bucket"])
+    placed = ranked.withColumn("to", place("length", F.col("ahead") + F.col("own") - 1)).select("to.bin", F.struct("to.at", "doc_id", "start", "length", "ids").alias("p"))
+
+    bins = placed.groupBy("bin").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("p.length").alias("n_tokens"))  # ``top`` tokens at most
+    fits = F
+    for c in lengths[:-1]:
+        fits = fits.when(F.col("n_tokens") <= c, F.lit(c))
+    parts_ = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["length"].alias("length"), x["at"].alias("at")))
+    capacity = fits.otherwise(F.lit(top)) if len(lengths) > 1 else F.lit(top)
+    return bins.select(F.col("bin").alias("bin_id"), capacity.alias("capacity"), "n_tokens", parts_.alias("parts"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+
+
+_loaded: dict[str, object] = {}
+
+
+def _encoding(raw: bytes):
+    """The vocabulary, built once in a Python worker."""
+    import public_tokenizers
+    import tiktoken
+
+    key = hashlib.sha256(raw).hexdigest()
+    if key not in _loaded:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _loaded.clear()
+        _loaded[key] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[key]
+
+
+def tokenised(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+    """doc_id and ids (array of int) of each row: its whole text's tokens and the end mark, which a null or empty text has alone.
+
+    ``vocab_path`` names a file of ranks (base64 of a token and its rank in each line). Rows are independent. Texts are
+    taken a few at a time, so what a task holds is a batch of Spark's (bounded in rows and bytes by the session) and the
+    tokens of CHUNK_CHARS characters or of one longer text.
+    """
+    with open(vocab_path, "rb") as f:
+        vocab = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def emit(taken: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
+        offsets = pa.array(np.cumsum([0, *map(len, taken)]), pa.int32())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(taken)))], ["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, mark = _encoding(vocab.value), np.array([end], np.int32)
+        for b in batches:
+            taken, size, at = [], 0, 0
+            for i, t in enumerate(b.column(1)):
+                text = t.as_py() or ""
+                taken.append(np.concatenate([encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32), mark]))
+                size += len(text)
+                if size >= CHUNK_CHARS:
+                    yield emit(taken, b.column(0).slice(at, len(taken)))
+                    taken, size, at = [], 0, i + 1
+            if taken:
+                yield emit(taken, b.column(0).slice(at, len(taken)))
+
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, **options) -> DataFrame:
+    """pack_tokens over the tokens of ``docs``; null and empty texts are their end mark alone. ``vocab_path``: VOCABULARY if not given."""
+    if vocab_path is None:
+        import public_tokenizers
+
+        vocab_path = public_tokenizers.path(VOCABULARY)
+    return pack_tokens(tokenised(docs, vocab_path, id_col, text_col), **options)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from plumage.llm.quality_rules import ORACLE
 from tests.llm.test_minhash import brute as near_brute
+from tests.llm.test_packing import END, ENCODING
 from tests.llm.test_substring_dedup import WORD
 from tests.llm.test_substring_dedup import brute as substring_brute
 
@@ -68,9 +69,13 @@ def test_stages(spark, sf_dir):
             assert {i: hashlib.sha256(" ".join(WORD.findall(t)).encode()).hexdigest() for i, (_, t) in got.items()} == {i: h for i, (_, h) in digests.items()}
             assert all(n == len(t) for n, t in got.values())
         else:
-            texts = {r.doc_id: r.text for r in last.collect()}
-            parts = sorted((p.doc_id, p.start, p.length) for b in now.collect() for p in b.parts)
-            assert {i: sum(z for d, _, z in parts if d == i) for i in texts} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) + 1 for i, t in texts.items()}
+            texts, parts = {r.doc_id: r.text for r in last.collect()}, {}
+            for b in now.collect():
+                for p in b.parts:
+                    parts.setdefault(p.doc_id, []).append((p.start, b.ids[p["at"] : p["at"] + p.length]))
+            ids = {i: [t for _, x in sorted(own) for t in x] for i, own in parts.items()}
+            assert all(x.count(END) == 1 and x[-1] == END for x in ids.values())
+            assert {i: ENCODING.decode(x[:-1]) for i, x in ids.items()} == texts
 
 
 def test_run_and_registration(spark, sf_dir):
