@@ -6,7 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +17,8 @@ from pyspark.sql.window import Window
 #: Characters between words: space, tab, line feed, vertical tab, form feed and carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_RUN = "[\\x20\\x09-\\x0D]+"
+#: Bytes of text that an Arrow function works on at a time.
+SLICE_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +26,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A session of local mode that names none gets a local one, as in tests; on a cluster that is an error, as executors
+    would each write to their own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plumage-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def pick(df: DataFrame, name: str) -> Column:
+    """The column of that name, which may hold dots and backticks."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name can clash with those an operator adds."""
+    return F.struct(*[pick(df, c) for c in df.columns])
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of column number ``text`` have about ``most`` bytes, or are one longer text.
+
+    The batches themselves are bounded by the session (10,000 rows and 64 MB unless it says otherwise, or one longer row);
+    what an operator derives from texts, often many times their size, is bounded by these slices without touching it.
+    """
+    for b in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        at, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > most:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, for Arrow functions over texts: sets batches of 1000 rows where the session has Spark's 10,000.
 
@@ -103,8 +142,8 @@ def keep_rows(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame) -> D
 
     The text's digest is part of the key so that rows that share an id but not a text are told apart.
     """
-    tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), docs[id_col].alias("_did"), text_digest(docs[text_col]).alias("_dsha"))
+    tagged = docs.select(whole_row(docs).alias("_doc"), pick(docs, id_col).alias("_did"), text_digest(pick(docs, text_col)).alias("_dsha"))
     same = tagged["_did"].eqNullSafe(kept["_id"])
     found = tagged.join(kept, same & (tagged["_dsha"] == kept["_sha"]) if "_sha" in kept.columns else same, "left_semi")
-    one = Window.partitionBy("_did", "_dsha").orderBy("_did")
+    one = Window.partitionBy("_did", "_dsha").orderBy("_did")  # with the filter below Spark keeps one row of each task before it shuffles
     return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_doc.*")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumage.llm.common import Scratch, table
+from plumage.llm.common import Scratch, pick, slices, table
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Cost of a bin besides its length, in tokens.
@@ -43,8 +43,6 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
 #: Rows of the most common size that a bucket of hashes holds, about.
 BUCKET_ROWS = 50_000
-#: Characters of text encoded at a time.
-CHUNK_CHARS = 2_000_000
 _RANKS = 46
 
 
@@ -114,22 +112,35 @@ def _placer(runs: list[tuple[int, ...]]):
     return place
 
 
-def pack_tokens(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row for each sequence of already tokenised rows: bin_id, capacity, n_tokens, parts (array of doc_id, start, length, at), ids.
+def token_bytes(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Arrays of ids as pack_tokens takes them, four bytes each: (doc_id, ids). A null array has no tokens."""
 
-    A part is ``length`` tokens of a row from its token ``start`` on, put at ``at`` in the sequence; ids are the sequence's
-    tokens. Every token of every row is in one part. Null or empty arrays add nothing. Repeated rows and ids are packed as
-    they come, null ids too; rows equal in id and tokens may change places with each other, all else is settled by ids and
-    tokens. An empty table gives no rows; other columns play no part.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.array(x.as_py() or [], "<u4").tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    source = tokens.select(pick(tokens, id_col).alias("doc_id"), pick(tokens, ids_col).cast("array<int>"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
+
+
+def pack_tokens(tokens: DataFrame, width: int = 4, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row for each sequence of tokenised rows (doc_id, ids): bin_id, capacity, n_tokens, parts (array of doc_id, start, length, at), ids.
+
+    ids are unsigned little-endian numbers of ``width`` bytes each, without gaps, as training code reads them. A part is
+    ``length`` tokens of a row from its token ``start`` on, put at ``at`` in the sequence. Every token of every row is in one
+    part. Null or empty ids add nothing. Repeated rows and ids are packed as they come, null ids too; rows equal in id and
+    tokens may change places with each other, all else is settled by ids and tokens. An empty table gives no rows; other
+    columns play no part.
     """
     lengths = tuple(sorted(set(lengths)))
     top = lengths[-1]
     scratch = Scratch(tokens.sparkSession)
-    ids = tokens[ids_col].cast("array<int>")
-    cut = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(top)), lambda i: F.struct(i.alias("start"), F.slice("ids", i + 1, top).alias("ids")))
-    rows = tokens.select(tokens[id_col].alias("doc_id"), ids.alias("ids"), F.xxhash64(tokens[id_col], ids).alias("h")).where(F.size("ids") > 0)
-    parts = rows.select("doc_id", "h", F.explode(cut).alias("p"))
-    parts = scratch.save(parts.select("doc_id", F.xxhash64("h", "p.start").alias("h"), "p.start", F.size("p.ids").alias("length"), "p.ids"), "parts")
+    n = F.floor(F.octet_length("ids") / width).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(top)), lambda i: F.struct(i.alias("start"), F.substr("ids", i * width + 1, F.lit(top * width)).alias("ids")))
+    parts = tokens.where(n > 0).select("doc_id", F.xxhash64("doc_id", "ids").alias("h"), F.explode(cut).alias("p"))
+    length = F.floor(F.octet_length("p.ids") / width).cast("int")
+    parts = scratch.save(parts.select("doc_id", F.xxhash64("h", "p.start").alias("h"), "p.start", length.alias("length"), "p.ids"), "parts")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each size, ``top`` at most
     place = _placer(plan_bins(counts, lengths, overhead))
 
@@ -143,12 +154,12 @@ def pack_tokens(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     placed = ranked.withColumn("to", place("length", F.col("ahead") + F.col("own") - 1)).select("to.bin", F.struct("to.at", "doc_id", "start", "length", "ids").alias("p"))
 
     bins = placed.groupBy("bin").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("p.length").alias("n_tokens"))  # ``top`` tokens at most
-    fits = F
-    for c in lengths[:-1]:
-        fits = fits.when(F.col("n_tokens") <= c, F.lit(c))
+    capacity = F.lit(top)
+    for c in reversed(lengths[:-1]):
+        capacity = F.when(F.col("n_tokens") <= c, c).otherwise(capacity)
     parts_ = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["length"].alias("length"), x["at"].alias("at")))
-    capacity = fits.otherwise(F.lit(top)) if len(lengths) > 1 else F.lit(top)
-    return bins.select(F.col("bin").alias("bin_id"), capacity.alias("capacity"), "n_tokens", parts_.alias("parts"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    ids = F.aggregate("p", F.lit(b""), lambda done, x: F.concat(done, x["ids"]))
+    return bins.select(F.col("bin").alias("bin_id"), capacity.alias("capacity"), "n_tokens", parts_.alias("parts"), ids.alias("ids"))
 
 
 _loaded: dict[str, object] = {}
@@ -168,35 +179,26 @@ def _encoding(raw: bytes):
 
 
 def tokenised(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """doc_id and ids (array of int) of each row: its whole text's tokens and the end mark, which a null or empty text has alone.
+    """doc_id and ids (two bytes each) of each row: its whole text's tokens and the end mark, which a null or empty text has alone.
 
-    ``vocab_path`` names a file of ranks (base64 of a token and its rank in each line). Rows are independent. Texts are
-    taken a few at a time, so what a task holds is a batch of Spark's (bounded in rows and bytes by the session) and the
-    tokens of CHUNK_CHARS characters or of one longer text.
+    ``vocab_path`` names a file of at most 65,536 ranks (base64 of a token and its rank in each line). Rows are independent. A
+    task holds a batch of Spark's, which the session bounds in rows and bytes, and the tokens of about SLICE_BYTES of
+    text or of one longer text.
     """
     with open(vocab_path, "rb") as f:
-        vocab = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def emit(taken: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
-        offsets = pa.array(np.cumsum([0, *map(len, taken)]), pa.int32())
-        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(taken)))], ["doc_id", "ids"])
+        raw = f.read()
+    if raw.count(b"\n") > 65_536 or not 0 <= end < 65_536:
+        raise ValueError("ids of this vocabulary don't fit into two bytes")
+    vocab = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, mark = _encoding(vocab.value), np.array([end], np.int32)
-        for b in batches:
-            taken, size, at = [], 0, 0
-            for i, t in enumerate(b.column(1)):
-                text = t.as_py() or ""
-                taken.append(np.concatenate([encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32), mark]))
-                size += len(text)
-                if size >= CHUNK_CHARS:
-                    yield emit(taken, b.column(0).slice(at, len(taken)))
-                    taken, size, at = [], 0, i + 1
-            if taken:
-                yield emit(taken, b.column(0).slice(at, len(taken)))
+        encoding, mark = _encoding(vocab.value), np.array(end, "<u2").tobytes()
+        for b in slices(batches, 1):
+            ids = [encoding.encode_to_numpy(t, disallowed_special=()).astype("<u2").tobytes() + mark if t else mark for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    source = docs.select(pick(docs, id_col).alias("doc_id"), pick(docs, text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, **options) -> DataFrame:
@@ -205,7 +207,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_
         import public_tokenizers
 
         vocab_path = public_tokenizers.path(VOCABULARY)
-    return pack_tokens(tokenised(docs, vocab_path, id_col, text_col), **options)
+    return pack_tokens(tokenised(docs, vocab_path, id_col, text_col), 2, **options)
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:

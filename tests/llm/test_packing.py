@@ -1,13 +1,14 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from plumage.llm.bpe import bpe_encode
-from plumage.llm.packing import END, LENGTHS, bin_cost, pack, pack_tokens, plan_bins
+from plumage.llm.packing import END, LENGTHS, bin_cost, pack, pack_tokens, plan_bins, token_bytes
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
 ENCODING = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -30,6 +31,10 @@ def brute(sizes, lengths, overhead):
     return out
 
 
+def numbers(ids, width=2):
+    return np.frombuffer(bytes(ids), f"<u{width}").tolist()
+
+
 def expanded(runs):
     return sorted((s, first + k, at + j * s) for s, _, m, each, first, at in runs for k in range(m) for j in range(each))
 
@@ -64,7 +69,7 @@ def corpus():
 
 def test_every_token_once_and_ids_give_the_text_back(spark):
     rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string, parts int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, `p.ids` int")
     bins = pack(df, bucket_rows=8).collect()
     assert len({b.bin_id for b in bins}) == len(bins)
     spans, texts, sizes = [], {}, []
@@ -72,9 +77,9 @@ def test_every_token_once_and_ids_give_the_text_back(spark):
         at = 0
         for p in b.parts:
             assert p["at"] == at
-            spans.append((str(p.doc_id), p.start, b.ids[at : at + p.length]))
+            spans.append((str(p.doc_id), p.start, numbers(b.ids)[at : at + p.length]))
             at += p.length
-        assert at == b.n_tokens == len(b.ids) <= b.capacity and b.capacity == min(c for c in LENGTHS if c >= at)
+        assert 2 * at == 2 * b.n_tokens == len(b.ids) <= 2 * b.capacity and b.capacity == min(c for c in LENGTHS if c >= at)
     for i, t, _ in rows:
         ids = [*ENCODING.encode_ordinary(t or ""), END]
         texts.setdefault(str(i), []).append(t or "")
@@ -103,6 +108,9 @@ def test_layout_and_buckets_do_not_matter(spark):
 def test_tokens_of_any_vocabulary(spark):
     df = spark.createDataFrame([(f"d{i}", "some words here " * i) for i in range(40)] + [("none", None)], "doc_id string, text string")
     tokens = bpe_encode(df, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids", F.when(F.col("ids") != "", F.split("ids", " ").cast("array<int>")))
-    bins = pack_tokens(tokens, lengths=(32, 128)).collect()
+    bins = pack_tokens(token_bytes(tokens), lengths=(32, 128)).collect()
+    want = {r.doc_id: r.ids or [] for r in tokens.collect()}
+    back = sorted((p.doc_id, p.start, numbers(b.ids, 4)[p["at"] : p["at"] + p.length]) for b in bins for p in b.parts)
+    assert all([t for d, _, x in back if d == i for t in x] == ids for i, ids in want.items())
     assert sum(b.n_tokens for b in bins) == 3 * sum(range(40)) and all(b.n_tokens <= b.capacity for b in bins)
     assert {p.doc_id for b in bins for p in b.parts} == {f"d{i}" for i in range(1, 40)}

@@ -11,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from plumage.llm.quality_rules import ORACLE
 from tests.llm.test_minhash import brute as near_brute
-from tests.llm.test_packing import END, ENCODING
+from tests.llm.test_packing import END, ENCODING, numbers
 from tests.llm.test_substring_dedup import WORD
 from tests.llm.test_substring_dedup import brute as substring_brute
 
@@ -72,7 +72,7 @@ def test_stages(spark, sf_dir):
             texts, parts = {r.doc_id: r.text for r in last.collect()}, {}
             for b in now.collect():
                 for p in b.parts:
-                    parts.setdefault(p.doc_id, []).append((p.start, b.ids[p["at"] : p["at"] + p.length]))
+                    parts.setdefault(p.doc_id, []).append((p.start, numbers(b.ids)[p["at"] : p["at"] + p.length]))
             ids = {i: [t for _, x in sorted(own) for t in x] for i, own in parts.items()}
             assert all(x.count(END) == 1 and x[-1] == END for x in ids.values())
             assert {i: ENCODING.decode(x[:-1]) for i, x in ids.items()} == texts
