@@ -1,18 +1,22 @@
-"""Substring dedup over the suffixes of all texts, partitioned by prefixes of variable length.
-
-Only suffixes that begin a repeated window matter, and those can be found sparsely. The anchor of a window (``window``
-consecutive words) is the smallest GRAM-word hash in it, so equal windows have equal anchors at equal places. Windows with
-one anchor are consecutive: a run. An anchor that only one document has rules its runs out; about one in twenty words is
-an anchor, so this first grouping is small.
-
-Runs of the remaining anchors carry their words and are grouped by the anchor, a prefix of GRAM words. A group of at most
-GROUP runs fits in memory: its suffixes are ranked there by prefix doubling (ranks over 1, 2, 4, ... words), down to
-the depth of a window, where suffixes of equal rank are the leaves below one internal node of the suffix tree. Anchors
-that have more runs get the longest prefix at once, the whole window, kept as a SHA-256 of its words: such a group
-is one deep node by itself, and its smallest document comes from an aggregation that combines before the shuffle, so no
-passage, however common, is gathered anywhere.
-
-All is one lazy plan without collected data. Both fetches of the texts use one shuffle of them (Spark reuses it).
+"""Substring dedup over suffix trees that are split by prefixes of variable length.
+
+A suffix matters only if it begins a repeated window (``window`` consecutive words), so the suffixes of all texts are thinned
+out first. The anchor of a window is the smallest GRAM-word hash in it; equal windows have equal anchors at equal places.
+Windows with one anchor follow each other: a run. A run's suffixes are those that start at its windows.
+
+1. Runs with equal words are told by a 128-bit digest. One that a smaller id has goes as a whole, so copies and passages that
+   thousands of documents share come down to one run each, by an aggregation that combines before the shuffle.
+2. What remains is grouped by the words that all of a run's suffixes share, its prefix: at first the GRAM words of the anchor. A
+   group with one document can't repeat anything. One of at most GROUP_BYTES of different runs is a subtree that fits in memory.
+3. A larger group's prefix is lengthened: runs are cut into two halves by where their suffixes start, which share 29 words of
+   50, then into four (40 words), and so on, and each piece goes through steps 1 and 2 again. The last pieces are single windows,
+   whose prefix is the whole window; equal ones are then one run, so nothing is left to compare, however common a passage is.
+4. In a subtree all words have ranks over 1, 2, 4, ... words; they give the order of the suffixes and the words that neighbours
+   have in common. Neighbours that share a window are leaves below one deep internal node, and its smallest id is the only one
+   that keeps the window. Adjoining windows make up the maximal repeats, which are the stretches that go.
+
+No group is cut off, dropped or handled by another rule at any size; GROUP_BYTES changes how often step 3 runs, not what
+comes out.
 """
 
 from __future__ import annotations
@@ -22,35 +26,36 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from plumage.llm.common import join_split, table, text_batches
+from plumage.llm.common import Scratch, join_split, pick, slices, table
 from plumage.llm.shingles import rolled, word_hashes_many
 
 WINDOW = 50
 GRAM = 8
-#: Runs that an anchor may have for its suffixes to be ranked in memory.
-GROUP = 20_000
+#: Bytes of words of a group that is ranked in memory, which takes about 30 times as much.
+GROUP_BYTES = 1 << 20
 #: Words ranked together, where groups allow.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 500_000
 #: Bytes of text hashed together.
 CHUNK = 1 << 18
 _LAST = (1 << 63) - 1
 
 
-def runs(h: np.ndarray, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, last window) of each run of windows with one anchor; no window spans two texts.
+def runs(h: np.ndarray, which: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, anchor, first window, last window) of each run of windows with one anchor; no window spans two texts.
 
-    h, which: hash and text of each word, the texts in a row. Windows are given by the place of their first word.
+    h, which: hash and text of each word, the texts in a row. Windows and anchors are given by the place of their first word.
     """
     g = rolled(h, GRAM)
     n = len(h) - window + 1
+    e = np.empty(0, np.int64)
     if n <= 0:
-        e = np.empty(0, np.int64)
-        return g[:0], e, e
+        return g[:0], e, e, e
     span = window - GRAM + 1  # grams in a window
     best, size = np.arange(len(g)), 1
     while size * 2 <= span:  # leftmost smallest of the next `size` grams, by doubling
@@ -60,16 +65,25 @@ def runs(h: np.ndarray, which: np.ndarray, window: int) -> tuple[np.ndarray, np.
     best = np.where(g[b] < g[a], b, a)
     whole = np.flatnonzero(which[:n] == which[window - 1 :])
     if not len(whole):
-        return g[:0], whole, whole
+        return g[:0], e, e, e
     new = np.flatnonzero((np.diff(best[whole], prepend=-1) != 0) | (np.diff(whole, prepend=-2) != 1))
-    return g[best[whole[new]]], whole[new], whole[np.append(new[1:], len(whole)) - 1]
+    return g[best[whole[new]]], best[whole[new]], whole[new], whole[np.append(new[1:], len(whole)) - 1]
+
+
+def digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _plain(text: pa.Scalar) -> bytes:
+    """A text's words joined by single spaces."""
+    return b" ".join((text.as_py() or "").encode().split())  # at the six ASCII separators
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of stretches of about CHUNK bytes."""
     part, size, at = [], 0, 0
     for i, t in enumerate(texts):
-        part.append((t.as_py() or "").encode())
+        part.append(_plain(t))
         size += len(part[-1])
         if size >= CHUNK:
             yield at, part
@@ -78,86 +92,142 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, part
 
 
-def _anchors(window: int):
+def _runs(window: int):
+    """Of (o, h, text): o, h, p and last (first and last window), j (the anchor from p on), k (anchor hash), d (digest), size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             for at, raws in _chunks(b.column(2)):
-                h, _, _, which = word_hashes_many(raws, False)
-                g, first, _ = runs(h, which, window)
-                pairs = pd.DataFrame({"row": at + which[first], "g": g.view(np.int64)}).value_counts(sort=False).reset_index()
-                take = pa.array(pairs["row"])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pairs["g"]), pa.array(pairs["count"])], ["doc", "h", "g", "n"])
+                h, starts, ends, which = word_hashes_many(raws, False)
+                begin = np.searchsorted(which, np.arange(len(raws)))  # each text's first word
+                g, anchor, first, last = runs(h, which, window)
+                text = which[first]
+                words = [raws[t][s:e] for t, s, e in zip(text.tolist(), starts[first].tolist(), ends[last + window - 1].tolist())]
+                take, local = pa.array(at + text), begin[text]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), *(pa.array(x, pa.int32()) for x in (first - local, last - local, anchor - first)),
+                     pa.array(g.view(np.int64)), pa.array(map(digest, words), pa.binary()), pa.array(map(len, words), pa.int32())],
+                    ["o", "h", "p", "last", "j", "k", "d", "size"],
+                )
 
     return run
 
 
-def _suffixes(window: int, whole: bool):
-    """Of the runs whose anchors are listed: their words (doc, h, p, g, words), or each window's digest (doc, h, p, w)."""
+def marked(rows: DataFrame, group_bytes: int) -> DataFrame:
+    """``rows`` (o, k, d, size, ...) with ``kind``: 0 where a smaller o has the same k and d, 1 where k's group fits in memory, else 2.
+
+    Rows that are neither repeated nor in a group of several documents are left out, as are d and size. Both joins are by keys of
+    which one may be very common; join_split lets Spark split those.
+    """
+    spans = rows.groupBy("k", "d").agg(F.min("o").alias("m"), F.max("o").alias("top"), F.max("size").alias("size"))
+    groups = spans.groupBy("k").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.sum("size").alias("bytes")).where("lo < hi")
+    info = join_split(spans, groups.select("k", F.when(F.col("bytes") > group_bytes, 2).otherwise(1).alias("kind")), ["k"], "left")
+    info = info.where("kind is not null or m < top").select("k", "d", "m", F.coalesce("kind", F.lit(0)).alias("kind"))
+    found = join_split(rows, info, ["k", "d"]).withColumn("kind", F.when(F.col("o") > F.col("m"), 0).when(F.col("kind") > 0, F.col("kind")))
+    return found.where("kind is not null").drop("d", "m", "size")
+
+
+def _words(window: int):
+    """Of (o, h, text, asked): each asked run (p, last, j, k, kind) with its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, raws in _chunks(b.column(2)):
-                h, starts, ends, which = word_hashes_many(raws, False)
-                begin = np.searchsorted(which, np.arange(len(raws)))  # each text's first word
-                g, first, last = runs(h, which, window)
-                g, text = g.view(np.int64), which[first]
-                asked = b.column(3).slice(at, len(raws))
-                keys = set(zip(np.repeat(np.arange(len(raws)), asked.value_lengths().to_numpy()).tolist(), asked.flatten().to_pylist()))
-                pick = np.flatnonzero(np.fromiter((k in keys for k in zip(text.tolist(), g.tolist())), bool, len(g)))
-                if whole:
-                    p = np.concatenate([np.arange(first[k], last[k] + 1) for k in pick]) if len(pick) else first[:0]
-                    words = [raws[d][s:e] for d, s, e in zip(which, starts, ends)]
-                    out = [hashlib.sha256(b" ".join(words[k : k + window])).digest() for k in p]
-                    columns, names = [pa.array(out, pa.binary())], ["doc", "h", "p", "w"]
-                else:
-                    p = first[pick]
-                    out = [raws[d][a:z] for d, a, z in zip(which[p], starts[p], ends[last[pick] + window - 1])]
-                    columns, names = [pa.array(g[pick]), pa.array(out, pa.binary())], ["doc", "h", "p", "g", "words"]
-                take = pa.array(at + which[p])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(p - begin[which[p]], pa.int32()), *columns], names)
+        for b in slices(batches, 2):
+            rows = []
+            for o, h, t, asked in zip(*b.columns):
+                words = _plain(t).split()
+                for r in asked.as_py():
+                    rows.append((o.as_py(), h.as_py(), r["p"], r["j"], r["k"], r["kind"], b" ".join(words[r["p"] : r["last"] + window])))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["o", "h", "p", "j", "k", "kind", "words"])
 
     return run
 
 
-def deep_nodes(parts: list[list[bytes]], group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, place, node) of every suffix that is a window long; suffixes have one node if their windows and groups agree."""
+def pieces(words: list[bytes], j: int, parts: int, window: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """A run cut into parts by the anchor's place in its windows: (first window, last window, part, prefix) of each piece.
+
+    The prefix are the words that all windows of the part have in common, those that this run doesn't have included.
+    """
+    span = window - GRAM + 1
+    n = len(words) - window + 1
+    low = [-(-part * span // parts) for part in range(parts + 1)]  # the least place of the anchor in each part's windows
+    for part in range(parts):
+        first, last = max(0, j - (low[part + 1] - 1)), min(n - 1, j - low[part])
+        if first <= last:
+            yield first, last, part, words[j - low[part] : j - (low[part + 1] - 1) + window]
+
+
+def _pieces(window: int, parts: int):
+    """Of runs (o, h, p, j, words): their pieces o, h, p, last, j, k (digest of part and prefix), d, size, words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4):
+            rows = []
+            for o, h, p, j, w in zip(*(c.to_pylist() for c in b.columns)):
+                words = w.split(b" ")
+                for first, last, part, prefix in pieces(words, j, parts, window):
+                    own = b" ".join(words[first : last + window])
+                    rows.append((o, h, p + first, p + last, j - first, digest(b"%d/%d " % (part, parts) + b" ".join(prefix)), digest(own), len(own), own))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["o", "h", "p", "last", "j", "k", "d", "size", "words"])
+
+    return run
+
+
+def suffix_order(parts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, place, common) of every suffix that is a window long, in their order; common: words shared with the one before.
+
+    Words past a part's end aren't compared, so ``common`` ends there, and it isn't counted beyond twice a power of two
+    under ``window``.
+    """
     sizes = np.array([len(p) for p in parts])
     total = int(sizes.sum())
     ids: dict[bytes, int] = {}
-    rank = np.fromiter((ids.setdefault(w, len(ids)) for p in parts for w in p), np.int64, total)
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for p in parts for w in p), np.int64, total)
     part = np.repeat(np.arange(len(parts)), sizes)
-    begin = np.cumsum(sizes) - sizes
-    left = np.repeat(begin + sizes, sizes) - np.arange(total)  # words from here to the part's end
-
-    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return pd.factorize(a * (int(max(a.max(), b.max())) + 1) + b)[0]
-
-    at = np.flatnonzero(left >= window)
-    if not len(at):
-        return at, at, at
-    depth, whole = 1, rank
-    while depth * 2 <= window:  # rank of the `depth` words from each place; those past a part's end aren't used
-        whole = pair(whole[: len(whole) - depth], whole[depth:])
-        depth *= 2
-    deep = pair(whole[at], whole[at + window - depth])
-    return part[at], at - begin[part[at]], pair(deep, group[part[at]])
+    end = np.repeat(np.cumsum(sizes), sizes)  # each word's part's end
+    at = np.flatnonzero(end - np.arange(total) >= window)
+    levels = [flat]  # levels[k]: rank of the 2**k words from each place; those past a part's end aren't used
+    while 2 ** len(levels) <= window:
+        last, depth = levels[-1], 2 ** (len(levels) - 1)
+        pair = last[: len(last) - depth] * (int(last.max(initial=0)) + 1) + last[depth:]
+        levels.append(np.unique(pair, return_inverse=True)[1])
+    depth = 2 ** (len(levels) - 1)
+    at = at[np.lexsort((levels[-1][at + window - depth], levels[-1][at]))]
+    common = np.zeros(len(at), np.int64)
+    a, b = at[:-1], at[1:]
+    for k in range(len(levels) - 1, -1, -1):
+        n, more = 2**k, common[1:]
+        inside = np.maximum(a, b) + more + n <= total
+        x, y = np.where(inside, a + more, 0), np.where(inside, b + more, 0)
+        common[1:] += n * (inside & (x + n <= end[a]) & (y + n <= end[b]) & (levels[k][x] == levels[k][y]))
+    return part[at], at - (end - sizes[part])[at], common
 
 
 def _ranked(window: int):
-    """Rows come with all runs of an anchor in a row. Gives the places (doc, h, starts) of windows that an earlier document has."""
+    """Rows come with all of a group in a row. Gives the stretches (o, h, first, last) of windows that an earlier document has.
+
+    Equal windows have equal anchors and prefixes, so no node spans two groups.
+    """
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        doc, h, p, g, words = zip(*rows)
-        key = np.array([_LAST if d is None else d for d in doc], np.int64)
-        group = np.unique(np.array(g, np.int64), return_inverse=True)[1]
-        part, place, rank = deep_nodes([w.split() for w in words], group, window)
-        least = np.full(int(rank.max()) + 1 if len(rank) else 0, _LAST)
-        np.minimum.at(least, rank, key[part])
-        again = least[rank] < key[part]
-        part, place = part[again], place[again] + np.array(p)[part[again]]
-        some, first = np.unique(part, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(part)), pa.int32()), pa.array(place, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([doc[k] for k in some], pa.int64()), pa.array([h[k] for k in some], pa.int64()), lists], ["doc", "h", "starts"])
+        o, h, p, _, words = zip(*rows)
+        order, begin = np.array(o, np.int64), np.array(p, np.int64)
+        part, place, common = suffix_order([w.split(b" ") for w in words], window)
+        node = np.cumsum(common < window) - 1  # neighbours that share a window lie below one deep internal node
+        least = np.full(int(node.max(initial=-1)) + 1, _LAST)
+        np.minimum.at(least, node, order[part])
+        again = least[node] < order[part]
+        part, start = part[again], place[again] + begin[part[again]]
+        sort = np.lexsort((start, part))
+        part, start = part[sort], start[sort]
+        new = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
+        last = start[np.append(new[1:], len(start)) - 1] if len(new) else start
+        own = part[new]
+        columns = [pa.array(order[own]), pa.array([h[i] for i in own], pa.int64()), pa.array(start[new], pa.int32()), pa.array(last, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["o", "h", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -174,77 +244,108 @@ def _ranked(window: int):
     return run
 
 
-def _kept(window: int, digest: bool):
-    """Tokenises again and takes out what the windows cover; any column after the first three is passed on."""
+def _kept(window: int, digested: bool):
+    """Of (id, text, gone, ...): takes out what the windows cover; any column after the first three is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             n, removed, out = [], [], []
             for t, s in zip(b.column(1), b.column(2)):
-                words = (t.as_py() or "").encode().split()  # at the six ASCII separators
+                words = (t.as_py() or "").encode().split()
                 n.append(len(words))
                 if s.is_valid:
                     cover = np.zeros(len(words) + 1, np.int64)
-                    at = s.values.to_numpy()
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                    np.add.at(cover, s.values.field("first").to_numpy(), 1)
+                    np.add.at(cover, s.values.field("last").to_numpy() + window, -1)
                     words = list(compress(words, np.cumsum(cover[:-1]) == 0))
                 text = b" ".join(words)
                 removed.append(n[-1] - len(words))
-                out.append(hashlib.sha256(text).hexdigest() if digest else (text.decode() if removed[-1] else t.as_py()))
-            more = [(b.column(k), b.schema.names[k]) for k in range(3, b.num_columns)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), *[c for c, _ in more]], ["doc", "n_words", "n_removed", "kept", *[x for _, x in more]]
-            )
+                out.append(hashlib.sha256(text).hexdigest() if digested else (text.decode() if removed[-1] else t.as_py()))
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), *b.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept", *b.schema.names[3:]])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, digest: bool = False, carry: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc (its id, bigint), n_words, n_removed, kept.
+def numbered(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame, Column | None]:
+    """``docs`` with a bigint ``_o`` that orders its rows as their ids do, null ids last; and the ids in terms of ``o``, if they can be told.
+
+    Whole numbers order themselves. Ids of any other type are numbered by range partitions of their distinct values.
+    """
+    own = pick(docs, id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        top, nulls = docs.agg(F.max(own), F.count_if(own.isNull())).first()
+        if top != _LAST or not nulls:  # else nulls need a number beyond the largest
+            back = (F.when(F.col("o") != _LAST, F.col("o")) if nulls else F.col("o")).cast(kind)
+            return docs.withColumn("_o", F.coalesce(own.cast("bigint"), F.lit(_LAST))), back
+    ids = docs.select(own.alias("_id")).where("_id is not null").distinct()
+    ids = scratch.save(ids.repartitionByRange("_id").withColumn("_part", F.spark_partition_id()), "ids")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    ahead = ids.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
+    ids = ids.withColumn("_k", place).join(F.broadcast(ahead), "_part").select("_id", (F.col("_k") + F.col("_ahead")).alias("_o"))
+    return join_split(docs.withColumn("_id", own), ids, ["_id"], "left").drop("_id").withColumn("_o", F.coalesce("_o", F.lit(_LAST))), None
+
+
+def repeats(source: DataFrame, window: int, group_bytes: int, scratch: Scratch) -> DataFrame:
+    """(o, h, gone): of each text (o, h, text) the stretches (first, last) of windows that a smaller o has."""
+    found = scratch.save(marked(source.mapInArrow(_runs(window), "o bigint, h bigint, p int, last int, j int, k bigint, d binary, size int"), group_bytes), "marked")
+    stretch = lambda df: df.where("kind = 0").select("o", "h", F.col("p").alias("first"), "last")
+    gone = stretch(found)
+    asked = found.where("kind > 0").groupBy("o", "h").agg(F.collect_set(F.struct("p", "last", "j", "k", "kind")).alias("asked"))  # as many as the text has
+    one = F.row_number().over(Window.partitionBy("o", "h").orderBy("o"))  # rows equal in id and text are asked once
+    texts = join_split(source, asked, ["o", "h"]).withColumn("n", one).where("n = 1").select("o", "h", "text", "asked")
+    open_ = scratch.save(texts.mapInArrow(_words(window), "o bigint, h bigint, p int, j int, k bigint, kind int, words binary"), "open")
+    tree = lambda df, label: df.where("kind = 1").select("o", "h", "p", label.alias("k"), "words")
+    trees, open_ = tree(open_, F.col("k").cast("string")), open_.where("kind = 2")
+    parts, span = 1, window - GRAM + 1
+    while parts < span and open_.limit(1).count():
+        parts = min(2 * parts, span)
+        cut = open_.select("o", "h", "p", "j", "words").mapInArrow(_pieces(window, parts), "o bigint, h bigint, p int, last int, j int, k binary, d binary, size int, words binary")
+        now = scratch.save(marked(cut, group_bytes), f"pieces{parts}")
+        gone, trees, open_ = gone.unionAll(stretch(now)), trees.unionAll(tree(now, F.hex("k"))), now.where("kind = 2")
+    ranked = trees.repartition("k").sortWithinPartitions("k").mapInArrow(_ranked(window), "o bigint, h bigint, first int, last int")
+    return gone.unionAll(ranked).groupBy("o", "h").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES, digest: bool = False, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: id, n_words, n_removed, kept.
 
     A word goes if a window of ``window`` words that covers it also starts in a row with a smaller id; windows are judged on
     the input. kept is the text: unchanged if nothing went, else its remaining words joined by spaces; with ``digest``, the
-    SHA-256 of the remaining words joined by spaces. Null texts have no words (their text stays null). A null id is larger
-    than all others. Rows that share an id don't count as earlier than each other. Texts under ``window`` words lose
-    nothing. An empty table gives no rows; other columns play no part and are lost, unless
-    ``carry`` adds them all as the struct ``row``.
+    SHA-256 of the remaining words joined by spaces. Null texts have no words (their text stays null). Ids may have any type
+    that sorts; a null id is larger than all others. Rows that share an id don't count as earlier than each other. Texts
+    under ``window`` words lose nothing. An empty table gives no rows; other columns play no part and are lost, unless
+    ``carry`` adds all columns but the text as the struct ``row``.
     """
-    source = docs.select(docs[id_col].cast("bigint").alias("doc"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].cast("string").alias("text"))
-    anchors = text_batches(source).mapInArrow(_anchors(window), "doc bigint, h bigint, g bigint, n bigint")
-    order = F.coalesce("doc", F.lit(_LAST))
-    shared = anchors.groupBy("g").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("g", (F.col("n") > group).alias("hot"))
-    listed = join_split(anchors, shared, ["g"]).groupBy("doc", "h").agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot"))
-    l = listed.withColumnsRenamed({"doc": "ldoc", "h": "lh"})  # noqa: E741
-    found = source.join(l, source["doc"].eqNullSafe(l["ldoc"]) & (source["h"] == l["lh"]))
-
-    cold = found.where(F.size("cold") > 0).select("doc", "h", "text", "cold").mapInArrow(_suffixes(window, False), "doc bigint, h bigint, p int, g bigint, words binary")
-    cold = cold.repartition("g").sortWithinPartitions("g").mapInArrow(_ranked(window), "doc bigint, h bigint, starts array<int>")
-
-    hot = found.where(F.size("hot") > 0).select("doc", "h", "text", "hot").mapInArrow(_suffixes(window, True), "doc bigint, h bigint, p int, w binary")
-    nodes = hot.groupBy("w").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("w", "lo")
-    hot = join_split(hot, nodes, ["w"]).where(order > F.col("lo")).groupBy("doc", "h").agg(F.collect_set("p").alias("starts"))
-
-    starts = cold.unionByName(hot).groupBy("doc", "h").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    s = starts.withColumnsRenamed({"doc": "sdoc", "h": "sh"})
-    schema = "doc bigint, n_words bigint, n_removed bigint, kept string"
-    if carry:
-        other = [c for c in docs.columns if c != text_col]
-        source = docs.select(docs[id_col].cast("bigint").alias("doc"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in other]).alias("row"))
-        schema += f", row {source.schema['row'].dataType.simpleString()}"
-    out = source.join(s, source["doc"].eqNullSafe(s["sdoc"]) & (source["h"] == s["sh"]), "left").select("doc", "text", "starts", *(["row"] if carry else []))
+    scratch = Scratch(docs.sparkSession)
+    other = [c for c in docs.columns if c != text_col]
+    kind = docs.schema[id_col].dataType
+    docs, back = numbered(docs, id_col, scratch)
+    text = pick(docs, text_col).cast("string")
+    source = docs.select(docs["_o"].alias("o"), F.xxhash64(text).alias("h"), text.alias("text"))
+    gone = repeats(source, window, group_bytes, scratch)
+    more = []
+    if carry or back is None:  # else both fetches of the texts use one shuffle of them (Spark reuses it)
+        row = F.struct(*[pick(docs, c) for c in (other if carry else [])], pick(docs, id_col).alias("_id"))
+        source = docs.select(docs["_o"].alias("o"), F.xxhash64(text).alias("h"), text.alias("text"), row.alias("row"))
+        back, more = F.col("row._id"), ["row"] if carry else []
+    out = join_split(source, gone, ["o", "h"], "left").select(back.alias("id"), "text", "gone", *more)
+    schema = StructType([StructField("id", kind), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    schema = StructType([*schema, *([out.schema["row"]] if carry else [])])
     return out.mapInArrow(_kept(window, digest), schema)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """``docs`` with the repeated words taken out of the texts; all rows and columns stay."""
-    found = substring_dedup(docs, id_col, text_col, window, group, carry=True)
-    return found.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``docs`` with the repeated words taken out of the texts; all rows and columns stay, null ids too."""
+    found = substring_dedup(docs, id_col, text_col, window, group_bytes, carry=True)
+    return found.select(*[(F.col("kept") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"), digest=True)
-    return found.withColumnsRenamed({"doc": "doc_id", "kept": "kept_sha256"})
+    return found.withColumnsRenamed({"id": "doc_id", "kept": "kept_sha256"})
 
 
 ORACLE = """

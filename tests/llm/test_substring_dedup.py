@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from plumage.llm.substring_dedup import drop_repeats, substring_dedup
+from plumage.llm.substring_dedup import drop_repeats, pieces, substring_dedup, suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -44,11 +44,11 @@ def corpus(seed=2):
     return list(zip(ids, rows)) + [(ids[3], " ".join(words(70))), (None, " ".join(base)), (ids[8], rows[8])]
 
 
-@pytest.mark.parametrize("group", [1000, 3, 0])
+@pytest.mark.parametrize("group", [1 << 20, 1500, 0])
 def test_against_brute_force(spark, group):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, h string, g int").repartition(3)
-    got = sorted(map(tuple, substring_dedup(df, group=group, digest=True).collect()), key=str)
+    got = sorted(map(tuple, substring_dedup(df, group_bytes=group, digest=True).collect()), key=str)
     assert got == brute(rows, 50)
 
 
@@ -61,3 +61,54 @@ def test_stage_and_empty(spark):
     assert len(rows_out) == len(rows) and sum(r.text is None for r in rows_out) == 1
     assert sorted(str((r.doc_id, hashlib.sha256(" ".join(WORD.findall(r.text or "")).encode()).hexdigest())) for r in rows_out) == sorted(str((a, d)) for a, _, _, d in brute(rows, 50))
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_type_and_names_with_dots(spark):
+    rows = corpus()
+    names = {d: f"d{k:03}" for k, d in enumerate(sorted({d for d, _ in rows if d is not None}))}
+    df = spark.createDataFrame([(names.get(d), t, 1) for d, t in rows], "`my.id` string, text string, `a.b` int")
+    want = [(names.get(d), *more) for d, *more in brute(rows, 50)]
+    assert sorted(map(tuple, substring_dedup(df, "my.id", digest=True).collect()), key=str) == sorted(want, key=str)
+    got = drop_repeats(df, "my.id")
+    assert got.columns == df.columns and got.count() == len(rows)
+    # the largest id is another id than none
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text), ((1 << 63) - 1, text)], "doc_id long, text string")
+    assert {(r.id, r.n_removed) for r in substring_dedup(df).collect()} == {(None, 60), ((1 << 63) - 1, 0)}
+
+
+def test_one_passage_everywhere_and_a_long_text(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"v{rng.randrange(10_000)}" for _ in range(n)]
+    passage = words(75)
+    rows = [(k, " ".join(words(40) + passage[: 75 - k % 3] + words(40))) for k in range(120)]
+    rows += [(500, " ".join(words(40_000) + passage + ["x" * 100_000] + words(10))), (501, "y" * 300_000), (502, "z " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (1 << 20, 4000):
+        got = sorted(map(tuple, substring_dedup(df, group_bytes=group, digest=True).collect()), key=str)
+        assert got == brute(rows, 50)
+
+
+def test_suffix_order():
+    rng = random.Random(3)
+    parts = [[rng.choice([b"a", b"b"]) for _ in range(rng.randrange(1, 60))] for _ in range(30)] + [[b"a"] * 40]
+    part, place, common = suffix_order(parts, 12)
+    suffixes = [tuple(parts[k][i:]) for k, i in zip(part.tolist(), place.tolist())]
+    assert sorted(zip(part.tolist(), place.tolist())) == [(k, i) for k, p in enumerate(parts) for i in range(len(p) - 11)]
+    ranks = {w: k for k, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+    heads = [tuple(ranks[w] for w in s[:12]) for s in suffixes]
+    assert heads == sorted(heads)
+    for n, x, y in zip(common.tolist()[1:], suffixes, suffixes[1:]):
+        full = next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        assert n == min(full, 15)
+
+
+def test_pieces_share_their_prefix():
+    words = [b"%d" % i for i in range(80)]
+    for parts in (1, 2, 4, 43):
+        windows = []
+        for first, last, part, prefix in pieces(words, 31, parts, 50):
+            windows += range(first, last + 1)
+            assert all(" ".join(map(str, map(int, prefix))) in " ".join(str(k) for k in range(i, i + 50)) for i in range(first, last + 1))
+            assert len(prefix) >= 50 - -(-43 // parts) + 1
+        assert windows and sorted(windows) == list(range(31))
