@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumage.operators.lineage import cut
+
 
 def block_text(lines: DataFrame, keys: list[str], ord_col: str, text: str, score: str, colours: list[str]) -> DataFrame:
     """One row for each block: its lines' text in order, mean score, mean colours (rounded, 0 to 255)."""
@@ -98,15 +100,14 @@ def zip_by_position(left: DataFrame, right: DataFrame, key: str, left_ord: str,
 def global_position(rows: DataFrame, *order) -> DataFrame:
     """Adds ``position`` (from 1) by a complete order over all rows, without a window over all rows.
 
-    Rows are ranked inside range partitions and shifted by the counts of the partitions before, of which there are as many
-    as the session has shuffle partitions. The number is given so that Spark doesn't merge partitions on one branch only.
+    Rows are ranked inside range partitions and shifted by the counts of the partitions before, one row for each. The ranged
+    rows are written once, with their partition's number, and both sides read that: planned twice, the exchange would
+    sample its ranges twice, and the sides could disagree.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = own.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # n rows
-    shifts = counts.select("_part", ahead.alias("_ahead"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", ahead.alias("_ahead"))
     return own.join(F.broadcast(shifts), "_part").withColumn("position", F.col("_k") + F.col("_ahead")).drop("_part", "_k", "_ahead")
 
 

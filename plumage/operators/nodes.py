@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumage.functions.text import nonblank
-from plumage.sources.store import cut
+from plumage.operators.lineage import cut
 
 
 def of_kind(nodes: DataFrame, kind: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +9,6 @@ from plumage.functions.text import natural_key
 from plumage.operators.aggregate import global_position
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder; only a session without one gets a local folder, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def import_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(name, hash, length, content) of each file; names sort naturally by ``key``. No file is read on the driver."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
