@@ -41,8 +41,8 @@ OVERHEAD = 64
 #: The vocabulary of pack() and its end mark, an id that no text gives.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
-#: Rows of the most common size that a bucket of hashes holds, about.
-BUCKET_ROWS = 50_000
+#: Parts of one size that a bucket of hashes holds at most, about: 32 MB of the largest ones.
+BUCKET_ROWS = 4000
 _RANKS = 46
 
 
@@ -144,11 +144,13 @@ def pack_tokens(tokens: DataFrame, width: int = 4, lengths: tuple[int, ...] = LE
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each size, ``top`` at most
     place = _placer(plan_bins(counts, lengths, overhead))
 
-    # Buckets are ranges of the hash, so ranks don't depend on how many there are.
-    bits = math.ceil(math.log2(max(1.0, max(counts.values(), default=0) / bucket_rows)))
-    parts = parts.withColumn("bucket", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    # A size's buckets are ranges of the hash, so ranks don't depend on how many there are.
+    bits = [(s, max(0, math.ceil(math.log2(n / bucket_rows)))) for s, n in counts.items()]
+    shifts = F.broadcast(tokens.sparkSession.createDataFrame(bits, "length int, bits int"))  # a row for each size
+    parts = parts.join(shifts, "length").withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftright(h, 64 - bits)")).otherwise(F.lit(0))).drop("bits")
     sums = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = parts.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("ahead"))
+    ahead = scratch.save(ahead, "ahead")  # read anew, it doesn't bring the other side to its own distribution by size alone
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("h", "doc_id", "start"))
     ranked = parts.withColumn("own", own).join(ahead, ["length", "bucket"])
     placed = ranked.withColumn("to", place("length", F.col("ahead") + F.col("own") - 1)).select("to.bin", F.struct("to.at", "doc_id", "start", "length", "ids").alias("p"))
