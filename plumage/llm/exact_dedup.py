@@ -1,16 +1,18 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
-Every text is cut into blocks of ``block_bytes`` bytes. A block's name is the pair (key, rank): the key is a 64-bit
-hash, the rank is the block's place among the *different* blocks of that key in byte order. Two blocks thus have one
-name if and only if their bytes are equal, and a name depends on nothing but the data, so recomputed tasks agree.
-Adjacent names are then paired and the pairs named in the same way until each document has a single name. Together
-with the byte length it identifies the text without collisions.
-
-Ranks other than 0 need two different blocks with one 64-bit key, so the table of ranks is nearly always empty. That it
-is empty is checked on every level over all blocks, grouped by their bytes, and where it isn't, its rows are joined.
-
-What moves: each distinct block of a task once (equal blocks, such as a third of all rows being one text, are combined
-before the shuffle), then only names. Nothing is collected beyond one count for each level.
+Every text is cut into blocks of ``block_bytes`` bytes. All different blocks are sorted, by a 64-bit key first and by their bytes
+where keys agree, and a block's name is its place in that order, a whole number. Adjacent names of a text are then paired, the
+different pairs sorted, and a pair's name is its place in turn, until each document has a single name. Two texts of one length
+have the same name if and only if their bytes are equal: a number stands for one block or one pair, never for two. Names
+depend on the data only, not on partitions, so recomputed tasks agree.
+
+Places come from range partitions: each ranks its own rows, shifted by the counts of those before. Which blocks share a key
+without being equal is checked over all blocks, grouped by their bytes; where none do, as nearly always, the bytes take no
+further part, and what is sorted and joined are keys and names of 8 bytes for each block.
+
+What moves: each different block of a task once (equal blocks, such as a third of all rows being one text, are combined before
+the shuffle), then only keys and names. A document leaves the rounds once it has one name. Nothing is collected beyond
+counts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumage.llm.common import Scratch, join_split, keep_rows, table
+from plumage.llm.common import Scratch, join_split, keep_rows, pick, table
+from plumage.operators.aggregate import global_position
 
 BLOCK_BYTES = 1024
 #: Rank tables up to this many rows are broadcast; larger ones are joined by a shuffle.
@@ -36,46 +39,58 @@ def _key(item: Column, bits: int) -> Column:
 
 
 def _pairs(names: Column) -> Column:
-    """(first, second) of adjacent names; the second of an odd last one is null."""
+    """(a, b) of adjacent names; the second of an odd last one is -1, which is no name."""
     last = F.floor((F.size(names) - 1) / 2).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get(names, i * 2).alias("a"), F.get(names, i * 2 + 1).alias("b")))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get(names, i * 2).alias("a"), F.coalesce(F.get(names, i * 2 + 1), F.lit(-1)).alias("b")))
 
 
-def _named(df: DataFrame, items: Column, bits: int, scratch: Scratch, level: int) -> DataFrame:
-    """Adds ``names`` (array of (k, r)) for the items; ``df`` has a unique ``_row``."""
-    df = df.withColumn("_items", items)
-    distinct = df.select(F.explode("_items").alias("item")).select(_key(F.col("item"), bits).alias("k"), "item").distinct()
-    shared = distinct.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+def _keyed(rows: DataFrame, raw: Column, size: int, bits: int, scratch: Scratch) -> DataFrame:
+    """``rows`` (_row, ...) with ``items`` for their blocks: (a, b), a key and a rank among the different blocks of that key."""
+    items = rows.select("*", _blocks(raw, size).alias("_items"))
+    distinct = items.select(F.explode("_items").alias("item")).select(_key(F.col("item"), bits).alias("a"), "item").distinct()
+    shared = distinct.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     several = shared.count()
     if not several:
-        return df.withColumn("names", F.transform("_items", lambda x: F.struct(_key(x, bits).alias("k"), F.lit(0).alias("r")))).drop("_items")
-    df = scratch.save(df, f"items{level}")  # _row must not be numbered twice
-    ranks = distinct.join(shared, "k", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("item")) - 1).where("r > 0")
+        return items.withColumn("items", F.transform("_items", lambda x: F.struct(_key(x, bits).alias("a"), F.lit(0).cast("long").alias("b")))).drop("_items")
+    items = scratch.save(items, "blocks")  # _row must not be numbered twice
+    ranks = distinct.join(shared, "a", "left_semi").withColumn("b", F.row_number().over(Window.partitionBy("a").orderBy("item")) - 1).where("b > 0")
     if several <= BROADCAST_RANKS and ranks.count() <= BROADCAST_RANKS:
         ranks = F.broadcast(ranks)
-    spots = df.select("_row", F.posexplode("_items").alias("pos", "item")).withColumn("k", _key(F.col("item"), bits))
-    spots = spots.join(ranks, ["k", "item"], "left").select("_row", F.struct("pos", "k", F.coalesce("r", F.lit(0)).alias("r")).alias("s"))
+    spots = items.select("_row", F.posexplode("_items").alias("pos", "item")).withColumn("a", _key(F.col("item"), bits))
+    spots = spots.join(ranks, ["a", "item"], "left").select("_row", F.struct("pos", "a", F.coalesce("b", F.lit(0)).cast("long").alias("b")).alias("s"))
     arrays = spots.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("s"))  # as many as the row has blocks
-    arrays = arrays.select("_row", F.transform("s", lambda s: F.struct(s["k"].alias("k"), s["r"].alias("r"))).alias("names"))
-    return df.drop("_items", "names").join(arrays, "_row")
+    arrays = arrays.select("_row", F.transform("s", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias("items"))
+    return items.drop("_items").join(arrays, "_row")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(_row, names) of (_row, items): each item's place among all different items, from 0."""
+    spots = rows.select("_row", F.posexplode("items").alias("pos", "s")).select("_row", "pos", "s.a", "s.b")
+    names = global_position(spots.select("a", "b").distinct(), "a", "b")
+    placed = join_split(spots, names, ["a", "b"]).select("_row", F.struct("pos", (F.col("position") - 1).alias("name")).alias("s"))
+    arrays = placed.groupBy("_row").agg(F.array_sort(F.collect_list("s")).alias("s"))  # as many as the row has items
+    return arrays.select("_row", F.transform("s", lambda s: s["name"]).alias("names"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, key_bits: int = 64) -> DataFrame:
-    """One row for each row of ``docs``: _row, doc_id, text_sha256, n_bytes, name. (n_bytes, name) identify the text.
+    """One row for each row of ``docs``: _row, doc_id, text_sha256, n_bytes, name (bigint). (n_bytes, name) identify the text.
 
     A null text counts as empty. ``key_bits`` under 64 makes keys collide, for tests.
     """
     scratch = Scratch(docs.sparkSession)
-    raw = F.coalesce(docs[text_col], F.lit("")).cast("binary")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[id_col].alias("doc_id"), raw.alias("_raw"))
-    named = _named(rows, _blocks(F.col("_raw"), block_bytes), key_bits, scratch, 0)
-    now = scratch.save(named.select("_row", "doc_id", F.sha2("_raw", 256).alias("text_sha256"), F.octet_length("_raw").alias("n_bytes"), "names"), "level0")
-    longest, level = now.agg(F.max(F.size("names"))).first()[0] or 1, 0
-    while longest > 1:
-        longest, level = (longest + 1) // 2, level + 1
-        now = scratch.save(_named(now, _pairs(F.col("names")), key_bits, scratch, level), f"level{level}")  # half as many names each time
-        scratch.drop(f"level{level - 1}")
-    return now.select("_row", "doc_id", "text_sha256", "n_bytes", F.col("names")[0].alias("name"))
+    raw = F.coalesce(pick(docs, text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), pick(docs, id_col).alias("doc_id"), raw.alias("_raw"))
+    rows = _keyed(rows, F.col("_raw"), block_bytes, key_bits, scratch)
+    rows = scratch.save(rows.select("_row", "doc_id", F.sha2("_raw", 256).alias("text_sha256"), F.octet_length("_raw").alias("n_bytes"), "items"), "rows")
+    now, done, level = scratch.save(_named(rows), "names0"), None, 0
+    while True:
+        one = now.where("size(names) = 1").select("_row", F.col("names")[0].alias("name"))
+        done = one if done is None else done.unionAll(one)
+        now = now.where("size(names) > 1")
+        if not now.limit(1).count():
+            return rows.drop("items").join(done, "_row")
+        level += 1
+        now = scratch.save(_named(now.select("_row", _pairs(F.col("names")).alias("items"))), f"names{level}")  # half as many names each time
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
