@@ -68,17 +68,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES
             yield b.slice(at)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, for Arrow functions over texts: sets batches of 1000 rows where the session has Spark's 10,000.
-
-    Ten thousand long texts at a time, and what is derived from them, would not fit beside an executor's heap.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, "1000")
-    return df
-
-
 class Scratch:
     """Parquet tables in the shared folder that cut lineage. A lost executor costs a reread, not a recomputation.
 

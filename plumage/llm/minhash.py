@@ -3,7 +3,7 @@
 1. Each text's distinct word shingles give ``bands`` x ROWS minima; a band's minima, hashed together, are its bucket, and
    BITS low bits of every minimum are packed into a signature of a few 64-bit words. Texts with equal shingle sets (equal
    128-bit fingerprints and sizes) become one node, so thousands of copies weigh as one from here on.
-2. In each bucket every node is paired with the bucket's node of the smallest id only. The pair's similarity is estimated
+2. In each bucket every node is paired with the bucket's node of the smallest number only. The pair's similarity is estimated
    from bit counts of the signatures, corrected for chance agreement of BITS bits; only what lies SIGMAS deviations below
    the threshold goes. What remains is confirmed on the full shingle sets of both texts.
 3. Buckets whose nodes aren't all in one component by then go on. First, nodes that can't have a link go: those with too
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plumage.llm.common import Scratch, join_split, keep_rows, table, text_batches, text_digest
+from plumage.llm.common import Scratch, join_split, keep_rows, pick, slices, table, text_digest
 from plumage.llm.shingles import mix, shingle_set
 
 SHINGLE = 5
@@ -94,14 +95,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(bands, shingle)
-        for b in batches:
+        for b in slices(batches, 2):
             for i in range(0, b.num_rows, 512):
                 part = [c.slice(i, 512) for c in b.columns]
                 found = h.rows(*part[:3])
                 yield pa.RecordBatch.from_arrays([*found.columns, part[3]], [*found.schema.names, "sha"]) if digest else found
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col].cast("string")), docs[text_col].cast("string").alias("text"), *([text_digest(docs[text_col]).alias("sha")] if digest else []))
+    text = pick(docs, text_col).cast("string")
+    source = docs.select(pick(docs, id_col).alias("doc_id"), F.xxhash64(text), text.alias("text"), *([text_digest(text).alias("sha")] if digest else []))
     return source.mapInArrow(run, f"doc_id {id_type}, h bigint, n_shingles bigint, f1 bigint, f2 bigint, sig array<bigint>, keys array<bigint>{', sha string' if digest else ''}")
 
 
@@ -129,7 +131,7 @@ def linkable(texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             sets = [shingle_set(t.as_py().encode(), shingle) for t in b.column(2)]
             sets = [s if s.sum(dtype=np.uint64).view(np.int64) == f.as_py() else s[:0] for s, f in zip(sets, b.column(1))]
             nodes = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
@@ -147,7 +149,7 @@ def fine_signatures(texts: DataFrame, n: int, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Minima(n)
-        for b in batches:
+        for b in slices(batches, 1):
             found = []
             for t in b.column(1):
                 wide = mix(m.minima(shingle_set(t.as_py().encode(), shingle)).astype(np.uint64) + np.arange(n, dtype=np.uint64) * np.uint64(1 << 32))
@@ -158,33 +160,37 @@ def fine_signatures(texts: DataFrame, n: int, shingle: int) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node bigint, fine array<bigint>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, by: list[str], percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b: structs of nodes) whose full shingle sets are similar enough, as (a, b) of node numbers.
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, f1, n_shingles, t) of the nodes (node, id, h, f1, n_shingles): the text t of one row with the node's id and hash.
 
-    Texts (t) are fetched by the node's fields ``by``; one with another fingerprint would be passed over.
+    Rows that are equal in id and text count once, so repeated rows don't multiply what follows.
     """
-    texts = texts.select(*[F.col(c).alias(f"_{c}") for c in by], "t")
+    rows = docs.withColumnsRenamed({"id": "_id", "h": "_h"})
+    found = nodes.join(rows, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("node", "f1", "n_shingles", "t")
+    one = F.row_number().over(Window.partitionBy("node").orderBy("f1"))  # with the filter, Spark keeps one row of each task before it shuffles
+    return found.withColumn("_n", one).where("_n = 1").drop("_n")
+
 
-    def fetched(side: str) -> Column:
-        out = F.lit(True)
-        for c in by:
-            out = out & F.col(f"{side}.{c}").eqNullSafe(F.col(f"_{c}"))
-        return out
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs (a, b: structs of nodes) whose full shingle sets are similar enough, as (a, b) of node numbers.
 
-    with_b = pairs.join(texts, fetched("b")).select("a", "b", F.col("t").alias("tb"))
-    both = with_b.join(texts, fetched("a")).select(
+    texts has each node's text once; one with another fingerprint would be passed over.
+    """
+    texts = texts.select(F.col("node").alias("_node"), "t")
+    with_b = pairs.join(texts, F.col("b.node") == F.col("_node")).select("a", "b", F.col("t").alias("tb"))
+    both = with_b.join(texts, F.col("a.node") == F.col("_node")).select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.f1").alias("fa"), F.col("b.f1").alias("fb"), F.col("t").alias("ta"), "tb"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None  # rows come sorted by the first text's id
-        for batch in batches:
+        last, kept = None, None  # rows come sorted by the first node
+        for batch in slices(batches, 5):
             a, b, fa, fb, ta, tb = batch.columns
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                key = (a[i].as_py(), ta[i].as_py())
+                key = a[i].as_py()
                 if key != last:
-                    last, kept = key, shingle_set(key[1].encode(), shingle)
+                    last, kept = key, shingle_set(ta[i].as_py().encode(), shingle)
                 y = shingle_set(tb[i].as_py().encode(), shingle)
                 if kept.sum(dtype=np.uint64).view(np.int64) == fa[i].as_py() and y.sum(dtype=np.uint64).view(np.int64) == fb[i].as_py():
                     common = len(np.intersect1d(kept, y, assume_unique=True))
@@ -214,45 +220,27 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return now
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Two documents are linked if their shingle sets have 100 * intersection >= percent * union; component_id is the smallest
-    id that links reach, kept says whether that is the row's own. A text without words (null, empty) has no shingle and is
-    alone. Rows that share an id share its fate only through their texts; null ids come last, so such a row is kept only
-    where its component has no other id. An empty table gives no rows; other columns play no part.
-    """
-    component = F.col("component_id")
-    return _grouped(docs, id_col, text_col, percent, shingle).select("doc_id", "n_shingles", component, component.eqNullSafe(F.col("doc_id")).alias("kept"))
-
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, digest: bool = False) -> DataFrame:
-    """Of each row doc_id, n_shingles, component_id, comp (the component's number, null without words) and, if asked for, sha."""
-    scratch = Scratch(text_batches(docs).sparkSession)
-    bands = bands_for(percent)
-    n = bands * ROWS
+def linked(nodes: DataFrame, whole: DataFrame, scratch: Scratch, n: int, percent: int, shingle: int) -> DataFrame:
+    """(node, comp) of the nodes that have links, in the phases 2 to 4; a phase that finds nothing left to compare is the last."""
     least = _least_matches(n, percent)
-    signed = scratch.save(signatures(docs, id_col, text_col, bands, shingle, digest), "signed")
-    print_ = ["n_shingles", "f1", "f2"]
-    nodes = signed.where("n_shingles > 0").groupBy(*print_).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
-    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("id"), "m.h", *print_, "sig", "keys"), "nodes")
     slim = nodes.select("node", "id", "h", "f1", "n_shingles", "sig")
-    # ids may repeat or be null, so a node's text is the one of its first id and of that row's hash
-    whole = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("h"), docs[text_col].cast("string").alias("t")).where("t is not null")
-
-    spots = nodes.select("node", "id", F.explode("keys").alias("key"))
-    buckets = spots.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    spots = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = spots.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     shared = scratch.save(join_split(spots, buckets, ["key"]).select("key", "node", "first"), "shared")
 
-    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("node", "id", "h", "f1")]).alias(p)
+    side = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ("node", "f1")]).alias(p)
+    ends = lambda pairs: pairs.select("a.node").unionAll(pairs.select("b.node")).distinct()
 
     def similar(a: str, b: str) -> Column:
         sizes = (F.col(f"{a}.n_shingles") * 100 >= F.col(f"{b}.n_shingles") * percent) & (F.col(f"{b}.n_shingles") * 100 >= F.col(f"{a}.n_shingles") * percent)
         return sizes & (matches(F.col(f"{a}.sig"), F.col(f"{b}.sig"), n) >= least)
 
-    pairs = shared.select(F.col("first").alias("p"), F.col("node").alias("q")).distinct()
-    firsts = pairs.join(slim.alias("b"), F.col("q") == F.col("b.node")).join(slim.alias("a"), F.col("p") == F.col("a.id")).where(similar("a", "b") & (F.col("a.node") != F.col("b.node")))
-    links = scratch.save(confirmed(scratch.save(firsts.select(side("a"), side("b")), "firsts"), whole, ["id", "h"], percent, shingle), "links")
+    pairs = shared.where("first <> node").select(F.col("first").alias("p"), F.col("node").alias("q")).distinct()
+    firsts = pairs.join(slim.alias("b"), F.col("q") == F.col("b.node")).join(slim.alias("a"), F.col("p") == F.col("a.node")).where(similar("a", "b"))
+    firsts = scratch.save(firsts.select(side("a"), side("b")), "firsts")
+    first_texts = scratch.save(texts_of(slim.join(ends(firsts), "node"), whole), "first-texts")
+    links = scratch.save(confirmed(firsts, first_texts, percent, shingle), "links")
+    scratch.drop("first-texts")
     comps = components(links, scratch, "first")
 
     def mixed(rows: DataFrame) -> DataFrame:
@@ -262,10 +250,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
         return join_split(spread, keys, ["key"])
 
     open_ = scratch.save(mixed(shared.select("key", "node")).select("key", "node"), "open")
-    texts = slim.join(open_.select("node").distinct(), "node").join(whole.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    texts = scratch.save(texts.select("node", "f1", "n_shingles", "t").dropDuplicates(["node"]), "texts")
+    if not open_.limit(1).count():
+        return comps
+    texts = scratch.save(texts_of(slim.join(open_.select("node").distinct(), "node"), whole), "texts")
     able = scratch.save(linkable(texts, percent, shingle), "able")
     open_ = open_.join(able, "node")
+    if not able.limit(1).count():
+        return comps
 
     def possible() -> Column:
         """Of a and b: whether what others share of them suffices, and similar() holds."""
@@ -278,10 +269,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     stars = pairs.join(known.alias("b"), F.col("q") == F.col("b.node")).join(known.alias("a"), F.col("p") == F.col("a.node")).where(possible())
     stars = scratch.save(stars.select(side("a"), side("b")), "stars")
     if stars.limit(1).count():
-        links = links.unionAll(scratch.save(confirmed(stars, texts, ["node"], percent, shingle), "star-links"))
+        links = links.unionAll(scratch.save(confirmed(stars, texts, percent, shingle), "star-links"))
         comps = components(links, scratch, "second")
 
     open_ = scratch.save(mixed(open_).select("key", "node", "comp", "common", "size"), "last")
+    if not open_.limit(1).count():
+        return comps
     of_node = open_.groupBy("node").agg(F.collect_set("key").alias("ks"))  # as many as there are bands, at most
     cells = F.ceil(F.col("size") / CELL).cast("int")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), cells).cast("int"))
@@ -299,15 +292,42 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
     rest = a.join(b, cell & apart & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp")) & possible() & close & once)
     rest = scratch.save(rest.select(side("a"), side("b")).distinct(), "rest")
     if rest.limit(1).count():
-        more = scratch.save(confirmed(rest, texts, ["node"], percent, shingle), "more")
+        more = scratch.save(confirmed(rest, texts, percent, shingle), "more")
         if more.limit(1).count():
             comps = components(links.unionAll(more), scratch, "third")
+    return comps
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Two documents are linked if their shingle sets have 100 * intersection >= percent * union; component_id is the smallest
+    id that links reach, kept says whether that is the row's own. A text without words (null, empty) has no shingle and is
+    alone. Rows that share an id share its fate only through their texts; null ids come last, so such a row is kept only
+    where its component has no other id. An empty table gives no rows; other columns play no part.
+    """
+    component = F.col("component_id")
+    return _grouped(docs, id_col, text_col, percent, shingle).select("doc_id", "n_shingles", component, component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, digest: bool = False) -> DataFrame:
+    """Of each row doc_id, n_shingles, component_id, comp (the component's number, null without words) and, if asked for, sha."""
+    scratch = Scratch(docs.sparkSession)
+    bands = bands_for(percent)
+    signed = scratch.save(signatures(docs, id_col, text_col, bands, shingle, digest), "signed")
+    print_ = ["n_shingles", "f1", "f2"]
+    nodes = signed.where("n_shingles > 0").groupBy(*print_).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
+    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("id"), "m.h", *print_, "sig", "keys"), "nodes")
+    # ids may repeat or be null, so a node's text is the one of its first id and of that row's hash
+    text = pick(docs, text_col).cast("string")
+    whole = docs.select(pick(docs, id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t")).where("t is not null")
+    comps = linked(nodes, whole, scratch, bands * ROWS, percent, shingle)
 
     # the result reads no more than signed, nodes and the last components
-    scratch.drop("shared", "firsts", "links", "open", "texts", "able", "stars", "star-links", "last", "fine", "rest", "more", "first-links", "second-links", "third-links")
+    scratch.drop("shared", "firsts", "first-texts", "links", "open", "texts", "able", "stars", "star-links", "last", "fine", "rest", "more", "first-links", "second-links", "third-links")
     named = nodes.select("node", "id", *print_).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = named.join(heads, "comp").select(*print_, "comp", "component_id")
+    named = join_split(named, heads, ["comp"]).select(*print_, "comp", "component_id")
     sha = ["sha"] if digest else []
     out = signed.select("doc_id", *sha, *print_).join(named, print_, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
