@@ -5,13 +5,22 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The characters with Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def nonblank(c: Column) -> Column:
-    return F.coalesce(F.trim(c) != "", F.lit(False))
+    return F.coalesce(trimmed(c) != "", F.lit(False))
 
 
 def tagged(texts: Column) -> Column:
@@ -24,12 +33,12 @@ def without_thinking(c: Column) -> Column:
     start = F.instr(c, "<think>")
     rest = F.substr(c, start)
     end = F.instr(rest, "</think>")
-    return F.when((start > 0) & (end > 0), F.regexp_replace(F.substr(rest, end + 8), r"^\s+", "")).otherwise(c)
+    return F.when((start > 0) & (end > 0), F.ltrim(F.substr(rest, end + 8), F.lit(WHITE))).otherwise(c)
 
 
 def without_quotes(c: Column) -> Column:
     """Trimmed, less one pair of equal quotes around it."""
-    t = F.trim(c)
+    t = trimmed(c)
     first, last = F.left(t, F.lit(1)), F.right(t, F.lit(1))
     return F.when((F.length(t) >= 2) & (first == last) & first.isin('"', "'"), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
@@ -38,7 +47,7 @@ def clean_ocr(c: Column) -> Column:
     """No white space, dots for an ellipsis and for middle dots, ASCII as full-width forms."""
     half = "".join(map(chr, range(0x21, 0x7F)))
     full = "".join(chr(x + 0xFEE0) for x in range(0x21, 0x7F))
-    plain = F.translate(F.replace(F.regexp_replace(c, r"\s+", ""), F.lit("…"), F.lit("...")), "・", ".")
+    plain = F.translate(F.replace(F.translate(c, WHITE, ""), F.lit("…"), F.lit("...")), "・", ".")
     return F.translate(plain, half, full)
 
 
@@ -58,22 +67,35 @@ def padded(items: Column, n: int) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Lower-case ASCII letters and digits; dashes, underscores and white space become single dashes; the rest goes."""
-    kept = F.regexp_replace(F.lower(c), r"[^a-z0-9_\-\s]", "")
-    return F.regexp_replace(F.regexp_replace(kept, r"[_\-\s]+", "-"), r"^-|-$", "")
+    """ASCII letters (lower-cased) and digits; dashes, underscores and white space become single dashes; the rest goes."""
+    upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+    plain = F.translate(c, WHITE + "_" + upper, "-" * (len(WHITE) + 1) + upper.lower())
+    return F.btrim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9-]", ""), "-+", "-"), F.lit("-"))
 
 
 def natural_key(c: Column, width: int = 20) -> Column:
-    """A sort key in which runs of digits count by value: digits are left-padded with zeros to ``width``."""
+    """A sort key in which runs of digits count by value: digits are left-padded with zeros to ``width``.
+
+    Longer runs come after all others (a colon sorts behind the digits), by their number of digits first.
+    """
+
+    def number(p: Column) -> Column:
+        own = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.when(F.length(own) <= width, F.lpad(own, width, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(own).cast("string"), 10, "0"), own))
+
     parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def font_variant(c: Column) -> tuple[Column, Column, Column]:
-    """family, weight (400 unless given), italic of ``Family:700i``."""
-    spec = F.coalesce(F.get(F.split(c, ":"), F.lit(1)), F.lit(""))
-    weight = F.regexp_extract(spec, r"^(\d+)", 1)
-    return F.get(F.split(c, ":"), F.lit(0)), F.when(weight == "", F.lit(400)).otherwise(weight.cast("int")), spec.endswith("i")
+    """family, weight, italic of ``Family:700i``: behind the first colon, all digits are the weight and any i means italic.
+
+    The weight is 400 where there is none or it exceeds 16 bits.
+    """
+    at = F.instr(c, ":")
+    spec = F.when(at > 0, F.substr(c, at + 1)).otherwise("")
+    weight = F.regexp_replace(spec, "[^0-9]", "").try_cast("int")
+    return F.when(at > 0, F.substr(c, F.lit(1), at - 1)).otherwise(c), F.when(weight <= 65_535, weight).otherwise(400), spec.contains("i")
 
 
 def family_dir(c: Column) -> Column:
@@ -81,9 +103,10 @@ def family_dir(c: Column) -> Column:
 
 
 # Unicode scripts and ranges that the layout rules name.
-CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-CJK_LAYOUT = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
-RTL = r"[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}]"
+CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsBopomofo}]"
+CJK_LAYOUT = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}]"
+RTL_SCRIPTS = ("Arabic", "Hebrew", "Syriac", "Thaana", "Nko", "Adlam")
+RTL = "[" + "".join(rf"\p{{Is{x}}}" for x in RTL_SCRIPTS) + "]"
 DICTIONARY_BREAKS = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 FULLWIDTH_PUNCTUATION = "[、。〈-】〔-〟〰・！-／：-＠［-｀｛-･]"
 
@@ -92,6 +115,12 @@ def script_flags(c: Column) -> dict[str, Column]:
     return {"cjk": c.rlike(CJK), "rtl": c.rlike(RTL), "dictionary": c.rlike(DICTIONARY_BREAKS)}
 
 
+def rtl_script(c: Column) -> Column:
+    """The script of the first character that is written from right to left; null without one."""
+    first = F.regexp_extract(c, f"({RTL})", 1)
+    return F.coalesce(*[F.when(first.rlike(rf"\p{{Is{x}}}"), F.lit(x)) for x in RTL_SCRIPTS])
+
+
 def writing_mode(c: Column, direction: Column, width: Column, height: Column) -> Column:
     """Horizontal unless the text is CJK (without Hangul); then as the direction says, or by the box's shape."""
     asian = nonblank(c) & c.rlike(CJK_LAYOUT)
@@ -99,8 +128,11 @@ def writing_mode(c: Column, direction: Column, width: Column, height: Column) ->
 
 
 def effects(c: Column, known: list[str]) -> tuple[Column, Column]:
-    """The effect names in a text separated by commas, bars, pluses or spaces, and whether all are known."""
-    names = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[,|+\s]+"), lambda x: x != "")
+    """The effect names in a text separated by commas, bars, pluses or white space, and whether all are known.
+
+    "none" and "normal" are allowed and name nothing, like an empty text.
+    """
+    names = F.filter(F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), WHITE, " " * len(WHITE)), r"[,|+ ]+"), lambda x: ~x.isin("", "none", "normal"))
     return F.array_distinct(names), F.forall(names, lambda x: x.isin(*known))
 
 
@@ -109,6 +141,34 @@ _TAG = re.compile(r"[ \t]*\[\+?0*([1-9]\d*)\]")
 _LINE_TAG = re.compile(r"\n[ \t]*\[\+?0*([1-9]\d*)\]")
 
 
+# Languages with their tags, aliases and a translation service's code, which isn't always the language's own.
+LANGUAGES = [
+    ("Simplified Chinese", "zh-CN", "zh zh-Hans", "ZH-HANS"), ("English", "en-US", "en", "EN-US"), ("French", "fr-FR", "fr", "FR"),
+    ("Portuguese", "pt-PT", "pt", "PT-PT"), ("Brazilian Portuguese", "pt-BR", "", "PT-BR"), ("Spanish", "es-ES", "es", "ES"),
+    ("Japanese", "ja-JP", "ja", "JA"), ("Turkish", "tr-TR", "tr", "TR"), ("Russian", "ru-RU", "ru", "RU"), ("Arabic", "ar-SA", "ar", "AR"),
+    ("Korean", "ko-KR", "ko", "KO"), ("Thai", "th-TH", "th", "TH"), ("Italian", "it-IT", "it", "IT"), ("German", "de-DE", "de", "DE"),
+    ("Vietnamese", "vi-VN", "vi", "VI"), ("Malay", "ms-MY", "ms", "MS"), ("Indonesian", "id-ID", "id", "ID"), ("Filipino", "fil-PH", "fil tl", "EN-US"),
+    ("Hindi", "hi-IN", "hi", "HI"), ("Traditional Chinese", "zh-TW", "zh-Hant", "ZH-HANT"), ("Polish", "pl-PL", "pl", "PL"), ("Czech", "cs-CZ", "cs", "CS"),
+    ("Dutch", "nl-NL", "nl", "NL"), ("Khmer", "km-KH", "km", "EN-US"), ("Burmese", "my-MM", "my", "EN-US"), ("Persian", "fa-IR", "fa", "EN-US"),
+    ("Gujarati", "gu-IN", "gu", "GU"), ("Urdu", "ur-PK", "ur", "UR"), ("Telugu", "te-IN", "te", "TE"), ("Marathi", "mr-IN", "mr", "MR"),
+    ("Hebrew", "he-IL", "he", "HE"), ("Bengali", "bn-BD", "bn", "BN"), ("Bulgarian", "bg-BG", "bg", "BG"), ("Tamil", "ta-IN", "ta", "TA"),
+    ("Ukrainian", "uk-UA", "uk", "UK"), ("Tibetan", "bo-CN", "bo", "ZH"), ("Kazakh", "kk-KZ", "kk", "KK"), ("Mongolian", "mn-MN", "mn", "EN-US"),
+    ("Uyghur", "ug-CN", "ug", "ZH"), ("Cantonese", "yue-HK", "yue", "ZH"), ("Belarusian", "be-BY", "be", "BE"), ("Hungarian", "hu-HU", "hu", "HU"),
+]
+
+
+def languages(spark: SparkSession) -> DataFrame:
+    """(given, name, tag, code): each language under its name, its tag and its aliases."""
+    rows = [(given, name, tag, code) for name, tag, aliases, code in LANGUAGES for given in [name, tag, *aliases.split()]]
+    return spark.createDataFrame(rows, "given string, name string, tag string, code string")
+
+
+def parsed_languages(rows: DataFrame, given: str) -> DataFrame:
+    """Adds name, tag and code of the language that the column names, white space around it aside; null where none is meant."""
+    known = F.broadcast(languages(rows.sparkSession)).withColumnRenamed("given", "_given")  # a fixed list
+    return rows.join(known, trimmed(F.col(given)) == F.col("_given"), "left").drop("_given")
+
+
 def _next_tag(text: str, at: int):
     """The next tag, which stands at ``at`` (a start, or where a tag has ended) or at the start of a later line."""
     return _TAG.match(text, at) or _LINE_TAG.search(text, at)

@@ -111,6 +111,12 @@ def global_position(rows: DataFrame, *order) -> DataFrame:
     return own.join(F.broadcast(shifts), "_part").withColumn("position", F.col("_k") + F.col("_ahead")).drop("_part", "_k", "_ahead")
 
 
+def overlapping_labels(mask: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page, labels): the labels above 0 of places (page, x, y, label) that the mask (page, x, y, v) has set, each once, in order."""
+    hit = labels.where("label > 0").join(mask.where("v > 0"), ["page", "x", "y"], "left_semi").select("page", "label").distinct()
+    return hit.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))  # at most 255 labels a page
+
+
 def contrast(r: Column, g: Column, b: Column) -> Column:
     """Black on light colours, white on dark ones."""
     return F.when(0.299 * r + 0.587 * g + 0.114 * b > 128, F.lit("black")).otherwise("white")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumage.functions.text import nonblank
+from plumage.functions.text import nonblank, trimmed
 from plumage.operators.lineage import cut
 
 
@@ -130,3 +130,86 @@ def component_boxes(pixels: DataFrame) -> DataFrame:
         if not step.where("least < c").limit(1).count():
             break
     return now.groupBy("page", "c").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n")).drop("c")
+
+
+def renderable(nodes: DataFrame) -> DataFrame:
+    """Nodes with a translation that isn't blank, which is trimmed."""
+    return nodes.where(nonblank(F.col("translation"))).withColumn("translation", trimmed(F.col("translation")))
+
+
+def selected(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen nodes (page, id), numbered in each page's stacking order among themselves."""
+    w = Window.partitionBy("page").orderBy("ord")
+    return nodes.join(chosen.select("page", "id"), ["page", "id"], "left_semi").withColumn("position", F.row_number().over(w) - 1)
+
+
+Point = tuple[Column, Column]
+
+
+def quad_box(quad: list[Point]) -> list[Column]:
+    """Least and largest x and y of four points, as x1, y1, x2, y2."""
+    xs, ys = zip(*quad)
+    return [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+
+
+def quad_axes(quad: list[Point]) -> tuple[Column, Column]:
+    """Lengths of the lines between the middles of opposite sides: first to third, then fourth to second side."""
+    middle = [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in zip(quad, quad[1:] + quad[:1])]
+    length = lambda a, b: F.sqrt(F.pow(b[0] - a[0], 2) + F.pow(b[1] - a[1], 2))
+    return length(middle[0], middle[2]), length(middle[3], middle[1])
+
+
+def _between(x: Column, low, high) -> Column:
+    return F.greatest(F.least(x, high if isinstance(high, Column) else F.lit(high)), low if isinstance(low, Column) else F.lit(low))
+
+
+def font_bounds(width: Column, height: Column, box_w: Column, box_h: Column) -> tuple[Column, Column]:
+    """Least font size of a page (a ninetieth of its longer side, 12 to 28) and largest of a box (72 at most, above the least)."""
+    least = _between(F.greatest(width, height) / 90.0, 12.0, 28.0)
+    return least, _between(F.least(box_h * 0.45, box_w * 0.9), least + 1, 72.0)
+
+
+def stroke_width(font: Column) -> Column:
+    """A tenth of the font size, 1.2 to 8."""
+    return _between(font * 0.1, 1.2, 8.0)
+
+
+def stroke(block: Column, whole: Column, predicted: Column, font: Column, auto: Column) -> Column:
+    """The outline (colour, width) of a text, null where it is switched off.
+
+    block and whole: structs (enabled, colour, width) of the block's and the document's style, null where there is none; the
+    first that there is decides, and ``enabled`` false means no outline. Without either it has the contrasting colour
+    ``auto`` and the predicted width if that is above 0. A missing width follows from the font size.
+    """
+    styled = lambda s: F.when(s["enabled"], F.struct(s["colour"].alias("colour"), F.coalesce(s["width"], stroke_width(font)).alias("width")))
+    other = F.struct(auto.alias("colour"), F.when(predicted > 0, predicted).otherwise(stroke_width(font)).alias("width"))
+    return F.when(block.isNotNull(), styled(block)).when(whole.isNotNull(), styled(whole)).otherwise(other)
+
+
+def text_colour(styled: Column, own: Column, predicted: Column, black: Column) -> Column:
+    """The style's colour where the text has a style of its own, else the predicted one, else black."""
+    return F.when(styled, own).otherwise(F.coalesce(predicted, black))
+
+
+def crop_bounds(width: Column, height: Column, b: dict[str, Column], expand: Column, font: Column, vertical: Column) -> dict[str, Column]:
+    """Whole-pixel bounds of a text block (x, y, w, h) in an image; ``b`` may hold lines_x1 to lines_y2, the extent of its lines.
+
+    Only blocks to ``expand`` (of a line detector, or with lines) take their lines in and get padding: 0.12 of the font size along the
+    writing and 0.18 across it, at least 0.08 and 2 pixels. A missing font size is the shorter side. Bounds hold a pixel at least.
+    """
+    right, bottom = b["x"] + b["w"], b["y"] + b["h"]
+    size = F.coalesce(font, F.greatest(F.least(b["w"], b["h"]), F.lit(1.0)))
+    least = F.greatest(size * 0.08, F.lit(2.0))
+    along, across = F.greatest(size * 0.12, least), F.greatest(size * 0.18, least)
+    pad_x, pad_y = F.when(vertical, across).otherwise(along), F.when(vertical, along).otherwise(across)
+    low = lambda c, pad, side: _between(F.floor(c - pad), 0, side - 1)
+    x1 = F.when(expand, low(F.least(b["x"], b["lines_x1"]), pad_x, width)).otherwise(F.floor(F.greatest(b["x"], F.lit(0.0)))).cast("int")
+    y1 = F.when(expand, low(F.least(b["y"], b["lines_y1"]), pad_y, height)).otherwise(F.floor(F.greatest(b["y"], F.lit(0.0)))).cast("int")
+    x2 = F.when(expand, F.ceil(F.greatest(right, b["lines_x2"]) + pad_x)).otherwise(F.ceil(right))
+    y2 = F.when(expand, F.ceil(F.greatest(bottom, b["lines_y2"]) + pad_y)).otherwise(F.ceil(bottom))
+    return {"x1": x1, "y1": y1, "x2": _between(x2, x1 + 1, width).cast("int"), "y2": _between(y2, y1 + 1, height).cast("int")}
+
+
+def centred(b: dict[str, Column], w: Column, h: Column) -> tuple[Column, Column]:
+    """Upper left corner, rounded, of a w x h sprite in the middle of the box (x, y, w, h)."""
+    return F.round(b["x"] + b["w"] * 0.5 - w * 0.5), F.round(b["y"] + b["h"] * 0.5 - h * 0.5)

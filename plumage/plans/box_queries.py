@@ -79,7 +79,8 @@ def _polygon(spark, d):
 
 def _distinct_overlap(spark, d):
     p = detect.overlap_pairs(boxes(spark, d), 0).where("inter > 0")
-    return p.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("a_label")), ",").alias("labels"))
+    labels = p.select("page_id", F.explode(F.array("a_label", "b_label")).alias("label"))
+    return labels.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
 def _touching(spark, d):
@@ -179,7 +180,7 @@ select *, cast(least(d, x1, 1010 - x2) as int) as dw, cast(least(d, y1, 1370 - y
     "box_label_majority": sql("select page_id, label, n from (select page_id, label, count(*) as n from boxes group by 1, 2) qualify row_number() over (partition by page_id order by n desc, label desc) = 1"),
     "box_seed_majority": sql("select page_id, seed, label, n from (select s.page_id, s.box_id as seed, c.label, count(*) as n from boxes s join boxes c on s.page_id = c.page_id where s.box_id <= 3 and (c.x1 + c.x2) / 2 >= s.x1 and (c.x1 + c.x2) / 2 < s.x2 and (c.y1 + c.y2) / 2 >= s.y1 and (c.y1 + c.y2) / 2 < s.y2 group by 1, 2, 3) qualify row_number() over (partition by page_id, seed order by n desc, label desc) = 1"),
     "box_area_rank_labels": sql("select * from (select page_id, box_id, cast((x2 - x1) * (y2 - y1) as bigint) as area, cast(row_number() over (partition by page_id order by (x2 - x1) * (y2 - y1) desc, box_id) as int) as paint_id from boxes) where paint_id <= 4"),
-    "box_distinct_overlap_labels": sql("select page_id, string_agg(distinct a_label, ',' order by a_label) as labels from pairs where inter > 0 group by 1", _PAIRS.format("boxes")),
+    "box_distinct_overlap_labels": sql("select page_id, string_agg(distinct label, ',' order by label) as labels from (select page_id, unnest([a_label, b_label]) as label from pairs where inter > 0) group by 1", _PAIRS.format("boxes")),
     "box_slice_plan": sql("select * from plan", PAGES, PLAN),
     "box_slice_union": sql("select b.page_id, b.box_id, v.k as slice, b.x1, b.y1 + p.y_from as y1, b.x2, b.y2 + p.y_from as y2 from boxes b, (values (0), (1)) v(k) join plan p on p.page_id = b.page_id and p.slice = v.k", PAGES, PLAN),
     "box_polygon_area": sql("select page_id, cast(case when count(*) >= 3 then sum(x1 * ny - nx * y1) else 0 end as bigint) as area2 from (select *, coalesce(lead(x1) over w, first_value(x1) over w) as nx, coalesce(lead(y1) over w, first_value(y1) over w) as ny from boxes window w as (partition by page_id order by box_id)) group by 1"),

@@ -57,6 +57,11 @@ def _upsert(s, d):
     return c.upsert(n, new, ["page", "kind"], "n")
 
 
+def _resumed(s, d):
+    clients = table(s, d, "customer").select(F.col("c_custkey").alias("client"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey") * 7).alias("last_seq"))
+    return j.resumed(clients, events(s, d))
+
+
 def _failures(s, d):
     return j.isolated_failures(events(s, d).select(F.col("job_id").alias("page"), F.col("seq").alias("step"), (F.col("seq") % 23 == 0).alias("failed")))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "node_violations": lambda s, d: c.violations(nodes(s, d).select("page", F.col("kind").alias("role"), (F.col("kind") != "user").alias("single"))),
     "event_replay_tail": lambda s, d: j.replay_since(events(s, d), 9900).select("seq", "job_id", "tag"),
     "event_gap_replay": lambda s, d: j.gaps(events(s, d)),
+    "event_resume": _resumed,
     "event_job_state": lambda s, d: j.job_state(events(s, d)),
     "event_change_points": lambda s, d: j.change_points(events(s, d), "job_id", "event_type").select("seq", "job_id", "event_type"),
     "event_debounce": lambda s, d: j.debounced(events(s, d), "job_id", "30 minutes").groupBy("job_id").agg(F.count("*").alias("bursts"), F.max("n").alias("most")),
@@ -93,6 +99,7 @@ ORACLES = {
     "node_violations": f"with {NODES} select page, kind as role, count(*) as n from nodes where kind <> 'user' group by all having count(*) > 1",
     "event_replay_tail": f"with {EVENTS} select seq, job_id, tag from e where seq > 9900 and seq > (select max(seq) from e) - 256",
     "event_gap_replay": f"with {EVENTS} select job_id, before + 1 as missing_from, seq - 1 as missing_to from (select *, lag(seq) over (partition by job_id order by seq) as before from e) where seq > before + 1",
+    "event_resume": f"with {EVENTS}, r as (select seq from e where seq > (select max(seq) from e) - 256), c as (select c_custkey as client, case when c_custkey % 9 <> 0 then c_custkey * 7 end as last_seq from customer) select client, last_seq, cast(count(seq) as int) as n_replayed, last_seq is null or coalesce(min(seq) > last_seq + 1, false) as snapshot from c left join r on seq > last_seq group by client, last_seq",
     "event_job_state": f"with {EVENTS} select job_id, case when count(*) filter (tag = 'finished') = 0 then 'running' when count(*) filter (tag = 'warning') = 0 then 'completed' else 'completed_with_errors' end as status, count(*) filter (tag = 'warning') as warnings, max(seq) as last_seq from (select *, max(seq) filter (tag = 'started') over (partition by job_id) as start from e) where start is null or seq >= start group by 1",
     "event_change_points": f"with {EVENTS} select seq, job_id, event_type from (select *, lag(event_type) over (partition by job_id order by seq) as b from e) where b is distinct from event_type",
     "event_debounce": f"with {EVENTS}, s as (select job_id, ts, sum(case when ts - b < interval 30 minutes then 0 else 1 end) over (partition by job_id order by ts, seq) as k from (select *, lag(ts) over (partition by job_id order by ts, seq) as b from e)) select job_id, count(*) as bursts, max(n) as most from (select job_id, k, count(*) as n from s group by all) group by 1",

@@ -28,11 +28,26 @@ def replay_since(events: DataFrame, seq: int, ring: int = 256) -> DataFrame:
 
 
 def gaps(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Places where a subscriber of one key misses sequence numbers (from, to), so that it must start from a snapshot."""
+    """Holes in the sequence numbers that a subscriber of one key alone sees (from, to). See resumed for what a replay misses."""
     before = F.lag("seq").over(Window.partitionBy(key).orderBy("seq"))
     return events.select(key, "seq", before.alias("before")).where("seq > before + 1").select(key, (F.col("before") + 1).alias("missing_from"), (F.col("seq") - 1).alias("missing_to"))
 
 
+def resumed(clients: DataFrame, events: DataFrame, ring: int = 256) -> DataFrame:
+    """clients (client, last_seq) with n_replayed and snapshot: what each gets on reconnecting.
+
+    It gets the retained events after the last one that it saw. Where the first of them isn't the very next one, events are lost
+    and a snapshot comes first; so it does for a client that has seen nothing (null). The ring, at most ``ring`` numbers, is
+    one row that all clients are held against.
+    """
+    kept = retained(events, ring).agg(F.array_sort(F.collect_list("seq")).alias("_ring"))
+    rows = clients.crossJoin(F.broadcast(kept))  # one row
+    missed = F.filter("_ring", lambda x: x > F.col("last_seq"))
+    lost = F.get(missed, F.lit(0)) > F.col("last_seq") + 1
+    fresh = F.col("last_seq").isNull()
+    return rows.select("client", "last_seq", F.when(fresh, 0).otherwise(F.size(missed)).alias("n_replayed"), (fresh | F.coalesce(lost, F.lit(False))).alias("snapshot"))
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """job_id, status, warnings, last_seq. A start forgets what was before; a job that was never started is running."""
     last_start = events.where("tag = 'started'").groupBy("job_id").agg(F.max("seq").alias("start"))
