@@ -41,8 +41,8 @@ OVERHEAD = 64
 #: The vocabulary of pack() and its end mark, an id that no text gives.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50256
-#: Parts of one size that a bucket of hashes holds at most, about: 32 MB of the largest ones.
-BUCKET_ROWS = 4000
+#: Parts of one size that a bucket of hashes holds at most, about: 8 MB of the largest ones.
+BUCKET_ROWS = 1000
 _RANKS = 46
 
 
