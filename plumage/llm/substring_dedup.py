@@ -37,8 +37,8 @@ from plumage.llm.shingles import rolled, word_hashes_many
 
 WINDOW = 50
 GRAM = 8
-#: Bytes of words of a group that is ranked in memory, which takes about 30 times as much.
-GROUP_BYTES = 1 << 20
+#: Bytes of words of a group that is ranked in memory, which takes about 30 times as much. A group is one task's.
+GROUP_BYTES = 1 << 18
 #: Words ranked together, where groups allow.
 BATCH_WORDS = 500_000
 #: Bytes of text hashed together.
@@ -290,7 +290,9 @@ def numbered(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame,
 
 def repeats(source: DataFrame, window: int, group_bytes: int, scratch: Scratch) -> DataFrame:
     """(o, h, gone): of each text (o, h, text) the stretches (first, last) of windows that a smaller o has."""
-    found = scratch.save(marked(source.mapInArrow(_runs(window), "o bigint, h bigint, p int, last int, j int, k bigint, d binary, size int"), group_bytes), "marked")
+    all_runs = scratch.save(source.mapInArrow(_runs(window), "o bigint, h bigint, p int, last int, j int, k bigint, d binary, size int"), "runs")
+    found = scratch.save(marked(all_runs, group_bytes), "marked")
+    scratch.drop("runs")
     stretch = lambda df: df.where("kind = 0").select("o", "h", F.col("p").alias("first"), "last")
     gone = stretch(found)
     asked = found.where("kind > 0").groupBy("o", "h").agg(F.collect_set(F.struct("p", "last", "j", "k", "kind")).alias("asked"))  # as many as the text has
