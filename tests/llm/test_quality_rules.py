@@ -33,3 +33,13 @@ def test_counts_and_verdicts(spark):
     kept = keep_good(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {8, 9}
     assert keep_good(df.limit(0)).count() == 0
+
+
+def test_scripts_without_function_words_and_names_with_dots(spark):
+    letters = {"ru": "абвгдежзиклмнопрст", "ar": "ابتثجحخدذرزسشصض", "zh": "一二三四五六七八九十百千", "el": "αβγδεζηθικλμνξο"}
+    rows = [(k, " ".join(x[i % len(x)] + x[(i * 7 + i // 9) % len(x)] + x[(i * 5 + 3) % len(x)] for i in range(120)), 1) for k, x in letters.items()]
+    rows += [("latin", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}qrx" for i in range(120)), 1), ("it", PROSE.replace("the", "della"), 1), ("long", PROSE + " " + " ".join(f"the w{i}" for i in range(60_000)), 1)]
+    df = spark.createDataFrame(rows, "`my.id` string, text string, `a.b` int")
+    kept = keep_good(df)
+    assert kept.columns == df.columns
+    assert {r["my.id"] for r in kept.collect()} == {*letters, "it", "long"}
