@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import table
+from plumage.llm.common import pick, slices, table
 
 #: Words that a task remembers; beyond, it forgets all and goes on.
 CACHE_WORDS = 400_000
@@ -47,6 +47,7 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         spec = json.loads(raw)
+        self.check(spec)
         model = spec["model"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.ids: dict[str, int] = model["vocab"]
@@ -74,6 +75,26 @@ class Vocabulary:
         self.cache: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
 
+    @staticmethod
+    def check(spec: dict) -> None:
+        """Raises where the file asks for anything that this class doesn't do; its ids would be wrong without a sign."""
+        model = spec.get("model", {})
+        steps = [(x.get("type"), x.get("pattern"), x.get("content")) for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        found = {
+            "a BPE model": model.get("type") == "BPE",
+            f"words that end in {END}": model.get("end_of_word_suffix") == END,
+            "no other model options": not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+            "NFC, white space to a space, lower case": steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)],
+            "a pattern whose matches are words, then bytes": [x.get("type") for x in split] == ["Split", "ByteLevel"]
+            and (split[0].get("behavior"), split[0].get("invert"), split[1].get("add_prefix_space"), split[1].get("use_regex")) == ("Removed", True, False, False),
+            "special tokens matched as they stand": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+            "no decoder": spec.get("decoder") is None,
+            "every letter of bytes, inside and at the end of words": all(c in model.get("vocab", {}) and c + END in model["vocab"] for c in byte_letters()),
+        }
+        if missing := [k for k, ok in found.items() if not ok]:
+            raise ValueError(f"this vocabulary file doesn't have: {'; '.join(missing)}")
+
     def letters_of(self, word: str) -> str:
         return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
 
@@ -225,14 +246,16 @@ def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
     ``docs`` play no part.
     """
     with open(vocab_path, "rb") as f:
-        vocab = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    Vocabulary.check(json.loads(raw))
+    vocab = docs.sparkSession.sparkContext.broadcast(raw)
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
     put = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digest else (lambda s: s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(vocab.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, ids, decoded = [], [], []
             for texts in _chunks(batch.column(1).to_pylist(), CHUNK_CHARS):
                 for a, b in v.encode(texts):
@@ -241,7 +264,7 @@ def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_co
                     decoded.append(put(b))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", *names])
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(pick(docs, id_col).alias("doc_id"), pick(docs, text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, {names[0]} string, {names[1]} string")
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumage.llm.common import table
+from plumage.llm.common import pick, table
 
 BUDGET = 256
 HISTORY = 2
@@ -54,8 +54,8 @@ def chat_windows(turns: DataFrame, conv="conv_id", turn="turn", role="role", tex
     columns of ``turns`` play no part.
     """
     t = turns.select(
-        turns[conv].alias("conv_id"),
-        F.struct(turns[turn].alias("turn"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text")).alias("t"),
+        pick(turns, conv).alias("conv_id"),
+        F.struct(pick(turns, turn).alias("turn"), F.coalesce(pick(turns, role), F.lit("")).alias("role"), F.coalesce(pick(turns, text), F.lit("")).alias("text")).alias("t"),
     )
     convs = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     convs = convs.withColumn("size", F.transform("ts", lambda x: tokens(x["text"])))

@@ -1,6 +1,6 @@
 """Language identification: first the family, then one-versus-one linear support vector machines inside it.
 
-Features are hashed 2-, 3- and 4-grams of the text's bytes (letters folded to lower case, other ASCII to a space). A
+Features are hashed 2-, 3- and 4-grams of the text's bytes (ASCII letters folded to lower case, other ASCII to a space, all other bytes as they are). A
 machine's margin is the mean weight of all grams of the whole text, so long and short texts are on one scale. Families
 are told apart in the same way, by machines between each two families; a family's languages by machines between each two
 of them, and only those of the chosen family count.
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import crc_mod, table
+from plumage.llm.common import crc_mod, pick, slices, table
 
 SAMPLE_ROWS = 600
 SAMPLE_CHARS = 20_000
@@ -149,7 +149,7 @@ class Predictor:
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> list[tuple[str, str]]:
     """(text, lang) of about ``rows`` rows of each language, at most a tenth more over all, by hash of the id."""
-    df = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("t"), labelled[lang_col].alias("g")).where("g is not null and t is not null and g <> 'und'")
+    df = labelled.select(pick(labelled, id_col).alias("id"), pick(labelled, text_col).alias("t"), pick(labelled, lang_col).alias("g")).where("g is not null and t is not null and g <> 'und'")
     df = df.where(F.length("t").between(1, chars))
     counts = {r.g: r.n for r in df.groupBy("g").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not counts:
@@ -176,11 +176,11 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Predictor(sent.value)
-        for b in batches:
+        for b in slices(batches, 1):
             found = [p.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return docs.select(pick(docs, id_col).alias("doc_id"), pick(docs, text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import SEPARATORS, Scratch, join_split, table
+from plumage.llm.common import SEPARATORS, Scratch, join_split, pick, table
 
 EVERY = 4
 SPAN = 2
@@ -33,8 +33,8 @@ def _key(chunk: Column, bits: int) -> Column:
 
 def with_chunks(docs: DataFrame, id_col: str, text_col: str, every: int) -> DataFrame:
     """(id, h, lines, ends): h a hash of the text, ends the last line of each chunk, counted from 0."""
-    text = docs[text_col].cast("string")
-    df = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("h"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    text = pick(docs, text_col).cast("string")
+    df = docs.select(pick(docs, id_col).alias("id"), F.xxhash64(text).alias("h"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     df = df.select("*", F.transform("lines", lambda x: F.xxhash64(x)).alias("_lh"))
     rolling = lambda i: F.aggregate(F.slice("_lh", F.greatest(i - SPAN + 2, F.lit(1)), F.lit(SPAN)), F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x))
     last = F.size("lines") - 1
@@ -87,8 +87,8 @@ def _parts() -> Column:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """(id, h, gone): the lines of each document, by place from 0, that lie in a run which occurred earlier."""
     scratch = Scratch(docs.sparkSession)
-    text = docs[text_col].cast("string")
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("h"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    text = pick(docs, text_col).cast("string")
+    rows = docs.select(pick(docs, id_col).alias("id"), F.xxhash64(text).alias("h"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     worded = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.btrim(F.get("lines", i), F.lit(SEPARATORS)) != "")
     rows = rows.select("*", F.transform("lines", lambda x: _key(x, key_bits)).alias("lh"), worded.alias("worded"))
     size = lambda: F.col("s.last") - F.col("s.first") + 1
@@ -120,9 +120,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns play no part.
     """
     gone = repeated_runs(docs, id_col, text_col, key_bits) if runs else repeated_chunks(docs, id_col, text_col, every, key_bits)
-    gone = gone.withColumnsRenamed({"id": "gid", "h": "gh"})
-    df = with_chunks(docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")), "id", "t", every).withColumn("null", F.col("h") == F.xxhash64(F.lit(None).cast("string")))
-    df = df.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("h") == F.col("gh")), "left")
+    # rows that share id and text share their lines' fate; wrapped, null ids meet too, and Spark may split what is common
+    df = with_chunks(docs.select(pick(docs, id_col).alias("id"), pick(docs, text_col).alias("t")), "id", "t", every).withColumn("null", F.col("h") == F.xxhash64(F.lit(None).cast("string")))
+    key = lambda df: df.withColumn("_id", F.struct("id"))
+    df = join_split(key(df), key(gone).drop("id"), ["h", "_id"], "left")
 
     def left(end: Column, k: Column) -> Column:
         first = F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumage.llm.common import crc_mod, table
+from plumage.llm.common import crc_mod, pick, slices, table
 
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 50_000
@@ -97,12 +97,12 @@ def fit(rows: list[tuple[str, int]]) -> dict:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int) -> list[tuple[str, int]]:
     """Labelled texts of both classes, at most ``rows`` each, in an order by hash of the id."""
-    h = F.xxhash64(labels[id_col])
+    h = F.xxhash64(pick(labels, id_col))
     chosen = None
     for q in (0, 1):
-        part = labels.where(labels[label_col] == q).select(labels[id_col].alias("id"), F.lit(q).alias("q"), h.alias("h")).orderBy("h", "id").limit(rows)
+        part = labels.where(pick(labels, label_col) == q).select(pick(labels, id_col).alias("id"), F.lit(q).alias("q"), h.alias("h")).orderBy("h", "id").limit(rows)
         chosen = part if chosen is None else chosen.unionAll(part)
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).where(F.length("t").between(1, chars)).join(F.broadcast(chosen), "id")
+    found = docs.select(pick(docs, id_col).alias("id"), pick(docs, text_col).alias("t")).where(F.length("t").between(1, chars)).join(F.broadcast(chosen), "id")
     return [(r.t, r.q) for r in sorted(found.collect(), key=lambda r: (r.h, str(r.id), r.t))]
 
 
@@ -117,10 +117,10 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(sent.value)
-        for b in batches:
+        for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.score(t.as_py() or "") for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    return docs.select(pick(docs, id_col).alias("doc_id"), pick(docs, text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict:

@@ -61,3 +61,16 @@ def test_query(spark):
     plain = bpe_decode(bpe_encode(df, PATH).withColumnRenamed("decoded", "was"), PATH)
     assert plain.where("decoded <> was").count() == 0
     assert bpe_encode(df.limit(0), PATH).count() == 0
+
+
+def test_other_vocabularies_are_refused(spark, tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": None}, {"model": spec["model"] | {"end_of_word_suffix": None}}, {"decoder": {"type": "ByteLevel"}}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="doesn't have"):
+            bpe_encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(path))
+    got = bpe_encode(spark.createDataFrame([("x", "Hello", 1)], "`my.id` string, text string, `a.b` int"), PATH, "my.id").collect()
+    assert [(r.doc_id, r.decoded) for r in got] == [("x", expected("Hello")[1])]
