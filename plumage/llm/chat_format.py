@@ -142,3 +142,24 @@ def op10_chat_format(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+ORACLE = f"""
+with recursive c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, turn, role, '{PROBE}' from (values (0, 'user'), (1, 'assistant')) v(turn, role)),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i from c),
+s as (select *, cast(ceil(length(text) / 4) as bigint) + 4 as size, {len(TEXT + END)} + {" + ".join(f"length(replace(replace({x}, '{BACKSLASH}', '{BACKSLASH * 2}'), '<|', '<{BACKSLASH}|'))" for x in ("role", "text"))} as chars from t),
+b as (select *, sum(size) over w as e, first_value(size) over w as size0, first_value(chars) over w as chars0, first_value(role) over w = 'system' as sys from s window w as (partition by conv_id order by i)),
+m as (select *, e - size as before, sys::int as low, {BUDGET} - case when sys then size0 else 0 end as room from b),
+o as (select m.conv_id, m.i, min(h.before) as start, coalesce(sum(h.chars + {len(AGAIN)}) filter (h.i < m.i), 0) as history from m join m h on h.conv_id = m.conv_id and h.i between greatest(m.low, m.i - {HISTORY}) and m.i
+  where h.i = m.i or m.e - h.before <= m.room group by all),
+r as (select conv_id, i, before as start, cast(case when sys then chars0 + {len(NEW)} else 0 end + chars + {len(NEW)} as bigint) as total from m where i = low
+  union all select m.conv_id, m.i, case when m.e - r.start <= room then r.start else o.start end,
+    cast(total + chars + {len(NEW)} + case when m.e - r.start <= room then 0 else history + case when sys then chars0 + {len(AGAIN)} else 0 end end as bigint)
+  from r join m on m.conv_id = r.conv_id and m.i = r.i + 1 join o on o.conv_id = m.conv_id and o.i = m.i),
+f as (select conv_id, max(total) as total from r group by 1)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  coalesce(length(string_agg(text, '' order by i) filter (role = 'assistant')), 0) as loss_chars, sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  coalesce(any_value(total), any_value(chars0) + {len(NEW)}) as formatted_chars
+from m left join f using (conv_id) group by conv_id
+"""

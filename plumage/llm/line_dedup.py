@@ -145,3 +145,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"), runs=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = """
+with d as (select doc_id, text is null as none, string_split(coalesce(text, ''), chr(10)) as l from documents),
+k as (select doc_id, i, l[i] as line, regexp_matches(l[i], '[^\\x20\\x09-\\x0D]') as word from d, unnest(range(1, len(l) + 1)) as r(i)),
+p as (select doc_id, i as a, i + 1 as z from (select *, lead(word) over (partition by doc_id order by i) as other from k) where word and other is not null or other
+  union all select doc_id, i, z from (select doc_id, i, lead(i) over (partition by doc_id order by i) as z from k where word) where z - i > 2),
+t as (select p.doc_id, a, z from p join d using (doc_id) qualify row_number() over (partition by array_to_string(l[a:z], chr(10)) order by p.doc_id, a) > 1),
+g as (select distinct doc_id, unnest(range(a, z + 1)) as i from t),
+n as (select k.doc_id, count(g.i) as gone, coalesce(string_agg(line, chr(10) order by k.i) filter (g.i is null), '') as kept from k left join g on g.doc_id = k.doc_id and g.i = k.i group by 1)
+select d.doc_id, cast(case when none then 0 else len(l) end as bigint) as n_lines, gone as n_removed, sha256(kept) as kept_sha256 from d join n using (doc_id)
+"""

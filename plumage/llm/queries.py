@@ -16,4 +16,11 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_chat_format": chat_format.op10_chat_format,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_minhash": minhash.ORACLE, "op5_substring_dedup": substring_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_minhash": minhash.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
+}
