@@ -300,6 +300,11 @@ def visual_order(levels: list[int]) -> list[int]:
     return order
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def visual_orders(levels: pd.Series) -> pd.Series:
+    return levels.map(lambda x: None if x is None else visual_order(list(x)))
+
+
 def utf16_chunks(text: str, units: int) -> list[str]:
     """Cut so that no part has more than ``units`` UTF-16 units and no character is split (one alone may exceed it)."""
     out, size = [], units

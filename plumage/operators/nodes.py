@@ -114,22 +114,28 @@ def alpha_restored(pixels: DataFrame, ring: DataFrame) -> DataFrame:
     return out.withColumn("alpha", F.when(F.col("m") < 128, F.col("m")).otherwise(F.col("alpha"))).drop("m")
 
 
-def component_boxes(pixels: DataFrame) -> DataFrame:
-    """Bounding boxes (page, x1, y1, x2, y2, n; right and bottom exclusive) of connected pixels, diagonals included.
+def components(pixels: DataFrame) -> DataFrame:
+    """(page, x, y, c): pixels with the number of their connected area, diagonals included; all pages at once.
 
-    Each pixel takes the smallest number of its neighbourhood until nothing changes; all pages at once. Rounds follow the
-    longest path inside an area, so this is for small areas.
+    Each round every area found so far joins the smallest area that touches it, and what that one joins in turn, so long paths
+    don't need a round for each step.
     """
     now = pixels.select("page", "x", "y", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("c")).distinct()
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     while True:
-        around = now.select("page", "x", "y", "c", near.alias("o")).select("page", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "c")
+        around = now.select("page", "c", near.alias("o"), "x", "y").select("page", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "c")
         least = around.groupBy("page", "x", "y").agg(F.min("c").alias("least"))
-        step = cut(now.join(least, ["page", "x", "y"]))
-        now = step.select("page", "x", "y", F.col("least").alias("c"))
-        if not step.where("least < c").limit(1).count():
-            break
-    return now.groupBy("page", "c").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n")).drop("c")
+        joins = cut(now.join(least, ["page", "x", "y"]).groupBy("page", "c").agg(F.min("least").alias("to")))
+        after = joins.select("page", F.col("c").alias("to"), F.col("to").alias("next"))
+        jumps = joins.join(after, ["page", "to"]).select("page", "c", F.col("next").alias("to"))
+        now = cut(now.join(jumps, ["page", "c"]).select("page", "x", "y", F.col("to").alias("c")))
+        if not joins.where("to < c").limit(1).count():
+            return now
+
+
+def component_boxes(pixels: DataFrame) -> DataFrame:
+    """Bounding boxes (page, x1, y1, x2, y2, n; right and bottom exclusive) of connected pixels, diagonals included."""
+    return components(pixels).groupBy("page", "c").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.count("*").alias("n")).drop("c")
 
 
 def renderable(nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from plumage.operators.aggregate import median_and_deviation
 
@@ -19,26 +20,36 @@ def binarized(pixels: DataFrame, threshold: int) -> DataFrame:
     return pixels.where(F.col("v") > threshold).withColumn("v", F.lit(255))
 
 
-def _spread(pixels: DataFrame, offsets: Column, width: int, height: int) -> DataFrame:
+def _spread(pixels: DataFrame, steps: list[tuple[int, int]], width: int, height: int) -> DataFrame:
+    offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in steps])
     moved = pixels.select("page", "x", "y", "v", F.explode(offsets).alias("o"))
     moved = moved.select("page", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "v")
     return moved.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
 
 
+def _line(r: int, axis: str) -> list[tuple[int, int]]:
+    return [(k, 0) if axis == "x" else (0, k) for k in range(-r, r + 1)]
+
+
 def dilated(pixels: DataFrame, r: int, width: int, height: int, diamond: bool = False) -> DataFrame:
-    """The maximum over the square of radius r (or the diamond) around each place."""
-    steps = [(x, y) for x in range(-r, r + 1) for y in range(-r, r + 1) if not diamond or abs(x) + abs(y) <= r]
-    offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in steps])
-    return _spread(pixels, offsets, width, height).groupBy("page", "x", "y").agg(F.max("v").alias("v"))
+    """The maximum over the square of radius r (or the diamond) around each place. A square goes line by line, first across, then down."""
+    if diamond:
+        passes = [[(x, y) for x in range(-r, r + 1) for y in range(-r, r + 1) if abs(x) + abs(y) <= r]]
+    else:
+        passes = [_line(r, "x"), _line(r, "y")]
+    for steps in passes:
+        pixels = _spread(pixels, steps, width, height).groupBy("page", "x", "y").agg(F.max("v").alias("v"))
+    return pixels
 
 
 def eroded(pixels: DataFrame, r: int, width: int, height: int) -> DataFrame:
     """The places whose whole square of radius r, as far as it is in the image, is set; the minimum of it."""
-    side = range(-r, r + 1)
-    offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in side for y in side])
-    span = lambda c, n: F.least(F.col(c) + r, F.lit(n - 1)) - F.greatest(F.col(c) - r, F.lit(0)) + 1
-    full = _spread(pixels.where("v > 0"), offsets, width, height).groupBy("page", "x", "y").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-    return full.where(F.col("n") == span("x", width) * span("y", height)).drop("n")
+    pixels = pixels.where("v > 0")
+    for axis, n in (("x", width), ("y", height)):
+        span = F.least(F.col(axis) + r, F.lit(n - 1)) - F.greatest(F.col(axis) - r, F.lit(0)) + 1
+        full = _spread(pixels, _line(r, axis), width, height).groupBy("page", "x", "y").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+        pixels = full.where(F.col("n") == span).drop("n")
+    return pixels
 
 
 def closed(pixels: DataFrame, r: int, width: int, height: int) -> DataFrame:
@@ -94,33 +105,62 @@ def collisions(sprite: DataFrame, mask: DataFrame, alpha: int = 8) -> DataFrame:
     return out.groupBy("page").agg(F.count("*").alias("outside"))
 
 
+def _runs(row: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], row, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
 def holes(grid: np.ndarray) -> np.ndarray:
-    """Zero places that no path of zeros, diagonals included, joins to the border."""
-    free = np.pad(grid == 0, 1, constant_values=True)
-    reach = np.zeros_like(free)
-    reach[0, 0] = True
-    while True:
-        grown = reach.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                grown |= np.roll(reach, (dy, dx), (0, 1)) & free
-        if (grown == reach).all():
-            return (free & ~reach)[1:-1, 1:-1]
-        reach = grown
+    """Zero places that no path of zeros, diagonals included, joins to the border: runs of zeros, united with those they touch in the row above."""
+    free, out = grid == 0, np.zeros(grid.shape, bool)
+    parent, places, above = [0], [], []  # number 0 is the border
+    last = grid.shape[0] - 1
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for y, row in enumerate(free):
+        own, k = [], 0
+        for a, z in _runs(row):
+            n = len(parent)
+            parent.append(0 if y in (0, last) or a == 0 or z == grid.shape[1] else n)
+            while k < len(above) and above[k][1] < a:
+                k += 1
+            i = k
+            while i < len(above) and above[i][0] <= z:
+                p, q = root(above[i][2]), root(n)
+                parent[max(p, q)] = min(p, q)
+                i += 1
+            own.append((a, z, n))
+        places += [(y, *r) for r in own]
+        above = own
+    for y, a, z, n in places:
+        if root(n):
+            out[y, a:z] = True
+    return out
 
 
 def largest_rectangle(safe: np.ndarray, anchor: tuple[float, float]) -> tuple[int, int, int, int] | None:
-    """(left, top, right, bottom) of the largest all-true rectangle; of equal ones the one whose centre is nearest the anchor."""
+    """(left, top, right, bottom) of the largest all-true rectangle; of equal ones the one whose centre is nearest the anchor.
+
+    Row by row with a stack of rising heights: each rectangle that can't grow is judged once.
+    """
     best, tall = None, np.zeros(safe.shape[1], int)
     for y, row in enumerate(safe):
         tall = np.where(row, tall + 1, 0)
-        for h in np.unique(tall[tall > 0]):
-            edge = np.diff(np.concatenate([[0], (tall >= h).astype(int), [0]]))
-            for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                far = ((a + z) / 2 - anchor[0]) ** 2 + (y + 1 - h / 2 - anchor[1]) ** 2
-                key = (-(z - a) * h, far, a, y + 1 - h)
-                if best is None or key < best[0]:
-                    best = (key, (int(a), int(y + 1 - h), int(z), int(y + 1)))
+        stack: list[tuple[int, int]] = []  # (left, height)
+        for x, h in enumerate([*tall.tolist(), 0]):
+            left = x
+            while stack and stack[-1][1] >= h:
+                left, high = stack.pop()
+                if high and high > h:
+                    far = ((left + x) / 2 - anchor[0]) ** 2 + (y + 1 - high / 2 - anchor[1]) ** 2
+                    key = (-(x - left) * high, far, left, y + 1 - high)
+                    if best is None or key < best[0]:
+                        best = (key, (left, y + 1 - high, x, y + 1))
+            stack.append((left, h))
     return best and best[1]
 
 
@@ -169,6 +209,16 @@ def packbits(row: bytes) -> bytes:
     return bytes(out)
 
 
+@F.pandas_udf(BinaryType())
+def packed_rows(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda x: None if x is None else packbits(bytes(x)))
+
+
+@F.pandas_udf(BinaryType())
+def unpacked_rows(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda x: None if x is None else unpackbits(bytes(x)))
+
+
 def unpackbits(data: bytes) -> bytes:
     out, i = bytearray(), 0
     while i < len(data):

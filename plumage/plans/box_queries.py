@@ -186,6 +186,14 @@ select *, cast(least(d, x1, 1010 - x2) as int) as dw, cast(least(d, y1, 1370 - y
     "box_polygon_area": sql("select page_id, cast(case when count(*) >= 3 then sum(x1 * ny - nx * y1) else 0 end as bigint) as area2 from (select *, coalesce(lead(x1) over w, first_value(x1) over w) as nx, coalesce(lead(y1) over w, first_value(y1) over w) as ny from boxes window w as (partition by page_id order by box_id)) group by 1"),
     "box_unshared_label": sql("select page_id, box_id, label, count(*) over (partition by page_id, label) = 1 as may_expand from boxes"),
     "box_sort_variants": sql("select page_id, box_id, cast(row_number() over (partition by page_id order by y1 + y2, box_id) as int) as by_centre_y, cast(row_number() over (partition by page_id order by score desc, box_id) as int) as by_score, cast(row_number() over (partition by page_id order by (x2 - x1) * (y2 - y1) desc, box_id) as int) as by_area from boxes"),
+    "box_nms": "with recursive " + BOXES_SQL + """,
+b as (select *, row_number() over (partition by page_id, label order by score desc, box_id) as i from boxes),
+bad as (select a.page_id, a.label, a.i as earlier, b.i as later from b a join b on a.page_id = b.page_id and a.label = b.label and a.i < b.i where """ + INTER + " * 100 > (" + AREA.format("a") + " + " + AREA.format("b") + " - " + INTER + """) * 35),
+k as (select page_id, label, 1 as i, [1] as kept from b where i = 1
+  union all select k.page_id, k.label, k.i + 1, case when exists (select 1 from bad where bad.page_id = k.page_id and bad.label = k.label and later = k.i + 1 and list_contains(kept, earlier)) then kept else list_append(kept, k.i + 1) end
+  from k where k.i < (select max(i) from b where b.page_id = k.page_id and b.label = k.label)),
+f as (select page_id, label, kept from k qualify i = max(i) over (partition by page_id, label))
+select f.page_id, f.label, cast(list_position(kept, b.i) - 1 as int) as position, b.box_id, score, x1, y1, x2, y2 from f join b on b.page_id = f.page_id and b.label = f.label and list_contains(kept, b.i)""",
     # A box is kept unless a kept box comes before it: a recursion over places, all pages at once.
     "box_dedupe": "with recursive " + BOXES_SQL + """,
 b as (select *, (x2 - x1) * (y2 - y1) as area from boxes),

@@ -40,10 +40,10 @@ def _patch(s, d):
 
 
 def nodes(s, d):
-    return table(s, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.col("role").alias("kind"), F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(12)).alias("name"))
+    return table(s, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.col("role").alias("kind"), F.coalesce("text", F.lit("")).alias("name"))
 
 
-NODES = "nodes as (select conv_id as page, turn as ord, role as kind, left(coalesce(text, ''), 12) as name from conversations)"
+NODES = "nodes as (select conv_id as page, turn as ord, role as kind, coalesce(text, '') as name from conversations)"
 
 
 def _replace(s, d):
@@ -92,6 +92,16 @@ ORACLES = {
     "change_prior": f"with {CHANGES_SQL} select epoch, v, cast(lag(v) over w as double) as prior, lag(epoch) over w is not null as present from changes window w as (partition by entity, field order by epoch)",
     "change_inverse": f"with {CHANGES_SQL} select max(epoch) over () - epoch + 1 as seq, entity, field, cast(lag(v) over w as double) as v, lag(epoch) over w is null as unset from changes window w as (partition by entity, field order by epoch)",
     "change_replay": f"with {CHANGES_SQL} select entity, field, epoch, v from changes qualify row_number() over (partition by entity, field order by epoch desc) = 1",
+    "change_undo": f"""with recursive {CHANGES_SQL},
+c as (select entity, row_number() over (partition by entity order by epoch) as i, {{'epoch': epoch, 'v': v}} as item, case when epoch % 5 = 3 then 'undo' when epoch % 11 = 4 then 'redo' else 'apply' end as cmd from changes),
+k as (select distinct entity, cast(0 as bigint) as i, cast([] as struct(epoch bigint, v int)[]) as done, cast([] as struct(epoch bigint, v int)[]) as undone, cast([] as struct(epoch bigint, v int)[]) as fixed from c
+  union all select k.entity, c.i,
+    case when cmd = 'apply' then (list_append(done, item))[greatest(len(done) + 2 - 20, 1):] when cmd = 'undo' and len(done) > 0 then done[:len(done) - 1] when cmd = 'redo' and len(undone) > 0 then list_append(done, undone[len(undone)]) else done end,
+    case when cmd = 'apply' then [] when cmd = 'undo' and len(done) > 0 then list_append(undone, done[len(done)]) when cmd = 'redo' and len(undone) > 0 then undone[:len(undone) - 1] else undone end,
+    case when cmd = 'apply' and len(done) = 20 then list_append(fixed, done[1]) else fixed end
+  from k join c on c.entity = k.entity and c.i = k.i + 1),
+f as (select entity, list_concat(fixed, done) as items from k qualify i = max(i) over (partition by entity))
+select entity, cast(p as int) as position, items[p + 1].epoch as epoch, items[p + 1].v as v from f, unnest(range(len(items))) r(p)""",
     "change_sparse_patch": "select c_custkey, case when c_custkey % 3 = 0 then case when c_custkey % 2 = 0 then 'NEW' end else c_mktsegment end as c_mktsegment, c_acctbal from customer",
     "node_replace_kind": f"with {NODES} select page, cast(row_number() over (partition by page order by late, ord) - 1 as int) as position, kind, name from (select *, 0 as late from nodes where kind <> 'user' union all select page, ord, kind, 'new', 1 from nodes where kind = 'user' and ord < 2)",
     "node_reorder_within_kind": f"with {NODES} select page, ord, kind, name from nodes where kind <> 'user' union all select a.page, b.ord, a.kind, a.name from (select *, row_number() over (partition by page order by encode(name), ord) as k from nodes where kind = 'user') a join (select *, row_number() over (partition by page order by ord) as k from nodes where kind = 'user') b on a.page = b.page and a.k = b.k",

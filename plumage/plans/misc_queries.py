@@ -11,11 +11,12 @@ from plumage.plans import registry
 from plumage.sources import store
 from plumage.sources.fixtures import BOXES_SQL, boxes, table
 
-#: Pixels of 32 x 32 pages, from boxes: one row a place, the largest value counts.
-PIXELS = "select page_id % 500 as page, x1 % 32 as x, y1 % 32 as y, max(score % 256) as v from boxes group by all"
+#: Pixels of 32 x 32 pages, from boxes: one row a place, the largest value counts. The boxes of 64 pages share one, so it has many.
+PAGE = "cast(floor(page_id / 64) as bigint)"
+PIXELS = f"select {PAGE} as page, x1 % 32 as x, y1 % 32 as y, max(score % 256) as v from boxes group by all"
 PIXELS_SQL = f"{BOXES_SQL}, px as ({PIXELS})"
 #: Coloured, labelled pixels.
-COLOURS = ["page_id % 50 as page", "cast(box_id % 4 as int) as label", "box_id % 3 = 0 as masked", "200 + x1 % 12 as r", "190 + y1 % 8 as g", "180 + score % cast(5 + page_id % 5 * 9 as int) as b"]
+COLOURS = [f"{PAGE} as page", "cast(box_id % 4 as int) as label", "box_id % 3 = 0 as masked", "200 + x1 % 12 as r", "190 + y1 % 8 as g", "180 + score % cast(5 + page_id % 5 * 9 as int) as b"]
 
 #: Steps with what they need and produce.
 STEPS = [
@@ -30,21 +31,14 @@ STEP_VALUES = ", ".join(f"('{i}', '{n}', '{p}')" for i, n, p in STEPS)
 
 
 def pixels(s, d):
-    b = boxes(s, d)
-    return b.select((F.col("page_id") % 500).alias("page"), (F.col("x1") % 32).alias("x"), (F.col("y1") % 32).alias("y"), (F.col("score") % 256).alias("v")).groupBy("page", "x", "y").agg(F.max("v").alias("v"))
+    return boxes(s, d).selectExpr(f"{PAGE} as page", "x1 % 32 as x", "y1 % 32 as y", "score % 256 as v").groupBy("page", "x", "y").agg(F.max("v").alias("v"))
 
 
 def tiles(s, d):
-    return boxes(s, d).where("box_id <= 2").selectExpr("page_id % 500 as page", "x1 % 20 as x1", "y1 % 20 as y1", "x1 % 20 + 6 as x2", "y1 % 20 + 4 as y2")
-
-
-def _refine_all(s, d):
-    px = boxes(s, d).selectExpr("page_id as page", "x1 % 32 as x", "y1 % 32 as y", "score % 256 as v").groupBy("page", "x", "y").agg(F.max("v").alias("v"))
-    tl = boxes(s, d).selectExpr("page_id as page", "x1 % 20 as x1", "y1 % 20 as y1", "x1 % 20 + 6 as x2", "y1 % 20 + 4 as y2")
-    return r.refined(px, tl, 60, 32, 32).select("page", "x", "y")
+    return boxes(s, d).selectExpr(f"{PAGE} as page", "x1 % 20 as x1", "y1 % 20 as y1", "x1 % 20 + 6 as x2", "y1 % 20 + 4 as y2")
 
 
-TILES = "tl as (select page_id % 500 as page, x1 % 20 as x1, y1 % 20 as y1, x1 % 20 + 6 as x2, y1 % 20 + 4 as y2 from boxes where box_id <= 2)"
+TILES = f"tl as (select {PAGE} as page, x1 % 20 as x1, y1 % 20 as y1, x1 % 20 + 6 as x2, y1 % 20 + 4 as y2 from boxes)"
 
 
 def lines(s, d):
@@ -109,12 +103,8 @@ def _roles(s, d):
 
 
 def _topology(s, d):
-    done = registry.order([registry.Step(i, tuple(n.split(",")) if n else (), tuple(p.split(","))) for i, n, p in STEPS])
-    depth: dict[str, int] = {}
-    producer = {x: st.id for st in [registry.Step(i, (), tuple(p.split(","))) for i, _, p in STEPS] for x in st.produces}
-    for st in done:
-        depth[st.id] = max([0, *(depth[producer[x]] + 1 for x in st.needs if x in producer)])
-    return s.createDataFrame(list(depth.items()), "id string, depth int")
+    steps = s.createDataFrame([(k, i, n.split(",") if n else [], p.split(",")) for k, (i, n, p) in enumerate(STEPS)], "place int, id string, needs array<string>, produces array<string>")
+    return registry.depths(steps)
 
 
 def _providers(s, d):
@@ -159,6 +149,14 @@ def _thumbs(s, d):
     return boxes(s, d).select("page_id", "box_id", w.alias("w"), h.alias("h"))
 
 
+def _packbits(s, d):
+    """A page's rows of pixels, packed and unpacked again."""
+    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.lpad(F.hex(F.coalesce(F.element_at("px", x), F.lit(0))), 2, "0")), "")
+    rows = pixels(s, d).groupBy("page", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", (F.col("v") % 3).alias("v")))).alias("px")).select("page", "y", F.unhex(row).alias("raw"))  # 32 places at most
+    packed = rows.withColumn("packed", r.packed_rows("raw"))
+    return packed.select("page", "y", F.hex("raw").alias("raw"), F.length("packed").alias("n"), F.hex(r.unpacked_rows("packed")).alias("back"))
+
+
 QUERIES = {
     "block_aggregate": _block_aggregate,
     "block_weighted_colour": _weighted,
@@ -188,12 +186,12 @@ QUERIES = {
     "raster_dilate": lambda s, d: r.dilated(pixels(s, d), 1, 32, 32),
     "raster_close": lambda s, d: r.closed(pixels(s, d), 1, 32, 32).groupBy("page").agg(F.count("*").alias("n"), F.sum("v").alias("v")),
     "raster_refine_mask": lambda s, d: r.refined(pixels(s, d), tiles(s, d), 60, 32, 32).select("page", "x", "y"),
-    "raster_refine_mask_all": _refine_all,
     "raster_combine_area": lambda s, d: r.combined(pixels(s, d), 100),
     "raster_bubble_fill": lambda s, d: r.bubble_fill(boxes(s, d).selectExpr(*COLOURS)),
-    "raster_composite": lambda s, d: r.composite(boxes(s, d).selectExpr("page_id % 500 as page", "x1 % 8 as x", "y1 % 8 as y", "page_id * 100 + box_id as z", "score as v")),
+    "raster_composite": lambda s, d: r.composite(boxes(s, d).selectExpr(f"{PAGE} as page", "x1 % 8 as x", "y1 % 8 as y", "page_id * 100 + box_id as z", "score as v")),
     "raster_collision": lambda s, d: r.collisions(pixels(s, d), pixels(s, d).where("x < 16")),
-    "raster_holes": lambda s, d: r.filled_holes(r.dilated(pixels(s, d), 1, 32, 32), 32, 32),
+    "raster_packbits": _packbits,
+    "raster_holes": lambda s, d: r.filled_holes(r.dilated(r.binarized(pixels(s, d), 100), 1, 32, 32, diamond=True), 32, 32),
     "raster_safe_rectangle": lambda s, d: r.safe_rectangle(pixels(s, d), 32, 32),
 }
 
@@ -234,10 +232,9 @@ d as (select id, 0 as depth from s union all select e.b, depth + 1 from d join e
     "raster_dilate": f"with {PIXELS_SQL} select page, x, y, max(v) as v from (select page, cast(x + dx as int) as x, cast(y + dy as int) as y, v from px, {_SPREAD}) where x between 0 and 31 and y between 0 and 31 group by 1, 2, 3",
     "raster_close": f"with {PIXELS_SQL}, g as (select page, x, y, max(v) as v from (select page, x + dx as x, y + dy as y, v from px, {_SPREAD}) where x between 0 and 31 and y between 0 and 31 group by 1, 2, 3), h as (select page, x, y, count(*) as n, min(v) as v from (select page, x + dx as x, y + dy as y, v from g, {_SPREAD} where v > 0) where x between 0 and 31 and y between 0 and 31 group by 1, 2, 3) select page, count(*) as n, cast(sum(v) as bigint) as v from h where n = (least(x + 1, 31) - greatest(x - 1, 0) + 1) * (least(y + 1, 31) - greatest(y - 1, 0) + 1) group by 1",
     "raster_refine_mask": f"with {PIXELS_SQL}, {TILES}, i as (select page, x, y from px where v > 60 and exists (select 1 from tl where tl.page = px.page and x >= x1 and x < x2 and y >= y1 and y < y2)), g as (select distinct page, cast(x + dx as int) as x, cast(y + dy as int) as y from i, unnest(range(-2, 3)) a(dx), unnest(range(-2, 3)) b(dy) where abs(dx) + abs(dy) <= 2) select page, x, y from g where x between 0 and 31 and y between 0 and 31 and exists (select 1 from tl where tl.page = g.page and x >= x1 and x < x2 and y >= y1 and y < y2)",
-    "raster_refine_mask_all": f"with {BOXES_SQL}, px as (select page_id as page, x1 % 32 as x, y1 % 32 as y, max(score % 256) as v from boxes group by all), tl as (select page_id as page, x1 % 20 as x1, y1 % 20 as y1, x1 % 20 + 6 as x2, y1 % 20 + 4 as y2 from boxes), i as (select page, x, y from px where v > 60 and exists (select 1 from tl where tl.page = px.page and x >= x1 and x < x2 and y >= y1 and y < y2)), g as (select distinct page, cast(x + dx as int) as x, cast(y + dy as int) as y from i, unnest(range(-2, 3)) a(dx), unnest(range(-2, 3)) b(dy) where abs(dx) + abs(dy) <= 2) select page, x, y from g where x between 0 and 31 and y between 0 and 31 and exists (select 1 from tl where tl.page = g.page and x >= x1 and x < x2 and y >= y1 and y < y2)",
     "raster_combine_area": f"with {PIXELS_SQL} select page, count(*) filter (v >= 100) as area, max(v) as top from px group by 1",
     "raster_bubble_fill": f"with {BOXES_SQL}, c as (select {', '.join(COLOURS)} from boxes), k as (select * from c where not masked and label > 0), m as (select page, label, median(r) as mr, median(g) as mg, median(b) as mb from k group by all), v as (select page, label, any_value(mr) as mr, any_value(mg) as mg, any_value(mb) as mb, sqrt(avg(pow(r - mr, 2))) as dr, sqrt(avg(pow(g - mg, 2))) as dg, sqrt(avg(pow(b - mb, 2))) as db from k join m using (page, label) group by all) select page, label, cast(floor(mr) as int) as r, cast(floor(mg) as int) as g, cast(floor(mb) as int) as b from v where greatest(dr, dg, db) < case when list_stddev_pop([dr, dg, db]) > 1 then {{rough}} else {{smooth}} end and exists (select 1 from c where masked and c.page = v.page and c.label = v.label)",
-    "raster_composite": f"with {BOXES_SQL} select page, x, y, v from (select page_id % 500 as page, x1 % 8 as x, y1 % 8 as y, page_id * 100 + box_id as z, score as v from boxes) qualify row_number() over (partition by page, x, y order by z desc) = 1",
+    "raster_composite": f"with {BOXES_SQL} select page, x, y, v from (select {PAGE} as page, x1 % 8 as x, y1 % 8 as y, page_id * 100 + box_id as z, score as v from boxes) qualify row_number() over (partition by page, x, y order by z desc) = 1",
     "raster_collision": f"with {PIXELS_SQL} select page, count(*) as outside from px where v > 8 and not (x < 16 and v > 0) group by 1",
 }
 ORACLES["raster_bubble_fill"] = ORACLES["raster_bubble_fill"].format(rough="7", smooth="10")

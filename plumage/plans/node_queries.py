@@ -11,11 +11,11 @@ from plumage.sources.fixtures import BOXES_SQL, boxes, table
 
 def talk(s, d):
     return table(s, d, "conversations").select(
-        F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.col("role").alias("kind"), "role", F.substr(F.coalesce("text", F.lit("")), F.lit(1), F.lit(10)).alias("name"), F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"), (F.col("conv_id") * 100 + F.col("turn")).alias("id")
+        F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.col("role").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("name"), F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"), (F.col("conv_id") * 100 + F.col("turn")).alias("id")
     )
 
 
-TALK = "t as (select conv_id as page, turn as ord, role as kind, role, left(coalesce(text, ''), 10) as name, case when turn % 3 = 0 then '  ' else text end as text, conv_id * 100 + turn as id from conversations)"
+TALK = "t as (select conv_id as page, turn as ord, role as kind, role, coalesce(text, '') as name, case when turn % 3 = 0 then '  ' else text end as text, conv_id * 100 + turn as id from conversations)"
 
 
 def _targets(s, d):
@@ -79,11 +79,6 @@ def _alpha(s, d):
 
 
 def _components(s, d):
-    px = boxes(s, d).select((F.col("page_id") % 500).alias("page"), (F.col("x1") % 40).alias("x"), (F.col("y1") % 40).alias("y"), "score").where("score % 11 = 0")
-    return n.component_boxes(px)
-
-
-def _components_all(s, d):
     return n.component_boxes(boxes(s, d).select(F.col("page_id").alias("page"), (F.col("x1") % 40).alias("x"), (F.col("y1") % 40).alias("y")))
 
 
@@ -102,7 +97,6 @@ QUERIES = {
     "event_json": _json,
     "alpha_restore": _alpha,
     "raster_component_boxes": _components,
-    "raster_component_boxes_all": _components_all,  # no SQL: tests/test_whole_rasters.py holds it against brute force
 }
 
 ORACLES = {
@@ -122,7 +116,7 @@ cast(greatest(2, least(12, round(case when box_id % 2 = 0 then score / 10 else g
     "region_clip": f"with {BOXES_SQL} select * from (select page_id, box_id, greatest(0, least(x1 - 100, 500)) as x1, greatest(0, least(y1 - 100, 700)) as y1, greatest(0, least(x2 - 100, 500)) as x2, greatest(0, least(y2 - 100, 700)) as y2 from boxes) where x2 > x1 and y2 > y1",
     "event_json": """select event_id, coalesce(cast(json_extract_string(props, '$.k') as int), -1) as k, '{"seq":' || event_id || coalesce(',"k":' || json_extract_string(props, '$.k'), '') || '}' as json from events""",
     "alpha_restore": f"with {BOXES_SQL}, m as (select page_id, cast(floor(median(score % 256)) as int) as m from boxes where box_id % 2 = 1 group by 1) select page_id as page, box_id, cast(case when m < 128 then m else score % 256 end as int) as alpha from boxes left join m using (page_id) where box_id % 2 = 0",
-    "raster_component_boxes": f"""with recursive {BOXES_SQL}, p as (select distinct page_id % 500 as page, x1 % 40 as x, y1 % 40 as y from boxes where score % 11 = 0), e as (select a.page, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from p a join p b on a.page = b.page and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+    "raster_component_boxes": f"""with recursive {BOXES_SQL}, p as (select distinct page_id as page, x1 % 40 as x, y1 % 40 as y from boxes), e as (select a.page, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from p a join p b on a.page = b.page and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
 r as (select page, x as sx, y as sy, x, y from p union select r.page, sx, sy, bx, by_ from r join e on e.page = r.page and e.ax = r.x and e.ay = r.y),
 c as (select page, sx, sy, min(y * 1048576 + x) as c from r group by all) select page, min(sx) as x1, min(sy) as y1, max(sx) + 1 as x2, max(sy) + 1 as y2, count(*) as n from c group by page, c""",
 }

@@ -1,56 +1,40 @@
-"""Steps with the artifacts that they need and produce, their order, and running them over a table of pages."""
+"""Steps as rows (place, id, needs, produces): what they need and produce, their depth, and rules on them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-from graphlib import CycleError, TopologicalSorter
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumage.operators.lineage import cut
+
+
+def edges(steps: DataFrame) -> DataFrame:
+    """(before, after) of steps: the producer of what the other needs. Of several producers the last counts; what none produces is ignored."""
+    makers = steps.select("place", "id", F.explode("produces").alias("a")).groupBy("a").agg(F.max_by("id", "place").alias("before"))
+    return steps.select(F.col("id").alias("after"), F.explode("needs").alias("a")).join(makers, "a").select("before", "after").distinct()
 
-@dataclass(frozen=True)
-class Step:
-    id: str
-    needs: tuple[str, ...]
-    produces: tuple[str, ...]
-    run: Callable[[DataFrame], DataFrame] | None = None
 
+def depths(steps: DataFrame) -> DataFrame:
+    """(id, depth): the length of the longest chain of producers before each step. Steps that need each other are an error.
 
-def order(steps: list[Step]) -> list[Step]:
-    """Producers before consumers, otherwise as given. Of several producers the last counts; what none produces is ignored."""
-    by_id = {s.id: s for s in steps}
-    if len(by_id) < len(steps):
+    Each round moves every step behind its producers; a chain is at most as long as the list of steps.
+    """
+    if steps.groupBy("id").count().where("count > 1").limit(1).count():
         raise ValueError("a step is listed twice")
-    producer = {a: s.id for s in steps for a in s.produces}
-    graph = TopologicalSorter({s.id: [producer[a] for a in s.needs if a in producer] for s in steps})
-    try:
-        graph.prepare()
-    except CycleError as e:
-        raise ValueError(f"steps need each other: {' > '.join(e.args[1])}") from e
-    place, out = {s.id: i for i, s in enumerate(steps)}, []
-    while graph.is_active():
-        ready = sorted(graph.get_ready(), key=place.get)
-        out += [by_id[i] for i in ready]
-        graph.done(*ready)
-    return out
+    links, now = edges(steps), steps.select("id", F.lit(0).alias("depth"))
+    for _ in range(steps.count() + 1):
+        behind = links.join(now.withColumnRenamed("id", "before"), "before").groupBy(F.col("after").alias("id")).agg((F.max("depth") + 1).alias("least"))
+        moved = cut(now.join(behind, "id", "left").select("id", F.greatest("depth", F.coalesce("least", F.lit(0))).alias("depth"), (F.col("least") > F.col("depth")).alias("moved")))
+        now = moved.select("id", "depth")
+        if not moved.where("moved").limit(1).count():
+            return now
+    raise ValueError("steps need each other")
 
 
 def providers(steps: DataFrame, artifact: str) -> DataFrame:
     return steps.where(F.array_contains("produces", artifact))
 
 
-def run(steps: list[Step], pages: DataFrame) -> DataFrame:
-    """All steps in order. A page whose ``error`` a step has set is passed by the later ones and kept; the others go on."""
-    done = pages.withColumn("error", F.lit(None).cast("string")) if "error" not in pages.columns else pages
-    for step in order(steps):
-        if step.run:
-            failed = done.where("error is not null")
-            done = step.run(done.where("error is null")).unionByName(failed, allowMissingColumns=True)
-    return done
-
-
 def readiness(pages: DataFrame) -> DataFrame:
     """By page, from (page, kind, done): whether there is any node, and whether all are done (so for a page without nodes)."""
     return pages.groupBy("page").agg(F.coalesce(F.bool_or(F.col("kind").isNotNull()), F.lit(False)).alias("any"), F.coalesce(F.bool_and("done"), F.lit(True)).alias("all"))

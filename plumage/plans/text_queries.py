@@ -38,7 +38,7 @@ def _tag_parse(s, d):
 
 
 def _slug_collision(s, d):
-    p = table(s, d, "part").select("p_partkey", F.coalesce(F.nullif(t.slug(F.substr("p_name", F.lit(1), F.lit(8))), F.lit("")), F.lit("untitled")).alias("base"))
+    p = table(s, d, "part").select("p_partkey", F.coalesce(F.nullif(t.slug(F.regexp_extract("p_name", "^[^ ]+ ", 0)), F.lit("")), F.lit("untitled")).alias("base"))
     n = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey")) - 1
     return p.select("p_partkey", F.when(n == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("name"))
 
@@ -89,7 +89,7 @@ QUERIES = {
     "conversation_block_text": _block_text,
     "text_targets": _targets,
     "text_tag_parse": _tag_parse,
-    "text_strip_thinking": lambda s, d: docs(s, d).select("doc_id", F.sha2(t.without_thinking(F.concat(F.lit("a<think>x</think>  "), "text")), 256).alias("h"), t.without_quotes(F.concat(F.lit(' "'), F.substr("text", F.lit(1), F.lit(9)), F.lit('" '))).alias("q")),
+    "text_strip_thinking": lambda s, d: docs(s, d).select("doc_id", F.sha2(t.without_thinking(F.concat(F.lit("a<think>x</think>  "), "text")), 256).alias("h"), F.sha2(t.without_quotes(F.concat(F.lit(' "'), "text", F.lit('" '))), 256).alias("q")),
     "text_clean_ocr": lambda s, d: docs(s, d).select("doc_id", F.sha2(t.clean_ocr(F.col("text")), 256).alias("clean"), F.length(t.without_line_ends(F.col("text"))).alias("n")),
     "text_legacy_lines": lambda s, d: docs(s, d).select("doc_id", F.sha2(F.array_join(t.lines_padded(F.col("text"), 6), "|"), 256).alias("lines")),
     "slug_names": lambda s, d: table(s, d, "part").select("p_partkey", t.slug(F.concat(F.lit("-_ "), "p_name", F.lit(" (v2)  "))).alias("slug")),
@@ -104,17 +104,18 @@ QUERIES = {
     "text_repetition_guard": lambda s, d: docs(s, d).select("doc_id", t.repetition_start("text").alias("start")),
     "text_emphasis_pairs": lambda s, d: docs(s, d).select("doc_id", F.sha2(t.emphasis_pairs(F.translate("text", ".,", "!?")), 256).alias("paired")),
     "text_line_breaks": lambda s, d: docs(s, d).select("doc_id", t.line_breaker(60.0)("text").alias("ends")),
+    "text_visual_order": lambda s, d: table(s, d, "part").select("p_partkey", t.visual_orders(F.transform(F.split("p_name", ""), lambda c: F.ascii(c) % 4)).alias("order")),
     "text_utf16_chunks": lambda s, d: docs(s, d).select("doc_id", F.size(t.utf16_chunker(1000)("text")).alias("parts")),
 }
 
 ORACLES = {
     "conversation_block_text": "select conv_id, string_agg('[' || rn || ']' || txt, chr(10) order by rn) as block_text, count(*) as blocks from (select conv_id, coalesce(text, '') as txt, row_number() over (partition by conv_id order by turn) as rn from conversations) group by 1",
     "text_targets": "select doc_id, lang from documents where trim(text) <> '' and doc_id in (select doc_id from labels where quality = 1)",
-    "text_strip_thinking": "select doc_id, sha256(regexp_replace(text, '^\\s+', '')) as h, left(text, 9) as q from documents",
+    "text_strip_thinking": "select doc_id, sha256(regexp_replace(text, '^\\s+', '')) as h, sha256(text) as q from documents",
     "text_clean_ocr": "select doc_id, sha256(translate(replace(regexp_replace(text, '\\s+', '', 'g'), '…', '...'), '・' || (select string_agg(chr(cast(i as int)), '' order by i) from range(33, 127) r(i)), '．' || (select string_agg(chr(cast(i + 65248 as int)), '' order by i) from range(33, 127) r(i)))) as clean, cast(length(replace(replace(text, chr(10), ''), chr(13), '')) as int) as n from documents",
     "text_legacy_lines": "select doc_id, sha256(array_to_string(list_concat(case when text = '' then [] else string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) end, ['', '', '', '', '', ''])[1:6], '|')) as lines from documents",
     "slug_names": "select p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' v2'), '[^a-z0-9_\\-\\s]', '', 'g'), '[_\\-\\s]+', '-', 'g'), '^-|-$', '', 'g') as slug from part",
-    "slug_collision": "select p_partkey, case when n = 0 then base else base || '-' || n end as name from (select *, row_number() over (partition by base order by p_partkey) - 1 as n from (select p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(left(p_name, 8)), '[^a-z0-9_\\-\\s]', '', 'g'), '[_\\-\\s]+', '-', 'g'), '-'), ''), 'untitled') as base from part))",
+    "slug_collision": "select p_partkey, case when n = 0 then base else base || '-' || n end as name from (select *, row_number() over (partition by base order by p_partkey) - 1 as n from (select p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(regexp_extract(p_name, '^[^ ]+ ')), '[^a-z0-9_\\-\\s]', '', 'g'), '[_\\-\\s]+', '-', 'g'), '-'), ''), 'untitled') as base from part))",
     "language_lookup": f"select lang, coalesce(name, 'unknown') as name, coalesce(vendor, '') as vendor, count(*) as n from documents left join (values {LANG_VALUES}) v(name, tag, vendor) on lower(lang) = lower(tag) group by 1, 2, 3",
     "page_natural_sort": "select page_id, key, row_number() over (order by encode(key), page_id) as position from (select page_id, array_to_string(list_transform(regexp_extract_all(url, '(\\d+|\\D+)'), lambda p: case when regexp_matches(p, '^\\d') then lpad(coalesce(nullif(ltrim(p, '0'), ''), '0'), 20, '0') else p end), '') as key from pages)",
     "text_writing_mode": "select doc_id, case when doc_id % 3 <> 0 then 'horizontal' when doc_id % 2 = 0 then 'vertical' when n_chars > 500 then 'vertical' else 'horizontal' end as mode, doc_id % 3 = 0 as cjk, false as rtl, false as dictionary, false as fullwidth from documents",

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from plumage.functions import text as t
 from plumage.operators import changelog, detect, layout, raster
-from plumage.plans.registry import Step, order, run
+from plumage.plans import registry
 from plumage.sources import store
 
 
@@ -99,6 +99,12 @@ def test_packbits_round_trip(data):
     assert raster.unpackbits(raster.packbits(data)) == data
 
 
+def test_packed_and_ordered_columns(spark):
+    df = spark.createDataFrame([(bytearray(b"aaab"), [0, 1, 1, 0]), (None, None), (bytearray(), [])], "row binary, levels array<int>")
+    got = df.select(raster.packed_rows("row"), raster.unpacked_rows(raster.packed_rows("row")), t.visual_orders("levels")).collect()
+    assert [tuple(r) for r in got] == [(raster.packbits(b"aaab"), b"aaab", [0, 2, 1, 3]), (None, None, None), (b"", b"", [])]
+
+
 def test_packbits_form():
     assert raster.packbits(b"aaab") == bytes([254, 97, 0, 98])
     assert raster.packbits(b"aab") == bytes([2]) + b"aab"
@@ -116,23 +122,40 @@ def test_holes_and_rectangle():
     assert raster.largest_rectangle(np.zeros((2, 2), bool), (0, 0)) is None
 
 
-def test_registry():
-    steps = [Step("b", ("x",), ("y",)), Step("a", (), ("x",)), Step("a2", (), ("x",)), Step("c", ("y", "none"), ())]
-    assert [s.id for s in order(steps)].index("a2") < [s.id for s in order(steps)].index("b")
-    with pytest.raises(ValueError):
-        order([Step("a", ("y",), ("x",)), Step("b", ("x",), ("y",))])
-    with pytest.raises(ValueError):
-        order([Step("a", (), ()), Step("a", (), ())])
-
-
-def test_registry_isolates_failures(spark):
-    from pyspark.sql import functions as F
-
-    pages = spark.createDataFrame([(1,), (2,)], "page int")
-    fail = Step("first", (), ("x",), lambda df: df.withColumn("error", F.when(F.col("page") == 1, "bad")))
-    mark = Step("second", ("x",), (), lambda df: df.withColumn("done", F.lit(True)))
-    got = {r.page: (r.error, r.done) for r in run([mark, fail], pages).collect()}
-    assert got == {1: ("bad", None), 2: (None, True)}
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**31))
+def test_holes_and_rectangles_by_brute_force(h, w, seed):
+    g = (np.random.default_rng(seed).random((h, w)) < 0.55).astype(int)
+    todo = {(y, x) for y in range(h) for x in range(w) if not g[y, x] and (y in (0, h - 1) or x in (0, w - 1))}
+    free = set(todo)
+    while todo:
+        y, x = todo.pop()
+        more = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= y + a < h and 0 <= x + b < w and not g[y + a, x + b]} - free
+        free |= more
+        todo |= more
+    assert {tuple(p) for p in np.argwhere(raster.holes(g)).tolist()} == {(y, x) for y in range(h) for x in range(w) if not g[y, x]} - free
+    anchor, best = (w / 2, h / 2), None
+    for y1 in range(h):
+        for x1 in range(w):
+            for y2 in range(y1 + 1, h + 1):
+                for x2 in range(x1 + 1, w + 1):
+                    if g[y1:y2, x1:x2].all():
+                        key = (-(x2 - x1) * (y2 - y1), ((x1 + x2) / 2 - anchor[0]) ** 2 + ((y1 + y2) / 2 - anchor[1]) ** 2)
+                        best = min(best, key) if best else key
+    r = raster.largest_rectangle(g > 0, anchor)
+    assert (r is None) == (best is None)
+    if r:
+        x1, y1, x2, y2 = r
+        assert g[y1:y2, x1:x2].all() and (-(x2 - x1) * (y2 - y1), ((x1 + x2) / 2 - anchor[0]) ** 2 + ((y1 + y2) / 2 - anchor[1]) ** 2) == best
+
+
+def test_depths(spark):
+    schema = "place int, id string, needs array<string>, produces array<string>"
+    steps = [(0, "b", ["x"], ["y"]), (1, "a", [], ["x"]), (2, "a2", ["z"], ["x"]), (3, "c", ["y", "none"], []), (4, "z", [], ["z"])]
+    assert {r.id: r.depth for r in registry.depths(spark.createDataFrame(steps, schema)).collect()} == {"a": 0, "z": 0, "a2": 1, "b": 2, "c": 3}
+    for bad in ([(0, "a", ["y"], ["x"]), (1, "b", ["x"], ["y"])], [(0, "a", [], []), (1, "a", [], [])]):
+        with pytest.raises(ValueError):
+            registry.depths(spark.createDataFrame(bad, schema))
 
 
 def test_history(spark):
