@@ -94,3 +94,46 @@ def history(commands: DataFrame, cap: int = 500) -> DataFrame:
     start = F.struct(empty.alias("done"), empty.alias("undone"), empty.alias("fixed"))
     end = groups.select("entity", F.aggregate("ops", start, step).alias("s"))
     return end.select("entity", F.posexplode(F.concat("s.fixed", "s.done")).alias("position", "a")).select("entity", "position", "a.epoch", "a.v")
+
+
+# The kinds of typed operations on a scene of pages and nodes.
+OPS = ["update_project", "add_page", "remove_page", "update_page", "reorder_pages", "add_node", "remove_node", "update_node", "reorder_nodes"]
+
+
+def op_errors(ops: DataFrame, pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(batch, place, error): what is wrong with typed operations against the scene as it stands.
+
+    ops: (batch, place, op, page, node, kind, at, ids); pages: (page); nodes: (page, node, kind). A page or node that is added must
+    be new and its place at most the number there are; one that is removed or updated must exist, an update that names a
+    kind must name the node's own; an order must have the same pages, or nodes of the page, each once. A batch counts as
+    wrong by any of its operations; each is judged on the scene, not on what those before it would leave.
+    """
+    o = ops.join(pages.select("page", F.lit(True).alias("_page")), "page", "left")
+    own = nodes.select("page", "node", F.col("kind").alias("_kind"))
+    o = o.join(own, ["page", "node"], "left")
+    o = o.join(nodes.groupBy("page").agg(F.count("*").alias("_nodes")), "page", "left").crossJoin(F.broadcast(pages.agg(F.count("*").alias("_pages"))))  # one row
+    listed = ops.where(F.col("op").isin("reorder_pages", "reorder_nodes")).select("batch", "place", "op", "page", F.explode("ids").alias("id")).groupBy("batch", "place", "op", "page", "id").agg(F.count("*").alias("n"))
+    known = nodes.select("page", F.col("node").alias("id"), F.lit("reorder_nodes").alias("op"), F.lit(1).alias("_in")).unionAll(pages.select(F.lit(None).cast("long"), "page", F.lit("reorder_pages"), F.lit(1)))
+    hit = listed.alias("l").join(known.alias("k"), (F.col("l.op") == F.col("k.op")) & (F.col("l.id") == F.col("k.id")) & ((F.col("l.op") == "reorder_pages") | (F.col("l.page") == F.col("k.page"))), "left")
+    order = hit.groupBy("l.batch", "l.place").agg(F.count("k._in").alias("_found"), F.max(F.greatest(F.col("l.n"), F.when(F.col("k._in").isNull(), 2).otherwise(1))).alias("_worst"))
+    o = o.join(order, ["batch", "place"], "left")
+    has_page, has_node, op = F.col("_page").isNotNull(), F.col("_kind").isNotNull(), F.col("op")
+    size = F.when(op == "reorder_pages", F.col("_pages")).otherwise(F.coalesce("_nodes", F.lit(0)))
+    same = (F.coalesce("_found", F.lit(0)) == size) & (F.coalesce("_worst", F.lit(1)) == 1)
+    error = (
+        F.when(~op.isin(*OPS), "unknown operation")
+        .when(op == "update_project", None)
+        .when(op == "add_page", F.when(has_page, "page exists").when(F.col("at") > F.col("_pages"), "index out of range"))
+        .when(op == "reorder_pages", F.when(~same, "other pages"))
+        .when(~has_page, "page not found")
+        .when(op == "add_node", F.when(has_node, "node exists").when(F.col("at") > F.coalesce("_nodes", F.lit(0)), "index out of range"))
+        .when(op.isin("remove_node", "update_node") & ~has_node, "node not found")
+        .when((op == "update_node") & (F.col("kind") != F.col("_kind")), "node of another kind")
+        .when((op == "reorder_nodes") & ~same, "other nodes")
+    )
+    return o.select("batch", "place", error.alias("error")).where("error is not null")
+
+
+def accepted(ops: DataFrame, errors: DataFrame) -> DataFrame:
+    """The operations of batches without an error: a batch counts as a whole or not at all."""
+    return ops.join(errors.select("batch").distinct(), "batch", "left_anti")

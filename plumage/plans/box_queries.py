@@ -103,7 +103,17 @@ def _sorted_variants(spark, d):
     return b.select("page_id", "box_id", rank(F.col("y1") + F.col("y2")).alias("by_centre_y"), rank(F.desc("score")).alias("by_score"), rank(F.desc(g.area(g.box()))).alias("by_area"))
 
 
+def _detector(spark, d):
+    """A detector's steps in one plan: confidence, suppression by label, the regions that are text, merging, reading order."""
+    b = detect.nms(detect.at_least(_named(spark, d).withColumn("label", F.col("name")), 250), 35)
+    regions = detect.text_regions(b.withColumn("name", F.col("label")), "name").selectExpr("page_id", "box_id", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
+    merged = layout.merge_regions(regions.join(b.select("page_id", "box_id", "score"), ["page_id", "box_id"]))
+    order = F.row_number().over(detect.by_page("y1", "x1", "x2", "y2", "score"))
+    return layout.in_reading_order(merged.withColumn("box_id", order)).join(merged.withColumn("box_id", order), ["page_id", "box_id"]).drop("box_id")
+
+
 QUERIES = {
+    "detector_pipeline": _detector,
     "box_overlap_summary": _overlap_summary,
     "box_topk_per_page": lambda s, d: detect.top_then_threshold(boxes(s, d), 3, 500).select("page_id", "box_id", "score", "rank"),
     "box_rank_renumber": lambda s, d: detect.renumbered(boxes(s, d), 400).select("page_id", "box_id", "position"),

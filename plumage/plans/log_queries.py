@@ -62,6 +62,28 @@ def _resumed(s, d):
     return j.resumed(clients, events(s, d))
 
 
+#: Operations on conversations as pages and turns as nodes: (op, page, node, kind, at) by the event's number.
+OP_COLUMNS = [
+    "cast(floor(event_id / 3) as bigint) as batch", "cast(event_id % 3 as int) as place",
+    f"case event_id % 11 {' '.join(f'when {k} then {chr(39)}{x}{chr(39)}' for k, x in enumerate(c.OPS))} else 'rename' end as op",
+    "user_id * 3 as page", "event_id % 9 as node", "case when event_id % 5 < 3 then 'user' when event_id % 5 = 3 then 'assistant' end as kind", "event_id % 8 as at",
+]
+
+
+def _ops(s, d):
+    pages = table(s, d, "conversations").select(F.col("conv_id").alias("page")).distinct()
+    own = table(s, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("node"), F.col("role").alias("kind"))
+    lists = own.groupBy("page").agg(F.collect_list("node").alias("ids"))  # a page's nodes
+    ops = table(s, d, "events").selectExpr(*OP_COLUMNS).join(lists, "page", "left")
+    ops = ops.withColumn("ids", F.when(F.col("node") < 3, F.col("ids")).when(F.col("node") < 6, F.concat("ids", F.array("node"))).otherwise(F.array_remove("ids", F.col("node"))))
+    return ops, pages, own
+
+
+def _accepted(s, d):
+    ops, pages, own = _ops(s, d)
+    return c.accepted(ops, c.op_errors(ops, pages, own)).select("batch", "place", "op")
+
+
 def _failures(s, d):
     return j.isolated_failures(events(s, d).select(F.col("job_id").alias("page"), F.col("seq").alias("step"), (F.col("seq") % 23 == 0).alias("failed")))
 
@@ -78,6 +100,8 @@ QUERIES = {
     "node_upsert_by_role": _upsert,
     "node_violations": lambda s, d: c.violations(nodes(s, d).select("page", F.col("kind").alias("role"), (F.col("kind") != "user").alias("single"))),
     "event_replay_tail": lambda s, d: j.replay_since(events(s, d), 9900).select("seq", "job_id", "tag"),
+    "scene_op_errors": lambda s, d: c.op_errors(*_ops(s, d)),
+    "scene_batches_accepted": _accepted,
     "event_gap_replay": lambda s, d: j.gaps(events(s, d)),
     "event_resume": _resumed,
     "event_job_state": lambda s, d: j.job_state(events(s, d)),
@@ -87,7 +111,21 @@ QUERIES = {
     "event_progress_percent": lambda s, d: events(s, d).select("seq", F.expr("least(seq * 100 div (job_id * 60 + 1), 100)").alias("percent"), F.least(F.lit(10_000), F.lit(200) * F.pow(F.lit(2), F.least(F.col("job_id") % 9, F.lit(6)))).cast("int").alias("backoff_ms")),
 }
 
+_ERRORS = f"""p as (select distinct conv_id as page from conversations), n as (select conv_id as page, turn as node, role as kind from conversations),
+l as (select page, list(node) as ids, count(*) as nodes from n group by 1), e0 as (select {", ".join(OP_COLUMNS)} from events),
+o as (select e0.*, l.nodes, p.page is not null as has_page, n.kind as own, case when e0.node < 3 then ids when e0.node < 6 then list_append(ids, e0.node) else list_filter(ids, lambda x: x <> e0.node) end as ids from e0 left join l on l.page = e0.page left join p on p.page = e0.page left join n on n.page = e0.page and n.node = e0.node),
+w as (select *, (select count(*) from p) as pages from o),
+v as (select batch, place, op, case when op = 'rename' then 'unknown operation' when op = 'update_project' then null
+  when op = 'add_page' then case when has_page then 'page exists' when w."at" > pages then 'index out of range' end
+  when op = 'reorder_pages' then case when not coalesce(len(ids) = pages and len(list_distinct(ids)) = pages and list_has_all((select list(page) from p), ids), false) then 'other pages' end
+  when not has_page then 'page not found'
+  when op = 'add_node' then case when own is not null then 'node exists' when w."at" > nodes then 'index out of range' end
+  when op in ('remove_node', 'update_node') and own is null then 'node not found'
+  when op = 'update_node' and kind <> own then 'node of another kind'
+  when op = 'reorder_nodes' and not (node < 3 or node >= 6 and own is null) then 'other nodes' end as error from w)"""
 ORACLES = {
+    "scene_op_errors": f"with {_ERRORS} select batch, place, error from v where error is not null",
+    "scene_batches_accepted": f"with {_ERRORS} select batch, place, op from v where batch not in (select batch from v where error is not null)",
     "change_fold": f"with {CHANGES_SQL} select entity, field, epoch, v from changes qualify row_number() over (partition by entity, field order by epoch desc) = 1",
     "change_prior": f"with {CHANGES_SQL} select epoch, v, cast(lag(v) over w as double) as prior, lag(epoch) over w is not null as present from changes window w as (partition by entity, field order by epoch)",
     "change_inverse": f"with {CHANGES_SQL} select max(epoch) over () - epoch + 1 as seq, entity, field, cast(lag(v) over w as double) as v, lag(epoch) over w is null as unset from changes window w as (partition by entity, field order by epoch)",

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from plumage.functions import text as t
 from plumage.operators import aggregate as a
+from plumage.operators import masks as m
+from plumage.operators import nodes
 from plumage.operators import raster as r
 from plumage.plans import registry
 from plumage.sources import store
@@ -157,6 +159,30 @@ def _packbits(s, d):
     return packed.select("page", "y", F.hex("raw").alias("raw"), F.length("packed").alias("n"), F.hex(r.unpacked_rows("packed")).alias("back"))
 
 
+def _mask_blocks(s, d):
+    """The blocks, and every place's label, of a mask that is to be grown."""
+    blocks = boxes(s, d).selectExpr(f"{PAGE} as page", "page_id * 100 + box_id as area", "x1 % 10 as x1", "y1 % 27 as y1", "x1 % 10 + 5 as x2", "y1 % 27 + 3 as y2", "1 + cast(score % 2 as int) as r")
+    places = pixels(s, d).select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x")).select("page", "x", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y"))
+    return blocks, places.withColumn("label", F.expr("cast(floor(x / 8) + 3 * floor(y / 16) as int)"))
+
+
+def _expanded(s, d):
+    blocks, labels = _mask_blocks(s, d)
+    return m.expanded(pixels(s, d).where("v > 200"), blocks, labels, 32, 32, 0.4, 1, 3)
+
+
+def _ring_alpha(s, d):
+    mask, alpha = pixels(s, d).where("v > 240"), pixels(s, d).select("page", "x", "y", (F.col("v") % 200).alias("alpha"))
+    around = alpha.join(m.ring(mask, 2, 32, 32), ["page", "x", "y"])
+    return nodes.alpha_restored(alpha.join(mask.select("page", "x", "y"), ["page", "x", "y"]), around)
+
+
+def _filled(s, d):
+    px = boxes(s, d).selectExpr(*COLOURS, "page_id", "box_id as y")
+    out = m.filled(px.withColumn("x", F.col("page_id")), r.bubble_fill(px))
+    return out.select("page_id", F.col("y").alias("box_id"), "masked", *[F.col(c).cast("int").alias(c) for c in "rgb"])
+
+
 QUERIES = {
     "block_aggregate": _block_aggregate,
     "block_weighted_colour": _weighted,
@@ -188,6 +214,9 @@ QUERIES = {
     "raster_refine_mask": lambda s, d: r.refined(pixels(s, d), tiles(s, d), 60, 32, 32).select("page", "x", "y"),
     "raster_combine_area": lambda s, d: r.combined(pixels(s, d), 100),
     "raster_bubble_fill": lambda s, d: r.bubble_fill(boxes(s, d).selectExpr(*COLOURS)),
+    "raster_expand_mask": _expanded,
+    "raster_ring_alpha": _ring_alpha,
+    "raster_bubble_write": _filled,
     "raster_composite": lambda s, d: r.composite(boxes(s, d).selectExpr(f"{PAGE} as page", "x1 % 8 as x", "y1 % 8 as y", "page_id * 100 + box_id as z", "score as v")),
     "raster_collision": lambda s, d: r.collisions(pixels(s, d), pixels(s, d).where("x < 16")),
     "raster_packbits": _packbits,
@@ -198,6 +227,18 @@ QUERIES = {
 _TOPK = "row_number() over (partition by vec_id order by v desc, i)"
 _SPREAD = "unnest(range(-1, 2)) a(dx), unnest(range(-1, 2)) b(dy)"
 
+
+
+def _grown(pixels: str, areas: str, name: str) -> str:
+    """Pixels around areas, dilated and bounded by their label, as common table expressions that end in ``name``."""
+    return f"""{name}1 as (select a.*, p.x, p.y, p.x >= x1 and p.x < x2 and p.y >= y1 and p.y < y2 as own from {areas} a join {pixels} p on p.page = a.page and p.x >= x1 - 2 * r and p.x < x2 + 2 * r and p.y >= y1 - 2 * r and p.y < y2 + 2 * r),
+{name}2 as (select page, area, label from (select page, area, label, count(*) as n from {name}1 join lab using (page, x, y) where own and label > 0 group by all) qualify row_number() over (partition by page, area order by n desc, label desc) = 1),
+{name}3 as (select distinct page, area from {name}1 where own),
+{name}4 as (select distinct k.page, k.area, cast(k.x + dx as int) as x, cast(k.y + dy as int) as y, v.label as bound from {name}1 k join {name}3 using (page, area) left join {name}2 v using (page, area), unnest(range(-3, 4)) i(dx), unnest(range(-3, 4)) j(dy)
+  where abs(dx) <= r and abs(dy) <= r and k.x + dx >= greatest(x1 - 2 * r, 0) and k.x + dx < least(x2 + 2 * r, 32) and k.y + dy >= greatest(y1 - 2 * r, 0) and k.y + dy < least(y2 + 2 * r, 32)),
+{name} as (select distinct t.page, t.x, t.y from {name}4 t left join lab on lab.page = t.page and lab.x = t.x and lab.y = t.y where bound is null or coalesce(lab.label, 0) = bound)"""
+
+
 ORACLES = {
     "block_aggregate": f"with {BOXES_SQL}, w as (select distinct page_id, unnest(['A', 'N', 'R']) as block from boxes), f as (select page_id, label as block, string_agg(label || x1, '' order by box_id) as text, avg(score) as score, cast(round(avg(x1 % 256)) as int) as red, cast(round(avg(y1 % 256)) as int) as green from boxes group by 1, 2) select page_id, block, coalesce(text, '') as text, round(coalesce(score, 0), 6) as score, coalesce(red, 0) as red, coalesce(green, 0) as green from w left join f using (page_id, block)",
     "block_weighted_colour": f"with {BOXES_SQL} select page_id, cast(coalesce(round(avg(x1 % 256) filter (box_id % 2 = 0)), 0) as int) as fg, cast(coalesce(round(avg(case when box_id % 3 = 0 then y1 % 256 when box_id % 2 = 0 then x1 % 256 end)), 0) as int) as bg from boxes group by 1",
@@ -234,7 +275,23 @@ d as (select id, 0 as depth from s union all select e.b, depth + 1 from d join e
     "raster_refine_mask": f"with {PIXELS_SQL}, {TILES}, i as (select page, x, y from px where v > 60 and exists (select 1 from tl where tl.page = px.page and x >= x1 and x < x2 and y >= y1 and y < y2)), g as (select distinct page, cast(x + dx as int) as x, cast(y + dy as int) as y from i, unnest(range(-2, 3)) a(dx), unnest(range(-2, 3)) b(dy) where abs(dx) + abs(dy) <= 2) select page, x, y from g where x between 0 and 31 and y between 0 and 31 and exists (select 1 from tl where tl.page = g.page and x >= x1 and x < x2 and y >= y1 and y < y2)",
     "raster_combine_area": f"with {PIXELS_SQL} select page, count(*) filter (v >= 100) as area, max(v) as top from px group by 1",
     "raster_bubble_fill": f"with {BOXES_SQL}, c as (select {', '.join(COLOURS)} from boxes), k as (select * from c where not masked and label > 0), m as (select page, label, median(r) as mr, median(g) as mg, median(b) as mb from k group by all), v as (select page, label, any_value(mr) as mr, any_value(mg) as mg, any_value(mb) as mb, sqrt(avg(pow(r - mr, 2))) as dr, sqrt(avg(pow(g - mg, 2))) as dg, sqrt(avg(pow(b - mb, 2))) as db from k join m using (page, label) group by all) select page, label, cast(floor(mr) as int) as r, cast(floor(mg) as int) as g, cast(floor(mb) as int) as b from v where greatest(dr, dg, db) < case when list_stddev_pop([dr, dg, db]) > 1 then {{rough}} else {{smooth}} end and exists (select 1 from c where masked and c.page = v.page and c.label = v.label)",
+    "raster_expand_mask": f"""with recursive {PIXELS_SQL}, base as (select page, x, y from px where v > 200), lab as (select page, cast(x as int) as x, cast(y as int) as y, cast(floor(x / 8) + 3 * floor(y / 16) as int) as label from (select distinct page from px), unnest(range(24)) a(x), unnest(range(32)) b(y)),
+bl as (select {PAGE} as page, page_id * 100 + box_id as area, x1 % 10 as x1, y1 % 27 as y1, x1 % 10 + 5 as x2, y1 % 27 + 3 as y2, 1 + score % 2 as r from boxes),
+{_grown('base', 'bl', 'g')},
+rest as (select * from base where (page, x, y) not in (select (page, x, y) from g)),
+e as (select a.page, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from rest a join rest b on a.page = b.page and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+q as (select page, x as sx, y as sy, x, y from rest union select q.page, sx, sy, bx, by_ from q join e on e.page = q.page and e.ax = q.x and e.ay = q.y),
+cc as (select page, sx, sy, min(y * 1048576 + x) as area from q group by all),
+cb as (select page, area, min(sx) as x1, min(sy) as y1, max(sx) + 1 as x2, max(sy) + 1 as y2, greatest(1, least(3, cast(round(least(max(sx) - min(sx) + 1, max(sy) - min(sy) + 1) * cast(0.4 as double)) as int))) as r from cc group by page, area),
+ar as (select page, area, greatest(x1 - r, 0) as x1, greatest(y1 - r, 0) as y1, least(x2 + r, 32) as x2, least(y2 + r, 32) as y2, r from cb),
+{_grown('rest', 'ar', 'h')}
+select page, x, y from base union select page, x, y from g union select page, x, y from h""",
+    "raster_ring_alpha": f"""with {PIXELS_SQL}, k as (select * from px where v > 240), n as (select distinct page, cast(x + dx as int) as x, cast(y + dy as int) as y from k, unnest(range(-2, 3)) a(dx), unnest(range(-2, 3)) b(dy)),
+m as (select page, cast(floor(median(v % 200)) as int) as m from px join n using (page, x, y) where v <= 240 group by 1) select page, x, y, cast(case when m < 128 then m else v % 200 end as int) as alpha from k left join m using (page)""",
+    "raster_bubble_write": "{write}",
     "raster_composite": f"with {BOXES_SQL} select page, x, y, v from (select {PAGE} as page, x1 % 8 as x, y1 % 8 as y, page_id * 100 + box_id as z, score as v from boxes) qualify row_number() over (partition by page, x, y order by z desc) = 1",
     "raster_collision": f"with {PIXELS_SQL} select page, count(*) as outside from px where v > 8 and not (x < 16 and v > 0) group by 1",
 }
 ORACLES["raster_bubble_fill"] = ORACLES["raster_bubble_fill"].format(rough="7", smooth="10")
+_head, _tail = ORACLES["raster_bubble_fill"].rsplit(" select page, label, cast", 1)
+ORACLES["raster_bubble_write"] = f"{_head}, f as (select page, label, cast{_tail}), p as (select {', '.join(COLOURS)}, page_id, box_id from boxes) select page_id, box_id, p.masked and f.label is null as masked, cast(case when p.masked and f.label is not null then f.r else p.r end as int) as r, cast(case when p.masked and f.label is not null then f.g else p.g end as int) as g, cast(case when p.masked and f.label is not null then f.b else p.b end as int) as b from p left join f on f.page = p.page and f.label = p.label"

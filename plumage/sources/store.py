@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,28 @@ def write_snapshot(state: DataFrame, root: str, epoch: int) -> None:
     state.write.mode("overwrite").parquet(f"{root}/snapshot/epoch={epoch}")
 
 
+def read_snapshot(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, int]:
+    """The newest snapshot under ``root`` and its epoch; no rows and -1 where there is none."""
+    found = spark.read.schema(f"{schema}, epoch long").parquet(f"{root}/snapshot") if exists(spark, f"{root}/snapshot") else None
+    top = None if found is None else found.agg(F.max("epoch")).first()[0]
+    if top is None:
+        return spark.createDataFrame([], schema), -1
+    return found.where(F.col("epoch") == top).drop("epoch"), top
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file source finds anything under ``path``."""
+    try:
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count())
+    except AnalysisException:
+        return False
+
+
+def truncated_log(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """What has to stay of the log: the changes after the newest snapshot. Written beside the old one, it takes its place."""
+    return read_log(spark, root, read_snapshot(spark, root, schema)[1], schema)
+
+
 def append_log(changes: DataFrame, root: str) -> None:
     changes.write.mode("append").json(f"{root}/log")
 

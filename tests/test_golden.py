@@ -175,6 +175,38 @@ def test_inverse_undoes(spark):
     assert {(r.field, r.unset) for r in back.collect()} == {("a", False), ("b", True)}
 
 
+def test_snapshot_and_log(spark, tmp_path):
+    root, schema = str(tmp_path), "epoch long, entity int, field string, v int"
+    assert store.read_snapshot(spark, root, "entity int, field string, v int")[1] == -1
+    log = spark.createDataFrame([(e, e % 2, "ab"[e % 3 % 2], e * 10) for e in range(1, 9)], schema)
+    store.append_log(log, root)
+    for epoch in (2, 5):
+        store.write_snapshot(changelog.state_at(log, epoch).withColumnRenamed("epoch", "at"), root, epoch)
+    snap, epoch = store.read_snapshot(spark, root, "entity int, field string, at long, v int")
+    assert epoch == 5 and {tuple(r) for r in snap.collect()} == {(r.entity, r.field, r.epoch, r.v) for r in changelog.state_at(log, 5).collect()}
+    rest = store.truncated_log(spark, root, schema)
+    assert sorted(r.epoch for r in rest.collect()) == [6, 7, 8]
+    again = changelog.replay(snap.selectExpr("at as epoch", "entity", "field", "v"), rest, epoch)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in changelog.state_at(log).collect()}
+
+
+def test_op_errors(spark):
+    pages = spark.createDataFrame([(1,), (2,)], "page long")
+    nodes = spark.createDataFrame([(1, 10, "text"), (1, 11, "image")], "page long, node long, kind string")
+    rows = [
+        ("add_page", 3, None, None, 2, None, None), ("add_page", 3, None, None, 3, None, "index out of range"), ("add_page", 1, None, None, 0, None, "page exists"),
+        ("remove_page", 9, None, None, None, None, "page not found"), ("update_page", 2, None, None, None, None, None), ("update_project", None, None, None, None, None, None),
+        ("reorder_pages", None, None, None, None, [2, 1], None), ("reorder_pages", None, None, None, None, [2, 2], "other pages"), ("reorder_pages", None, None, None, None, [2], "other pages"),
+        ("add_node", 1, 12, None, 2, None, None), ("add_node", 1, 10, None, 0, None, "node exists"), ("add_node", 2, 10, None, 1, None, "index out of range"), ("add_node", 7, 10, None, 0, None, "page not found"),
+        ("remove_node", 2, 10, None, None, None, "node not found"), ("update_node", 1, 10, "text", None, None, None), ("update_node", 1, 10, "image", None, None, "node of another kind"), ("update_node", 1, 11, None, None, None, None),
+        ("reorder_nodes", 1, None, None, None, [11, 10], None), ("reorder_nodes", 1, None, None, None, [11, 10, 11], "other nodes"), ("reorder_nodes", 1, None, None, None, [11, 12], "other nodes"), ("reorder_nodes", 2, None, None, None, [], None),
+    ]
+    ops = spark.createDataFrame([(k, 0, *r[:6]) for k, r in enumerate(rows)] + [(0, 1, "remove_page", 9, None, None, None, None)], "batch long, place int, op string, page long, node long, kind string, at long, ids array<long>")
+    errors = changelog.op_errors(ops, pages, nodes)
+    assert {(r.batch, r.place): r.error for r in errors.collect()} == {(k, 0): r[6] for k, r in enumerate(rows) if r[6]} | {(0, 1): "page not found"}
+    assert sorted(r.batch for r in changelog.accepted(ops, errors).collect()) == [k for k, r in enumerate(rows) if not r[6] and k]
+
+
 def test_log_and_store(spark, tmp_path):
     root = str(tmp_path)
     log = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "epoch long, name string")
