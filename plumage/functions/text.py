@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,12 +277,48 @@ def line_breaks(widths: list[float], width: float, suffixes: list[float] | None
     return out[::-1]
 
 
+def line_breaks_many(texts: list[list[float]], width: float, overflow: float = 10_000.0, group: int = 64) -> list[list[int]]:
+    """line_breaks without suffixes for many texts: texts of like length take each step together, over all starts that a line can have."""
+    if not 0 < width < float("inf"):
+        return [[len(w)] if w else [] for w in texts]
+    out: list[list[int]] = [[] for _ in texts]
+    order = sorted((k for k, w in enumerate(texts) if w), key=lambda k: len(texts[k]))
+    for at in range(0, len(order), group):
+        part = order[at : at + group]
+        n = [len(texts[k]) for k in part]
+        upto = np.zeros((len(part), max(n) + 1))  # width of the words before each place
+        most = 1
+        for i, k in enumerate(part):
+            upto[i, 1:] = np.pad(np.cumsum(texts[k]), (0, max(n) - n[i]), "edge")
+            own = upto[i, : n[i] + 1]
+            most = max(most, int((np.arange(n[i] + 1) - np.searchsorted(own, own - width)).max()))
+        best = np.full(upto.shape, np.inf)
+        best[:, 0] = 0
+        start, rows = np.zeros(upto.shape, np.int64), np.arange(len(part))
+        for z in range(1, max(n) + 1):
+            low = max(0, z - most)
+            slack = width - (upto[:, z : z + 1] - upto[:, low:z])
+            cost = np.where(slack >= 0, slack**3, np.inf)
+            alone = slack[:, -1]  # a word too wide for a line has one all the same
+            cost[:, -1] = np.where(alone >= 0, cost[:, -1], (-alone) ** 3 * overflow)
+            cost += best[:, low:z]
+            first = cost.argmin(1)
+            best[:, z], start[:, z] = cost[rows, first], low + first
+        for i, k in enumerate(part):
+            z = n[i]
+            while z:
+                out[k].append(z)
+                z = int(start[i, z])
+            out[k].reverse()
+    return out
+
+
 def line_breaker(width: float):
     """Line ends for a text's words by code points, each word but the last with a space."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def breaks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: line_breaks([len(w) + 1.0 for w in (t or "").split()], width))
+        return pd.Series(line_breaks_many([[len(w) + 1.0 for w in (t or "").split()] for t in texts], width))
 
     return breaks
 

@@ -86,6 +86,12 @@ def test_line_breaks():
     assert t.line_breaks([4, 4], 9, [1, 1]) == [2]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 14), max_size=40), max_size=9), st.integers(1, 30), st.sampled_from([1, 3, 64]))
+def test_line_breaks_of_many_texts(texts, width, group):
+    assert t.line_breaks_many(texts, float(width), group=group) == [t.line_breaks(list(map(float, w)), float(width)) for w in texts]
+
+
 def test_visual_order_and_chunks():
     assert t.visual_order([0, 1, 1, 0]) == [0, 2, 1, 3]
     assert t.visual_order([0, 0]) == [0, 1] and t.visual_order([]) == []
