@@ -85,3 +85,17 @@ def test_estimate_is_close(spark):
     df = spark.createDataFrame([(out.sig[0].tolist(), out.sig[1].tolist())], "a array<bigint>, b array<bigint>")
     x, y = shingles(a), shingles(b)
     assert abs(df.select(estimate(df.a, df.b, h.n)).first()[0] - len(x & y) / len(x | y)) < 0.15
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    """Rows equal in id and text are fetched once: the pairs that are confirmed don't grow with them."""
+    text = " ".join(f"w{i}" for i in range(150))
+    rows = [(1, text), (2, text + " more")] * 300
+    df = spark.createDataFrame(rows, "`my.id` long, text string").repartition(4)
+    got = near_groups(df, "my.id").collect()
+    assert len(got) == 600 and {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(1, 146, 1, True), (2, 147, 1, False)}
+    docs = df.selectExpr("`my.id` as id", "xxhash64(text) as h", "text as t")
+    nodes = docs.distinct().selectExpr("id as node", "id", "h", "0L as f1", "1L as n_shingles")
+    assert minhash.texts_of(nodes, docs).count() == 2
+    kept = drop_near_copies(df, "my.id")
+    assert kept.columns == ["my.id", "text"] and [r["my.id"] for r in kept.collect()] == [1]
