@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from plumage.functions import text as t
 from plumage.operators import aggregate as a
 from plumage.operators import nodes as n
+from plumage.plans import registry
 from plumage.plans.log_queries import EVENTS, events
+from plumage.sources import store
 from plumage.sources.fixtures import BOXES_SQL, boxes, table
 from plumage.streaming import jobs as j
 
@@ -20,6 +22,7 @@ HARD = [
 VARIANTS = ["Comic Neue:700i", "Anton", "F:i700", "F:", "F:i", "A:B:1i2", "Noto Sans:70000", ":5", "F:٣", "X:000400 italic", "Y:99999999999"]
 EFFECTS = ["", "none", "Normal", " italic ", "Bold|italic", "bold+bold,none", "bold　italic", "glow", "italic;bold", "normal bold", "|,+"]
 NUMBERS = ["p2", "p10", "p002", "p" + "1" * 24, "p" + "1" * 25, "p" + "0" * 30 + "7", "p" + "9" * 20, "p1" + "0" * 20, "x", "2", "p2a10", "p2a9"]
+DOWNLOAD = ["started", "downloading", "completed", "failed"]
 NAMES = ["zh", "zh-Hans", "Simplified Chinese", " tl　", "fil-PH", "EN", "en", "English", "yue", "bo", "Klingon", "", "pt-BR", "Brazilian Portuguese", "zh-TW", "zh-Hant"]
 
 
@@ -122,7 +125,41 @@ def _millis(s, d):
     return table(s, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
+#: Turns as nodes of a page: kinds and roles by number, texts and translations that are blank now and then.
+NODE_COLUMNS = [
+    "conv_id as page", "case when turn % 3 < 2 then 'text' when conv_id % 2 = 0 then 'image' else 'mask' end as kind",
+    "case (conv_id + turn) % 6 when 0 then 'source' when 1 then 'inpainted' when 2 then 'segment' when 3 then 'bubble' when 4 then 'brush' else 'rendered' end as role",
+    "case when (conv_id + turn) % 7 = 0 then '  ' else text end as text", "case when (conv_id + turn) % 5 > 0 then text end as translation", "(conv_id + turn) % 4 > 0 as predicted", "conv_id % 3 > 0 as sprite",
+]
+
+
+def _artifacts(s, d):
+    pages = table(s, d, "pages").select(F.col("page_id").alias("page")).unionAll(table(s, d, "conversations").select("conv_id")).distinct()
+    return registry.artifacts(pages, table(s, d, "conversations").selectExpr(*NODE_COLUMNS))
+
+
+def _catalogue(s, d):
+    return registry.catalogue(table(s, d, "nation").selectExpr("n_name as id", "n_regionkey as place", "n_nationkey % 2 = 0 as bootstrap", "n_nationkey % 3 > 0 as enabled"))
+
+
+def _downloads(s, d):
+    e = events(s, d).select(F.col("job_id").alias("id"), "seq", F.get(F.array(*map(F.lit, DOWNLOAD)), (F.col("seq") % 4).cast("int")).alias("status"))
+    return n.latest_status(e, "id").where("status <> 'completed'")
+
+
+def _roles_to_blobs(s, d):
+    """Each page's first node of a role with its content: the role's reference joined to the store, null where it isn't kept."""
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("page"), "role", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "text")
+    first = c.groupBy("page", "role").agg(F.min_by("hash", "turn").alias("hash"))
+    kept = store.put(None, c.where("turn % 2 = 0").select("hash", F.coalesce("text", F.lit("")).alias("content")))
+    return store.get(kept, first).select("page", "role", F.length("content").alias("n"))
+
+
 QUERIES = {
+    "artifacts_by_page": _artifacts,
+    "package_catalogue": _catalogue,
+    "download_state": _downloads,
+    "role_blobs": _roles_to_blobs,
     "text_white_space": _white_space,
     "text_scripts": _scripts,
     "font_variant_hard": _variants,
@@ -148,7 +185,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _RTL = "[" + "".join(f"\\p{{{x}}}" for x in t.RTL_SCRIPTS) + "]"
 _KNOWN = ", ".join(f"({quoted(g)}, {quoted(name)}, {quoted(tag)}, {quoted(code)})" for name, tag, more, code in t.LANGUAGES for g in [name, tag, *more.split()])
 
+_ARTIFACTS = [("TextBoxes", "bool_or(kind = 'text')", "false"), *[(k, f"bool_or(kind = '{a}' and role = '{b}')", "false") for k, (a, b) in registry.BY_ROLE.items()],
+    ("OcrText", f"bool_and(trim(text, {_W}) <> '') filter (kind = 'text')", "true"), ("FontPredictions", "bool_and(predicted) filter (kind = 'text')", "true"),
+    ("Translations", f"bool_and(trim(text, {_W}) = '' or coalesce(trim(translation, {_W}) <> '', false)) filter (kind = 'text')", "true"), ("RenderedSprites", "bool_and(sprite) filter (kind = 'text')", "true")]
 ORACLES = {
+    "artifacts_by_page": f"with n as (select {', '.join(NODE_COLUMNS)} from conversations), p as (select page_id as page from pages union select conv_id from conversations), " + ", ".join(f"a{k} as (select page, {x} as ready from n group by 1)" for k, (_, x, _) in enumerate(_ARTIFACTS)) + " " + " union all ".join(f"select page, '{name}' as artifact, coalesce(ready, {default}) as ready from p left join a{k} using (page)" for k, (name, _, default) in enumerate(_ARTIFACTS)),
+    "package_catalogue": "select n_name as id, cast(row_number() over (order by n_regionkey, n_name) as int) as position, n_nationkey % 2 = 0 and n_nationkey % 3 > 0 as prepared from nation",
+    "download_state": f"with {EVENTS} select job_id as id, ({DOWNLOAD})[max(seq) % 4 + 1] as status from e group by 1 having max(seq) % 4 <> 2",
+    "role_blobs": "with f as (select conv_id as page, role, coalesce(text, '') as t from conversations qualify row_number() over (partition by conv_id, role order by turn) = 1) select page, role, case when t in (select coalesce(text, '') from conversations where turn % 2 = 0) then cast(length(t) as int) end as n from f",
     "text_white_space": f"""with {_H}, k as (select *, trim(t, {_W}) as m, strpos(t, '<think>') as p from h), r as (select *, case when p > 0 then substr(t, p) end as rest from k)
 select doc_id, m <> '' as nonblank, m as trimmed, case when length(m) >= 2 and left(m, 1) = right(m, 1) and left(m, 1) in ('"', '''') then substr(m, 2, length(m) - 2) else m end as unquoted,
 case when strpos(rest, '</think>') > 0 then ltrim(substr(rest, strpos(rest, '</think>') + 8), {_W}) else t end as said,
