@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumage.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, substring_dedup
+from plumage.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, minhash, nearest, packing, prefix_trie, quality_classifier, quality_rules, resampling, substring_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_nearest_neighbours": nearest.op12_nearest_neighbours,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
@@ -23,4 +26,7 @@ ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_nearest_neighbours": nearest.ORACLE,
+    "op13_importance_resampling": resampling.ORACLE,
 }

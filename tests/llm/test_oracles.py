@@ -18,6 +18,9 @@ def hard_dir(spark, tmp_path_factory):
     say = ["", None, "short", "\\ <| <\\| <|end|>", "w " * 300, "äöü " * 70, "x" * 1100]
     turns = [(c, t, ["system", "user", "assistant", None][(c + t * (1 + c % 2)) % 4 if t else c % 3], say[(c * t + t) % 7]) for c in range(30) for t in range(c % 9 + 1)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, passage), (4, "Line NUMBER 5, of_the-block ä")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    odd = [None, [], [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], [2.0], [-1.0], [1.0, 0.0], [0.0, 1.0], [3.0, 4.0], [3.0, 4.0], [1e-30, 2e-30]]
+    spark.createDataFrame([(i * 25, v) for i, v in enumerate(odd * 3)], "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
@@ -26,7 +29,7 @@ def hard_dir(spark, tmp_path_factory):
 def test_query(spark, hard_dir, name, kind):
     path, files = (DIR, "") if kind == "driver's" else (hard_dir, "/*.parquet")
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{path}/{t}.parquet{files}'")
     got = QUERIES[name](spark, path)
     columns = sorted(got.columns)
