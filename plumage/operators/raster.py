@@ -145,7 +145,8 @@ def holes(grid: np.ndarray) -> np.ndarray:
 def largest_rectangle(safe: np.ndarray, anchor: tuple[float, float]) -> tuple[int, int, int, int] | None:
     """(left, top, right, bottom) of the largest all-true rectangle; of equal ones the one whose centre is nearest the anchor.
 
-    Row by row with a stack of rising heights: each rectangle that can't grow is judged once.
+    Of those as near too, the one that ends higher up, then further left, then is tallest. Row by row with a stack of rising
+    heights: each rectangle that can't grow is judged once.
     """
     best, tall = None, np.zeros(safe.shape[1], int)
     for y, row in enumerate(safe):
@@ -157,7 +158,7 @@ def largest_rectangle(safe: np.ndarray, anchor: tuple[float, float]) -> tuple[in
                 left, high = stack.pop()
                 if high and high > h:
                     far = ((left + x) / 2 - anchor[0]) ** 2 + (y + 1 - high / 2 - anchor[1]) ** 2
-                    key = (-(x - left) * high, far, left, y + 1 - high)
+                    key = (-(x - left) * high, far, y, x, -high)
                     if best is None or key < best[0]:
                         best = (key, (left, y + 1 - high, x, y + 1))
             stack.append((left, h))
