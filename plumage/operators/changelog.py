@@ -7,6 +7,10 @@ at all.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,30 +74,55 @@ def violations(nodes: DataFrame) -> DataFrame:
 
 
 def history(commands: DataFrame, cap: int = 500) -> DataFrame:
-    """The live actions of each entity after apply, undo and redo (entity, epoch, command, v), oldest first.
+    """The live actions of each entity after apply, undo and redo (entity, position, epoch, v), oldest first.
 
-    The two stacks are folded over the entity's commands in order: undo moves the newest action to the redo stack, redo
-    moves it back, a new action clears the redo stack, and only the newest ``cap`` actions can be undone (older ones stay).
+    Undo moves the newest action to the redo stack, redo moves it back, a new action clears the redo stack, and only the newest
+    ``cap`` actions can be undone (older ones stay). A task reads its entities' commands as a sorted stream: an action that can't
+    be undone any more leaves at once, so no more than 2 ``cap`` actions are held, however many commands an entity has.
     """
-    ops = F.array_sort(F.collect_list(F.struct("epoch", "command", "v")))
-    groups = commands.groupBy("entity").agg(ops.alias("ops"))
-    empty = F.array().cast("array<struct<epoch:bigint,v:int>>")
-    drop_last = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-
-    def step(acc: Column, x: Column) -> Column:
-        item = F.struct(x["epoch"].cast("bigint").alias("epoch"), x["v"].cast("int").alias("v"))
-        done, undone, fixed = acc["done"], acc["undone"], acc["fixed"]
-        can_undo, can_redo = F.size(done) > 0, F.size(undone) > 0
-        pushed = F.concat(done, F.array(item))
-        full = F.size(pushed) > cap
-        applied = F.struct(F.when(full, F.slice(pushed, 2, cap)).otherwise(pushed).alias("done"), empty.alias("undone"), F.when(full, F.concat(fixed, F.slice(pushed, 1, 1))).otherwise(fixed).alias("fixed"))
-        undo = F.struct(drop_last(done).alias("done"), F.concat(undone, F.slice(done, -1, 1)).alias("undone"), fixed.alias("fixed"))
-        redo = F.struct(F.concat(done, F.slice(undone, -1, 1)).alias("done"), drop_last(undone).alias("undone"), fixed.alias("fixed"))
-        return F.when((x["command"] == "undo") & can_undo, undo).when((x["command"] == "redo") & can_redo, redo).when(x["command"] == "apply", applied).otherwise(acc)
-
-    start = F.struct(empty.alias("done"), empty.alias("undone"), empty.alias("fixed"))
-    end = groups.select("entity", F.aggregate("ops", start, step).alias("s"))
-    return end.select("entity", F.posexplode(F.concat("s.fixed", "s.done")).alias("position", "a")).select("entity", "position", "a.epoch", "a.v")
+    kind = dict(commands.dtypes)["entity"]
+    rows = commands.select("entity", F.col("epoch").cast("bigint"), "command", F.col("v").cast("int")).repartition("entity").sortWithinPartitions("entity", "epoch")
+    return rows.mapInArrow(lambda batches: _live(batches, cap), f"entity {kind}, position int, epoch bigint, v int")
+
+
+def _live(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    entity, started, place = None, False, 0
+    done: deque[tuple] = deque()
+    undone: list[tuple] = []
+    out: list[tuple] = []
+
+    def leave() -> None:
+        nonlocal place
+        out.append((entity, place, *done.popleft()))
+        place += 1
+
+    for b in batches:
+        for e, epoch, command, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not started or e != entity:
+                while done:
+                    leave()
+                entity, started, place = e, True, 0
+                undone.clear()
+            if command == "undo" and done:
+                undone.append(done.pop())
+            elif command == "redo" and undone:
+                done.append(undone.pop())
+            elif command == "apply":
+                undone.clear()
+                done.append((epoch, v))
+                if len(done) > cap:
+                    leave()
+        yield _columns(out, b.schema.field(0).type)
+        out.clear()
+    while done:
+        leave()
+    if out:
+        yield _columns(out, b.schema.field(0).type)
+
+
+def _columns(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [("entity", kind), ("position", pa.int32()), ("epoch", pa.int64()), ("v", pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
 
 # The kinds of typed operations on a scene of pages and nodes.
@@ -112,9 +141,10 @@ def op_errors(ops: DataFrame, pages: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.select("page", "node", F.col("kind").alias("_kind"))
     o = o.join(own, ["page", "node"], "left")
     o = o.join(nodes.groupBy("page").agg(F.count("*").alias("_nodes")), "page", "left").crossJoin(F.broadcast(pages.agg(F.count("*").alias("_pages"))))  # one row
-    listed = ops.where(F.col("op").isin("reorder_pages", "reorder_nodes")).select("batch", "place", "op", "page", F.explode("ids").alias("id")).groupBy("batch", "place", "op", "page", "id").agg(F.count("*").alias("n"))
-    known = nodes.select("page", F.col("node").alias("id"), F.lit("reorder_nodes").alias("op"), F.lit(1).alias("_in")).unionAll(pages.select(F.lit(None).cast("long"), "page", F.lit("reorder_pages"), F.lit(1)))
-    hit = listed.alias("l").join(known.alias("k"), (F.col("l.op") == F.col("k.op")) & (F.col("l.id") == F.col("k.id")) & ((F.col("l.op") == "reorder_pages") | (F.col("l.page") == F.col("k.page"))), "left")
+    at = F.when(F.col("op") == "reorder_pages", F.lit(-1)).otherwise(F.col("page")).alias("_at")  # node numbers repeat on every page
+    listed = ops.where(F.col("op").isin("reorder_pages", "reorder_nodes")).select("batch", "place", "op", at, F.explode("ids").alias("id")).groupBy("batch", "place", "op", "_at", "id").agg(F.count("*").alias("n"))
+    known = nodes.select(F.col("page").alias("_at"), F.col("node").alias("id"), F.lit("reorder_nodes").alias("op"), F.lit(1).alias("_in")).unionAll(pages.select(F.lit(-1), "page", F.lit("reorder_pages"), F.lit(1)))
+    hit = listed.alias("l").join(known.alias("k"), (F.col("l.op") == F.col("k.op")) & (F.col("l.id") == F.col("k.id")) & (F.col("l._at") == F.col("k._at")), "left")
     order = hit.groupBy("l.batch", "l.place").agg(F.count("k._in").alias("_found"), F.max(F.greatest(F.col("l.n"), F.when(F.col("k._in").isNull(), 2).otherwise(1))).alias("_worst"))
     o = o.join(order, ["batch", "place"], "left")
     has_page, has_node, op = F.col("_page").isNotNull(), F.col("_kind").isNotNull(), F.col("op")
