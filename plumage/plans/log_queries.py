@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumage.operators import changelog as c
 from plumage.sources.fixtures import CHANGES_SQL, changes, table
 from plumage.streaming import jobs as j
+from plumage.streaming import recovery as rc
 
 #: Event types as job tags, by the order of their names.
 TAGS = ["started", "progress", "warning", "finished"]
@@ -88,7 +90,16 @@ def _failures(s, d):
     return j.isolated_failures(events(s, d).select(F.col("job_id").alias("page"), F.col("seq").alias("step"), (F.col("seq") % 23 == 0).alias("failed")))
 
 
+def _bus_events(s, d):
+    """Ten jobs share a bus; a bus is read every 37 events, of which it keeps 20."""
+    e = events(s, d).withColumn("bus", F.floor(F.col("job_id") / 10))
+    seq = F.row_number().over(Window.partitionBy("bus").orderBy("seq")).cast("long")
+    return e.withColumn("seq", seq).select("bus", "seq", "job_id", "tag", F.floor(F.col("seq") / 37).alias("read"))
+
+
 QUERIES = {
+    "event_lag_reads": lambda s, d: rc.reads(_bus_events(s, d), "read", 20),
+    "event_lag_recovery": lambda s, d: rc.mirrored(rc.frames(_bus_events(s, d), "read", 20)),
     "change_fold": lambda s, d: c.state_at(changes(s, d)),
     "change_prior": lambda s, d: c.with_prior(changes(s, d)).select("epoch", "v", F.col("prior").cast("double").alias("prior"), "present"),
     "change_inverse": lambda s, d: c.inverse(changes(s, d)).withColumn("v", F.col("v").cast("double")),
@@ -123,7 +134,10 @@ v as (select batch, place, op, case when op = 'rename' then 'unknown operation'
   when op in ('remove_node', 'update_node') and own is null then 'node not found'
   when op = 'update_node' and kind <> own then 'node of another kind'
   when op = 'reorder_nodes' and not (node < 3 or node >= 6 and own is null) then 'other nodes' end as error from w)"""
+_BUSES = f"{EVENTS}, be as (select *, cast(floor(job_id / 10) as bigint) as bus from e), bs as (select bus, job_id, tag, row_number() over (partition by bus order by seq) as seq from be)"
 ORACLES = {
+    "event_lag_reads": f"with {_BUSES}, r as (select bus, cast(floor(seq / 37) as bigint) as read, count(*) as n, max(seq) as top from bs group by all) select bus, read, top - least(n, 20) + 1 as from_seq, least(n, 20) as n_events, n - least(n, 20) as lost, n > 20 or row_number() over (partition by bus order by read) = 1 as snapshot from r",
+    "event_lag_recovery": f"with {_BUSES}, l as (select *, max(seq) filter (tag = 'started') over (partition by job_id) as start from bs) select bus, job_id, case when count(*) filter (tag = 'finished') = 0 then 'running' when count(*) filter (tag = 'warning') = 0 then 'completed' else 'completed_with_errors' end as status, count(*) filter (tag = 'warning') as warnings, max(seq) as last_seq from l where start is null or seq >= start group by all",
     "scene_op_errors": f"with {_ERRORS} select batch, place, error from v where error is not null",
     "scene_batches_accepted": f"with {_ERRORS} select batch, place, op from v where batch not in (select batch from v where error is not null)",
     "change_fold": f"with {CHANGES_SQL} select entity, field, epoch, v from changes qualify row_number() over (partition by entity, field order by epoch desc) = 1",
