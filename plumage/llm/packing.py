@@ -137,8 +137,10 @@ def pack_tokens(tokens: DataFrame, width: int = 4, lengths: tuple[int, ...] = LE
     top = lengths[-1]
     scratch = Scratch(tokens.sparkSession)
     n = F.floor(F.octet_length("ids") / width).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(top)), lambda i: F.struct(i.alias("start"), F.substr("ids", i * width + 1, F.lit(top * width)).alias("ids")))
-    parts = tokens.where(n > 0).select("doc_id", F.xxhash64("doc_id", "ids").alias("h"), F.explode(cut).alias("p"))
+    # Hashed once, before the parts; a part is cut out in the loop over its starts, where a text's ids are at hand without a copy.
+    whole = tokens.where(n > 0).withColumn("h", F.xxhash64("doc_id", "ids"))
+    starts = whole.select("doc_id", "h", "ids", F.explode(F.sequence(F.lit(0), n - 1, F.lit(top))).alias("start"))
+    parts = starts.select("doc_id", "h", F.struct("start", F.substr("ids", F.col("start") * width + 1, F.lit(top * width)).alias("ids")).alias("p"))
     length = F.floor(F.octet_length("p.ids") / width).cast("int")
     parts = scratch.save(parts.select("doc_id", F.xxhash64("h", "p.start").alias("h"), "p.start", length.alias("length"), "p.ids"), "parts")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each size, ``top`` at most

@@ -114,3 +114,16 @@ def test_tokens_of_any_vocabulary(spark):
     assert all([t for d, _, x in back if d == i for t in x] == ids for i, ids in want.items())
     assert sum(b.n_tokens for b in bins) == 3 * sum(range(40)) and all(b.n_tokens <= b.capacity for b in bins)
     assert {p.doc_id for b in bins for p in b.parts} == {f"d{i}" for i in range(1, 40)}
+
+
+def test_time_grows_with_a_texts_length_only_in_proportion(spark, tmp_path):
+    """A text's ids are hashed once, not for each of its parts: 32 MB would take minutes otherwise."""
+    import time
+
+    for mb, most in ((1, None), (32, 60)):
+        ids = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("0123456789abcdef"), (F.col("id") + mb * 65536).cast("int")).cast("binary").alias("ids"))
+        ids.write.parquet(f"{tmp_path}/{mb}")
+        began = time.time()
+        out = pack_tokens(spark.read.parquet(f"{tmp_path}/{mb}"), 2)
+        assert out.agg(F.sum("n_tokens")).first()[0] == mb * 524_288 and out.where("n_tokens < 4096").count() == 0
+        assert most is None or time.time() - began < most
