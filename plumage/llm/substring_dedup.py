@@ -1,4 +1,4 @@
-"""Substring dedup over suffix trees that are split by prefixes of variable length.
+"""Substring dedup over suffix trees that are split by common words, of variable length.
 
 A suffix matters only if it begins a repeated window (``window`` consecutive words), so the suffixes of all texts are thinned
 out first. The anchor of a window is the smallest GRAM-word hash in it; equal windows have equal anchors at equal places.
@@ -6,11 +6,13 @@ Windows with one anchor follow each other: a run. A run's suffixes are those tha
 
 1. Runs with equal words are told by a 128-bit digest. One that a smaller id has goes as a whole, so copies and passages that
    thousands of documents share come down to one run each, by an aggregation that combines before the shuffle.
-2. What remains is grouped by the words that all of a run's suffixes share, its prefix: at first the GRAM words of the anchor. A
+2. What remains is grouped by words that all of a run's windows have in common, at a place that the words themselves give: at
+   first the GRAM words of the anchor. (A split by the words that suffixes start with would need a row for each suffix.) A
    group with one document can't repeat anything. One of at most GROUP_BYTES of different runs is a subtree that fits in memory.
-3. A larger group's prefix is lengthened: runs are cut into two halves by where their suffixes start, which share 29 words of
+3. A larger group's common words are lengthened: runs are cut into two halves by where their suffixes start, which share 29 words of
    50, then into four (40 words), and so on, and each piece goes through steps 1 and 2 again. The last pieces are single windows,
-   whose prefix is the whole window; equal ones are then one run, so nothing is left to compare, however common a passage is.
+   which have all their words in common; equal ones are then one run, so nothing is left to compare, however common a passage is.
+   What one text repeats, alike or in other surroundings that were cut off since, is one row with all its places.
 4. In a subtree all words have ranks over 1, 2, 4, ... words; they give the order of the suffixes and the words that neighbours
    have in common. Neighbours that share a window are leaves below one deep internal node, and its smallest id is the only one
    that keeps the window. Adjoining windows make up the maximal repeats, which are the stretches that go.
@@ -128,26 +130,27 @@ def marked(rows: DataFrame, group_bytes: int) -> DataFrame:
 
 
 def _words(window: int):
-    """Of (o, h, text, asked): each asked run (p, last, j, k, kind) with its words."""
+    """Of (o, h, text, asked): each different asked run (j, k, kind) with its words and the windows (ps) that it starts at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
             rows = []
             for o, h, t, asked in zip(*b.columns):
-                words = _plain(t).split()
+                words, own = _plain(t).split(), {}
                 for r in asked.as_py():
-                    rows.append((o.as_py(), h.as_py(), r["p"], r["j"], r["k"], r["kind"], b" ".join(words[r["p"] : r["last"] + window])))
+                    own.setdefault((r["j"], r["k"], r["kind"], b" ".join(words[r["p"] : r["last"] + window])), []).append(r["p"])
+                rows += [(o.as_py(), h.as_py(), ps, *key) for key, ps in own.items()]
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["o", "h", "p", "j", "k", "kind", "words"])
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["o", "h", "ps", "j", "k", "kind", "words"])
 
     return run
 
 
 def pieces(words: list[bytes], j: int, parts: int, window: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """A run cut into parts by the anchor's place in its windows: (first window, last window, part, prefix) of each piece.
+    """A run cut into parts by the anchor's place in its windows: (first window, last window, part, common words) of each piece.
 
-    The prefix are the words that all windows of the part have in common, those that this run doesn't have included.
+    With each come the words that all windows of the part have in common, those that this run doesn't have included.
     """
     span = window - GRAM + 1
     n = len(words) - window + 1
@@ -159,23 +162,37 @@ def pieces(words: list[bytes], j: int, parts: int, window: int) -> Iterator[tupl
 
 
 def _pieces(window: int, parts: int):
-    """Of runs (o, h, p, j, words): their pieces o, h, p, last, j, k (digest of part and prefix), d, size, words."""
+    """Of runs (o, h, ps, j, words): their pieces o, h, ps, n (windows after the first), j, k (digest of part and common words), d, size, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4):
             rows = []
-            for o, h, p, j, w in zip(*(c.to_pylist() for c in b.columns)):
+            for o, h, ps, j, w in zip(*(c.to_pylist() for c in b.columns)):
                 words = w.split(b" ")
-                for first, last, part, prefix in pieces(words, j, parts, window):
+                for first, last, part, common in pieces(words, j, parts, window):
                     own = b" ".join(words[first : last + window])
-                    rows.append((o, h, p + first, p + last, j - first, digest(b"%d/%d " % (part, parts) + b" ".join(prefix)), digest(own), len(own), own))
+                    rows.append((o, h, [p + first for p in ps], last - first, j - first, digest(b"%d/%d " % (part, parts) + b" ".join(common)), digest(own), len(own), own))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["o", "h", "p", "last", "j", "k", "d", "size", "words"])
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["o", "h", "ps", "n", "j", "k", "d", "size", "words"])
 
     return run
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (o, h, ps, n, j, k, words, kind) of one text that are the same piece, as one row with all its windows, batch by batch.
+
+    A text that repeats a passage in many surroundings has the same piece many times once the surroundings are cut off.
+    """
+    for b in batches:
+        own: dict[tuple, list[int]] = {}
+        for o, h, ps, *key in zip(*(c.to_pylist() for c in b.columns)):
+            own.setdefault((o, h, *key), []).extend(ps)
+        rows = [(o, h, ps, *key) for (o, h, *key), ps in own.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), b.schema)], schema=b.schema)
+
+
 def suffix_order(parts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(part, place, common) of every suffix that is a window long, in their order; common: words shared with the one before.
 
@@ -207,27 +224,27 @@ def suffix_order(parts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.
 
 
 def _ranked(window: int):
-    """Rows come with all of a group in a row. Gives the stretches (o, h, first, last) of windows that an earlier document has.
+    """Rows come with all of a group in a row. Gives the stretches (o, h, ps, first, last) of windows that an earlier document has.
 
-    Equal windows have equal anchors and prefixes, so no node spans two groups.
+    first and last count from each of ps. Equal windows have equal anchors and common words, so no node spans two groups.
     """
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        o, h, p, _, words = zip(*rows)
-        order, begin = np.array(o, np.int64), np.array(p, np.int64)
+        o, h, ps, _, words = zip(*rows)
+        order = np.array(o, np.int64)
         part, place, common = suffix_order([w.split(b" ") for w in words], window)
         node = np.cumsum(common < window) - 1  # neighbours that share a window lie below one deep internal node
         least = np.full(int(node.max(initial=-1)) + 1, _LAST)
         np.minimum.at(least, node, order[part])
         again = least[node] < order[part]
-        part, start = part[again], place[again] + begin[part[again]]
+        part, start = part[again], place[again]
         sort = np.lexsort((start, part))
         part, start = part[sort], start[sort]
         new = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
         last = start[np.append(new[1:], len(start)) - 1] if len(new) else start
         own = part[new]
-        columns = [pa.array(order[own]), pa.array([h[i] for i in own], pa.int64()), pa.array(start[new], pa.int32()), pa.array(last, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["o", "h", "first", "last"])
+        columns = [pa.array(order[own]), pa.array([h[i] for i in own], pa.int64()), pa.array([ps[i] for i in own], pa.list_(pa.int32())), pa.array(start[new], pa.int32()), pa.array(last, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["o", "h", "ps", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -293,22 +310,23 @@ def repeats(source: DataFrame, window: int, group_bytes: int, scratch: Scratch)
     all_runs = scratch.save(source.mapInArrow(_runs(window), "o bigint, h bigint, p int, last int, j int, k bigint, d binary, size int"), "runs")
     found = scratch.save(marked(all_runs, group_bytes), "marked")
     scratch.drop("runs")
-    stretch = lambda df: df.where("kind = 0").select("o", "h", F.col("p").alias("first"), "last")
-    gone = stretch(found)
+    gone = found.where("kind = 0").select("o", "h", F.col("p").alias("first"), "last")
+    moved = lambda df, first, last: df.withColumn("p", F.explode("ps")).select("o", "h", (F.col("p") + first).alias("first"), (F.col("p") + last).alias("last"))
     asked = found.where("kind > 0").groupBy("o", "h").agg(F.collect_set(F.struct("p", "last", "j", "k", "kind")).alias("asked"))  # as many as the text has
     one = F.row_number().over(Window.partitionBy("o", "h").orderBy("o"))  # rows equal in id and text are asked once
     texts = join_split(source, asked, ["o", "h"]).withColumn("n", one).where("n = 1").select("o", "h", "text", "asked")
-    open_ = scratch.save(texts.mapInArrow(_words(window), "o bigint, h bigint, p int, j int, k bigint, kind int, words binary"), "open")
-    tree = lambda df, label: df.where("kind = 1").select("o", "h", "p", label.alias("k"), "words")
+    open_ = scratch.save(texts.mapInArrow(_words(window), "o bigint, h bigint, ps array<int>, j int, k bigint, kind int, words binary"), "open")
+    tree = lambda df, label: df.where("kind = 1").select("o", "h", "ps", label.alias("k"), "words")
     trees, open_ = tree(open_, F.col("k").cast("string")), open_.where("kind = 2")
     parts, span = 1, window - GRAM + 1
     while parts < span and open_.limit(1).count():
         parts = min(2 * parts, span)
-        cut = open_.select("o", "h", "p", "j", "words").mapInArrow(_pieces(window, parts), "o bigint, h bigint, p int, last int, j int, k binary, d binary, size int, words binary")
-        now = scratch.save(marked(cut, group_bytes), f"pieces{parts}")
-        gone, trees, open_ = gone.unionAll(stretch(now)), trees.unionAll(tree(now, F.hex("k"))), now.where("kind = 2")
-    ranked = trees.repartition("k").sortWithinPartitions("k").mapInArrow(_ranked(window), "o bigint, h bigint, first int, last int")
-    return gone.unionAll(ranked).groupBy("o", "h").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+        cut = open_.select("o", "h", "ps", "j", "words").mapInArrow(_pieces(window, parts), "o bigint, h bigint, ps array<int>, n int, j int, k binary, d binary, size int, words binary")
+        now = marked(cut, group_bytes).select("o", "h", "ps", "n", "j", "k", "words", "kind")
+        now = scratch.save(now.mapInArrow(_folded, now.schema), f"pieces{parts}")
+        gone, trees, open_ = gone.unionAll(moved(now.where("kind = 0"), F.lit(0), F.col("n"))), trees.unionAll(tree(now, F.hex("k"))), now.where("kind = 2")
+    ranked = trees.repartition("k").sortWithinPartitions("k").mapInArrow(_ranked(window), "o bigint, h bigint, ps array<int>, first int, last int")
+    return gone.unionAll(moved(ranked, F.col("first"), F.col("last"))).groupBy("o", "h").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES, digest: bool = False, carry: bool = False) -> DataFrame:

@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from plumage.llm.substring_dedup import drop_repeats, pieces, substring_dedup, suffix_order
+from plumage.llm.substring_dedup import _folded, drop_repeats, pieces, substring_dedup, suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,6 +90,27 @@ def test_one_passage_everywhere_and_a_long_text(spark):
         assert got == brute(rows, 50)
 
 
+@pytest.mark.parametrize("group", [1 << 18, 3000, 0])
+def test_a_passage_repeated_inside_one_text(spark, group):
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(60)
+    alike = passage * 40
+    apart = [w for _ in range(60) for w in passage + words(9)]
+    rows = [(1, " ".join(alike)), (2, " ".join(apart)), (3, " ".join(passage)), (4, " ".join(words(20) + passage * 3)), (0, " ".join(words(30) + passage[:55]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup(df, group_bytes=group, digest=True).collect()), key=str) == sorted(brute(rows, 50), key=str)
+
+
+def test_the_same_piece_of_a_text_is_one_row():
+    names = ["o", "h", "ps", "n", "j", "k", "words", "kind"]
+    rows = [(1, 2, [i, i + 5], 3, 1, b"k", b"a b", 1) for i in range(0, 1000, 10)] + [(1, 2, [7], 3, 2, b"k", b"a b", 1), (2, 2, [7], 3, 1, b"k", b"a b", 1)]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+    got = next(_folded(iter([batch]))).to_pylist()
+    assert len(got) == 3 and sorted(got[0]["ps"]) == sorted([*range(0, 1000, 10), *range(5, 1000, 10)])
+
+
 def test_suffix_order():
     rng = random.Random(3)
     parts = [[rng.choice([b"a", b"b"]) for _ in range(rng.randrange(1, 60))] for _ in range(30)] + [[b"a"] * 40]
