@@ -82,6 +82,6 @@ def test_run_and_registration(spark, sf_dir):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     bins = corpus_pipeline.run(spark, sf_dir).collect()
     assert bins and all(b.n_tokens <= b.capacity for b in bins)
-    assert [f"op{n}_" for n in range(1, 11)] == sorted({re.match(r"op\d+_", q)[0] for q in __spark_entry__.queries() if q.startswith("op")}, key=lambda x: int(x[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted({re.match(r"op\d+_", q)[0] for q in __spark_entry__.queries() if q.startswith("op")}, key=lambda x: int(x[2:-1]))
     entry = __spark_entry__.entry(spark)
     assert entry.count() > 0
