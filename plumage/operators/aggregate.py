@@ -78,6 +78,44 @@ def sampling_filter(logits: DataFrame, keys: list[str], token: str, logit: str,
     return rows
 
 
+def _shares(logits: DataFrame, keys: list[str], logit: str) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    df = logits.withColumn("_e", F.exp(F.col(logit) - F.max(logit).over(group)))
+    return df.withColumn("p", F.col("_e") / F.sum("_e").over(group)).drop("_e")
+
+
+def typical_filter(logits: DataFrame, keys: list[str], token: str, logit: str, share: float, least: int = 1) -> DataFrame:
+    """The tokens whose surprise is nearest the group's entropy, as many as together exceed ``share`` (and ``least`` at least); adds p.
+
+    Equally near ones: smaller token first; distances are compared to nine places.
+    """
+    rows = _shares(logits, keys, logit)
+    surprise = F.when(F.col("p") > 0, -F.log("p")).otherwise(0.0)
+    rows = rows.withColumn("_s", surprise).withColumn("_h", F.sum(F.col("p") * F.col("_s")).over(Window.partitionBy(*keys)))
+    order = Window.partitionBy(*keys).orderBy(F.round(F.abs(F.col("_s") - F.col("_h")), 9), token)
+    ahead = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumns({"_a": ahead, "_k": F.row_number().over(order)}).where((F.col("_a") <= share) | (F.col("_k") <= least)).drop("_s", "_h", "_a", "_k")
+
+
+def sigma_filter(logits: DataFrame, keys: list[str], logit: str, n: float) -> DataFrame:
+    """The tokens at most ``n`` standard deviations (of all the group's logits) below the best."""
+    group = Window.partitionBy(*keys)
+    return logits.withColumn("_t", F.max(logit).over(group) - n * F.stddev_pop(logit).over(group)).where(F.col(logit) >= F.col("_t")).drop("_t")
+
+
+def penalised(logits: DataFrame, history: DataFrame, keys: list[str], token: str, logit: str, place: str, last: int, repeat: float = 1.0, frequency: float = 0.0, presence: float = 0.0) -> DataFrame:
+    """Logits lowered for tokens among each group's ``last`` newest of ``history`` (keys, place, token); 0 takes none, -1 all.
+
+    A positive logit is divided by ``repeat``, another one multiplied; then ``frequency`` for each time and ``presence`` once are taken off.
+    """
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(place)))
+    recent = history if last < 0 else history.withColumn("_k", newest).where(F.col("_k") <= last)
+    seen = recent.groupBy(*keys, token).agg(F.count("*").alias("_n"))
+    scaled = F.when(F.col(logit) > 0, F.col(logit) / repeat).otherwise(F.col(logit) * repeat)
+    lowered = scaled - F.col("_n") * frequency - presence
+    return logits.join(seen, [*keys, token], "left").withColumn(logit, F.when(F.col("_n").isNull(), F.col(logit)).otherwise(lowered)).drop("_n")
+
+
 def shape_groups(rows: DataFrame, w: str, h: str, patch: int, merge: int) -> DataFrame:
     """Rows of one size are one batch: count and tokens, (h / patch / merge) x (w / patch / merge)."""
     side = lambda c: F.floor(F.floor(F.col(c) / patch) / merge)

@@ -144,13 +144,17 @@ def merged_regions(rows: list[tuple[float, Box]], alike: float = 0.5, inside: fl
     return out
 
 
-def merge_regions(boxes: DataFrame) -> DataFrame:
-    """Text regions of a page merged where they overlap; regions are taken in order of their number."""
+def _with_numbers(schema: str, numbered: bool) -> str:
+    return f"box_id int, {schema}" if numbered else schema
+
+
+def merge_regions(boxes: DataFrame, numbered: bool = False) -> DataFrame:
+    """Text regions of a page merged where they overlap; regions are taken in order of their number. ``numbered`` adds the order they come out in, from 1, as box_id."""
 
     def fold(rows: list[tuple]) -> list[tuple]:
-        return [(int(s), *map(int, b)) for s, b in merged_regions([(r[1], r[2:]) for r in rows])]
+        return [(*[k][:numbered], int(s), *map(int, b)) for k, (s, b) in enumerate(merged_regions([(r[1], r[2:]) for r in rows]), 1)]
 
-    return fold_pages(boxes, ["box_id", "score", "x1", "y1", "x2", "y2"], "score int, x1 int, y1 int, x2 int, y2 int", fold)
+    return fold_pages(boxes, ["box_id", "score", "x1", "y1", "x2", "y2"], _with_numbers("score int, x1 int, y1 int, x2 int, y2 int", numbered), fold)
 
 
 def _joined(a: Box, b: Box, height: float) -> Box | None:
@@ -188,8 +192,10 @@ def merged_slices(rows: list[tuple[str, float, Box]], height: float) -> list[tup
     return out
 
 
-def merge_slices(boxes: DataFrame, height: int) -> DataFrame:
+def merge_slices(boxes: DataFrame, height: int, numbered: bool = False) -> DataFrame:
+    """Detections of a page's slices, in order of their number, merged label by label. ``numbered`` as for merge_regions."""
+
     def fold(rows: list[tuple]) -> list[tuple]:
-        return [(label, int(s), *map(int, b)) for label, s, b in merged_slices([(r[1], r[2], r[3:]) for r in rows], height)]
+        return [(*[k][:numbered], label, int(s), *map(int, b)) for k, (label, s, b) in enumerate(merged_slices([(r[1], r[2], r[3:]) for r in rows], height), 1)]
 
-    return fold_pages(boxes, ["box_id", "label", "score", "x1", "y1", "x2", "y2"], "label string, score int, x1 int, y1 int, x2 int, y2 int", fold)
+    return fold_pages(boxes, ["box_id", "label", "score", "x1", "y1", "x2", "y2"], _with_numbers("label string, score int, x1 int, y1 int, x2 int, y2 int", numbered), fold)

@@ -99,6 +99,25 @@ def composite(layers: DataFrame) -> DataFrame:
     return layers.groupBy("page", "x", "y").agg(F.max(F.struct("z", "v")).alias("t")).select("page", "x", "y", F.col("t.v").alias("v"))
 
 
+def blended(layers: DataFrame) -> DataFrame:
+    """(page, x, y, r, g, b, a): layers (page, x, y, z, r, g, b, a; bytes) laid over each other from the lowest z up.
+
+    An opaque pixel replaces what is below it, a clear one leaves it; else colours mix by their alphas, and bytes are cut off. A place's
+    layers, few as they are, are one fold.
+    """
+    px = F.array_sort(F.collect_list(F.struct("z", *[F.col(c).cast("int").alias(c) for c in "rgba"])))
+
+    def over(below: Column, top: Column) -> Column:
+        under, own = below["a"] / 255.0, top["a"] / 255.0
+        whole = under + own - under * own
+        mixed = lambda c: F.floor((top[c] / 255.0 * own + below[c] / 255.0 * under * (1 - own)) / whole * 255.0).cast("int").alias(c)
+        both = F.struct(*[mixed(c) for c in "rgb"], F.floor(whole * 255.0).cast("int").alias("a"))
+        return F.when(top["a"] == 0, below).when((top["a"] == 255) | (below["a"] == 0), F.struct(*[top[c].alias(c) for c in "rgba"])).otherwise(both)
+
+    clear = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
+    return layers.groupBy("page", "x", "y").agg(F.aggregate(px, clear, over).alias("t")).select("page", "x", "y", "t.*")
+
+
 def collisions(sprite: DataFrame, mask: DataFrame, alpha: int = 8) -> DataFrame:
     """Sprite pixels above ``alpha`` outside the mask, counted for each page."""
     out = sprite.where(F.col("v") > alpha).join(mask.where("v > 0"), ["page", "x", "y"], "left_anti")
