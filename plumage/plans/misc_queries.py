@@ -29,7 +29,6 @@ STEPS = [
     ("lama-manga", "SegmentMask,BubbleMask", "Inpainted"), ("flux2-klein", "SegmentMask,BubbleMask", "Inpainted"),
     ("renderer", "Inpainted,Translations,FontPredictions", "FinalRender,RenderedSprites"),
 ]
-STEP_VALUES = ", ".join(f"('{i}', '{n}', '{p}')" for i, n, p in STEPS)
 
 
 def pixels(s, d):
@@ -104,16 +103,6 @@ def _roles(s, d):
     return c.select("conv_id", *[F.coalesce(x, F.lit(-1)).alias(x) for x in ("system", "user", "assistant")])
 
 
-def _topology(s, d):
-    steps = s.createDataFrame([(k, i, n.split(",") if n else [], p.split(",")) for k, (i, n, p) in enumerate(STEPS)], "place int, id string, needs array<string>, produces array<string>")
-    return registry.depths(steps)
-
-
-def _providers(s, d):
-    steps = s.createDataFrame([(i, p.split(",")) for i, _, p in STEPS], "id string, produces array<string>")
-    return registry.providers(steps, "SegmentMask").select("id")
-
-
 def _readiness(s, d):
     c = table(s, d, "conversations").select(F.col("conv_id").alias("page"), F.col("role").alias("kind"), (F.length("text") > 100).alias("done"))
     return registry.readiness(c.where("kind <> 'system'"))
@@ -204,8 +193,6 @@ QUERIES = {
     "thumbnail_size": _thumbs,
     "listing_newest": lambda s, d: store.newest(table(s, d, "nation").select("n_name", (F.col("n_regionkey")).alias("mtime")), "n_name", "mtime"),
     "scene_json": lambda s, d: store.as_json(table(s, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), "k", "name"),
-    "engine_topology": _topology,
-    "engine_providers": _providers,
     "engine_name_default": _engine_names,
     "artifact_readiness": _readiness,
     "raster_binarize": lambda s, d: r.binarized(pixels(s, d), 127),
@@ -263,10 +250,6 @@ select vec_id, count(*) as kept, cast(max(r) as int) as last_rank from z group b
     "thumbnail_size": f"with {BOXES_SQL}, k as (select page_id, box_id, x2, y2 * 2 as y, least(1.0, 320 / cast(greatest(x2, y2 * 2) as double)) as k from boxes) select page_id, box_id, cast(greatest(round(x2 * k), 1) as int) as w, cast(greatest(round(y * k), 1) as int) as h from k",
     "listing_newest": "select n_name, n_regionkey as mtime, row_number() over (order by n_regionkey desc, n_name) as position from nation",
     "scene_json": """select '{"k":' || r_regionkey || ',"name":"' || r_name || '"}' as json from region""",
-    "engine_topology": f"""with recursive s(id, needs, produces) as (values {STEP_VALUES}), p as (select id, unnest(string_split(produces, ',')) as a, row_number() over () as k from s),
-l as (select a, max_by(id, k) as id from p group by a), e as (select s.id as b, l.id as a from (select id, unnest(string_split(needs, ',')) as a from s where needs <> '') s join l using (a)),
-d as (select id, 0 as depth from s union all select e.b, depth + 1 from d join e on e.a = d.id) select id, max(depth) as depth from d group by 1""",
-    "engine_providers": f"select id from (values {STEP_VALUES}) s(id, needs, produces) where list_contains(string_split(produces, ','), 'SegmentMask')",
     "engine_name_default": "select p_partkey, case p_partkey % 3 when 0 then 'llm' when 1 then 'lama-manga' else 'manga-ocr' end as name from part",
     "artifact_readiness": 'select conv_id as page, bool_or(role is not null) as "any", coalesce(bool_and(length(text) > 100), true) as "all" from conversations where role <> \'system\' group by 1',
     "raster_binarize": f"with {PIXELS_SQL} select page, x, y, 255 as v from px where v > 127",

@@ -9,9 +9,8 @@ from plumage.functions import text as t
 from plumage.operators.aggregate import global_position
 from plumage.sources.fixtures import table
 
-#: Some language names, tags and aliases, and the lossy codes of a vendor.
-LANGUAGES = [("English", "en", "EN"), ("German", "de", "DE"), ("French", "fr", "FR"), ("Spanish", "es", "ES"), ("Japanese", "ja", "JA"), ("Chinese (Simplified)", "zh-CN", "ZH"), ("Chinese (Traditional)", "zh-TW", "ZH"), ("Portuguese", "pt", "PT"), ("Brazilian Portuguese", "pt-BR", "PT")]
-LANG_VALUES = ", ".join(f"('{n}', '{c}', '{v}')" for n, c, v in LANGUAGES)
+#: The languages that the library knows, as SQL values.
+LANG_VALUES = ", ".join(f"('{g}', '{n}', '{c}')" for n, tag, more, c in t.LANGUAGES for g in [n, tag, *more.split()])
 
 
 def docs(s, d):
@@ -44,9 +43,8 @@ def _slug_collision(s, d):
 
 
 def _languages(s, d):
-    known = F.broadcast(s.createDataFrame(LANGUAGES, "name string, tag string, vendor string"))  # a fixed list
-    found = docs(s, d).join(known, F.lower("lang") == F.lower("tag"), "left")
-    return found.groupBy("lang", F.coalesce("name", F.lit("unknown")).alias("name"), F.coalesce("vendor", F.lit("")).alias("vendor")).agg(F.count("*").alias("n"))
+    known = t.parsed_languages(docs(s, d).select("lang"), "lang")
+    return known.groupBy("lang", F.coalesce("name", F.lit("unknown")).alias("name"), F.coalesce("code", F.lit("")).alias("vendor")).agg(F.count("*").alias("n"))
 
 
 def _natural(s, d):
@@ -116,7 +114,7 @@ ORACLES = {
     "text_legacy_lines": "select doc_id, sha256(array_to_string(list_concat(case when text = '' then [] else string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) end, ['', '', '', '', '', ''])[1:6], '|')) as lines from documents",
     "slug_names": "select p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' v2'), '[^a-z0-9_\\-\\s]', '', 'g'), '[_\\-\\s]+', '-', 'g'), '^-|-$', '', 'g') as slug from part",
     "slug_collision": "select p_partkey, case when n = 0 then base else base || '-' || n end as name from (select *, row_number() over (partition by base order by p_partkey) - 1 as n from (select p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(regexp_extract(p_name, '^[^ ]+ ')), '[^a-z0-9_\\-\\s]', '', 'g'), '[_\\-\\s]+', '-', 'g'), '-'), ''), 'untitled') as base from part))",
-    "language_lookup": f"select lang, coalesce(name, 'unknown') as name, coalesce(vendor, '') as vendor, count(*) as n from documents left join (values {LANG_VALUES}) v(name, tag, vendor) on lower(lang) = lower(tag) group by 1, 2, 3",
+    "language_lookup": f"select lang, coalesce(name, 'unknown') as name, coalesce(code, '') as vendor, count(*) as n from documents left join (values {LANG_VALUES}) v(given, name, code) on trim(lang) = given group by 1, 2, 3",
     "page_natural_sort": "select page_id, key, row_number() over (order by encode(key), page_id) as position from (select page_id, array_to_string(list_transform(regexp_extract_all(url, '(\\d+|\\D+)'), lambda p: case when regexp_matches(p, '^\\d') then lpad(coalesce(nullif(ltrim(p, '0'), ''), '0'), 20, '0') else p end), '') as key from pages)",
     "text_writing_mode": "select doc_id, case when doc_id % 3 <> 0 then 'horizontal' when doc_id % 2 = 0 then 'vertical' when n_chars > 500 then 'vertical' else 'horizontal' end as mode, doc_id % 3 = 0 as cjk, false as rtl, false as dictionary, false as fullwidth from documents",
     "font_variant_parse": "select p_partkey, p_brand as family, cast(p_size * 100 % 900 as int) as weight, p_partkey % 2 = 0 as italic, lower(replace(p_brand, ' ', '')) as dir from part",
