@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from plumage.llm.common import Scratch, join_split, pick, slices, table
+from plumage.llm.common import Scratch, join_split, pick, slices, table, whole_row
 from plumage.llm.shingles import rolled, word_hashes_many
 
 WINDOW = 50
@@ -285,7 +285,7 @@ def _kept(window: int, digested: bool):
 
 
 def numbered(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame, Column | None]:
-    """``docs`` with a bigint ``_o`` that orders its rows as their ids do, null ids last; and the ids in terms of ``o``, if they can be told.
+    """(_o, row) of ``docs``: its rows as structs, with a bigint that orders them as their ids do, null ids last; and the ids in terms of ``o``, if they can be told.
 
     Whole numbers order themselves. Ids of any other type are numbered by range partitions of their distinct values.
     """
@@ -295,14 +295,15 @@ def numbered(docs: DataFrame, id_col: str, scratch: Scratch) -> tuple[DataFrame,
         top, nulls = docs.agg(F.max(own), F.count_if(own.isNull())).first()
         if top != _LAST or not nulls:  # else nulls need a number beyond the largest
             back = (F.when(F.col("o") != _LAST, F.col("o")) if nulls else F.col("o")).cast(kind)
-            return docs.withColumn("_o", F.coalesce(own.cast("bigint"), F.lit(_LAST))), back
+            return docs.select(F.coalesce(own.cast("bigint"), F.lit(_LAST)).alias("_o"), whole_row(docs).alias("row")), back
     ids = docs.select(own.alias("_id")).where("_id is not null").distinct()
     ids = scratch.save(ids.repartitionByRange("_id").withColumn("_part", F.spark_partition_id()), "ids")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     ahead = ids.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
     ids = ids.withColumn("_k", place).join(F.broadcast(ahead), "_part").select("_id", (F.col("_k") + F.col("_ahead")).alias("_o"))
-    return join_split(docs.withColumn("_id", own), ids, ["_id"], "left").drop("_id").withColumn("_o", F.coalesce("_o", F.lit(_LAST))), None
+    rows = docs.select(own.alias("_id"), whole_row(docs).alias("row"))
+    return join_split(rows, ids, ["_id"], "left").select(F.coalesce("_o", F.lit(_LAST)).alias("_o"), "row"), None
 
 
 def repeats(source: DataFrame, window: int, group_bytes: int, scratch: Scratch) -> DataFrame:
@@ -342,15 +343,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     other = [c for c in docs.columns if c != text_col]
     kind = docs.schema[id_col].dataType
-    docs, back = numbered(docs, id_col, scratch)
-    text = pick(docs, text_col).cast("string")
-    source = docs.select(docs["_o"].alias("o"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows, back = numbered(docs, id_col, scratch)
+    column = lambda c: F.col("row").getField(c)
+    text = column(text_col).cast("string")
+    source = rows.select(F.col("_o").alias("o"), F.xxhash64(text).alias("h"), text.alias("text"))
     gone = repeats(source, window, group_bytes, scratch)
     more = []
     if carry or back is None:  # else both fetches of the texts use one shuffle of them (Spark reuses it)
-        row = F.struct(*[pick(docs, c) for c in (other if carry else [])], pick(docs, id_col).alias("_id"))
-        source = docs.select(docs["_o"].alias("o"), F.xxhash64(text).alias("h"), text.alias("text"), row.alias("row"))
-        back, more = F.col("row._id"), ["row"] if carry else []
+        row = F.struct(*[column(c).alias(c) for c in other]) if carry else F.struct(column(id_col).alias("_id"))
+        source = rows.select(F.col("_o").alias("o"), F.xxhash64(text).alias("h"), text.alias("text"), row.alias("row"))
+        back, more = column(id_col if carry else "_id"), ["row"] if carry else []
     out = join_split(source, gone, ["o", "h"], "left").select(back.alias("id"), "text", "gone", *more)
     schema = StructType([StructField("id", kind), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     schema = StructType([*schema, *([out.schema["row"]] if carry else [])])

@@ -57,3 +57,12 @@ def test_probe_and_empty(spark):
     assert chat_windows(df).count() == 0
     r = read_back(chat_windows(with_probe(spark, df))).collect()
     assert len(r) == 1 and r[0].conv_id == -7 and [t.text for t in r[0].turns] == [PROBE, PROBE] and r[0].loss_text == PROBE
+
+
+def test_a_conversation_of_thousands_of_turns_and_a_long_text(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(1500)] + [(2, 0, "user", "ä<|" * 200_000), (2, 1, "assistant", "\\" * 300_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in read_back(chat_windows(df)).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [(r, t) for c, _, r, t in turns if c == 1]
+    assert back[1].loss_text == "".join(t for c, _, r, t in turns if c == 1 and r == "assistant")
+    assert [t.text for t in back[2].turns] == [turns[-2][3], turns[-1][3]] and back[2].loss_text == turns[-1][3]

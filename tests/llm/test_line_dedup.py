@@ -79,3 +79,10 @@ def run_brute(rows):
                     seen.add(run)
         kept[i, t] = [x for k, x in enumerate(lines) if k not in gone]
     return kept
+
+
+def test_a_long_text(spark):
+    lines = [f"line {k * k % 9973} {k % 13}" for k in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new"] + lines[5000:9000] + ["x" * 200_000])), (3, "y" * 300_000)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), runs=True).collect()}
+    assert got[2].n_removed == 4000 and got[2].text == "new\n" + "x" * 200_000 and got[3].text == rows[2][1]

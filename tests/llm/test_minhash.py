@@ -99,3 +99,12 @@ def test_repeated_rows_do_not_multiply(spark):
     assert minhash.texts_of(nodes, docs).count() == 2
     kept = drop_near_copies(df, "my.id")
     assert kept.columns == ["my.id", "text"] and [r["my.id"] for r in kept.collect()] == [1]
+
+
+def test_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    other = [w if k % 200 else "changed" for k, w in enumerate(words)]
+    rows = [(5, " ".join(words)), (3, " ".join(other)), (9, " ".join(words[:30_000])), (4, "x" * 400_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {3: 3, 5: 3, 9: 9, 4: 4} and got[4][0] == 1

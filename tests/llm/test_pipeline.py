@@ -85,3 +85,26 @@ def test_run_and_registration(spark, sf_dir):
     assert [f"op{n}_" for n in range(1, 14)] == sorted({re.match(r"op\d+_", q)[0] for q in __spark_entry__.queries() if q.startswith("op")}, key=lambda x: int(x[2:-1]))
     entry = __spark_entry__.entry(spark)
     assert entry.count() > 0
+
+
+def test_hard_tables(spark, tmp_path):
+    """Empty tables, null and repeated ids, a very long text, and columns with names that operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _o int, kept boolean, `a.b` string, ids int"
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "to", "in"]) if k % 3 == 0 else "".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(3, 9))) for k in range(n))
+    a, long = prose(120), prose(60_000)
+    rows = [(None, a), (1, a), (1, a), (None, prose(100)), (2, prose(110)), (2, prose(90)), (7, None), (8, ""), (9, long), (10, long)]
+    full = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), 1, False, "x", 3) for i, t in rows], schema)
+    for name, df in (("none", full.limit(0)), ("rows", full)):
+        df.repartition(2).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    bins = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    texts = {}
+    for b in bins:
+        for p in b.parts:
+            texts.setdefault(p.doc_id, []).append((p.start, p.length))
+    assert set(texts) == {1, 2, None, 10} and sum(b.n_tokens for b in bins) == sum(n for v in texts.values() for _, n in v)
+    now = full
+    for (name, stage), left in zip(corpus_pipeline.STAGES[:-1], (8, 5, 5, 5)):
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), schema)
+        assert now.columns == full.columns and now.count() == left, name
