@@ -1,8 +1,8 @@
 """Painted labels and what lies in them: distances to the edge, safe boxes, filled areas, and outlines.
 
-Rows are pixels (page, x, y, label), label 0 being none. Distances go along rows, then down columns; holes are runs of free
-places joined over neighbouring rows; outlines are linked edges whose order comes from doubling. Only the choice of a
-box inside one label takes that label's pixels into one task.
+Rows are pixels (page, x, y, label), label 0 being none. Distances go along rows, then down columns; both are painted and measured in
+tiles; holes are runs of free places joined over neighbouring rows; outlines are linked edges whose order comes from doubling. Only the
+choice of a box inside one label takes that label's pixels into one task.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumage.operators.detect import labels_by_area, majority_label
+from plumage.functions.geometry import area, box
+from plumage.operators import tiles
+from plumage.operators.detect import by_page, majority_label
 from plumage.operators.lineage import cut
 from plumage.operators.masks import in_areas
 from plumage.operators.nodes import components
@@ -25,41 +27,54 @@ from plumage.operators.raster import largest_rectangle
 PADDING = {"horizontal": 12, "vertical": 20}
 
 
+def paint(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Rectangles (page_id, x1, y1, x2, y2, v) to paint: boxes in the image, v their numbers by area (255 at most), smaller ones higher."""
+    order = F.row_number().over(by_page(F.desc("_area"), "box_id"))
+    b = boxes.withColumn("_area", area(box()).cast("long")).withColumn("v", order).where("v <= 255")
+    return b.selectExpr("page_id", "greatest(x1, 0) as x1", "greatest(y1, 0) as y1", f"least(x2, {width}) as x2", f"least(y2, {height}) as y2", "v")
+
+
 def painted(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """(page_id, x, y, label): boxes numbered by area (255 at most) and painted in that order, smaller ones over larger ones.
 
-    Right and bottom edges are exclusive. A place gets the largest number over it; boxes are combined before the shuffle.
+    Right and bottom edges are exclusive. A place gets the largest number over it; only boxes are shuffled, and painted in tiles.
     """
-    b = boxes.join(labels_by_area(boxes).select("page_id", "box_id", "paint_id"), ["page_id", "box_id"])
-    b = b.selectExpr("page_id", "paint_id", "greatest(x1, 0) as x1", "greatest(y1, 0) as y1", f"least(x2, {width}) as x2", f"least(y2, {height}) as y2").where("x2 > x1 and y2 > y1")
-    rows = b.withColumn("y", F.explode(F.expr("sequence(y1, y2 - 1)"))).withColumn("x", F.explode(F.expr("sequence(x1, x2 - 1)")))
-    return rows.groupBy("page_id", "x", "y").agg(F.max("paint_id").alias("label"))
+    return tiles.places(paint(boxes, width, height), ["page_id"], "label")
+
+
+def _with_distances(rects: DataFrame, keys: list[str], columns: str, fn) -> DataFrame:
+    """fn(labels, distances, x, y of each tile's corner) gives (number of its tile for each row, columns), tile by tile of painted rectangles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, stack, margin in tiles.around_stacks(batches, keys):
+            dist = tiles.edge_distances(stack)
+            if margin:
+                stack, dist = (a[:, margin : 2 * margin, margin : 2 * margin] for a in (stack, dist))
+            x, y = (names[c].to_numpy().astype(np.int64) * tiles.SIDE for c in ("tx", "ty"))
+            for at, found in fn(stack, dist, x, y):
+                yield from tiles.table(names.select(keys), at, **found)
+
+    return tiles.with_neighbours(rects, keys).mapInArrow(run, tiles.schema_of(rects, keys, columns))
+
 
+def distances(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, x, y, dist) of painted rectangles: tiles travel, with copies of those beside them, as 255 reaches no further."""
 
-def _run(axis: str, *keys: str) -> Column:
-    """What the places of an unbroken run along the axis have in common."""
-    return F.col(axis) - F.row_number().over(Window.partitionBy("page", "label", *keys).orderBy(axis))
+    def rows(stack, dist, left, top):
+        n, y, x = np.nonzero(stack)
+        yield n, {"label": stack[n, y, x], "x": (x + left[n]).astype(np.int32), "y": (y + top[n]).astype(np.int32), "dist": dist[n, y, x]}
+
+    return _with_distances(rects, keys, "label int, x int, y int, dist int", rows)
 
 
 def edge_distance(pixels: DataFrame) -> DataFrame:
     """(page, label, x, y, dist): each labelled pixel's distance to the nearest place outside its label, rounded up, 255 at most.
 
-    Everything outside the pixels given is outside. First along each row, by the place in its run; then the least of
-    squared row distance and squared step over the column's run, no further than either of both already known.
+    Everything outside the pixels given is outside. First along each row, then the least of squared row distance and squared
+    step over the column's run, no further than either of both already known.
     """
-    p = pixels.where("label > 0").select("page", "label", "x", "y").distinct()
-    p = p.withColumn("_r", _run("x", "y"))
-    run = Window.partitionBy("page", "label", "y", "_r")
-    p = p.withColumn("g", F.least(F.col("x") - F.min("x").over(run), F.max("x").over(run) - F.col("x")) + 1).drop("_r")
-    columns = p.withColumn("_r", _run("y", "x")).groupBy("page", "label", "x", "_r").agg(F.array_sort(F.collect_list(F.struct("y", "g"))).alias("c"))  # a column of a page at most
-
-    def squared(e: Column, i: Column) -> Column:
-        far = F.least(e["g"], i + 1, F.size("c") - i).cast("int")
-        beside = F.slice("c", i - far + 2, 2 * far - 1)
-        return F.aggregate(beside, (far * far).cast("int"), lambda least, o: F.least(least, (o["g"] * o["g"] + (o["y"] - e["y"]) * (o["y"] - e["y"])).cast("int")))
-
-    spots = F.transform("c", lambda e, i: F.struct(e["y"].alias("y"), F.least(F.ceil(F.sqrt(squared(e, i))), F.lit(255)).cast("int").alias("dist")))
-    return columns.select("page", "label", "x", F.inline(spots)).select("page", "label", "x", "y", "dist")
+    own = tiles.points(pixels.where("label > 0").withColumnRenamed("label", "own"), ["page", "own"], F.lit(1))
+    return distances(own, ["page", "own"]).select("page", F.col("own").alias("label"), "x", "y", "dist")
 
 
 def _half_up(a: int, b: int) -> int:
@@ -88,44 +103,185 @@ def safe_box(dist: np.ndarray, share: int) -> tuple[int, int, int, int, int]:
     return (*largest_rectangle(safe, (cx + 0.5, cy + 0.5)), threshold)
 
 
-def safe_boxes(pixels: DataFrame) -> DataFrame:
-    """(page, label, mode, x, y, w, h, threshold): the box that text may fill in each label, for both writing modes. A label is one task's."""
-    dist = edge_distance(pixels)
-    whole = dist.groupBy("page", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), *[F.collect_list(c).alias(c) for c in ("x", "y", "dist")])  # a page's places at most
+#: Labels of at most so many places on a side are judged together.
+SMALL = 64
+
+
+def safe_boxes_of(dist: np.ndarray, height: np.ndarray, width: np.ndarray, share: int) -> np.ndarray:
+    """What ``safe_box`` gives for each of a stack of labels, their grids in its upper left corner; rows of five."""
+    n, h, w = dist.shape
+    flat, i = dist.reshape(n, -1), np.arange(n)
+    asked = np.minimum(255, np.maximum(1, (2 * np.minimum(width, height) * share + 100) // 200))
+    most = flat.max(1)
+    threshold = np.ones(n, np.int64)
+    for t in (asked // 4, asked // 2, np.minimum(255, 3 * asked) // 4, asked):
+        threshold = np.where(np.maximum(t, 1) <= most, np.maximum(t, 1), threshold)
+    safe = dist >= threshold[:, None, None]
+    count, xs, ys = safe.sum((1, 2)), np.arange(w), np.arange(h)
+    cx = np.minimum(width - 1, (2 * (safe.sum(1) * xs).sum(1) + count) // (2 * count))
+    cy = np.minimum(height - 1, (2 * (safe.sum(2) * ys).sum(1) + count) // (2 * count))
+    inner = flat.argmax(1)
+    off = 10 * dist[i, cy, cx] < 7 * most
+    cx, cy = np.where(off, inner % w, cx), np.where(off, inner // w, cy)
+    away = (xs[None, None] - cx[:, None, None]) ** 2 + (ys[None, :, None] - cy[:, None, None]) ** 2
+    near = np.where(safe, away, 1 << 30).reshape(n, -1).argmin(1)
+    free = ~safe[i, cy, cx]
+    cx, cy = np.where(free, near % w, cx), np.where(free, near // w, cy)
+    tall = np.zeros((h, n, w), np.int64)
+    for y in range(h):
+        tall[y] = np.where(safe[:, y], (tall[y - 1] if y else 0) + 1, 0)
+    tall = np.ascontiguousarray(tall.transpose(2, 1, 0))  # by column, so that a stretch of columns is compared at once
+    best = np.zeros(n, np.int64)
+    for left in range(w):
+        high = tall[left]
+        for right in range(left + 1, w + 1):
+            high = np.minimum(high, tall[right - 1]) if right - 1 > left else high
+            if not high.any():
+                break
+            far = (left + right - 2 * cx[:, None] - 1) ** 2 + (2 * (ys + 1)[None] - high - 2 * cy[:, None] - 1) ** 2
+            # the largest, nearest, upper, left, tallest: one number, 13, 16, 7, 7 and 7 bits from the top
+            key = ((((high * (right - left)) << 16 | 65535 - far) << 7 | 127 - ys[None]) << 7 | 127 - right) << 7 | high
+            best = np.maximum(best, np.where(high > 0, key, 0).max(1))
+    high, right, y, size = best & 127, 127 - (best >> 7 & 127), 127 - (best >> 14 & 127), best >> 37
+    return np.stack([right - size // high, y + 1 - high, right, y + 1, threshold], 1)
+
+
+def _crops(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, x0, y0, h, w, cells): each label's distances in each tile, as bytes in its bounds there."""
+
+    def rows(stack, dist, left, top):
+        n, y, x = np.nonzero(stack)
+        v = stack[n, y, x].astype(np.int64)
+        order = np.argsort(n * (1 << 32) + v, kind="stable")
+        n, y, x, v = n[order], y[order], x[order], v[order]
+        new = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (v[1:] != v[:-1])]))
+        group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(n))))
+        x0, x1, y0, y1 = (f.reduceat(a, new) for a in (x, y) for f in (np.minimum, np.maximum))
+        h, w = y1 - y0 + 1, x1 - x0 + 1
+        ends = np.append(0, np.cumsum(h * w))
+        cells = np.zeros(ends[-1], np.uint8)
+        cells[ends[group] + (y - y0[group]) * w[group] + x - x0[group]] = dist[n, y, x]
+        held = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cells)])
+        at = n[new]
+        yield at, {"label": v[new].astype(np.int32), "x0": (x0 + left[at]).astype(np.int32), "y0": (y0 + top[at]).astype(np.int32), "h": h.astype(np.int32), "w": w.astype(np.int32), "cells": held}
+
+    return _with_distances(rects, keys, "label int, x0 int, y0 int, h int, w int, cells binary", rows)
+
+
+def _boxes_in(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, mode, x, y, w, h, threshold): both modes' safe boxes of painted rectangles' labels. A label is one task's."""
+
+    def whole(frame: list[tuple]) -> tuple[int, int, np.ndarray]:
+        left, top = min(r[0] for r in frame), min(r[1] for r in frame)
+        grid = np.zeros((max(r[1] + r[2] for r in frame) - top, max(r[0] + r[3] for r in frame) - left), np.uint8)
+        for x, y, h, w, cells in frame:
+            part = grid[y - top : y - top + h, x - left : x - left + w]
+            np.maximum(part, np.frombuffer(cells, np.uint8).reshape(h, w), out=part)
+        return left, top, grid
+
+    def judged(names: list[tuple], found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        out = []
+        for share_of, share in PADDING.items():
+            sizes: dict[int, list[int]] = {}
+            for i, (_, _, g) in enumerate(found):
+                sizes.setdefault(0 if max(g.shape) > SMALL else max(8, 1 << (g.shape[1] - 1).bit_length()), []).append(i)
+            for size, members in sizes.items():
+                if size:
+                    height, width = (np.array([found[i][2].shape[k] for i in members]) for k in (0, 1))
+                    stack = np.zeros((len(members), height.max(), width.max()), np.int64)
+                    for k, i in enumerate(members):
+                        stack[k, : height[k], : width[k]] = found[i][2]
+                    boxes = safe_boxes_of(stack, height, width, share).tolist()
+                else:
+                    boxes = [safe_box(found[i][2].astype(np.int64), share) for i in members]
+                out += [(*names[i], share_of, found[i][0] + b[0], found[i][1] + b[1], b[2] - b[0], b[3] - b[1], b[4]) for i, b in zip(members, boxes)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, columns = None, [*keys, "label", "mode", "x", "y", "w", "h", "threshold"]
+        name, frame, names, found = None, [], [], []
+
+        def done():
+            kind = pa.schema([*[pa.field(k, kinds.field(k).type) for k in [*keys, "label"]], pa.field("mode", pa.string()), *[pa.field(c, pa.int32()) for c in columns[-5:]]])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*judged(names, found)), kind)], schema=kind)
+
+        for batch in batches:
+            kinds = batch.schema
+            for row in zip(*[batch[c].to_pylist() for c in [*keys, "label", "x0", "y0", "h", "w", "cells"]]):
+                if frame and row[:-5] != name:
+                    names.append(name)
+                    found.append(whole(frame))
+                    frame = []
+                    if len(names) >= 2000:
+                        yield done()
+                        names, found = [], []
+                name = row[:-5]
+                frame.append(row[-5:])
+        if frame:
+            names.append(name)
+            found.append(whole(frame))
+            yield done()
+
+    crops = _crops(rects, keys)
+    rows = crops.repartition(*keys, "label").sortWithinPartitions(*keys, "label")
+    return rows.mapInArrow(run, tiles.schema_of(crops, [*keys, "label"], "mode string, x int, y int, w int, h int, threshold int"))
+
+
+def painted_safe_boxes(rects: DataFrame) -> DataFrame:
+    """``safe_boxes`` of painted rectangles (page, x1, y1, x2, y2, v)."""
+    return _boxes_in(rects, ["page"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for page, label, left, top, x, y, d in f.itertuples(index=False):
-                x, y = x - left, y - top
-                grid = np.zeros((y.max() + 1, x.max() + 1), np.int64)
-                grid[y, x] = d
-                for mode, share in PADDING.items():
-                    x1, y1, x2, y2, t = safe_box(grid, share)
-                    out.append((page, label, mode, left + x1, top + y1, x2 - x1, y2 - y1, t))
-            yield pd.DataFrame(out, columns=["page", "label", "mode", "x", "y", "w", "h", "threshold"])
 
-    kinds = dict(dist.dtypes)
-    return whole.mapInPandas(run, f"page {kinds['page']}, label {kinds['label']}, mode string, x int, y int, w int, h int, threshold int")
+def safe_boxes(pixels: DataFrame) -> DataFrame:
+    """(page, label, mode, x, y, w, h, threshold): the box that text may fill in each label, for both writing modes. A label is one task's."""
+    own = tiles.points(pixels.where("label > 0").withColumnRenamed("label", "own"), ["page", "own"], F.lit(1))
+    return _boxes_in(own, ["page", "own"]).select("page", F.col("own").alias("label"), "mode", "x", "y", "w", "h", "threshold")
 
 
-def seed_labels(pixels: DataFrame, seeds: DataFrame, width: int, height: int) -> DataFrame:
-    """(page, seed, label): the label that most pixels of each seed rectangle (page, seed, x1, y1, x2, y2) have; of equal ones the highest.
+def painted_seed_labels(rects: DataFrame, seeds: DataFrame, width: int, height: int) -> DataFrame:
+    """(page, seed, mode, label): the label that most places of each seed rectangle (page, seed, mode, x1, y1, x2, y2) have; of equal ones the highest.
 
-    A rectangle is moved into the image and holds a pixel at least; one without a labelled pixel has no row.
+    rects: (page, x1, y1, x2, y2, v), painted. A seed is moved into the image and holds a place at least; one without a labelled
+    place has no row. Seeds go to the tiles that they touch and count there.
     """
     inner = lambda c, n: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(n - 1))
     s = seeds.withColumns({"x1": inner("x1", width), "y1": inner("y1", height)})
     s = s.withColumns({"x2": F.least(F.greatest(F.ceil("x2"), F.col("x1") + 1), F.lit(width)), "y2": F.least(F.greatest(F.ceil("y2"), F.col("y1") + 1), F.lit(height))})
-    hit = in_areas(pixels.where("label > 0"), s.withColumnRenamed("seed", "area"), F.lit(0), width, height).select("page", "area", "x", "y")
-    voted = majority_label(hit.join(pixels.where("label > 0").select("page", "x", "y", "label"), ["page", "x", "y"]), "page", "area")
-    return voted.select("page", F.col("area").alias("seed"), "label")
+    inside_one = " and ".join(f"floor({c}1 / {tiles.SIDE}) = floor(({c}2 - 1) / {tiles.SIDE})" for c in "xy")
+    asked = tiles.tiled(s.withColumn("v", F.expr(f"if({inside_one}, 2, 1)")), ["page", "seed", "mode"])
+    both = tiles.whole(rects, ["page"]).unionByName(asked, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, stack, rows in tiles.probed(batches, ["page"]):
+            h, w = stack.shape[1:]
+            x1, y1, x2, y2 = (rows[c].to_numpy().astype(np.int64) for c in ("x1", "y1", "x2", "y2"))
+            whole_seed = rows["v"].to_numpy() == 2
+            x2, y2 = np.minimum(x2, w), np.minimum(y2, h)
+            x1, y1 = np.minimum(x1, x2), np.minimum(y1, y2)
+            for a, z in tiles._pieces((x2 - x1) * (y2 - y1)):
+                rect, place = tiles._cells_of(x1[a:z], y1[a:z], x2[a:z], y2[a:z], names[a:z], h, w)
+                v = stack.reshape(-1)[place].astype(np.int64)
+                pair, n = np.unique((rect << 32 | v)[v > 0], return_counts=True)
+                if whole_seed[a:z].all():  # counted here to the end: the label that wins
+                    order = np.lexsort((pair, n, pair >> 32))
+                    last = np.append(np.diff(pair[order] >> 32) != 0, True)[: len(order)]
+                    pair, n = pair[order][last], n[order][last]
+                yield from tiles.table(rows.select(["page", "seed", "mode"]), a + (pair >> 32), label=(pair & (1 << 32) - 1).astype(np.int32), n=n.astype(np.int64))
+
+    counts = tiles.gathered(both, ["page"], F.col("cells").isNull()).mapInArrow(run, tiles.schema_of(s, ["page", "seed", "mode"], "label int, n bigint"))
+    counts = counts.repartition("page", "seed", "mode").groupBy("page", "seed", "mode", "label").agg(F.sum("n").alias("n"))
+    return counts.groupBy("page", "seed", "mode").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+
+
+def painted_layout_boxes(rects: DataFrame, seeds: DataFrame, width: int, height: int) -> DataFrame:
+    """(page, seed, label, x, y, w, h): the safe box of the label under each seed rectangle (page, seed, mode, x1, y1, x2, y2); rects are painted."""
+    found = painted_seed_labels(rects, seeds, width, height)
+    return found.join(painted_safe_boxes(rects), ["page", "label", "mode"]).select("page", "seed", "label", "x", "y", "w", "h")
 
 
 def layout_boxes(pixels: DataFrame, seeds: DataFrame, width: int, height: int) -> DataFrame:
-    """(page, seed, label, x, y, w, h): the safe box of the label under each seed rectangle (page, seed, mode, x1, y1, x2, y2)."""
-    found = seed_labels(pixels, seeds, width, height).join(seeds.select("page", "seed", "mode"), ["page", "seed"])
-    return found.join(safe_boxes(pixels), ["page", "label", "mode"]).select("page", "seed", "label", "x", "y", "w", "h")
+    """``painted_layout_boxes`` of pixels (page, x, y, label), one label a place."""
+    return painted_layout_boxes(tiles.points(pixels.where("label > 0"), ["page"], F.col("label")), seeds, width, height)
 
 
 def united(labels: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,8 +20,13 @@ def labels(s, d):
     return g.painted(boxes(s, d).selectExpr(*BUBBLES), WIDTH, HEIGHT).withColumnRenamed("page_id", "page")
 
 
+def paint(s, d):
+    """What ``labels`` paints."""
+    return g.paint(boxes(s, d).selectExpr(*BUBBLES), WIDTH, HEIGHT).withColumnRenamed("page_id", "page")
+
+
 def _layout(s, d):
-    return g.layout_boxes(labels(s, d), boxes(s, d).selectExpr(*SEEDS), WIDTH, HEIGHT)
+    return g.painted_layout_boxes(paint(s, d), boxes(s, d).selectExpr(*SEEDS), WIDTH, HEIGHT)
 
 
 def _places(s, d):
@@ -60,8 +65,8 @@ def _box_outlines(s, d):
 
 QUERIES = {
     "raster_paint_labels": labels,
-    "raster_edge_distance": lambda s, d: g.edge_distance(labels(s, d)),
-    "raster_safe_boxes": lambda s, d: g.safe_boxes(labels(s, d)),
+    "raster_edge_distance": lambda s, d: g.distances(paint(s, d), ["page"]),
+    "raster_safe_boxes": lambda s, d: g.painted_safe_boxes(paint(s, d)),
     "raster_layout_boxes": _layout,
     "raster_region_fill": _regions,
     "raster_enclosed": _holes,
