@@ -96,10 +96,10 @@ def painted_stacks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
         yield held[0], held[1][None]
 
 
-def tiled(rects: DataFrame, keys: list[str]) -> DataFrame:
-    """Tiles of rectangles (keys, x1, y1, x2, y2, v; right and bottom exclusive); each place takes the largest value over it, which is above 0."""
-    cut_to = lambda c, t: F.least(F.greatest(F.col(c) - F.col(t) * SIDE, F.lit(0)), F.lit(SIDE)).cast("int").alias(c)
-    over = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / SIDE).cast("int"), F.floor((F.col(z) - 1) / SIDE).cast("int")))
+def tiled(rects: DataFrame, keys: list[str], halo: int = 0) -> DataFrame:
+    """The parts of rectangles (keys, x1, y1, x2, y2, v; right and bottom exclusive) in each tile and ``halo`` places around it, where x and y begin; v is above 0."""
+    cut_to = lambda c, t: F.least(F.greatest(F.col(c) - F.col(t) * SIDE + halo, F.lit(0)), F.lit(SIDE + 2 * halo)).cast("int").alias(c)
+    over = lambda a, z: F.explode(F.sequence(F.greatest(F.floor((F.col(a) - halo) / SIDE), F.lit(0)).cast("int"), F.floor((F.col(z) - 1 + halo) / SIDE).cast("int")))
     r = rects.where("x2 > x1 and y2 > y1 and v > 0").withColumn("tx", over("x1", "x2")).withColumn("ty", over("y1", "y2"))
     return r.select(*keys, "tx", "ty", cut_to("x1", "tx"), cut_to("y1", "ty"), cut_to("x2", "tx"), cut_to("y2", "ty"), F.col("v").cast("int").alias("v"))
 
@@ -117,7 +117,7 @@ def table(names: pa.Table, at: np.ndarray, **columns: np.ndarray) -> pa.RecordBa
     return found.combine_chunks().to_batches()
 
 
-def by_stack(rects: DataFrame, keys: list[str], columns: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, dict]]]) -> DataFrame:
+def by_stack(rects: DataFrame, keys: list[str], columns: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, dict]]], halo: int = 0) -> DataFrame:
     """fn(stack, tx, ty) gives (number of its tile for each row, columns); the rows get the keys of their tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def by_stack(rects: DataFrame, keys: list[str], columns: str, fn: Callable[[np.n
             for at, found in fn(stack, tx, ty):
                 yield from table(names.select(keys), at, **found)
 
-    return gathered(tiled(rects, keys), keys, "v").mapInArrow(run, schema_of(rects, keys, columns))
+    return gathered(tiled(rects, keys, halo), keys, "v").mapInArrow(run, schema_of(rects, keys, columns))
 
 
 def packed(stack: np.ndarray) -> pa.Array:
@@ -218,6 +218,25 @@ def around_stacks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield stacked()
 
 
+def component_roots(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places set in a stack, as flat numbers; for each the first place of its connected area, diagonals included)."""
+    places = np.flatnonzero(mask)
+    number = np.full(mask.shape, -1, np.int64)
+    number.reshape(-1)[places] = np.arange(len(places))
+    near = [(number[:, :, :-1], number[:, :, 1:]), (number[:, :-1], number[:, 1:]), (number[:, :-1, :-1], number[:, 1:, 1:]), (number[:, :-1, 1:], number[:, 1:, :-1])]
+    both = [(a >= 0) & (b >= 0) for a, b in near]
+    a, b = (np.concatenate([pair[k][m] for pair, m in zip(near, both)]) for k in (0, 1))
+    root = np.arange(len(places))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root != (after := root[root])).any():
+            root = after
+    return places, places[root]
+
+
 def edge_distances(stack: np.ndarray) -> np.ndarray:
     """Each place's distance to the nearest one with another label, rounded up, 255 at most; 0 without a label; all around is outside."""
     n, h, w = stack.shape

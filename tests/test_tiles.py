@@ -1,9 +1,11 @@
 """Rasters in tiles: what lies over their edges against brute force, and how many rows are shuffled."""
 
+import re
+
 import numpy as np
 import pytest
 
-from plumage.operators import regions, tiles
+from plumage.operators import nodes, raster, regions, tiles
 from plumage.plans.catalog import QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -88,7 +90,7 @@ def test_safe_boxes_together_are_those_one_by_one():
 
 
 #: Rows shuffled for each box at most; with a row for each place it was ten and more.
-MOST = {"detector_bubble_mask": 4, "raster_paint_labels": 4, "raster_edge_distance": 4, "raster_safe_boxes": 6, "raster_layout_boxes": 8}
+MOST = {"raster_dilate": 2, "raster_close": 5, "raster_enclosed": 5, "raster_component_boxes": 2, "detector_bubble_mask": 4, "raster_paint_labels": 4, "raster_edge_distance": 4, "raster_safe_boxes": 6, "raster_layout_boxes": 8}
 
 
 @pytest.mark.parametrize("name", MOST)
@@ -99,3 +101,26 @@ def test_no_row_for_each_place_is_shuffled(spark, name):
         assert shuffled(spark, QUERIES[name](spark, DIR)) <= MOST[name] * n
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["raster_dilate", "raster_close", "raster_holes", "raster_combine_area"])
+def test_neighbourhoods_are_not_aggregated_place_by_place(spark, name):
+    pixels = spark.createDataFrame([(0, 1, 1, 5), (0, 3, 3, 0)], "page int, x int, y int, v int")
+    made = {"raster_dilate": lambda: raster.dilated(pixels, 1, 32, 32), "raster_close": lambda: raster.closed(pixels, 1, 32, 32), "raster_holes": lambda: raster.dilated(pixels, 1, 32, 32, diamond=True), "raster_combine_area": lambda: raster.combined(pixels, 3)}[name]()
+    assert not re.search(r"Aggregate\(keys=\[page#\d+L?, x#", made._jdf.queryExecution().executedPlan().toString())
+
+
+def test_components_and_neighbourhoods_over_the_edges_of_tiles(spark):
+    rng = np.random.default_rng(9)
+    g = np.zeros((300, 300), np.int32)
+    g[250:262] = rng.random((12, 300)) < 0.5
+    g[:, 252:260] = rng.random((300, 8)) < 0.4
+    px = spark.createDataFrame([(0, int(x), int(y), 1) for y, x in np.argwhere(g)], "page int, x int, y int, v int")
+    places, roots = tiles.component_roots(g[None] > 0)
+    want = {(int(p % 300), int(p // 300)): (int(r // 300) << 20) + int(r % 300) for p, r in zip(places, roots)}
+    assert {(r.x, r.y): r.c for r in nodes.components(px).collect()} == want
+    pad = np.pad(g, 2)
+    big = np.max([pad[1 + dy : 303 + dy, 1 + dx : 303 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)[1:-1, 1:-1]
+    rim = np.pad(big, 1, constant_values=1)
+    closed = np.min([rim[1 + dy : 301 + dy, 1 + dx : 301 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+    assert {(r.x, r.y) for r in raster.closed(px, 1, 300, 300).collect()} == {(int(x), int(y)) for y, x in np.argwhere(closed)}
