@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumage.functions.text import nonblank, trimmed
+from plumage.operators import tiles
 from plumage.operators.lineage import cut
 
 
@@ -114,23 +116,48 @@ def alpha_restored(pixels: DataFrame, ring: DataFrame) -> DataFrame:
     return out.withColumn("alpha", F.when(F.col("m") < 128, F.col("m")).otherwise(F.col("alpha"))).drop("m")
 
 
+def united(labels: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``labels`` (keys, c, l) with l the least over all that edges (keys, c, d; in both directions) connect.
+
+    Each round every l found so far takes the least l that touches it, and what that one takes in turn, so long paths don't
+    need a round for each step.
+    """
+    now = cut(labels)
+    while True:
+        beside = edges.join(now.select(*keys, F.col("c").alias("d"), F.col("l").alias("other")), [*keys, "d"]).groupBy(*keys, "c").agg(F.min("other").alias("other"))
+        least = now.join(beside, [*keys, "c"], "left").groupBy(*keys, "l").agg(F.least(F.col("l"), F.coalesce(F.min("other"), F.col("l"))).alias("to"))
+        least = cut(least)
+        if not least.where("to < l").limit(1).count():
+            return now
+        jump = least.select(*keys, F.col("l").alias("to"), F.col("to").alias("next"))
+        to = least.join(jump, [*keys, "to"], "left").select(*keys, "l", F.coalesce("next", "to").alias("next"))
+        now = cut(now.join(to, [*keys, "l"]).select(*keys, "c", F.col("next").alias("l")))
+
+
 def components(pixels: DataFrame) -> DataFrame:
     """(page, x, y, c): pixels with the number of their connected area, diagonals included; all pages at once.
 
-    Each round every area found so far joins the smallest area that touches it, and what that one joins in turn, so long paths
-    don't need a round for each step.
+    Areas are found in each tile first; those of tiles beside each other that touch are joined, if there are any.
     """
-    now = pixels.select("page", "x", "y", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("c")).distinct()
+
+    def local(stack, tx, ty):
+        n, h, w = stack.shape
+        places, roots = tiles.component_roots(stack > 0)
+        at = places // (h * w)
+        x, y, rx, ry = places % w, places // w % h, roots % w, roots // w % h
+        left, top = tx[at] * tiles.SIDE, ty[at] * tiles.SIDE
+        yield at, {"x": (x + left).astype(np.int32), "y": (y + top).astype(np.int32), "c": (ry + top << 20) + rx + left}
+
+    found = cut(tiles.by_stack(tiles.points(pixels, ["page"], F.lit(1)), ["page"], "x int, y int, c bigint", local))
+    beside = " or ".join(f"{a} % {tiles.SIDE} = {tiles.SIDE - 1} or ({a} > 0 and {a} % {tiles.SIDE} = 0)" for a in "xy")
+    rim = found.where(beside)
+    if not rim.limit(1).count():
+        return found
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    while True:
-        around = now.select("page", "c", near.alias("o"), "x", "y").select("page", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "c")
-        least = around.groupBy("page", "x", "y").agg(F.min("c").alias("least"))
-        joins = cut(now.join(least, ["page", "x", "y"]).groupBy("page", "c").agg(F.min("least").alias("to")))
-        after = joins.select("page", F.col("c").alias("to"), F.col("to").alias("next"))
-        jumps = joins.join(after, ["page", "to"]).select("page", "c", F.col("next").alias("to"))
-        now = cut(now.join(jumps, ["page", "c"]).select("page", "x", "y", F.col("to").alias("c")))
-        if not joins.where("to < c").limit(1).count():
-            return now
+    around = rim.select("page", F.col("c").alias("d"), near.alias("o"), "x", "y").select("page", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "d")
+    touch = cut(rim.join(around, ["page", "x", "y"]).where("c <> d").select("page", "c", "d").distinct())
+    joined = united(touch.select("page", "c").distinct().withColumn("l", F.col("c")), touch, ["page"])
+    return found.join(joined, ["page", "c"], "left").select("page", "x", "y", F.coalesce("l", "c").alias("c"))
 
 
 def component_boxes(pixels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from plumage.operators import tiles
 from plumage.operators.detect import by_page, majority_label
 from plumage.operators.lineage import cut
 from plumage.operators.masks import in_areas
-from plumage.operators.nodes import components
+from plumage.operators.nodes import components, united
 from plumage.operators.raster import largest_rectangle
 
 #: The share of a label's shorter side that is kept free of text, by writing mode, in hundredths.
@@ -284,22 +284,25 @@ def layout_boxes(pixels: DataFrame, seeds: DataFrame, width: int, height: int) -
     return painted_layout_boxes(tiles.points(pixels.where("label > 0"), ["page"], F.col("label")), seeds, width, height)
 
 
-def united(labels: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``labels`` (keys, c, l) with l the least over all that edges (keys, c, d; in both directions) connect.
+def enclosed_here(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """``enclosed`` of pixels (keys, x, y, wx1, wy1, wx2, wy2) with their window, whose sides are 256 at most, so that it is one tile.
 
-    Each round every l found so far takes the least l that touches it, and what that one takes in turn, so long paths don't
-    need a round for each step.
+    Free places past the last pixels of a window are open, like those at its border.
     """
-    now = cut(labels)
-    while True:
-        beside = edges.join(now.select(*keys, F.col("c").alias("d"), F.col("l").alias("other")), [*keys, "d"]).groupBy(*keys, "c").agg(F.min("other").alias("other"))
-        least = now.join(beside, [*keys, "c"], "left").groupBy(*keys, "l").agg(F.least(F.col("l"), F.coalesce(F.min("other"), F.col("l"))).alias("to"))
-        least = cut(least)
-        if not least.where("to < l").limit(1).count():
-            return now
-        jump = least.select(*keys, F.col("l").alias("to"), F.col("to").alias("next"))
-        to = least.join(jump, [*keys, "to"], "left").select(*keys, "l", F.coalesce("next", "to").alias("next"))
-        now = cut(now.join(to, [*keys, "l"]).select(*keys, "c", F.col("next").alias("l")))
+
+    def rows(stack, tx, ty):
+        n, h, w = stack.shape
+        places, roots = tiles.component_roots(stack == 0)
+        rim = (places % w == 0) | (places % w == w - 1) | (places // w % h == 0) | (places // w % h == h - 1)
+        is_open = np.zeros(stack.size, bool)
+        is_open[roots[rim]] = True
+        shut = places[~is_open[roots]]
+        yield shut // (h * w), {"x": (shut % w).astype(np.int32), "y": (shut // w % h).astype(np.int32)}
+
+    fits = F.assert_true((F.col("wx2") - F.col("wx1") <= tiles.SIDE) & (F.col("wy2") - F.col("wy1") <= tiles.SIDE), F.lit("a window is larger than a tile"))
+    inner = pixels.select(*keys, "wx1", "wy1", (F.col("x") - F.col("wx1")).alias("x"), (F.col("y") - F.col("wy1")).alias("y"), F.coalesce(fits.cast("int"), F.lit(1)).alias("v"))
+    found = tiles.by_stack(tiles.points(inner, [*keys, "wx1", "wy1"], F.col("v")), [*keys, "wx1", "wy1"], "x int, y int", rows)
+    return found.select(*keys, (F.col("x") + F.col("wx1")).alias("x"), (F.col("y") + F.col("wy1")).alias("y"))
 
 
 def enclosed(pixels: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -367,7 +370,11 @@ def filled_regions(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, widt
         out = out.withColumn(axis, F.explode(F.sequence(F.col(axis) - F.col("r"), F.col(axis) + F.col("r")))).where(f"{axis} >= w{axis}1 and {axis} < w{axis}2").distinct()
     grown = cut(out.select("page", "area", "x", "y"))
     windows = near.select("page", "area", "wx1", "wy1", "wx2", "wy2").distinct()
-    filled = grown.unionByName(enclosed(grown, windows, ["page", "area"]).select("page", "area", "x", "y"))
+    if max(width, height) <= tiles.SIDE:
+        shut = enclosed_here(grown.join(windows, ["page", "area"]), ["page", "area"])
+    else:
+        shut = enclosed(grown, windows, ["page", "area"])
+    filled = grown.unionByName(shut.select("page", "area", "x", "y"))
     kept = filled.join(areas.select("page", "area", "x1", "y1", "x2", "y2"), ["page", "area"]).where("x >= x1 and x < x2 and y >= y1 and y < y2").join(bound, ["page", "area"])
     return base.unionAll(covered).unionAll(_bounded(kept, labels)).distinct()
 

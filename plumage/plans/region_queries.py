@@ -45,8 +45,8 @@ def _regions(s, d):
 
 def _holes(s, d):
     grown = r.dilated(r.binarized(pixels(s, d), 60), 1, 32, 32, diamond=True).select("page", "x", "y")
-    windows = grown.select("page", *[F.lit(v).alias(k) for k, v in (("wx1", 0), ("wy1", 0), ("wx2", 32), ("wy2", 32))]).distinct()
-    return g.enclosed(grown, windows, ["page"]).select("page", "x", "y")
+    whole = grown.withColumns({k: F.lit(v) for k, v in (("wx1", 0), ("wy1", 0), ("wx2", 32), ("wy2", 32))})
+    return g.enclosed_here(whole, ["page"]).select("page", "x", "y")
 
 
 def _outlines(s, d):
