@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.operators.detect import majority_label
+from plumage.operators.lineage import cut
 from plumage.operators.nodes import components
 from plumage.operators.raster import dilated
 
@@ -54,9 +55,9 @@ def expanded(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: int
     blocks: (page, area, x1, y1, x2, y2, r). An uncovered area's radius is ``ratio`` of its shorter side, ``least`` to ``most``;
     its bounds are grown by that radius before its pixels vote for a label.
     """
-    base = pixels.select("page", "x", "y").distinct()
-    covered = grown(base, blocks, labels, width, height)
-    rest = base.join(covered, ["page", "x", "y"], "left_anti")
+    base = cut(pixels.select("page", "x", "y").distinct())
+    covered = cut(grown(base, blocks, labels, width, height))
+    rest = cut(base.join(covered, ["page", "x", "y"], "left_anti"))
     side = F.least(F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1)
     radius = F.greatest(F.lit(least), F.least(F.lit(most), F.round(side * ratio).cast("int")))
     areas = components(rest).groupBy("page", F.col("c").alias("area")).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), radius.alias("r"))
