@@ -1,8 +1,8 @@
 """Painted labels and what lies in them: distances to the edge, safe boxes, filled areas, and outlines.
 
 Rows are pixels (page, x, y, label), label 0 being none. Distances go along rows, then down columns; both are painted and measured in
-tiles; holes are runs of free places joined over neighbouring rows; outlines are linked edges whose order comes from doubling. Only the
-choice of a box inside one label takes that label's pixels into one task.
+tiles; holes are runs of free places joined over neighbouring rows; outlines are followed in tiles, and what leaves a tile is put in order
+by doubling. Only the choice of a box inside one label takes that label's pixels into one task.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumage.functions.geometry import area, box
-from plumage.operators import tiles
+from plumage.operators import borders, tiles
 from plumage.operators.detect import by_page, majority_label
 from plumage.operators.lineage import cut
 from plumage.operators.masks import in_areas
@@ -379,62 +379,129 @@ def filled_regions(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, widt
     return base.unionAll(covered).unionAll(_bounded(kept, labels)).distinct()
 
 
-#: Steps to a pixel's neighbours, by the bit that says the neighbour is there.
-_AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+def _stacked(stack: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, borders.Lines]]:
+    """(number of the first tile, tiles, their lines), of tiles with a place around them, as many at a time as is handy."""
+    n, h, w = stack.shape
+    stack = np.pad(stack, ((0, 0), (0, int(h < tiles.SIDE + 2)), (0, int(w < tiles.SIDE + 2))))
+    step = max(1, most // max(1, stack[:1].size))
+    for k in range(0, n, step):
+        part = stack[k : k + step]
+        yield k, part, borders.lines(part)
 
 
-def outlines(pixels: DataFrame) -> DataFrame:
-    """(page, label, ring, i, x, y, area2): the border pixels of each connected area of a label, in order, its outer border only.
+def _lines(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, head, to, ring, before, n, s, points): borders of painted rectangles in each tile, rings (to is null) and stretches.
 
-    Areas include diagonals. A ring starts at its first pixel by row and goes down its left side; a pixel passed twice is there
-    twice; area2 is twice the area of the polygon of pixel centres. ``ring`` names the border by its first pixel.
+    ring is a line's lowest edge, before and n count its points up to that and in all, s is its part of twice the enclosed area.
+    """
+
+    def rows(stack, tx, ty):
+        for k, part, found in _stacked(stack):
+            _, h, w = part.shape
+
+            def spot(place):
+                at = k + place // (h * w)
+                return place % w + tx[at] * tiles.SIDE - 1, place // w % h + ty[at] * tiles.SIDE - 1
+
+            def edge(e):
+                x, y = spot(e // 4)
+                return ((y << 20) + x) * 4 + e % 4
 
-    Every side of a pixel that has no neighbour of its label there is an edge, and the edge that follows it (around the outside, to
-    the left, or straight on, or around the corner) follows from the eight neighbours alone. Edges are ranked along their ring by
-    doubling: after k rounds an edge knows the first edge by row of the 2^k from it on, and how far it is.
+            (x, y), (nx, ny) = spot(found.point), spot(found.beyond)
+            points = pa.ListArray.from_arrays(pa.array(np.append(found.start, len(x)).astype(np.int32)), pa.array((y << 20) + x))
+            to = pa.array(edge(np.maximum(found.to, 0)), mask=found.to < 0)
+            label = part.reshape(-1)[found.head // 4].astype(np.int32)
+            counts = {"before": found.before.astype(np.int32), "n": found.moves.astype(np.int32), "s": borders.sums(x * ny - nx * y, found)}
+            yield k + found.head // (4 * h * w), {"label": label, "head": edge(found.head), "to": to, "ring": edge(found.first), **counts, "points": points}
+
+    return tiles.by_stack(rects, keys, "label int, head bigint, to bigint, ring bigint, before int, n int, s bigint, points array<bigint>", rows, halo=1)
+
+
+def _rings(rects: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, ring, start, n, area2, points): the outer borders of painted rectangles' areas, in a row for each tile that they pass.
+
+    Points count from start on, around the ring of n. Rings inside a tile are known; of others, stretches (not edges) are ranked
+    by doubling: after k rounds a stretch knows the lowest edge of the 2^k from it on, and how far it is.
     """
-    own = pixels.where("label > 0").select("page", "label", "x", "y").distinct()
-    steps = F.array(*[F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(1 << k).alias("bit")) for k, (dx, dy) in enumerate(_AROUND)], F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(256).alias("bit")))
-    seen = own.select("page", "label", "x", "y", F.explode(steps).alias("s")).select("page", "label", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("s.bit").alias("bit"))
-    seen = seen.groupBy("page", "label", "x", "y").agg(F.sum("bit").alias("b")).where("b >= 256")
-    name = lambda x, y, side: (y.cast("long") * (1 << 20) + x) * 4 + side
-
-    def edge(side: int) -> Column:
-        """Sides 0 to 3: left, below, right, above. The neighbour around the corner ahead, then the one straight on."""
-        has = lambda k: F.col("b").bitwiseAND(1 << (k % 8)) > 0
-        x, y = F.col("x"), F.col("y")
-        (ax, ay), (sx, sy) = _AROUND[2 * side + 1], _AROUND[(2 * side + 2) % 8]
-        around, on = has(2 * side + 1), has(2 * side + 2)
-        to = F.when(around, name(x + ax, y + ay, F.lit((side + 3) % 4))).when(on, name(x + sx, y + sy, F.lit(side))).otherwise(name(x, y, F.lit((side + 1) % 4)))
-        nx, ny = (F.when(around, c + a).when(on, c + s).otherwise(c) for c, a, s in ((x, ax, sx), (y, ay, sy)))
-        return F.when(~has(2 * side), F.struct(name(x, y, F.lit(side)).alias("e"), to.alias("to"), nx.alias("nx"), ny.alias("ny")))
-
-    edges = seen.select("page", "label", "x", "y", F.explode(F.array(*map(edge, range(4)))).alias("e")).where("e is not null").select("page", "label", "x", "y", "e.*")
-    edges = cut(edges)
-    now = edges.select("page", "label", "e", "to", F.col("e").alias("ring"), F.lit(0).cast("long").alias("off"))
+    group = [*keys, "label"]
+    found = cut(_lines(rects, keys))
+    rings = found.where("to is null").select(*group, "ring", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("n"), F.abs("s").alias("area2"), "points")
+    open_ = found.where("to is not null")
+    if open_.isEmpty():
+        return rings
+    now = cut(open_.select(*group, "head", "to", "ring", F.lit(0).cast("long").alias("off")))
     k = 0
     while True:
-        ahead = now.select("page", "label", F.col("e").alias("to"), F.col("to").alias("far"), F.col("ring").alias("ring2"), F.col("off").alias("off2"))
-        both = now.join(ahead, ["page", "label", "to"])
+        ahead = now.select(*group, F.col("head").alias("to"), F.col("to").alias("far"), F.col("ring").alias("ring2"), F.col("off").alias("off2"))
         nearer = F.col("ring") <= F.col("ring2")
-        now = cut(both.select("page", "label", "e", F.col("far").alias("to"), F.least("ring", "ring2").alias("ring"), F.when(nearer, F.col("off")).otherwise(F.col("off2") + (1 << k)).alias("off"), (F.col("ring") != F.col("ring2")).alias("changed")))
+        both = now.join(ahead, [*group, "to"])
+        now = cut(both.select(*group, "head", F.col("far").alias("to"), F.least("ring", "ring2").alias("ring"), F.when(nearer, F.col("off")).otherwise(F.col("off2") + (1 << k)).alias("off"), (F.col("ring") != F.col("ring2")).alias("changed")))
         k += 1
-        if not now.where("changed").limit(1).count():
+        if now.where("changed").isEmpty():
             break
-    # Rings whose first edge isn't a left one run around holes. The first edge of a ring is the one that all others lead to.
-    ringed = edges.join(now.where("ring % 4 = 0").select("page", "label", "e", "ring", "off"), ["page", "label", "e"])
-    moves = ringed.where("x != nx or y != ny").withColumn("s", F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
-    sums = moves.groupBy("page", "label", "ring").agg(F.abs(F.sum("s")).alias("area2"))
-    order = Window.partitionBy("page", "label", "ring").orderBy(F.when(F.col("off") == 0, 0).otherwise(1), F.desc("off"))
-    return moves.join(sums, ["page", "label", "ring"]).select("page", "label", "ring", (F.row_number().over(order) - 1).alias("i"), "x", "y", "area2")
+    # Rings whose lowest edge isn't a left one run around holes. The stretch with the lowest edge comes first, and last, as far as that edge.
+    whole = Window.partitionBy(*group, "ring")
+    order = whole.orderBy(F.when(F.col("off") == 0, 0).otherwise(1), F.desc("off"))
+    ranked = now.where("ring % 4 = 0").select(*group, "head", "ring", "off").join(open_.select(*group, "head", "before", "n", "s"), [*group, "head"])
+    lead = F.max(F.when(F.col("off") == 0, F.col("before"))).over(whole)
+    ahead = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.select(*group, "head", "ring", (ahead - lead).alias("start"), F.sum("n").over(whole).alias("n"), F.abs(F.sum("s").over(whole)).alias("area2"))
+    return rings.unionByName(ranked.join(open_.select(*group, "head", "points"), [*group, "head"]).drop("head"))
+
+
+def _largest(rings: DataFrame, group: list[str]) -> DataFrame:
+    best = rings.where("area2 > 0").groupBy(*group).agg(F.max_by(F.struct("ring", "n"), F.struct("area2", -F.col("ring"))).alias("b")).where("b.n >= 4")
+    return rings.join(best.select(*group, F.col("b.ring").alias("ring")), [*group, "ring"], "left_semi")
+
+
+def _in_order(rings: DataFrame, *columns: str) -> DataFrame:
+    """A row for each point: (columns of its ring, i, x, y)."""
+    p = rings.select(*columns, "start", "n", F.posexplode("points").alias("_k", "_p"))
+    place = lambda v: v.cast("int")
+    return p.select(*columns, place((F.col("start") + F.col("_k") + F.col("n")) % F.col("n")).alias("i"), place(F.col("_p").bitwiseAND((1 << 20) - 1)).alias("x"), place(F.shiftright("_p", 20)).alias("y"))
+
+
+def _own(pixels: DataFrame) -> DataFrame:
+    return tiles.points(pixels.where("label > 0").withColumnRenamed("label", "own"), ["page", "own"], F.lit(1))
+
+
+def outlines(pixels: DataFrame) -> DataFrame:
+    """(page, label, ring, i, x, y, area2): the border pixels of each connected area of a label, in order, its outer border only.
+
+    Areas include diagonals. A ring starts at its first pixel by row and goes down its left side; a pixel passed twice is there
+    twice; area2 is twice the area of the polygon of pixel centres. ``ring`` names the border by its first pixel. Borders are followed
+    in tiles; only what leaves a tile is put together over all.
+    """
+    found = _in_order(_rings(_own(pixels), ["page", "own"]), "page", "own", "ring", "area2")
+    return found.select("page", F.col("own").alias("label"), "ring", "i", "x", "y", "area2")
 
 
 def largest_outlines(pixels: DataFrame) -> DataFrame:
     """(page, label, i, x, y): the outline with the largest area of each label, of equal ones the first by row; none under four points or without area."""
-    rings = outlines(pixels)
-    size = rings.groupBy("page", "label", "ring").agg(F.max("area2").alias("area2"), F.count("*").alias("n"))
-    best = size.where("area2 > 0").groupBy("page", "label").agg(F.max_by(F.struct("ring", "n"), F.struct("area2", -F.col("ring"))).alias("b")).where("b.n >= 4")
-    return rings.join(best.select("page", "label", F.col("b.ring").alias("ring")), ["page", "label", "ring"], "left_semi").select("page", "label", "i", "x", "y")
+    found = _in_order(_largest(_rings(_own(pixels), ["page", "own"]), ["page", "own"]), "page", "own")
+    return found.select("page", F.col("own").alias("label"), "i", "x", "y")
+
+
+def _numbered(found: borders.Lines, best: np.ndarray) -> np.ndarray:
+    """0, 1, ... along each of the best lines."""
+    moves = found.moves[best]
+    return (np.arange(moves.sum()) - np.repeat(np.cumsum(moves) - moves, moves)).astype(np.int32)
+
+
+def painted_largest_outlines(rects: DataFrame, width: int, height: int) -> DataFrame:
+    """``largest_outlines`` of painted rectangles (page, x1, y1, x2, y2, v) in images of that size; those of one tile are chosen where they are followed."""
+    if max(width, height) > tiles.SIDE:
+        return _in_order(_largest(_rings(rects, ["page"]), ["page", "label"]), "page", "label")
+
+    def rows(stack, tx, ty):
+        for k, part, found in _stacked(stack):
+            _, h, w = part.shape
+            best, at = borders.largest(part, found)
+            point = found.point[at]
+            yield k + point // (h * w), {"label": part.reshape(-1)[point].astype(np.int32), "i": _numbered(found, best), "x": (point % w - 1).astype(np.int32), "y": (point // w % h - 1).astype(np.int32)}
+
+    inner = rects.where(F.coalesce(F.assert_true((F.col("x2") <= tiles.SIDE) & (F.col("y2") <= tiles.SIDE), F.lit("a rectangle is out of the image")).cast("boolean"), F.lit(True)))
+    return tiles.by_stack(inner, ["page"], "label int, i int, x int, y int", rows, halo=1)
 
 
 def box_masks(mask: DataFrame, boxes: DataFrame, width: int, height: int, scale: float) -> DataFrame:

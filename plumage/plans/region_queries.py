@@ -50,7 +50,7 @@ def _holes(s, d):
 
 
 def _outlines(s, d):
-    return g.largest_outlines(labels(s, d))
+    return g.painted_largest_outlines(paint(s, d), WIDTH, HEIGHT)
 
 
 #: Boxes with broken edges on pages three times the size of their mask.

@@ -265,3 +265,36 @@ def test_box_masks(spark, scale):
     boxes = spark.createDataFrame([(0, k, *b) for k, b in enumerate(sides)], "page int, label int, x1 double, y1 double, x2 double, y2 double")
     got = {(r.label, r.x, r.y) for r in regions.box_masks(frame(spark, [m], "v"), boxes, 24, 20, scale).collect()}
     assert got == want
+
+
+def test_outlines_over_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    g = np.zeros((600, 540), int)
+    g[20:580, 30:520] = 1
+    g[200:300, 200:300] = 0  # a hole over the corner of four tiles
+    g[240:262, 240:262] = 2
+    for k in range(60, 500, 40):  # a comb, whose border leaves and enters tiles many times
+        g[40:560, k : k + 9] = 0
+    g[255:258, 100:480] = 3
+    g[580:600, 0:540] = np.where(rng.random((20, 540)) < 0.6, 4, 0)
+    g[:, 256] = np.where(g[:, 256] == 0, 5, g[:, 256])  # one column of a tile
+    held, cut = [], regions.cut
+    monkeypatch.setattr(regions, "cut", lambda df: (held.append(cut(df)), held[-1])[1])
+    rings, best = defaultdict(list), defaultdict(list)
+    for r in regions.outlines(frame(spark, [g])).orderBy("i").collect():
+        rings[r.label, r.ring].append((r.i, r.x, r.y, r.area2))
+    assert max(df.count() for df in held) < sum(map(len, rings.values())) / 5  # rows are lines, not pixels
+    for r in regions.largest_outlines(frame(spark, [g])).orderBy("i").collect():
+        best[r.label].append((r.x, r.y))
+    want, top = {}, {}
+    for k in range(1, 6):
+        traced = sorted((trace(a) for a in areas_of({(int(x), int(y)) for y, x in np.argwhere(g == k)})), key=lambda t: (t[0][1], t[0][0]))
+        want |= {(k, (t[0][1] << 22) + t[0][0] * 4): [(i, *p, twice_area(t)) for i, p in enumerate(t)] for t in traced if len(t) > 1}
+        t = max(traced, key=twice_area)
+        if len(t) >= 4 and twice_area(t):
+            top[k] = t
+    assert rings == want and best == top and len(top) == 4
+    rects = [(0, int(x), int(y), int(x) + 1, int(y) + 1, int(g[y, x])) for y, x in np.argwhere(g[:250, :250])]
+    table = spark.createDataFrame(rects, "page int, x1 int, y1 int, x2 int, y2 int, v int")
+    one, more = (sorted(map(tuple, regions.painted_largest_outlines(table, n, n).collect())) for n in (250, 257))
+    assert one == more and len(one) > 100
