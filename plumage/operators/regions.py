@@ -504,17 +504,97 @@ def painted_largest_outlines(rects: DataFrame, width: int, height: int) -> DataF
     return tiles.by_stack(inner, ["page"], "label int, i int, x int, y int", rows, halo=1)
 
 
+def _stretched(boxes: DataFrame, width: int, height: int, scale: float) -> DataFrame:
+    """(page, label, mx1, my1, mx2, my2, bw, bh): a box's part of a mask that is at ``scale`` of the page's size, and the size it is stretched to."""
+    inner = lambda c, n: F.least(F.greatest(F.round(F.col(c) * scale), F.lit(0)), F.lit(n)).cast("int")
+    b = boxes.select("page", "label", "x1", "y1", "x2", "y2", inner("x1", width).alias("mx1"), inner("y1", height).alias("my1"), inner("x2", width).alias("mx2"), inner("y2", height).alias("my2"))
+    b = b.where("mx2 > mx1 and my2 > my1")
+    size = lambda a, z: F.greatest(F.round(z) - F.round(a), F.lit(1)).cast("int")
+    return b.select("page", "label", "mx1", "my1", "mx2", "my2", size("x1", "x2").alias("bw"), size("y1", "y2").alias("bh"))
+
+
 def box_masks(mask: DataFrame, boxes: DataFrame, width: int, height: int, scale: float) -> DataFrame:
     """(page, label, x, y): a mask's pixels inside each box, stretched to the box's size, at places from the box's corner on.
 
     mask: (page, x, y), at ``scale`` of the page's size; boxes: (page, label, x1, y1, x2, y2). A place takes the mask's pixel under its centre.
     """
-    inner = lambda c, n: F.least(F.greatest(F.round(F.col(c) * scale), F.lit(0)), F.lit(n)).cast("int")
-    b = boxes.select("page", "label", "x1", "y1", "x2", "y2", inner("x1", width).alias("mx1"), inner("y1", height).alias("my1"), inner("x2", width).alias("mx2"), inner("y2", height).alias("my2"))
-    b = b.where("mx2 > mx1 and my2 > my1")
-    size = lambda a, z: F.greatest(F.round(z) - F.round(a), F.lit(1)).cast("int")
-    b = b.withColumns({"w": size("x1", "x2"), "h": size("y1", "y2")})
-    spots = b.withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, w - 1)")))
+    b = _stretched(boxes, width, height, scale)
+    spots = b.withColumn("y", F.explode(F.expr("sequence(0, bh - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, bw - 1)")))
     under = lambda c, n, lo, hi: (F.col(lo) + F.floor((F.col(c) + 0.5) * (F.col(hi) - F.col(lo)) / F.col(n))).cast("int")
-    spots = spots.select("page", "label", "x", "y", under("x", "w", "mx1", "mx2").alias("sx"), under("y", "h", "my1", "my2").alias("sy"))
+    spots = spots.select("page", "label", "x", "y", under("x", "bw", "mx1", "mx2").alias("sx"), under("y", "bh", "my1", "my2").alias("sy"))
     return spots.join(mask.select("page", F.col("x").alias("sx"), F.col("y").alias("sy")).distinct(), ["page", "sx", "sy"], "left_semi").select("page", "label", "x", "y")
+
+
+def _unsplit(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows, no batch ending inside a group of equal keys."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        starts = tiles._starts(rest, keys)
+        if len(starts) > 1:
+            yield from rest.slice(0, int(starts[-1])).combine_chunks().to_batches()
+            rest = rest.slice(int(starts[-1]))
+    if rest is not None:
+        yield from rest.combine_chunks().to_batches()
+
+
+def _box_grids(stack: np.ndarray, at: np.ndarray, group: np.ndarray, sides: dict[str, np.ndarray], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of groups, their grids with a free place around them): tiles' parts stretched to boxes, those of a group of boxes laid over each other."""
+    stack = np.pad(stack, ((0, 0), (0, 1), (0, 1)))  # the last row and column are free
+    begin = np.flatnonzero(np.append(True, np.diff(group) != 0))[: len(group)]
+    wide, tall = (np.maximum.reduceat(sides[c], begin) for c in ("bw", "bh"))
+    order = np.lexsort((tall, wide))
+    row_of = np.argsort(np.argsort(order)[group], kind="stable")
+    ends = np.cumsum(np.diff(np.append(begin, len(group)))[order])
+    i = 0
+    while i < len(order):  # groups of like size together
+        j, h, w = i, 0, 0
+        while j < len(order) and (j == i or (j + 1 - i) * (max(h, tall[order[j]]) + 2) * (wide[order[j]] + 2) <= most):
+            h, w, j = max(h, int(tall[order[j]])), int(wide[order[j]]), j + 1
+        grids = np.zeros((j - i, h + 2, w + 2), np.uint8)
+        rows = row_of[ends[i - 1] if i else 0 : ends[j - 1]]
+        place = np.argsort(order)[group[rows]] - i
+        for k in range(0, len(rows), step := max(1, most // (h * w))):
+            r = rows[k : k + step]
+
+            def under(n, size, low, high, free):
+                x = np.arange(n)[None]
+                m = sides[low][r][:, None] + np.floor((x + 0.5) * (sides[high] - sides[low])[r][:, None] / sides[size][r][:, None]).astype(np.int64)
+                return np.where(x < sides[size][r][:, None], np.minimum(m, free), free)
+
+            mx, my = under(w, "bw", "mx1", "mx2", stack.shape[2] - 1), under(h, "bh", "my1", "my2", stack.shape[1] - 1)
+            part = stack[at[r][:, None, None], my[:, :, None], mx[:, None, :]] > 0
+            to = place[k : k + step]
+            new = np.flatnonzero(np.append(True, np.diff(to) != 0))
+            grids[to[new], 1:-1, 1:-1] |= np.logical_or.reduceat(part, new, axis=0) if len(new) < len(to) else part
+        yield order[i:j], grids
+        i = j
+
+
+def box_outlines(mask: DataFrame, boxes: DataFrame, width: int, height: int, scale: float) -> DataFrame:
+    """``largest_outlines`` of ``box_masks``. A mask of one tile meets its page's boxes, which are stretched and followed there.
+
+    Larger masks, or boxes larger than a tile, go through pixels.
+    """
+    b = _stretched(boxes.where("label > 0"), width, height, scale)
+    if max(width, height) > tiles.SIDE or not b.where(f"bw > {tiles.SIDE} or bh > {tiles.SIDE}").isEmpty():
+        return largest_outlines(box_masks(mask, boxes, width, height, scale))
+    inside = mask.where((F.col("x") < width) & (F.col("y") < height))
+    both = tiles.whole(tiles.points(inside, ["page"], F.lit(1)), ["page"]).unionByName(b.withColumns({"tx": F.lit(0), "ty": F.lit(0)}), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, stack, rows in tiles.probed(_unsplit(batches, ["page", "label"]), ["page"]):
+            sides = {c: rows[c].to_numpy().astype(np.int64) for c in ("mx1", "my1", "mx2", "my2", "bw", "bh")}
+            begin = tiles._starts(rows, ["page", "label"])
+            group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
+            for members, grids in _box_grids(stack, at, group, sides):
+                _, h, w = grids.shape
+                found = borders.lines(grids)
+                best, k = borders.largest(grids, found)
+                point = found.point[k]
+                own = begin[members[point // (h * w)]]
+                yield from tiles.table(rows.select(["page", "label"]), own, i=_numbered(found, best), x=(point % w - 1).astype(np.int32), y=(point // w % h - 1).astype(np.int32))
+
+    rows = tiles.gathered(both, ["page"], F.col("cells").isNull(), "label")
+    return rows.mapInArrow(run, tiles.schema_of(b, ["page", "label"], "i int, x int, y int"))

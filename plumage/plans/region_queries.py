@@ -60,7 +60,7 @@ MASKED = [f"{PAGE} as page", "page_id * 100 + box_id as label", "x1 % 60 + cast(
 def _box_outlines(s, d):
     """Boxes of a page three times the size of its mask; the mask's pixels in each box, stretched to it, and their outline."""
     b = boxes(s, d).selectExpr(*MASKED)
-    return g.largest_outlines(g.box_masks(pixels(s, d).where("v > 90"), b, 32, 32, 1 / 3))
+    return g.box_outlines(pixels(s, d).where("v > 90"), b, 32, 32, 1 / 3)
 
 
 QUERIES = {

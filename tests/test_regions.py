@@ -298,3 +298,19 @@ def test_outlines_over_tiles(spark, monkeypatch):
     table = spark.createDataFrame(rects, "page int, x1 int, y1 int, x2 int, y2 int, v int")
     one, more = (sorted(map(tuple, regions.painted_largest_outlines(table, n, n).collect())) for n in (250, 257))
     assert one == more and len(one) > 100
+
+
+def test_box_outlines(spark):
+    rng = np.random.default_rng(6)
+    masks = [(rng.random((30, 40)) < d).astype(int) for d in (0.15, 0.6, 0.0, 0.9)]
+    sides = [(p, k, float(a), float(b), float(a + c), float(b + d)) for p in range(5) for k, (a, b, c, d) in enumerate(rng.random((40, 4)) * (110, 80, 60, 50))]
+    sides += [(1, 3, 0.0, 0.0, 60.0, 30.0), (1, 3, 5.2, 9.7, 90.0, 80.0), (0, 99, 5.0, 5.0, 5.1, 5.1)]  # one label of several boxes
+    pixels = frame(spark, masks, "v")
+    for more in ([(3, 77, 1.0, 2.0, 1.0 + 290, 70.0)], []):  # one that is larger than a tile, or none
+        boxes = spark.createDataFrame(sides + more, "page int, label bigint, x1 double, y1 double, x2 double, y2 double")
+        want = regions.largest_outlines(regions.box_masks(pixels, boxes, 40, 30, 1 / 3)).collect()
+        got = regions.box_outlines(pixels, boxes, 40, 30, 1 / 3)
+        assert got.columns == ["page", "label", "i", "x", "y"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 500
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
