@@ -1,41 +1,60 @@
 """Order-dependent operators on the boxes of a page: reading order and merging.
 
 Each depends on the order of its own intermediate results, which no join expresses. Spark brings a page's rows together,
-sorted, and a small function folds each page; a page is a detector's output, at most some hundred boxes. Rows are streamed
-page by page, so a task holds one page at a time.
+sorted, and a small function folds each page; a page is a detector's output, at most some hundred boxes. Rows are streamed,
+so a task holds a batch of them, or one page. Reading order cuts the pages of a batch all at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plumage.operators.batches import starts, unsplit
 
 Box = tuple[float, float, float, float]
 
 
-def fold_pages(df: DataFrame, columns: list[str], schema: str, fold: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
-    """fold(rows of a page, in order of their columns) gives the page's output rows, without the page."""
-    names = [f.split()[0] for f in schema.split(", ")]
+def _numbers(t: pa.RecordBatch, column: str) -> np.ndarray:
+    return t[column].to_numpy(zero_copy_only=False)
+
+
+def by_pages(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(page_id, columns): the rows of a page in one partition, next to each other, in the order of the columns.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for pdf in batches:
-                yield from pdf.itertuples(index=False, name=None)
+    The page's row numbers, _k, ask for no other shuffle where rows lie by page already.
+    """
+    rows = df.select("page_id", *columns).withColumn("_k", F.row_number().over(Window.partitionBy("page_id").orderBy(*columns)))
+    return rows.sortWithinPartitions("page_id", *columns)
+
+
+def fold_batches(df: DataFrame, columns: list[str], schema: str, fold: Callable[[list[list[tuple]]], Iterator[tuple[int, list[tuple]]]]) -> DataFrame:
+    """fold(rows of each page, in order of their columns) gives (number of the page, its output rows without the page), for a batch's whole pages at once."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "string": pa.string()}[kind] for _, kind in fields]
 
-        out: list[tuple] = []
-        for page, group in groupby(rows(), key=lambda r: r[0]):
-            out += [(page, *x) for x in fold([r[1:] for r in group])]
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=["page_id", *names])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["page_id", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in unsplit(batches, ["page_id"]):
+            begin = starts(pa.Table.from_batches([t]), ["page_id"]).tolist()
+            rows = list(zip(*[t[c].to_pylist() if pa.types.is_string(t[c].type) else _numbers(t, c).tolist() for c in columns]))
+            at, out = [], []
+            for page, found in fold([rows[i:j] for i, j in zip(begin, [*begin[1:], len(rows)])]):
+                at += [begin[page]] * len(found)
+                out += found
+            data = [t["page_id"].take(pa.array(at, pa.int64())), *[pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * len(kinds), kinds)]]
+            yield pa.RecordBatch.from_arrays(data, ["page_id", *[name for name, _ in fields]])
 
-    rows = df.select("page_id", *columns).repartition("page_id").sortWithinPartitions("page_id", *columns)
-    return rows.mapInPandas(run, f"page_id {dict(df.dtypes)['page_id']}, {schema}")
+    return by_pages(df, columns).mapInArrow(run, f"page_id {dict(df.dtypes)['page_id']}, {schema}")
+
+
+def fold_pages(df: DataFrame, columns: list[str], schema: str, fold: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """fold(rows of a page, in order of their columns) gives the page's output rows, without the page."""
+    return fold_batches(df, columns, schema, lambda pages: ((k, fold(rows)) for k, rows in enumerate(pages)))
 
 
 def area(b: Box) -> float:
@@ -97,13 +116,89 @@ def reading_order(boxes: list[Box], rtl: bool) -> list[int]:
     return visit(list(range(len(boxes))))
 
 
-def in_reading_order(boxes: DataFrame, rtl: bool = True) -> DataFrame:
-    """(page_id, box_id, position)."""
-
-    def fold(rows: list[tuple]) -> list[tuple]:
-        return [(rows[i][0], k) for k, i in enumerate(reading_order([r[1:] for r in rows], rtl))]
-
-    return fold_pages(boxes, ["box_id", "x1", "y1", "x2", "y2"], "box_id int, position int", fold)
+def _widest(part: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size, middle) of ``widest_gap`` in each of n parts; no size where there is none. Parts lie one after the other."""
+    order = np.lexsort((high, low, part))
+    low, reach = low[order], high[order]
+    k, most = 1, int(np.bincount(part).max())
+    while k < most:  # the highest end so far in its part
+        reach[k:] = np.where(part[k:] == part[:-k], np.maximum(reach[k:], reach[:-k]), reach[k:])
+        k *= 2
+    at = np.flatnonzero(part[1:] == part[:-1]) + 1
+    gap, here = low[at] - reach[at - 1], part[at]
+    wide = (gap >= least[here]) & (gap > 0)
+    at, gap, here = at[wide], gap[wide], here[wide]
+    first = np.lexsort((at, -gap, here))
+    first = first[np.append(True, np.diff(here[first]) != 0)[: len(first)]]
+    size, middle = np.full(n, np.nan), np.zeros(n)
+    size[here[first]], middle[here[first]] = gap[first], (low[at[first]] + reach[at[first] - 1]) / 2
+    return size, middle
+
+
+def reading_positions(page: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, rtl: bool) -> np.ndarray:
+    """Each box's place in ``reading_order``, of all pages (0, 1, ..., in order) at once: every round cuts all parts that can be cut."""
+    n, side = len(page), -1 if rtl else 1
+    begin = np.searchsorted(page, np.arange(int(page[-1]) + 1 if n else 0))
+    middle = begin + np.diff(np.append(begin, n)) // 2
+    upper = lambda v: np.maximum(1, v[np.lexsort((v, page))][middle])
+    gap_x, gap_y = np.maximum(0.15 * upper(x2 - x1), 10)[page], np.maximum(0.10 * upper(y2 - y1), 8)[page]
+    order, place, part = np.arange(n), np.arange(n), page  # the boxes in order; of those in open parts: where they are there, and their part
+    while len(place):
+        new = np.append(True, np.diff(part) != 0)
+        part = np.cumsum(new) - 1
+        many = np.bincount(part)[part] > 1
+        place, part, new = place[many], part[many], new[many]
+        if not len(place):
+            break
+        part, b = np.cumsum(new) - 1, order[place]
+        count, head = int(part[-1]) + 1, b[new]
+        (wide, at_x), (tall, at_y) = _widest(part, x1[b], x2[b], gap_x[head], count), _widest(part, y1[b], y2[b], gap_y[head], count)
+        none = np.isnan(wide) & np.isnan(tall)
+        across = ~np.isnan(tall) & (np.isnan(wide) | (tall > 12) | (tall > 0.4 * wide))
+        far = np.where(across[part], (y1[b] + y2[b]) / 2 - at_y[part], side * ((x1[b] + x2[b]) / 2 - at_x[part]))
+        second = far > 0
+        seconds = np.bincount(part, second, minlength=count)
+        stuck = ~none & ((seconds == 0) | (seconds == np.bincount(part)))
+        done = none | stuck
+        band = np.where(none[part], y1[b] // (gap_y[b] * 4), 0)
+        ends = done[part]
+        to = np.lexsort((np.where(ends, side * x1[b], 0), np.where(ends, band, second), part))
+        order[place] = b[to]
+        place, part = place[~ends], (2 * part + second)[to][~ends]
+    position = np.empty(n, np.int32)
+    position[order] = np.arange(n) - begin[page]
+    return position
+
+
+def in_reading_order(boxes: DataFrame, rtl: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, box_id, position, columns to keep)."""
+    columns = ["box_id", "x1", "y1", "x2", "y2"]
+    more = [c for c in keep if c not in columns]
+    names = ["page_id", "box_id", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in unsplit(batches, ["page_id"]):
+            new = np.zeros(t.num_rows, np.int64)
+            new[starts(pa.Table.from_batches([t]), ["page_id"])[1:]] = 1
+            found = reading_positions(np.cumsum(new), *[_numbers(t, c).astype(np.float64) for c in columns[1:]], rtl)
+            yield pa.RecordBatch.from_arrays([*[t[c] for c in names], pa.array(found)], [*names, "position"])
+
+    kinds = dict(boxes.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", position int"
+    return by_pages(boxes, [*columns, *more]).mapInArrow(run, schema).select("page_id", "box_id", "position", *keep)
+
+
+#: What ``in_order`` gives of a page's boxes.
+ORDERED = "position int, score int, x1 int, y1 int, x2 int, y2 int"
+
+
+def in_order(pages: list[list[tuple[float, Box]]], rtl: bool) -> Iterator[tuple[int, list[tuple]]]:
+    """(number of the page, its boxes as ORDERED) of pages of scores and boxes."""
+    full = [k for k, rows in enumerate(pages) if rows]
+    sides = np.array([b for k in full for _, b in pages[k]], float).reshape(-1, 4)
+    places = iter(reading_positions(np.repeat(np.arange(len(full)), [len(pages[k]) for k in full]), *sides.T, rtl).tolist())
+    for k in full:
+        yield k, [(next(places), int(s), *map(int, b)) for s, b in pages[k]]
 
 
 def united_windows(windows: list[Box]) -> list[Box]:
@@ -157,8 +252,20 @@ def merge_regions(boxes: DataFrame, numbered: bool = False) -> DataFrame:
     return fold_pages(boxes, ["box_id", "score", "x1", "y1", "x2", "y2"], _with_numbers("score int, x1 int, y1 int, x2 int, y2 int", numbered), fold)
 
 
+def merged_in_order(boxes: DataFrame, rtl: bool = True) -> DataFrame:
+    """(page_id, position, score, x1, y1, x2, y2): ``merge_regions`` in reading order, boxes that it leaves open by place; a page is one fold."""
+
+    def fold(pages: list[list[tuple]]) -> Iterator[tuple[int, list[tuple]]]:
+        merged = [merged_regions([(r[1], r[2:]) for r in rows]) for rows in pages]
+        return in_order([sorted(rows, key=lambda r: (r[1][1], r[1][0], r[1][2], r[1][3], r[0])) for rows in merged], rtl)
+
+    return fold_batches(boxes, ["box_id", "score", "x1", "y1", "x2", "y2"], ORDERED, fold)
+
+
 def _joined(a: Box, b: Box, height: float) -> Box | None:
     """The box that two detections of one label become, or None if they stay two."""
+    if min(a[2], b[2]) <= max(a[0], b[0]):
+        return None  # nothing shared, and no width in common
     small = min(area(a), area(b))
     if small > 0 and shared(a, b) / small >= 0.85:
         return a if area(a) >= area(b) else b

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumage.functions.geometry import area, box
+from plumage.operators import batches as batches_
 from plumage.operators import borders, tiles
 from plumage.operators.detect import by_page, majority_label
 from plumage.operators.lineage import cut
@@ -525,20 +526,6 @@ def box_masks(mask: DataFrame, boxes: DataFrame, width: int, height: int, scale:
     return spots.join(mask.select("page", F.col("x").alias("sx"), F.col("y").alias("sy")).distinct(), ["page", "sx", "sy"], "left_semi").select("page", "label", "x", "y")
 
 
-def _unsplit(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The same rows, no batch ending inside a group of equal keys."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        starts = tiles._starts(rest, keys)
-        if len(starts) > 1:
-            yield from rest.slice(0, int(starts[-1])).combine_chunks().to_batches()
-            rest = rest.slice(int(starts[-1]))
-    if rest is not None:
-        yield from rest.combine_chunks().to_batches()
-
-
 def _box_grids(stack: np.ndarray, at: np.ndarray, group: np.ndarray, sides: dict[str, np.ndarray], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers of groups, their grids with a free place around them): tiles' parts stretched to boxes, those of a group of boxes laid over each other."""
     stack = np.pad(stack, ((0, 0), (0, 1), (0, 1)))  # the last row and column are free
@@ -584,9 +571,9 @@ def box_outlines(mask: DataFrame, boxes: DataFrame, width: int, height: int, sca
     both = tiles.whole(tiles.points(inside, ["page"], F.lit(1)), ["page"]).unionByName(b.withColumns({"tx": F.lit(0), "ty": F.lit(0)}), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, stack, rows in tiles.probed(_unsplit(batches, ["page", "label"]), ["page"]):
+        for at, stack, rows in tiles.probed(batches_.unsplit(batches, ["page", "label"]), ["page"]):
             sides = {c: rows[c].to_numpy().astype(np.int64) for c in ("mx1", "my1", "mx2", "my2", "bw", "bh")}
-            begin = tiles._starts(rows, ["page", "label"])
+            begin = batches_.starts(rows, ["page", "label"])
             group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
             for members, grids in _box_grids(stack, at, group, sides):
                 _, h, w = grids.shape

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage.operators.batches import starts
+
 SIDE = 256
 #: Places that a task paints or compares at once.
 MOST = 1 << 23
@@ -30,13 +32,7 @@ def gathered(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFram
 
 def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
     """Where another tile begins, in rows that lie tile by tile."""
-    new = np.zeros(t.num_rows, bool)
-    new[:1] = True
-    for k in [*keys, "tx", "ty"]:
-        codes = t[k].combine_chunks().dictionary_encode(null_encoding="encode")
-        codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
+    return starts(t, [*keys, "tx", "ty"])
 
 
 def _cells_of(x1, y1, x2, y2, at: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:

@@ -239,3 +239,18 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['plumage.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'box_nms' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=100)
+
+
+def test_reading_positions_of_all_pages_at_once():
+    rng = np.random.default_rng(5)
+    for step, most in ((1, 300), (10, 60), (0.5, 200)):
+        sizes = rng.integers(1, 14, 200)
+        page = np.repeat(np.arange(200), sizes)
+        x1, y1 = (rng.integers(0, most, len(page)) * step for _ in "xy")
+        x2, y2 = (c + rng.integers(-1, 40, len(page)) * step for c in (x1, y1))
+        for rtl in (True, False):
+            got = layout.reading_positions(page, *[c.astype(float) for c in (x1, y1, x2, y2)], rtl)
+            for p in range(200):
+                own = [tuple(float(c[i]) for c in (x1, y1, x2, y2)) for i in np.flatnonzero(page == p)]
+                assert np.argsort(got[page == p]).tolist() == layout.reading_order(own, rtl)
+    assert layout.reading_positions(np.zeros(0, int), *[np.zeros(0)] * 4, True).tolist() == []
