@@ -71,13 +71,13 @@ def clamp_and_drop(boxes: DataFrame, width: int, height: int, least: int) -> Dat
     return c.where((F.col("x2") - F.col("x1") > least) & (F.col("y2") - F.col("y1") > least))
 
 
-def text_regions(boxes: DataFrame, label: str = "label", aspect: float = 1.15) -> DataFrame:
-    """Boxes labelled content, text or title, corners in order, at least 6 x 6 and 48 pixels; with the direction."""
+def text_regions(boxes: DataFrame, label: str = "label", aspect: float = 1.15, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Boxes labelled content, text or title, corners in order, at least 6 x 6 and 48 pixels; with the direction and columns to keep."""
     x1, x2 = F.greatest(F.least("x1", "x2"), F.lit(0)), F.greatest("x1", "x2")
     y1, y2 = F.greatest(F.least("y1", "y2"), F.lit(0)), F.greatest("y1", "y2")
     name = F.lower(label)
     b = boxes.where((name == "content") | name.contains("text") | name.contains("title"))
-    b = b.select("page_id", "box_id", x1.alias("x"), y1.alias("y"), F.greatest(x2 - x1, F.lit(1)).alias("w"), F.greatest(y2 - y1, F.lit(1)).alias("h"))
+    b = b.select("page_id", "box_id", x1.alias("x"), y1.alias("y"), F.greatest(x2 - x1, F.lit(1)).alias("w"), F.greatest(y2 - y1, F.lit(1)).alias("h"), *keep)
     tall = F.when(F.col("h") >= F.col("w") * aspect, F.lit("vertical")).otherwise("horizontal")
     return b.where((F.col("w") >= 6) & (F.col("h") >= 6) & (F.col("w") * F.col("h") >= 48)).withColumn("direction", tall)
 
@@ -90,12 +90,16 @@ def class_argmax(boxes: DataFrame, scores: list[str]) -> DataFrame:
 
 
 def order_votes(boxes: DataFrame, scale: float) -> DataFrame:
-    """Each box collects the logistic share of every other box of the page above it; fewest votes come first."""
-    own = boxes.select("page_id", F.col("box_id").alias("a"), F.col("y1").alias("ya"))
-    pairs = own.join(own.withColumnsRenamed({"a": "b", "ya": "yb"}), "page_id").where("a <> b")
-    votes = pairs.groupBy("page_id", F.col("a").alias("box_id")).agg(F.sum(1 / (1 + F.exp(-(F.col("ya") - F.col("yb")) / scale))).alias("v"))
-    votes = boxes.select("page_id", "box_id").join(votes, ["page_id", "box_id"], "left").withColumn("v", F.round(F.coalesce("v", F.lit(0.0)), 6))
-    return votes.withColumn("position", F.row_number().over(by_page("v", "box_id")) - 1)
+    """Each box collects the logistic share of every other box of the page above it; fewest votes come first. A page's boxes meet as an array, in one shuffle."""
+    pages = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "y1"))).alias("bs"))
+
+    def votes(a: Column) -> Column:
+        share = lambda b: F.when(a["box_id"] != b["box_id"], 1 / (1 + F.exp(-(a["y1"] - b["y1"]) / scale)))
+        total = F.aggregate("bs", F.lit(0.0), lambda v, b: v + F.coalesce(share(b), F.lit(0.0)))
+        return F.struct(F.round(F.when(F.col("page_id").isNull(), 0.0).otherwise(total), 6).alias("v"), a["box_id"].alias("box_id"))
+
+    voted = pages.select("page_id", F.posexplode(F.array_sort(F.transform("bs", votes))).alias("position", "b"))
+    return voted.select("page_id", "b.box_id", "b.v", "position")
 
 
 def largest_gap(boxes: DataFrame, low: str, high: str, least: int) -> DataFrame:
@@ -191,13 +195,13 @@ def _struct(b: Column) -> dict[str, Column]:
     return {s: b[s] for s in g.SIDES}
 
 
-def _greedy(boxes: DataFrame, keys: list[str], order: list[Column], clash) -> DataFrame:
+def _greedy(boxes: DataFrame, keys: list[str], order: list[Column], clash, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keeps a box if it clashes with none of those already kept, in the given order: a fold over the group's sorted array."""
-    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "box_id", "score", *g.SIDES)
+    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "box_id", "score", *g.SIDES, *keep)
     groups = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("bs"))
     empty = F.filter("bs", lambda b: F.lit(False))
     kept = F.aggregate("bs", empty, lambda acc, b: F.when(F.exists(acc, lambda k: clash(_struct(k), _struct(b))), acc).otherwise(F.concat(acc, F.array(b))))
-    return groups.select(*keys, F.posexplode(kept).alias("position", "b")).select(*keys, "position", "b.box_id", "b.score", *[F.col(f"b.{s}").alias(s) for s in g.SIDES])
+    return groups.select(*keys, F.posexplode(kept).alias("position", "b")).select(*keys, "position", "b.box_id", "b.score", *[F.col(f"b.{s}").alias(s) for s in (*g.SIDES, *keep)])
 
 
 def nms(boxes: DataFrame, percent: int, keys: tuple[str, ...] = ("page_id", "label")) -> DataFrame:
@@ -209,11 +213,11 @@ def nms(boxes: DataFrame, percent: int, keys: tuple[str, ...] = ("page_id", "lab
     return _greedy(boxes, list(keys), [-F.col("score"), F.col("box_id")], clash)
 
 
-def keep_first(boxes: DataFrame, percent: int = 90) -> DataFrame:
+def keep_first(boxes: DataFrame, percent: int = 90, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drops a box of which, or of a kept one, ``percent`` is covered by the other; only kept boxes count."""
 
     def clash(k, b):
         shared = g.intersection(k, b) * 100
         return (shared >= F.greatest(g.area(b), F.lit(1)) * percent) | (shared >= F.greatest(g.area(k), F.lit(1)) * percent)
 
-    return _greedy(boxes, ["page_id"], [F.col("box_id")], clash)
+    return _greedy(boxes, ["page_id"], [F.col("box_id")], clash, keep)
