@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumage.functions import geometry as g
 from plumage.operators import detect, layout
-from plumage.sources.fixtures import BOXES_SQL, boxes
+from plumage.sources.fixtures import BOXES_SQL, boxes, spread_boxes
 
 INTER = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
 AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
@@ -35,7 +35,7 @@ p4 as (select * replace (case when height / width > 3.5 then greatest(case when
 plan as (select page_id, cast(s as int) as slice, cast(s * step as int) as y_from, cast(case when s = n - 1 then height else least(s * step + tall, height) end as int) as y_to from p4, unnest(range(n)) as r(s))"""
 
 
-def _named(spark, d):
+def _named(spark, d, boxes=boxes):
     return boxes(spark, d).withColumn("name", F.when(F.col("label") == "R", "Text").when(F.col("label") == "A", "doc_title").otherwise("figure"))
 
 
@@ -98,7 +98,7 @@ def _reflect(spark, d):
 
 
 def _sorted_variants(spark, d):
-    b = boxes(spark, d)
+    b = spread_boxes(spark, d)
     rank = lambda *o: F.row_number().over(detect.by_page(*o, "box_id"))
     return b.select("page_id", "box_id", rank(F.col("y1") + F.col("y2")).alias("by_centre_y"), rank(F.desc("score")).alias("by_score"), rank(F.desc(g.area(g.box()))).alias("by_area"))
 
@@ -129,7 +129,7 @@ QUERIES = {
     "box_enlarge_window": _enlarge,
     "box_reflect_index": _reflect,
     "box_class_argmax": _classes,
-    "box_order_votes": lambda s, d: detect.order_votes(boxes(s, d), 40.0),
+    "box_order_votes": lambda s, d: detect.order_votes(spread_boxes(s, d), 40.0),
     "box_largest_gap": lambda s, d: detect.largest_gap(boxes(s, d), "y1", "y2", 8),
     "box_largest_gap_x": _gap_x,
     "box_row_band_order": lambda s, d: detect.row_band_order(boxes(s, d), 100),
@@ -146,8 +146,8 @@ QUERIES = {
     "box_sort_variants": _sorted_variants,
     "box_nms": lambda s, d: detect.nms(boxes(s, d), 35),
     "box_dedupe": lambda s, d: detect.keep_first(boxes(s, d)),
-    "box_reading_order_rtl": lambda s, d: layout.in_reading_order(boxes(s, d), True),
-    "box_reading_order_ltr": lambda s, d: layout.in_reading_order(boxes(s, d), False),
+    "box_reading_order_rtl": lambda s, d: layout.in_reading_order(spread_boxes(s, d), True),
+    "box_reading_order_ltr": lambda s, d: layout.in_reading_order(spread_boxes(s, d), False),
     "box_window_union": lambda s, d: layout.window_union(boxes(s, d)),
     "box_merge_regions": lambda s, d: layout.merge_regions(boxes(s, d)),
     "box_merge_slices": lambda s, d: layout.merge_slices(boxes(s, d), 1400),

@@ -26,8 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Boxes that a task numbers and ranks, about, where there are more than the session's partitions would hold of them.
+ROWS = 200_000
+
+
+def _boxes(lineitem: DataFrame) -> DataFrame:
+    """The columns above, numbered by page_id itself: by an alias of it, rows wouldn't count as lying by page, and be shuffled again."""
+    return lineitem.selectExpr("page_id", *[c.replace("l_orderkey", "page_id") for c in BOX_COLUMNS[1:]])
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*BOX_COLUMNS)
+    return _boxes(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page_id"))
+
+
+def spread_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``boxes`` in partitions by page whose number grows with the table, so that no task's part does. For what needs their numbers; others shuffle less without."""
+    t = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page_id")
+    parts = -(-t.count() // ROWS)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        t = t.repartition(parts, "page_id")
+    return _boxes(t)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
