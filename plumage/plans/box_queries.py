@@ -105,11 +105,9 @@ def _sorted_variants(spark, d):
 
 def _detector(spark, d):
     """A detector's steps in one plan: confidence, suppression by label, the regions that are text, merging, reading order."""
-    b = detect.nms(detect.at_least(_named(spark, d).withColumn("label", F.col("name")), 250), 35)
-    regions = detect.text_regions(b.withColumn("name", F.col("label")), "name").selectExpr("page_id", "box_id", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
-    merged = layout.merge_regions(regions.join(b.select("page_id", "box_id", "score"), ["page_id", "box_id"]))
-    order = F.row_number().over(detect.by_page("y1", "x1", "x2", "y2", "score"))
-    return layout.in_reading_order(merged.withColumn("box_id", order)).join(merged.withColumn("box_id", order), ["page_id", "box_id"]).drop("box_id")
+    b = detect.nms(detect.at_least(_named(spark, d, spread_boxes).withColumn("label", F.col("name")), 250).where("page_id is not null"), 35)
+    regions = detect.text_regions(b, keep=("score",)).selectExpr("page_id", "box_id", "score", "x as x1", "y as y1", "x + w as x2", "y + h as y2")
+    return layout.merged_in_order(regions)
 
 
 QUERIES = {
