@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumage.operators.areas import grown_mask
 from plumage.operators.detect import majority_label
-from plumage.operators.lineage import cut
-from plumage.operators.nodes import components
 from plumage.operators.raster import dilated
 
 CELL = 64
@@ -37,7 +36,7 @@ def grown(pixels: DataFrame, areas: DataFrame, labels: DataFrame, width: int, he
     """(page, x, y): the pixels in and around each area, dilated by its r and kept inside the label that most of its own pixels have.
 
     Only areas with a pixel of their own count. Pixels up to 2 r outside take part and are grown to; an area none of whose pixels
-    has a label above 0 isn't bounded by one.
+    has a label above 0 isn't bounded by one. For areas of any size; those that fit in a tile are grown there (``areas.covered``).
     """
     near = in_areas(pixels, areas, 2 * F.col("r"), width, height).withColumn("own", F.expr("x >= x1 and x < x2 and y >= y1 and y < y2"))
     voted = majority_label(near.where("own").join(labels.where("label > 0"), ["page", "x", "y"]).select("page", "area", "label"), "page", "area").select("page", "area", F.col("label").alias("bound"))
@@ -52,17 +51,11 @@ def grown(pixels: DataFrame, areas: DataFrame, labels: DataFrame, width: int, he
 def expanded(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: int, height: int, ratio: float, least: int, most: int) -> DataFrame:
     """A mask (page, x, y) grown for erasing: around text blocks first, then around each connected area that no block has covered.
 
-    blocks: (page, area, x1, y1, x2, y2, r). An uncovered area's radius is ``ratio`` of its shorter side, ``least`` to ``most``;
-    its bounds are grown by that radius before its pixels vote for a label.
+    blocks: (page, area, x1, y1, x2, y2, r); labels: (page, x, y, label), or rectangles (page, x1, y1, x2, y2, v) to paint. An uncovered
+    area's radius is ``ratio`` of its shorter side, ``least`` to ``most``; its bounds are grown by that radius before its pixels vote
+    for a label.
     """
-    base = cut(pixels.select("page", "x", "y").distinct())
-    covered = cut(grown(base, blocks, labels, width, height))
-    rest = cut(base.join(covered, ["page", "x", "y"], "left_anti"))
-    side = F.least(F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1)
-    radius = F.greatest(F.lit(least), F.least(F.lit(most), F.round(side * ratio).cast("int")))
-    areas = components(rest).groupBy("page", F.col("c").alias("area")).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), radius.alias("r"))
-    wide = {k: F.greatest(F.col(k) - F.col("r"), F.lit(0)) for k in ("x1", "y1")} | {k: F.least(F.col(k) + F.col("r"), F.lit(n)) for k, n in (("x2", width), ("y2", height))}
-    return base.unionAll(covered).unionAll(grown(rest, areas.withColumns(wide), labels, width, height)).distinct()
+    return grown_mask(pixels, blocks, labels, width, height, (ratio, least, most), ("grown", "grown"), {"grown": grown})
 
 
 def ring(mask: DataFrame, r: int, width: int, height: int) -> DataFrame:

@@ -43,11 +43,11 @@ def _cells_of(x1, y1, x2, y2, at: np.ndarray, h: int, w: int) -> tuple[np.ndarra
     return rect, (at[rect] * h + y1[rect] + k // wide[rect]) * w + x1[rect] + k % wide[rect]
 
 
-def _pieces(area: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Stretches of rows with about MOST places each, a row at least."""
+def _pieces(area: np.ndarray, most: int = MOST) -> Iterator[tuple[int, int]]:
+    """Stretches of rows with about ``most`` places each, a row at least."""
     ends, i = np.cumsum(area), 0
     while i < len(area):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MOST, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
         yield i, j
         i = j
 

@@ -35,6 +35,11 @@ def pixels(s, d):
     return boxes(s, d).selectExpr(f"{PAGE} as page", "x1 % 32 as x", "y1 % 32 as y", "score % 256 as v").groupBy("page", "x", "y").agg(F.max("v").alias("v"))
 
 
+def above(s, d, least):
+    """The places of ``pixels`` whose value is above ``least``, as often as a box's value is there."""
+    return boxes(s, d).where(f"score % 256 > {least}").selectExpr(f"{PAGE} as page", "x1 % 32 as x", "y1 % 32 as y")
+
+
 def tiles(s, d):
     return boxes(s, d).selectExpr(f"{PAGE} as page", "x1 % 20 as x1", "y1 % 20 as y1", "x1 % 20 + 6 as x2", "y1 % 20 + 4 as y2")
 
@@ -148,16 +153,16 @@ def _packbits(s, d):
     return packed.select("page", "y", F.hex("raw").alias("raw"), F.length("packed").alias("n"), F.hex(r.unpacked_rows("packed")).alias("back"))
 
 
-def _mask_blocks(s, d):
-    """The blocks, and every place's label, of a mask that is to be grown."""
-    blocks = boxes(s, d).selectExpr(f"{PAGE} as page", "page_id * 100 + box_id as area", "x1 % 10 as x1", "y1 % 27 as y1", "x1 % 10 + 5 as x2", "y1 % 27 + 3 as y2", "1 + cast(score % 2 as int) as r")
-    places = pixels(s, d).select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x")).select("page", "x", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y"))
-    return blocks, places.withColumn("label", F.expr("cast(floor(x / 8) + 3 * floor(y / 16) as int)"))
+def mask_labels(s, d):
+    """The labels of a mask that is to be grown, as rectangles of 8 x 16 places: 0 to 5, 0 being none; right of 24 there are none."""
+    pages = boxes(s, d).selectExpr(f"{PAGE} as page").distinct()
+    rects = pages.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    return rects.selectExpr("page", "8 * i as x1", "16 * j as y1", "8 * i + 8 as x2", "16 * j + 16 as y2", "i + 3 * j as v")
 
 
 def _expanded(s, d):
-    blocks, labels = _mask_blocks(s, d)
-    return m.expanded(pixels(s, d).where("v > 200"), blocks, labels, 32, 32, 0.4, 1, 3)
+    blocks = boxes(s, d).selectExpr(f"{PAGE} as page", "page_id * 100 + box_id as area", "x1 % 10 as x1", "y1 % 27 as y1", "x1 % 10 + 5 as x2", "y1 % 27 + 3 as y2", "1 + cast(score % 2 as int) as r")
+    return m.expanded(above(s, d, 200), blocks, mask_labels(s, d), 32, 32, 0.4, 1, 3)
 
 
 def _ring_alpha(s, d):
