@@ -18,10 +18,11 @@ from pyspark.sql.window import Window
 from plumage.functions.geometry import area, box
 from plumage.operators import batches as batches_
 from plumage.operators import borders, tiles
+from plumage.operators.areas import grown_mask
 from plumage.operators.detect import by_page, majority_label
 from plumage.operators.lineage import cut
 from plumage.operators.masks import in_areas
-from plumage.operators.nodes import components, united
+from plumage.operators.nodes import united
 from plumage.operators.raster import largest_rectangle
 
 #: The share of a label's shorter side that is kept free of text, by writing mode, in hundredths.
@@ -345,39 +346,38 @@ def _bounded(places: DataFrame, labels: DataFrame) -> DataFrame:
     return at.where("bound is null or coalesce(label, 0) = bound").select("page", "x", "y").distinct()
 
 
-def filled_regions(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: int, height: int, ratio: float = 0.45, least: int = 3, most: int = 8) -> DataFrame:
-    """A mask (page, x, y) grown for redrawing: whole text blocks, then each connected area outside them, grown and with its holes filled.
-
-    blocks: (page, area, x1, y1, x2, y2, r), filled with a margin of r if they hold a pixel of the mask, inside the label that most of
-    those pixels have. An area left over is grown by ``ratio`` of its shorter side, ``least`` to ``most``, as the window of twice
-    that margin shows it; its holes are what is shut off inside the window. Without pixels in a page nothing is added to it.
-    """
-    base = cut(pixels.select("page", "x", "y").distinct())
-    own = in_areas(base, blocks.select("page", "area", "x1", "y1", "x2", "y2", "r"), F.col("r"), width, height)
+def _whole_areas(pixels: DataFrame, areas: DataFrame, labels: DataFrame, width: int, height: int) -> DataFrame:
+    """``whole`` of ``areas.covered`` for areas of any size, row by row."""
+    own = in_areas(pixels, areas, F.col("r"), width, height)
     real = own.select("page", "area", "wx1", "wy1", "wx2", "wy2").distinct().join(_voted(own, labels), ["page", "area"])
-    whole = real.select("page", "bound", "wx1", "wx2", F.explode(F.expr("sequence(wy1, wy2 - 1)")).alias("y")).select("page", "bound", "y", F.explode(F.expr("sequence(wx1, wx2 - 1)")).alias("x"))
-    covered = cut(_bounded(whole, labels))
-    rest = cut(base.join(covered, ["page", "x", "y"], "left_anti"))
-
-    side = F.least(F.max("x") - F.min("x") + 1, F.max("y") - F.min("y") + 1)
-    radius = F.greatest(F.lit(least), F.least(F.lit(most), F.round(side * ratio).cast("int")))
-    areas = components(rest).groupBy("page", F.col("c").alias("area")).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), radius.alias("r"))
-    wide = {k: F.greatest(F.col(k) - F.col("r"), F.lit(0)) for k in ("x1", "y1")} | {k: F.least(F.col(k) + F.col("r"), F.lit(n)) for k, n in (("x2", width), ("y2", height))}
-    areas = cut(areas.withColumns(wide))
-    near = in_areas(rest, areas, F.col("r"), width, height)
+    places = real.select("page", "bound", "wx1", "wx2", F.explode(F.expr("sequence(wy1, wy2 - 1)")).alias("y")).select("page", "bound", "y", F.explode(F.expr("sequence(wx1, wx2 - 1)")).alias("x"))
+    return _bounded(places, labels)
+
+
+def _closed_areas(pixels: DataFrame, areas: DataFrame, labels: DataFrame, width: int, height: int) -> DataFrame:
+    """``closed`` of ``areas.covered`` for areas of any size, row by row."""
+    areas = cut(areas)
+    near = in_areas(pixels, areas, F.col("r"), width, height)
     bound = _voted(near.where("x >= x1 and x < x2 and y >= y1 and y < y2"), labels)
     out = near.select("page", "area", "x", "y", "r", "wx1", "wy1", "wx2", "wy2")
     for axis in "xy":  # a square goes line by line
         out = out.withColumn(axis, F.explode(F.sequence(F.col(axis) - F.col("r"), F.col(axis) + F.col("r")))).where(f"{axis} >= w{axis}1 and {axis} < w{axis}2").distinct()
     grown = cut(out.select("page", "area", "x", "y"))
     windows = near.select("page", "area", "wx1", "wy1", "wx2", "wy2").distinct()
-    if max(width, height) <= tiles.SIDE:
-        shut = enclosed_here(grown.join(windows, ["page", "area"]), ["page", "area"])
-    else:
-        shut = enclosed(grown, windows, ["page", "area"])
-    filled = grown.unionByName(shut.select("page", "area", "x", "y"))
+    filled = grown.unionByName(enclosed(grown, windows, ["page", "area"]).select("page", "area", "x", "y"))
     kept = filled.join(areas.select("page", "area", "x1", "y1", "x2", "y2"), ["page", "area"]).where("x >= x1 and x < x2 and y >= y1 and y < y2").join(bound, ["page", "area"])
-    return base.unionAll(covered).unionAll(_bounded(kept, labels)).distinct()
+    return _bounded(kept, labels)
+
+
+def filled_regions(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: int, height: int, ratio: float = 0.45, least: int = 3, most: int = 8) -> DataFrame:
+    """A mask (page, x, y) grown for redrawing: whole text blocks, then each connected area outside them, grown and with its holes filled.
+
+    blocks: (page, area, x1, y1, x2, y2, r), filled with a margin of r if they hold a pixel of the mask, inside the label that most of
+    those pixels have. An area left over is grown by ``ratio`` of its shorter side, ``least`` to ``most``, as the window of twice
+    that margin shows it; its holes are what is shut off inside the window. Without pixels in a page nothing is added to it.
+    labels: (page, x, y, label), or rectangles (page, x1, y1, x2, y2, v) to paint.
+    """
+    return grown_mask(pixels, blocks, labels, width, height, (ratio, least, most), ("whole", "closed"), {"whole": _whole_areas, "closed": _closed_areas})
 
 
 def _stacked(stack: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, borders.Lines]]:

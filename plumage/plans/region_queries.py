@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumage.operators import raster as r
 from plumage.operators import regions as g
-from plumage.plans.misc_queries import PAGE, PIXELS_SQL, pixels
+from plumage.plans.misc_queries import PAGE, PIXELS_SQL, above, mask_labels, pixels
 from plumage.sources.fixtures import BOXES_SQL, boxes
 
 #: Areas of 52 x 44 pages that are painted over each other; the boxes of 32 pages share one.
@@ -29,18 +29,13 @@ def _layout(s, d):
     return g.painted_layout_boxes(paint(s, d), boxes(s, d).selectExpr(*SEEDS), WIDTH, HEIGHT)
 
 
-def _places(s, d):
-    rows = pixels(s, d).select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"))
-    return rows.select("page", "x", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y")).withColumn("label", F.expr("cast(floor(x / 8) + 3 * floor(y / 16) as int)"))
-
-
 #: Text blocks of which a detector is sure.
 BLOCKS = [f"{PAGE} as page", "page_id * 100 + box_id as area", "x1 % 22 as x1", "y1 % 25 as y1", "x1 % 22 + 7 as x2", "y1 % 25 + 4 as y2", "1 + cast(score % 2 as int) as r"]
 
 
 def _regions(s, d):
     blocks = boxes(s, d).where("score >= 990").selectExpr(*BLOCKS)
-    return g.filled_regions(pixels(s, d).where("v > 235"), blocks, _places(s, d), 32, 32, 0.45, 1, 3)
+    return g.filled_regions(above(s, d, 235), blocks, mask_labels(s, d), 32, 32, 0.45, 1, 3)
 
 
 def _holes(s, d):

@@ -5,9 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from plumage.operators import masks
+from plumage.operators import masks, regions
 from plumage.plans.catalog import QUERIES
-from tests.test_regions import frame
+from tests.test_regions import brute_regions, frame
 from tests.test_whole_rasters import components
 
 DIR = "/root/testdata/sf0.001"
@@ -63,6 +63,10 @@ def large_pages(seed):
         m[120:140, 100:130] = 0
         m[120, 100:130] = m[139, 100:130] = m[120:140, 100] = m[120:140, 129] = 1  # a frame over the edge of half a tile
         m[250:261, 240:268] = rng.random((11, 28)) < 0.6  # an area over the edges of tiles
+        if not p:  # an area longer than a tile, with a hole
+            m[286, 12:279] = m[266, 100:140] = 1
+            m[266:287, 100] = m[266:287, 139] = 1
+            m[267:286, 101:139] = 0
         g = np.zeros((H, W), int)
         g[10:200, 5:150], g[100:280, 120:290], g[240:270, 230:262] = 4, 9, 2
         own = [(int(x), int(y), int(x + rng.integers(2, 60)), int(y + rng.integers(2, 40)), int(rng.integers(0, 5))) for x, y in zip(rng.integers(0, 200, 12), rng.integers(0, 90, 12))]
@@ -89,11 +93,18 @@ def test_masks_grown_over_the_edges_of_tiles(spark):
     assert places(masks.expanded(frame(spark, grids, "v"), as_blocks(spark, blocks), frame(spark, labels), W, H, 0.4, 1, 5)) == want
 
 
+def test_regions_filled_over_the_edges_of_tiles(spark):
+    grids, labels, blocks = large_pages(2)
+    want = {(p, x, y) for p, (m, g) in enumerate(zip(grids, labels)) for x, y in brute_regions(m, g, [b[2:] for b in blocks if b[0] == p], 0.45, 1, 5)}
+    assert {(0, 120, 276)} <= want  # in the hole
+    assert places(regions.filled_regions(frame(spark, grids, "v"), as_blocks(spark, blocks), frame(spark, labels), W, H, 0.45, 1, 5)) == want
+
+
 def test_a_tile_in_several_batches(spark):
     rng = np.random.default_rng(4)
     grids, labels = [(rng.random((40, 50)) < 0.05).astype(int) for _ in range(3)], [np.pad(np.full((20, 20), k + 1), ((5, 15), (8, 22))) for k in range(3)]
     blocks = [(p, k, int(x), int(y), int(x) + 5, int(y) + 4, 1 + k % 3) for p in range(3) for k, (x, y) in enumerate(rng.integers(0, 40, (60, 2)))]
-    run = lambda: places(masks.expanded(frame(spark, grids, "v"), as_blocks(spark, blocks), frame(spark, labels), 50, 40, 0.4, 1, 3))
+    run = lambda: [places(f(frame(spark, grids, "v"), as_blocks(spark, blocks), frame(spark, labels), 50, 40, 0.4, 1, 3)) for f in (masks.expanded, regions.filled_regions)]
     want = run()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
@@ -130,7 +141,7 @@ def ran(spark, name):
 
 
 #: Rows shuffled for each box at most.
-MOST = {"raster_expand_mask": 5}
+MOST = {"raster_expand_mask": 5, "raster_region_fill": 2}
 
 
 @pytest.mark.parametrize("name", MOST)
