@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumage.operators import tiles
@@ -117,8 +117,8 @@ def _windows(c: dict[str, np.ndarray], pad: int, halo: int, width: int, height:
     return (*first, *last), (*low, *high)
 
 
-def _stacks(batches: Iterator[pa.RecordBatch], kind: str, halo: int, width: int, height: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """(a row with page, tx, ty for each tile, its mask, what its areas cover), of gathered labels (k = 0, by v), pixels (1) and areas (2)."""
+def _stacks(batches: Iterator[pa.RecordBatch], kind: str, halo: int, width: int, height: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a row with page, tx, ty for each tile, its mask, its labels, what its areas cover), of gathered labels (k = 0, by v), pixels (1) and areas (2)."""
     held: tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray] | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -143,7 +143,7 @@ def _stacks(batches: Iterator[pa.RecordBatch], kind: str, halo: int, width: int,
             names = t.select(["page", "tx", "ty"]).take(pa.array(starts[i:j]))
             same = held is not None and held[0].equals(names.slice(0, 1))
             if held is not None and not same:
-                yield held[0], held[1], held[3]
+                yield held
             if held is not None and same:
                 h, w = max(h, held[1].shape[1]), max(w, held[1].shape[2])
             mask, lab, out = (np.zeros((j - i, h, w), dtype) for dtype in (bool, np.int32, bool))
@@ -163,11 +163,55 @@ def _stacks(batches: Iterator[pa.RecordBatch], kind: str, halo: int, width: int,
             if z > a:
                 cover(kind, mask, lab, out, tile[areas[a:z]] - i, tuple(x[a:z] for x in box), tuple(x[a:z] for x in window), c["v"][areas[a:z]])
             if j - i > 1:
-                yield names.slice(0, j - i - 1), mask[:-1], out[:-1]
+                yield names.slice(0, j - i - 1), mask[:-1], lab[:-1], out[:-1]
             held = names.slice(j - i - 1, 1), mask[-1:].copy(), lab[-1:].copy(), out[-1:].copy()
             i = j
     if held is not None:
-        yield held[0], held[1], held[3]
+        yield held
+
+
+def _left_over(rest: np.ndarray, radius: tuple[float, int, int], width: int, height: int) -> tuple[np.ndarray, Sides, np.ndarray]:
+    """(tiles, boxes, radii) of the connected areas of a stack of whole pages, their boxes grown by the radius."""
+    (_, h, w), (ratio, least, most) = rest.shape, radius
+    places, roots = tiles.component_roots(rest)
+    order = np.argsort(roots, kind="stable")
+    places, roots = places[order], roots[order]
+    first = np.flatnonzero(np.append(True, roots[1:] != roots[:-1])[: len(roots)])
+    x, y = places % w, places // w % h
+    if not len(first):
+        return first, (first, first, first, first), first
+    x1, y1, x2, y2 = (f.reduceat(v, first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x + 1), (np.maximum, y + 1)))
+    side = np.minimum(x2 - x1, y2 - y1) * ratio
+    r = np.maximum(least, np.minimum(most, (np.floor(side) + (side - np.floor(side) >= 0.5)).astype(np.int64)))
+    return roots[first] // (h * w), (np.maximum(x1 - r, 0), np.maximum(y1 - r, 0), np.minimum(x2 + r, width), np.minimum(y2 + r, height)), r
+
+
+def _asked(areas: DataFrame, page: Column, width: int, height: int, kind: str) -> DataFrame:
+    """Areas in whole places with their window (wx1 to wy2) in the image; those without one, or with nulls, are left out."""
+    a = areas.select(page, "area", *[F.ceil(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("r").cast("int").alias("r")).dropna(subset=["page", "x1", "y1", "x2", "y2", "r"])
+    low = {f"w{c}1": F.greatest(F.col(f"{c}1") - PAD[kind] * F.col("r"), F.lit(0)) for c in "xy"}
+    high = {f"w{c}2": F.least(F.col(f"{c}2") + PAD[kind] * F.col("r"), F.lit(n)) for c, n in (("x", width), ("y", height))}
+    return a.withColumns(low | high).where("wx2 > wx1 and wy2 > wy1")
+
+
+def _together(pixels: DataFrame, asked: DataFrame, rects: DataFrame, page: Column, halo: int) -> DataFrame:
+    """What ``_stacks`` takes: rows (page, tx, ty, x1, y1, x2, y2, v, k), tile by tile."""
+    own = asked.withColumns({"k": F.lit(2), "v": F.col("r")})
+    for c in "xy":  # the middle of a window is in its tile
+        own = own.withColumn(f"t{c}", F.floor((F.col(f"w{c}1") + F.col(f"w{c}2")) / (2 * tiles.SIDE)).cast("int") if halo else F.lit(0))
+        own = own.withColumns({x: (F.col(x) - F.col(f"t{c}") * tiles.SIDE + halo).cast("int") for x in (f"{c}1", f"{c}2")})
+    tile = lambda r, k: tiles.tiled(r.where("page is not null").withColumn("page", page), ["page"], halo).withColumn("k", F.lit(k))
+    both = tile(rects, 0).unionByName(tile(tiles.points(pixels, ["page"], F.lit(1)), 1))
+    return tiles.gathered(both.unionByName(own.select("page", "tx", "ty", "x1", "y1", "x2", "y2", "v", "k")), ["page"], "k", "v")
+
+
+def _rows(names: pa.Table, found: np.ndarray, halo: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The places that are set in a stack, with the values of other stacks there."""
+    tx, ty = (names[c].to_numpy().astype(np.int64) * tiles.SIDE - halo for c in ("tx", "ty"))
+    for i in range(0, len(found), step := max(1, (1 << 20) // found[0].size)):
+        at, y, x = np.nonzero(found[i : i + step])
+        at += i
+        yield from tiles.table(names.select(["page"]), at, x=(x + tx[at]).astype(np.int32), y=(y + ty[at]).astype(np.int32), **{k: g[at, y, x] for k, g in columns.items()})
 
 
 def covered(pixels: DataFrame, areas: DataFrame, rects: DataFrame, width: int, height: int, kind: str, beyond: Callable[..., DataFrame]) -> DataFrame:
@@ -181,36 +225,45 @@ def covered(pixels: DataFrame, areas: DataFrame, rects: DataFrame, width: int, h
     """
     halo = tiles.SIDE // 2 if max(width, height) > tiles.SIDE else 0
     page = F.col("page").cast(dict(pixels.dtypes)["page"]).alias("page")
-    a = areas.select(page, "area", *[F.ceil(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.col("r").cast("int").alias("r")).dropna(subset=["page", "x1", "y1", "x2", "y2", "r"])
-    grown = a.withColumns({f"w{c}1": F.greatest(F.col(f"{c}1") - PAD[kind] * F.col("r"), F.lit(0)) for c in "xy"} | {f"w{c}2": F.least(F.col(f"{c}2") + PAD[kind] * F.col("r"), F.lit(n)) for c, n in (("x", width), ("y", height))})
-    fits = f"wx2 - wx1 <= {tiles.SIDE} and wy2 - wy1 <= {tiles.SIDE}"
-    own = grown.where(f"wx2 > wx1 and wy2 > wy1 and {fits}").withColumns({"k": F.lit(2), "v": F.col("r")})
-    for c in "xy":  # the middle of a window is in its tile
-        own = own.withColumn(f"t{c}", F.floor((F.col(f"w{c}1") + F.col(f"w{c}2")) / (2 * tiles.SIDE)).cast("int") if halo else F.lit(0))
-        own = own.withColumns({x: (F.col(x) - F.col(f"t{c}") * tiles.SIDE + halo).cast("int") for x in (f"{c}1", f"{c}2")})
-    tile = lambda r, k: tiles.tiled(r.where("page is not null").withColumn("page", page), ["page"], halo).withColumn("k", F.lit(k))
-    both = tile(rects, 0).unionByName(tile(tiles.points(pixels, ["page"], F.lit(1)), 1)).unionByName(own.select("page", "tx", "ty", "x1", "y1", "x2", "y2", "v", "k"))
+    asked, fits = _asked(areas, page, width, height, kind), f"wx2 - wx1 <= {tiles.SIDE} and wy2 - wy1 <= {tiles.SIDE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, mask, out in _stacks(batches, kind, halo, width, height):
-            tx, ty = (names[c].to_numpy().astype(np.int64) * tiles.SIDE - halo for c in ("tx", "ty"))
+        own = slice(halo, halo + tiles.SIDE)
+        for names, mask, _, out in _stacks(batches, kind, halo, width, height):
             found = out.copy()
-            found[:, halo : halo + tiles.SIDE, halo : halo + tiles.SIDE] |= mask[:, halo : halo + tiles.SIDE, halo : halo + tiles.SIDE]
-            for i in range(0, len(found), step := max(1, (1 << 20) // found[0].size)):
-                at, y, x = np.nonzero(found[i : i + step])
-                at += i
-                yield from tiles.table(names.select(["page"]), at, x=(x + tx[at]).astype(np.int32), y=(y + ty[at]).astype(np.int32), base=mask[at, y, x], covered=out[at, y, x])
+            found[:, own, own] |= mask[:, own, own]
+            yield from _rows(names, found, halo, base=mask, covered=out)
 
-    found = tiles.gathered(both, ["page"], "k", "v").mapInArrow(run, tiles.schema_of(pixels, ["page"], "x int, y int, base boolean, covered boolean"))
+    found = _together(pixels, asked.where(fits), rects, page, halo).mapInArrow(run, tiles.schema_of(pixels, ["page"], "x int, y int, base boolean, covered boolean"))
     if not halo:
         return found
-    large = grown.where(f"wx2 > wx1 and wy2 > wy1 and not ({fits})").select("page", "area", "x1", "y1", "x2", "y2", "r")
+    large = asked.where(f"not ({fits})").select("page", "area", "x1", "y1", "x2", "y2", "r")
     if large.limit(1).count():
         more = beyond(pixels, large, tiles.places(rects, ["page"], "label"), width, height)
         found = found.unionByName(more.select("page", "x", "y", F.lit(False).alias("base"), F.lit(True).alias("covered")))
     return found.groupBy("page", "x", "y").agg(F.max("base").alias("base"), F.max("covered").alias("covered"))  # tiles and large areas overlap
 
 
+def _in_one_tile(pixels: DataFrame, blocks: DataFrame, rects: DataFrame, width: int, height: int, radius: tuple[float, int, int], kinds: tuple[str, str]) -> DataFrame:
+    """``grown_mask`` of pages that fit in a tile, with all their pixels: blocks, and then what they leave over, in one go."""
+    page = F.col("page").cast(dict(pixels.dtypes)["page"]).alias("page")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, mask, lab, out in _stacks(batches, kinds[0], 0, width, height):
+            at, box, r = _left_over(mask & ~out, radius, width, height)
+            if len(at):
+                pad = PAD[kinds[1]] * r
+                window = (np.maximum(box[0] - pad, 0), np.maximum(box[1] - pad, 0), np.minimum(box[2] + pad, width), np.minimum(box[3] + pad, height))
+                more = [max(0, int(window[k].max()) - n) for k, n in ((3, mask.shape[1]), (2, mask.shape[2]))]
+                mask, lab, out = (np.pad(g, ((0, 0), (0, more[0]), (0, more[1]))) for g in (mask, lab, out))
+                rest, added = mask & ~out, np.zeros_like(out)
+                cover(kinds[1], rest, lab, added, at, box, window, r)
+                out |= added
+            yield from _rows(names, mask | out, 0)
+
+    return _together(pixels, _asked(blocks, page, width, height, kinds[0]), rects, page, 0).mapInArrow(run, tiles.schema_of(pixels, ["page"], "x int, y int"))
+
+
 def grown_mask(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: int, height: int, radius: tuple[float, int, int], kinds: tuple[str, str], beyond: dict[str, Callable[..., DataFrame]]) -> DataFrame:
     """A mask (page, x, y) with what text blocks cover of it, then what each connected area does that no block has covered.
 
@@ -220,8 +273,11 @@ def grown_mask(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: i
     rects = labels if "v" in labels.columns else tiles.points(labels.where("label > 0"), ["page"], F.col("label"))
     image = f"coalesce(page is not null and x >= 0 and x < {width} and y >= 0 and y < {height}, false)"
     spread = lambda px, own, kind: covered(px.where(image), own, rects, width, height, kind, beyond[kind])
-    base = cut(pixels.select("page", "x", "y"))
+    base, kind = cut(pixels.select("page", "x", "y")), dict(pixels.dtypes)
+    typed = lambda df: df.select("page", *[F.col(c).cast(kind[c]).alias(c) for c in "xy"])
     outside = base.where(f"not {image}")
+    if max(width, height) <= tiles.SIDE and not outside.dropna().limit(1).count():
+        return typed(_in_one_tile(base.where(image), blocks, rects, width, height, radius, kinds).unionAll(outside.distinct()))
     first = cut(spread(base, blocks, kinds[0]))
     rest = first.where("base and not covered").select("page", "x", "y").unionAll(outside)
 
@@ -231,6 +287,4 @@ def grown_mask(pixels: DataFrame, blocks: DataFrame, labels: DataFrame, width: i
     own = components(rest).groupBy("page", F.col("c").alias("area")).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), r.alias("r"))
     wide = {k: F.greatest(F.col(k) - F.col("r"), F.lit(0)) for k in ("x1", "y1")} | {k: F.least(F.col(k) + F.col("r"), F.lit(n)) for k, n in (("x2", width), ("y2", height))}
     second = spread(rest, own.withColumns(wide), kinds[1]).where("covered")
-    kind = dict(pixels.dtypes)
-    found = first.select("page", "x", "y").unionAll(outside).unionAll(second.select("page", "x", "y"))
-    return found.distinct().select("page", *[F.col(c).cast(kind[c]).alias(c) for c in "xy"])
+    return typed(first.select("page", "x", "y").unionAll(outside).unionAll(second.select("page", "x", "y")).distinct())

@@ -104,8 +104,10 @@ def test_a_tile_in_several_batches(spark):
     rng = np.random.default_rng(4)
     grids, labels = [(rng.random((40, 50)) < 0.05).astype(int) for _ in range(3)], [np.pad(np.full((20, 20), k + 1), ((5, 15), (8, 22))) for k in range(3)]
     blocks = [(p, k, int(x), int(y), int(x) + 5, int(y) + 4, 1 + k % 3) for p in range(3) for k, (x, y) in enumerate(rng.integers(0, 40, (60, 2)))]
-    run = lambda: [places(f(frame(spark, grids, "v"), as_blocks(spark, blocks), frame(spark, labels), 50, 40, 0.4, 1, 3)) for f in (masks.expanded, regions.filled_regions)]
+    far = spark.createDataFrame([(7, 70, 5)], "page int, x int, y int")  # outside, so that pages aren't done in one go
+    run = lambda more=far.limit(0): [places(f(frame(spark, grids, "v").select("page", "x", "y").unionAll(more), as_blocks(spark, blocks), frame(spark, labels), 50, 40, 0.4, 1, 3)) for f in (masks.expanded, regions.filled_regions)]
     want = run()
+    assert run(far) == [w | {(7, 70, 5)} for w in want]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
         assert run() == want
@@ -141,7 +143,7 @@ def ran(spark, name):
 
 
 #: Rows shuffled for each box at most.
-MOST = {"raster_expand_mask": 5, "raster_region_fill": 2}
+MOST = {"raster_expand_mask": 2, "raster_region_fill": 1}
 
 
 @pytest.mark.parametrize("name", MOST)
