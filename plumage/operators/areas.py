@@ -239,7 +239,8 @@ def covered(pixels: DataFrame, areas: DataFrame, rects: DataFrame, width: int, h
         return found
     large = asked.where(f"not ({fits})").select("page", "area", "x1", "y1", "x2", "y2", "r")
     if large.limit(1).count():
-        more = beyond(pixels, large, tiles.places(rects, ["page"], "label"), width, height)
+        # merged: Spark judges places by the rectangles, and pixels by what is on disk, far fewer bytes than they take in memory
+        more = beyond(pixels.hint("merge"), large, tiles.places(rects, ["page"], "label").hint("merge"), width, height)
         found = found.unionByName(more.select("page", "x", "y", F.lit(False).alias("base"), F.lit(True).alias("covered")))
     return found.groupBy("page", "x", "y").agg(F.max("base").alias("base"), F.max("covered").alias("covered"))  # tiles and large areas overlap
 
